@@ -199,15 +199,17 @@ def compared(rows: DataFrame, rule: str) -> DataFrame:
     """Compare rows within buckets: bucket, did, mark, what (RESOLVED, OPEN or BOTH) and wide.
 
     Rows that count nowhere and that nothing else needs are gone.  OPEN rows,
-    one of a kind, have to be compared window by window.
+    one of a kind, have to be compared window by window.  Rows are dealt once,
+    by bucket, and sorted once for all windows.
     """
+    rows = rows.repartition("bucket")
     alive = F.col("state") != SETTLED
     in_bucket, same = Window.partitionBy("bucket"), Window.partitionBy("bucket", "run")
     if rule == "any":
         first = F.row_number().over(same.orderBy("did", "mark")) == 1
         seen = (
-            rows.withColumn("times", F.sum(F.when(F.col("state") == TWICE, 2).when(alive, 1)).over(same))
-            .withColumn("head", alive & first)
+            rows.withColumn("head", alive & first)
+            .withColumn("times", F.sum(F.when(F.col("state") == TWICE, 2).when(alive, 1)).over(same))
             .withColumn("kinds", F.sum(F.when(F.col("head"), 1)).over(in_bucket))
             .withColumn("done", ~alive | (F.col("times") >= 2))
             .withColumn("open", F.col("head") & (F.col("kinds") > 1))
@@ -258,7 +260,7 @@ def window_rows(texts: DataFrame, spec: Spec) -> DataFrame:
 
         return step
 
-    return map_batches(texts.select("did", "text", "marks", "buckets"), work, ROWS)
+    return map_batches(texts.select("doc_id", "did", "text", "marks", "buckets"), work, ROWS)
 
 
 def bucket_pointers(symbols: np.ndarray, ends: np.ndarray, depth: int, q: int = 8) -> np.ndarray:
@@ -305,7 +307,7 @@ def contexts(texts: DataFrame, window: int) -> DataFrame:
 
         return step
 
-    return map_batches(texts.select("did", "text", "marks", "buckets"), work, "bucket long, did long, mark long, context binary")
+    return map_batches(texts.select("doc_id", "did", "text", "marks", "buckets"), work, "bucket long, did long, mark long, context binary")
 
 
 def sorted_buckets(rows: DataFrame, window: int, size: int = 1 << 18) -> DataFrame:
@@ -350,6 +352,7 @@ def sorted_buckets(rows: DataFrame, window: int, size: int = 1 << 18) -> DataFra
 
 
 def open_texts(docs: DataFrame, marks: DataFrame) -> DataFrame:
+    """Texts with their open runs; all columns of `docs` stay in use, so its exchange serves every join."""
     gathered = marks.groupBy("did").agg(F.collect_list("mark").alias("marks"), F.collect_list("bucket").alias("buckets"))
     return with_marks(docs, gathered, "inner")
 
