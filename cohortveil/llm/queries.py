@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import debruijn, decontaminate, pieces, secrets, suffix_dedup
+from . import debruijn, decontaminate, near_dedup, pieces, secrets, suffix_dedup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,12 +39,17 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(found)
 
 
+def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_groups(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op3_substring_dedup": op3_substring_dedup,
     "op6_sentencepiece": op6_sentencepiece,
     "op7_secrets": op7_secrets,
     "op9_decontaminate": op9_decontaminate,
+    "op10_near_dedup": op10_near_dedup,
 }
 
 SQL: dict[str, str] = {}
