@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -38,9 +38,27 @@ def map_batches(df: DataFrame, work: Callable[[], Callable[[pa.RecordBatch], pa.
     return df.mapInArrow(run, schema)
 
 
-def document_texts(docs: DataFrame) -> DataFrame:
-    """doc_id and text alone, whatever other columns there are."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+def document_texts(docs: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
+    """doc_id and text, and as carried_0.. the columns to carry along, whatever other columns there are."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *(F.col(c).alias(f"carried_{k}") for k, c in enumerate(carry)))
+
+
+def map_texts(docs: DataFrame, carry: Sequence[str], work: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema: str) -> DataFrame:
+    """map_batches over document_texts; carried columns come last, under their names in docs."""
+    own = document_texts(docs, carry)
+    extra = [f"carried_{k}" for k in range(len(carry))]
+
+    def both():
+        step = work()
+
+        def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+            out = step(batch)
+            return pa.RecordBatch.from_arrays([*out.columns, *(batch.column(c) for c in extra)], [*out.schema.names, *extra])
+
+        return run
+
+    full = ", ".join([schema, *(f"{c} {own.schema[c].dataType.simpleString()}" for c in extra)])
+    return map_batches(own, both, full).withColumnsRenamed(dict(zip(extra, carry, strict=True)))
 
 
 def scratch_dir(spark: SparkSession) -> str:

@@ -13,14 +13,14 @@ items; with several blocks each document meets them one after another.
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .batches import as_bytes, map_batches
+from .batches import as_bytes, map_texts
 
 WINDOW = 13
 BLOCK_WORDS = 250_000
@@ -192,14 +192,14 @@ def word_offsets(text: bytes) -> list[tuple[int, int]]:
     return list(zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True))
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: int = 20, block_words: int = BLOCK_WORDS, with_text: bool = False) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: int = 20, block_words: int = BLOCK_WORDS, with_text: bool = False, carry: Sequence[str] = ()) -> DataFrame:
     """Mark the words of every document that occur in windows of benchmark items.
 
     `docs` needs doc_id and text, `benchmark` item_id and text; other columns
     are passed over, so their names can't clash.  Returns doc_id, n_words,
     n_hit, items (item ids sorted as strings), contaminated (n_hit > 0 and
     share * n_hit >= n_words) and, with `with_text`, clean_text: the text with
-    its hit words cut out.
+    its hit words cut out.  Columns named in `carry` come along, last.
 
     A null text or one without words has no hits.  A null item id counts as
     ''.  Equal ids of different items are named once.  Repeated rows give
@@ -238,7 +238,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
 
         return step
 
-    return map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), work, schema)
+    return map_texts(docs, carry, work, schema)
 
 
 def digest(found: DataFrame) -> DataFrame:

@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .batches import as_text, document_texts, map_batches
+from .batches import as_text, map_texts
 
 SPACE = "▁"
 #: Units of more symbols than this have an agenda of their own.
@@ -285,4 +285,4 @@ def encode_pieces(docs: DataFrame, model: str, with_ids: bool = False) -> DataFr
 
         return step
 
-    return map_batches(document_texts(docs), work, schema)
+    return map_texts(docs, (), work, schema)
