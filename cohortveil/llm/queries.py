@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import debruijn, decontaminate, language, near_dedup, pieces, quality_model, quality_rules, secrets, suffix_dedup
+from . import backoff, debruijn, decontaminate, language, near_dedup, pieces, quality_model, quality_rules, secrets, suffix_dedup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,6 +35,11 @@ def op4_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_model.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_backoff_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = backoff.score(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "mean_log10", *(F.col("n_by_order")[k].alias(name) for k, name in enumerate(("n_three", "n_two", "n_one", "n_unseen"))))
+
+
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode_pieces(table(spark, sf_dir, "documents"), piece_model())
 
@@ -60,6 +66,7 @@ QUERIES = {
     "op2_language": op2_language,
     "op3_substring_dedup": op3_substring_dedup,
     "op4_quality_model": op4_quality_model,
+    "op5_backoff_scores": op5_backoff_scores,
     "op6_sentencepiece": op6_sentencepiece,
     "op7_secrets": op7_secrets,
     "op8_quality_rules": op8_quality_rules,
