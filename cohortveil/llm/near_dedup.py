@@ -7,8 +7,8 @@ count of an XOR; what is clearly below the threshold goes no further.  The
 rest is confirmed on the full shingle sets.
 
 No bucket is turned into all its pairs.  First every class meets two hubs of
-each of its buckets, the one with the fewest shingles and a random one, and
-what links becomes one component.  Then only classes outside their hub's
+each of its buckets, the one with the fewest shingles and the one with the least hash
+(mostly the same in all buckets of a group, so a class meets few), and what links becomes one component.  Then only classes outside their hub's
 component have anything left to meet in a bucket: they meet all its other
 components if they are few, and otherwise the bucket's classes are joined by
 prefix filtering, which is exact: of two sets that are similar enough, rare
@@ -223,7 +223,7 @@ def near_groups(docs: DataFrame, size: int = SIZE, share: int = SHARE, bands: in
     classes = stored(full.groupBy("key_a", "key_b").agg(F.min(F.struct("did", "n", "bands", "sketch")).alias("least")).select("key_a", "key_b", F.col("least.did").alias("node"), "least.n", "least.bands", "least.sketch"))
     placed = classes.select("node", "n", F.explode("bands").alias("band"))
 
-    hub = placed.groupBy("band").agg(F.count("*").alias("held"), F.min(F.struct("n", "node")).alias("small"), F.min(F.struct(F.xxhash64("band", "node").alias("h"), "node")).alias("any")).where("held > 1")
+    hub = placed.groupBy("band").agg(F.count("*").alias("held"), F.min(F.struct("n", "node")).alias("small"), F.min(F.struct(F.xxhash64("node").alias("h"), "node")).alias("any")).where("held > 1")
     met = placed.join(hub, "band").select("node", F.explode(F.array("small.node", "any.node")).alias("a")).where("a <> node").select("a", F.col("node").alias("b")).distinct()
     repeated = rows_.groupBy("did").agg(F.count("*").alias("times")).where("times > 1").select("did")
     same = full.join(repeated, "did", "left_semi").join(classes.select("key_a", "key_b", "node"), ["key_a", "key_b"]).select(F.col("did").alias("a"), F.col("node").alias("b"))
