@@ -1,4 +1,4 @@
-"""The operators' registered queries, and SQL for those that SQL can express."""
+"""The operators' registered queries; SQL has the SQL of those that it can express."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import backoff, debruijn, decontaminate, language, near_dedup, pieces, quality_model, quality_rules, secrets, suffix_dedup
+from .sql import SQL
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -74,4 +75,4 @@ QUERIES = {
     "op10_near_dedup": op10_near_dedup,
 }
 
-SQL: dict[str, str] = {}
+__all__ = ["QUERIES", "SQL"]
