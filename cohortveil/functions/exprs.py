@@ -150,7 +150,7 @@ def redact_paths(text: Column) -> Column:
 
 
 def split_needles(text: Column) -> Column:
-    return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), "[,;\n]+"), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), "[,;\n]+"), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def profile_slug(name: Column) -> Column:
