@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.exprs import nice, nice_date, safe_name
+from ..functions.exprs import nice, nice_date
 from ..functions.policy import DUMMY_DATE
 
 
@@ -158,8 +158,10 @@ def attestation(facts: DataFrame, profile_name: str, method: str) -> DataFrame:
     return facts.select(F.to_json(body).alias("attestation"))
 
 
-def renamed_folder(study_id: Column) -> Column:
-    return safe_name(study_id)
+def files_log(images: DataFrame, names: DataFrame) -> DataFrame:
+    """study_id, source_path, output_path, status (OK or REVIEW) and note of every file of a run."""
+    placed = images.select("study_id", "path", "review").join(names.select("path", F.concat("folder", F.lit("/"), "name").alias("output_path")), "path")
+    return placed.select("study_id", F.col("path").alias("source_path"), "output_path", F.when(F.col("review").isNull(), "OK").otherwise("REVIEW").alias("status"), F.coalesce("review", F.lit("")).alias("note"))
 
 
 def latest_by(rows: DataFrame, keys: list[str], order: str) -> DataFrame:

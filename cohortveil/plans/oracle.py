@@ -172,6 +172,8 @@ SQL = {
     "linkage": f"""{WITH} SELECT study_id, string_agg(DISTINCT patient, ';' ORDER BY patient) AS source_key, string_agg(DISTINCT patient_name, ';' ORDER BY patient_name) AS original_name, string_agg(DISTINCT substr(study_date, 1, 4), ';' ORDER BY substr(study_date, 1, 4)) AS original_years,
       string_agg(DISTINCT series_number || ': ' || description, ' | ' ORDER BY series_number || ': ' || description) AS original_series_descriptions, count(*) AS files, count(DISTINCT series_number) AS series, count(review) AS review_files FROM img GROUP BY study_id""",
     "output_names": f"""{WITH} SELECT study_id, folder, count(*) AS files, count(DISTINCT name) AS names, min(name) AS first, max(name) AS last FROM (SELECT study_id, folder, CASE WHEN row_number() OVER (PARTITION BY folder, name ORDER BY path) > 1 THEN substr(name, 1, length(name) - 4) || '_' || counter || '.dcm' ELSE name END AS name FROM ({NAMED}) n) o GROUP BY study_id, folder""",
+    "files_log": f"""{WITH} SELECT study_id, status, note, count(*) AS files, count(DISTINCT o) AS outputs, min(o) AS first FROM (SELECT n.study_id, CASE WHEN review IS NULL THEN 'OK' ELSE 'REVIEW' END AS status, coalesce(review, '') AS note,
+      folder || '/' || CASE WHEN row_number() OVER (PARTITION BY folder, name ORDER BY n.path) > 1 THEN substr(name, 1, length(name) - 4) || '_' || counter || '.dcm' ELSE name END AS o FROM ({NAMED}) n JOIN (SELECT path, any_value(review) AS review FROM img GROUP BY path) i ON i.path = n.path) t GROUP BY ALL""",
     "verify_findings": f"WITH e AS ({ELEMENTS}) SELECT kind, instance_id, count(*) AS n, sha256(string_agg(detail, ';' ORDER BY detail)) AS details FROM ({RULES} UNION ALL {OBJECT_RULES}) f GROUP BY kind, instance_id",
     "verify_report": f"WITH e AS ({ELEMENTS}), f AS (SELECT kind, instance_id || ': ' || detail AS x FROM ({RULES}) r), n AS (SELECT kind, x, row_number() OVER (PARTITION BY kind ORDER BY x) AS nth FROM f) SELECT kind, count(*) AS findings, string_agg(x, '; ' ORDER BY x) FILTER (nth <= 5) AS examples, greatest(count(*) - 5, 0) AS more FROM n GROUP BY kind",
     "verify_output": "SELECT unnest(['blinded', 'longitudinal', 'characteristics', 'technical']) AS profile, CAST(0 AS BIGINT) AS findings",

@@ -184,6 +184,12 @@ def output_names(spark, sf):
     return named.groupBy("study_id", "folder").agg(F.count("*").alias("files"), F.countDistinct("name").alias("names"), F.min("name").alias("first"), F.max("name").alias("last"))
 
 
+def files_log(spark, sf):
+    own = images(spark, sf)
+    log = audit.files_log(own, identity.output_names(own))
+    return log.groupBy("study_id", "status", "note").agg(F.count("*").alias("files"), F.countDistinct("output_path").alias("outputs"), F.min("output_path").alias("first"))
+
+
 def verify_findings(spark, sf):
     found = verify.verify(with_study(spark, sf))
     return found.groupBy("kind", "instance_id").agg(F.count("*").alias("n"), F.sha2(F.array_join(F.sort_array(F.collect_list("detail")), ";"), 256).alias("details"))
@@ -402,7 +408,7 @@ def reformat(spark, sf):
 
 NAMES = """series_decisions series_picks_cascade series_selection pick_matches series_survey review_routing last_resort_series kept_images thick_audit
 uid_hash date_shift age_bucket tag_policy tag_policy_profile tag_counters header_diff_summary plain_changes id_mapping unmapped_and_missing manifest_files
-skipped_files linkage study_summary run_totals output_names verify_findings verify_report verify_output needle_hits name_part_hits nhs_numbers pattern_sweep
+skipped_files linkage study_summary run_totals output_names files_log verify_findings verify_report verify_output needle_hits name_part_hits nhs_numbers pattern_sweep
 document_sweep checksum_recheck attestation decision_history decision_counts decision_filter study_units mixed_folders kinds kind_search keep_plan assign_ids
 id_problems earlier_copies spreadsheet_ids assignment_list resume_pending study_state share_readiness done_headline log_progress frame_window frame_redact
 frame_downsample slice_spacing reformat""".split()
