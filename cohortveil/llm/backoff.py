@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .batches import as_bytes, document_texts
+from .batches import as_bytes, document_texts, map_batches
 from .rolling import Roller, byte_values, word_bounds
 
 U = np.uint64
@@ -114,9 +114,41 @@ class Block:
         return np.bincount(self.doc, logs, minlength=len(self.sizes)), counts
 
 
+def bundles(docs: DataFrame) -> DataFrame:
+    """One row a task's batch and block: ids, lengths and, compressed together, the texts."""
+
+    def work():
+        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+            block = batch.column("block").to_numpy()
+            texts, ids = as_bytes(batch.column("text")), batch.column("doc_id").to_pylist()
+            order = np.argsort(block, kind="stable")
+            heads = np.flatnonzero(np.append(True, np.diff(block[order]) != 0))
+            out: list[list] = [[], [], [], []]
+            for rows in np.split(order, heads[1:]):
+                own = [texts[k] for k in rows]
+                for column, value in zip(out, (int(block[rows[0]]), [ids[k] for k in rows], [len(t) for t in own], zlib.compress(b"".join(own), 3)), strict=True):
+                    column.append(value)
+            kinds = (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, kinds, strict=True)], ["block", "ids", "lengths", "data"])
+
+        return step
+
+    return map_batches(docs, work, "block long, ids array<long>, lengths array<long>, data binary")
+
+
+def unbundled(docs: pa.Table) -> list[bytes]:
+    texts = []
+    for lengths, data in zip(docs.column("lengths").to_pylist(), docs.column("data").to_pylist(), strict=True):
+        whole, at = zlib.decompress(data), 0
+        for n in lengths:
+            texts.append(whole[at : at + n])
+            at += n
+    return texts
+
+
 def block_of(docs: pa.Table, answers: pa.Table | None, orders: int) -> Block:
     """The block with the answers of its first orders taken in."""
-    block = Block(as_bytes(docs.column("text").combine_chunks()))
+    block = Block(unbundled(docs))
     rows = [] if answers is None else sorted(zip(*(answers.column(c).to_pylist() for c in ("order", "part", "totals")), strict=True))
     for order in range(1, orders + 1):
         own = [expand(r[2]) for r in rows if r[0] == order]
@@ -198,7 +230,7 @@ def score(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, block: int
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     own = document_texts(docs)
     size = own.select(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first()["bytes"]
-    dealt = own.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(max(1, -(-size // block))))).repartition("block")
+    dealt = bundles(own.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(max(1, -(-size // block)))))).repartition("block")
     answers: DataFrame | None = None
     for n in range(1, order + 1):
         new = totals(lookups(dealt, answers, n, parts))
@@ -214,6 +246,6 @@ def score(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, block: int
         sums, counts = own_block.scores(corpus, order, alpha)
         means = [round(float(s) / int(n), 4) if n else None for s, n in zip(sums, own_block.sizes, strict=True)]
         by_order = np.stack(counts, axis=1).tolist()
-        return pa.table([texts.column("doc_id").combine_chunks().cast(pa.int64()), pa.array(own_block.sizes), pa.array(means, pa.float64()), pa.array(by_order, pa.list_(pa.int64()))], names)
+        return pa.table([pa.array([k for ids in texts.column("ids").to_pylist() for k in ids], pa.int64()), pa.array(own_block.sizes), pa.array(means, pa.float64()), pa.array(by_order, pa.list_(pa.int64()))], names)
 
     return dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(judge, "doc_id long, n_words long, mean_log10 double, n_by_order array<long>")
