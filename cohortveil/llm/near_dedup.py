@@ -8,11 +8,10 @@ rest is confirmed on the full shingle sets.
 
 No bucket is turned into all its pairs.  First every class meets two hubs of
 each of its buckets, the one with the fewest shingles and the one with the least hash
-(mostly the same in all buckets of a group, so a class meets few), and what links becomes one component.  Then only classes outside their hub's
-component have anything left to meet in a bucket: they meet all its other
-components if they are few, and otherwise the bucket's classes are joined by
-prefix filtering, which is exact: of two sets that are similar enough, rare
-shingles first, the leading ones have one in common.
+(mostly the same in all buckets of a group, so a class meets few), and what links becomes one component.  Then only classes outside a bucket's
+commonest component have anything left to meet in it.  They meet its other
+classes in cells of bounded size, whatever the bucket's, and a cell gives out
+only the pairs that sizes and sketches allow.
 """
 
 from __future__ import annotations
@@ -29,9 +28,11 @@ from .rolling import Roller, byte_values, mix, word_bounds
 
 U = np.uint64
 SIZE, SHARE = 5, 75
-BANDS, ROWS, BITS = 32, 4, 1024
-#: A bucket with more classes outside the hub's component than this is joined by prefix filtering.
-OUTSIDERS = 32
+BANDS, ROWS = 32, 4
+#: MinHash values in a sketch (the first BANDS * ROWS also make the bands), and bits of a sketch.
+SAMPLES, BITS = 256, 2048
+#: A bucket's classes meet in cells of at most about so many outsiders and so many others.
+CELL = (512, 4096)
 #: Members that one task takes for a hub; hubs with more get several tasks.
 MEMBERS = 400
 
@@ -59,11 +60,11 @@ class Shingler:
                 yield np.unique(self.words.span(first, np.minimum(first + self.size, hi)))
 
 
-def features(docs: DataFrame, size: int, bands: int, rows: int, bits: int) -> DataFrame:
+def features(docs: DataFrame, size: int, bands: int, rows: int, samples: int, bits: int) -> DataFrame:
     """doc_id, did, n, the set's 128-bit fingerprint (key_a, key_b), band keys and odd sketch of every text."""
 
     def work():
-        shingler, k = Shingler(size), bands * rows
+        shingler, k = Shingler(size), max(samples, bands * rows)
         rng = np.random.default_rng(11)
         multiply, flip = rng.integers(0, 2**32, k, dtype=np.uint32) | np.uint32(1), rng.integers(0, 2**32, k, dtype=np.uint32)
         place = np.arange(k).astype(U) << U(32)
@@ -87,8 +88,8 @@ def features(docs: DataFrame, size: int, bands: int, rows: int, bits: int) -> Da
                 a.append(int(mix(shingles + U(1)).sum().view(np.int64)))
                 b.append(int(mix(shingles ^ U(0x5555555555555555)).sum().view(np.int64)))
                 least = sample(shingles).astype(U)
-                keys.append(mix((least.reshape(bands, rows) * weight).sum(axis=1) + mix(np.arange(bands).astype(U))).view(np.int64))
-                odd = np.bincount((mix(least | place) % U(bits)).astype(np.int64), minlength=bits) & 1
+                keys.append(mix((least[: bands * rows].reshape(bands, rows) * weight).sum(axis=1) + mix(np.arange(bands).astype(U))).view(np.int64))
+                odd = np.bincount((mix(least[:samples] | place[:samples]) % U(bits)).astype(np.int64), minlength=bits) & 1
                 sketches.append(np.packbits(odd.astype(np.uint8)).view(np.int64))
             lists = [pa.array([x if x is None else x.tolist() for x in column], pa.list_(pa.int64())) for column in (keys, sketches)]
             return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("did"), *(pa.array(x, pa.int64()) for x in (n, a, b)), *lists], ["doc_id", "did", "n", "key_a", "key_b", "bands", "sketch"])
@@ -108,13 +109,70 @@ def most_apart(samples: int, bits: int, similarity: float) -> float:
     return bits / 2 * (1 - np.exp(-4 * samples * (1 - similarity) / bits))
 
 
+def limit(share: int, samples: int, bits: int) -> float:
+    """The population count up to which two sketches may belong to a link.
+
+    MinHash values and their folding both scatter; four and a half standard
+    deviations of the two together are left below the threshold.
+    """
+    j = share / 100
+    folded = samples * (1 - j) / (bits / 2) ** 0.5 / samples
+    sure = j - 4.5 * (j * (1 - j) / samples + folded**2) ** 0.5
+    return float(most_apart(samples, bits, max(sure, 0.05)))
+
+
 def sketched(pairs: DataFrame, classes: DataFrame, share: int, samples: int, bits: int) -> DataFrame:
-    """The pairs (a, b) whose sizes and sketches allow a link, with five standard deviations to spare."""
-    sure = max(share / 100 - 5 * np.sqrt(share / 100 * (1 - share / 100) / samples) - 0.05, 0.05)
-    limit = float(most_apart(samples, bits, sure))
+    """The pairs (a, b) whose sizes and sketches allow a link."""
     one = lambda x: classes.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"sketch_{x}"))
     sized = pairs.join(one("b"), "b").join(one("a"), "a").where(100 * F.least("n_a", "n_b") >= share * F.greatest("n_a", "n_b"))
-    return sized.where(apart(F.col("sketch_a"), F.col("sketch_b")) <= limit).select("a", "b").distinct()
+    return sized.where(apart(F.col("sketch_a"), F.col("sketch_b")) <= limit(share, samples, bits)).select("a", "b").distinct()
+
+
+def outsiders_met(inside: DataFrame, classes: DataFrame, share: int, samples: int, bits: int) -> DataFrame:
+    """Pairs (a, b) of a bucket's outsiders with its classes of other components that may be links.
+
+    `inside` has band, node, component and main, the bucket's commonest
+    component.  A bucket is dealt into a grid of cells: its outsiders by the
+    one side, all its classes by the other, each side in parts of bounded size.
+    """
+    most = limit(share, samples, bits)
+    sizes = inside.groupBy("band").agg(F.ceil(F.count_if(F.col("component") != F.col("main")) / CELL[0]).cast("int").alias("os"), F.ceil(F.count("*") / CELL[1]).cast("int").alias("ms"))
+    own = inside.select("band", "node", "component", "main").join(sizes, "band").join(classes.select("node", "n", "sketch"), "node")
+    place = lambda parts: F.pmod(F.xxhash64("node"), F.col(parts)).cast("int")
+    every = lambda parts: F.explode(F.sequence(F.lit(0), F.col(parts) - 1))
+    kept = ["band", "node", "component", "main", "n", "sketch"]
+    rows = own.where("component <> main").select(*kept, place("os").alias("o"), every("ms").alias("m"), F.lit(0).alias("role"))
+    cols = own.select(*kept, every("os").alias("o"), place("ms").alias("m"), F.lit(1).alias("role"))
+
+    def run(batches):
+        key, held = None, ([], [])
+
+        def cell():
+            a, b = ([np.array([r[k] for r in side], np.int64) for k in range(4)] for side in held)
+            sketch_a, sketch_b = (np.array([r[4] for r in side], np.int64).view(U) for side in held)
+            for k in range(len(a[0])):
+                fits = (b[1] != a[1][k]) & ((b[1] == b[2]) | (a[0][k] < b[0])) & (100 * np.minimum(b[3], a[3][k]) >= share * np.maximum(b[3], a[3][k]))
+                at = np.flatnonzero(fits)
+                near = at[np.bitwise_count(sketch_b[at] ^ sketch_a[k]).sum(axis=1) <= most]
+                yield from ((int(a[0][k]), int(x)) for x in b[0][near])
+
+        def table(found):
+            return pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], ["a", "b"])
+
+        for batch in batches:
+            found = set()
+            for band, o, m, role, *row in zip(*(batch.column(c).to_pylist() for c in ("band", "o", "m", "role", "node", "component", "main", "n", "sketch")), strict=True):
+                if key != (band, o, m):
+                    if held[0] and held[1]:
+                        found.update(cell())
+                    key, held = (band, o, m), ([], [])
+                held[role].append(row)
+            yield table(found)
+        if held[0] and held[1]:
+            yield table(set(cell()))
+
+    dealt = rows.unionByName(cols).repartition("band", "o", "m").sortWithinPartitions("band", "o", "m", "role")
+    return dealt.select("band", "o", "m", "role", "node", "component", "main", "n", "sketch").mapInArrow(run, "a long, b long").distinct()
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, size: int, share: int) -> DataFrame:
@@ -165,41 +223,7 @@ def linked(a: np.ndarray, b: np.ndarray, share: int) -> bool:
     return 100 * both >= share * (len(a) + len(b) - both)
 
 
-def prefix_pairs(nodes: DataFrame, texts: DataFrame, size: int, share: int) -> DataFrame:
-    """Pairs of different components among `nodes` (node, component) that prefix filtering leaves.
-
-    Shingles are ordered by how many of the sets hold them, so what only one
-    set holds comes first and pairs nothing.  A set of n needs only its first
-    n - ceil(share * n) + 1; two that share one of these at ranks i and j can
-    have at most 1 + min(n_i - i, n_j - j) in common.
-    """
-
-    def work():
-        shingler = Shingler(size)
-
-        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            sets = list(shingler.sets(as_bytes(batch.column("text"))))
-            sizes = [len(s) for s in sets]
-            repeated = [pa.array(np.repeat(np.array(batch.column(c).to_pylist(), np.int64), sizes)) for c in ("did", "component")]
-            return pa.RecordBatch.from_arrays([*repeated, pa.array(np.repeat(np.array(sizes, np.int64), sizes)), pa.array(np.concatenate([*sets, np.zeros(0, U)]).view(np.int64))], ["node", "component", "n", "shingle"])
-
-        return step
-
-    wanted = nodes.select(F.col("node").alias("did"), "component")
-    shingles = stored(map_batches(texts.join(wanted.hint("shuffle_hash"), "did").select("did", "text", "component"), work, "node long, component long, n long, shingle long"))
-    counts = shingles.groupBy("shingle").agg(F.count("*").alias("holders"), F.min("component").alias("low"), F.max("component").alias("high")).where("holders > 1")
-    shared = shingles.join(counts, "shingle")
-    # A set's shingles that nobody else holds take its first ranks.
-    listed = shared.groupBy("node", "component", "n").agg(F.sort_array(F.collect_list(F.struct("holders", "shingle", "low", "high"))).alias("all"))
-    ranked = listed.select("node", "component", "n", (F.col("n") - F.size("all")).alias("alone"), F.posexplode("all")).withColumn("rank", F.col("pos") + F.col("alone"))
-    lead = ranked.where((F.col("rank") < F.col("n") - F.ceil(F.col("n") * share / 100.0) + 1) & (F.col("col.low") < F.col("col.high"))).select(F.col("col.shingle").alias("shingle"), "node", "component", "n", "rank")
-    one = lambda x: lead.select("shingle", *(F.col(c).alias(f"{c}_{x}") for c in ("node", "component", "n", "rank")))
-    most = 1 + F.least(F.col("n_a") - F.col("rank_a"), F.col("n_b") - F.col("rank_b"))
-    fits = (F.col("component_a") < F.col("component_b")) & (100 * F.least("n_a", "n_b") >= share * F.greatest("n_a", "n_b")) & ((100 + share) * most >= share * (F.col("n_a") + F.col("n_b")))
-    return one("a").join(one("b"), "shingle").where(fits).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
-
-
-def near_groups(docs: DataFrame, size: int = SIZE, share: int = SHARE, bands: int = BANDS, rows: int = ROWS, bits: int = BITS) -> DataFrame:
+def near_groups(docs: DataFrame, size: int = SIZE, share: int = SHARE, bands: int = BANDS, rows: int = ROWS, samples: int = SAMPLES, bits: int = BITS) -> DataFrame:
     """The near-duplicate group of every document.
 
     A document's set holds its distinct shingles of `size` lower-cased words;
@@ -218,7 +242,7 @@ def near_groups(docs: DataFrame, size: int = SIZE, share: int = SHARE, bands: in
     """
     own = ided(docs)
     texts = own.repartition("did")
-    rows_ = stored(features(docs, size, bands, rows, bits))
+    rows_ = stored(features(docs, size, bands, rows, samples, bits))
     full = rows_.where("n > 0")
     classes = stored(full.groupBy("key_a", "key_b").agg(F.min(F.struct("did", "n", "bands", "sketch")).alias("least")).select("key_a", "key_b", F.col("least.did").alias("node"), "least.n", "least.bands", "least.sketch"))
     placed = classes.select("node", "n", F.explode("bands").alias("band"))
@@ -227,20 +251,16 @@ def near_groups(docs: DataFrame, size: int = SIZE, share: int = SHARE, bands: in
     met = placed.join(hub, "band").select("node", F.explode(F.array("small.node", "any.node")).alias("a")).where("a <> node").select("a", F.col("node").alias("b")).distinct()
     repeated = rows_.groupBy("did").agg(F.count("*").alias("times")).where("times > 1").select("did")
     same = full.join(repeated, "did", "left_semi").join(classes.select("key_a", "key_b", "node"), ["key_a", "key_b"]).select(F.col("did").alias("a"), F.col("node").alias("b"))
-    tested = stored(sketched(met, classes, share, bands * rows, bits))
+    tested = stored(sketched(met, classes, share, samples, bits))
     links = stored(confirmed(tested, texts, size, share).unionByName(same))
     found = components(links)
 
     owned = placed.join(found, "node", "left").select("band", "node", "n", F.coalesce("component", "node").alias("component"))
-    mixed = owned.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min(F.struct("n", "node", "component")).alias("small")).where("low < high").select("band", F.col("small.component").alias("main"))
+    # Each mixed bucket's commonest component, by counts of counts: a group of any size is a few partial rows.
+    shares = owned.groupBy("band", "component").agg(F.count("*").alias("members"))
+    mixed = shares.groupBy("band").agg(F.count("*").alias("kinds"), F.max_by("component", F.struct("members", "component")).alias("main")).where("kinds > 1").select("band", "main")
     inside = stored(owned.join(mixed, "band"))
-    outside = inside.where("component <> main").groupBy("band").agg(F.count("*").alias("outsiders"))
-    few, many = outside.where(F.col("outsiders") <= OUTSIDERS), outside.where(F.col("outsiders") > OUTSIDERS)
-    theirs = inside.where("component <> main").join(few, "band", "left_semi").select("band", F.col("node").alias("a"), F.col("component").alias("component_a"))
-    rest = theirs.join(inside.select("band", F.col("node").alias("b"), "component", "main"), "band").where("component_a <> component AND (component = main OR a < b)").select("a", "b")
-    crowd = inside.join(many, "band", "left_semi").select("node", "component").distinct()
-    more = rest.distinct().unionByName(prefix_pairs(crowd, texts, size, share))
-    new = sketched(more, classes, share, bands * rows, bits)
+    new = outsiders_met(inside, classes, share, samples, bits)
     new = new.join(tested, ["a", "b"], "left_anti").join(tested.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti")
     extra = stored(confirmed(stored(new), texts, size, share))
     # Links between components, then what each component becomes.

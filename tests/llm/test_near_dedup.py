@@ -27,9 +27,9 @@ def corpus(seed):
     return rows + [(1000, None), (1001, ""), (1002, " \n"), (1003, "one two"), (1004, "ONE two")]
 
 
-@pytest.mark.parametrize(("seed", "outsiders", "members"), [(1, 32, 400), (2, 2, 3)])
-def test_groups_match_brute_force(spark, monkeypatch, seed, outsiders, members):
-    monkeypatch.setattr(near_dedup, "OUTSIDERS", outsiders)
+@pytest.mark.parametrize(("seed", "cell", "members"), [(1, (512, 4096), 400), (2, (2, 3), 3)])
+def test_groups_match_brute_force(spark, monkeypatch, seed, cell, members):
+    monkeypatch.setattr(near_dedup, "CELL", cell)
     monkeypatch.setattr(near_dedup, "MEMBERS", members)
     rows = corpus(seed)
     df = spark.createDataFrame([(d, t, 0) for d, t in rows], "doc_id long, text string, n int").repartition(3)
