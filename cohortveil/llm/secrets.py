@@ -28,7 +28,7 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")
 HEX = re.compile(r"[0-9a-f]{32,}")
 NAMED = re.compile(r"password|passwd|secret|token|api_?key", re.ASCII | re.IGNORECASE)
 CONTEXT_NAMES = ("pwd", "pass", "passphrase", "passcode", "pin", "auth", "credential", "credentials", "login", "private_key", "access_key", "client_key", "bearer")
-CONTEXT = re.compile(r"""(?<![A-Za-z0-9_])(?:%s)["']?\x20*[:=]\x20*["']?([^\s"'<>|,;]{6,128})""" % "|".join(sorted(CONTEXT_NAMES, key=len, reverse=True)), re.ASCII | re.IGNORECASE)
+CONTEXT = re.compile(r"""(?<![A-Za-z0-9_])(?:%s)["']?\x20*[:=]\x20*["']?([^\s"'<>|,;]{6,})""" % "|".join(sorted(CONTEXT_NAMES, key=len, reverse=True)), re.ASCII | re.IGNORECASE)
 CONTEXT_HINT = re.compile(r"pwd|pass|pin|auth|credential|login|_key|bearer", re.ASCII | re.IGNORECASE)
 
 #: Fixed: common parts of guessable passwords, commonest first.

@@ -60,6 +60,14 @@ def test_secrets(spark):
     assert got[2]["spans"] == "" and got[2]["base_sha256"] == hashlib.sha256(b"").hexdigest() and got[3]["n_assign"] == 0
 
 
+def test_long_credentials_are_masked_whole(spark):
+    key = "".join(random.Random(4).choices("ABCXYZabcxyz0189+/", k=300))
+    rows = spark.createDataFrame([(1, f"private_key: {key} end"), (2, f"bearer = {key * 40}")], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in secrets.scan_secrets(rows, with_text=True).collect()}
+    assert got[1]["spans"] == "guess:13:313" and got[1]["clean_text"] == "private_key: [SECRET] end"
+    assert got[2]["spans"] == "guess:9:12009" and got[2]["clean_text"] == "bearer = [SECRET]"
+
+
 def test_guess_costs():
     cost = secrets.guess_cost
     assert cost("") == 0 and cost("password") < 3 and cost("qwertyuiop") < 4 and cost("1987-06-12") < 6 and cost("abcabcabcabc") < 6
