@@ -1,11 +1,12 @@
 """Secret scans: fixed patterns, then password guess costs in credential contexts.
 
 The fixed patterns find assignments, access ids and long hexadecimal runs.
-Beside them, values that stand in a credential context (a wider list of names
-than the assignments') are judged by how many guesses they would cost: a
-dynamic programme finds the cheapest segmentation of the value into dictionary
-words, dates, repeats, keyboard walks and brute-force spans.  Values that cost
-at least 10**`min_log10` guesses are secrets; words, dates and names are not.
+Beside them, values that stand in a credential context (the assignments' names
+and more, also at the end of longer names) are judged by how many guesses they
+would cost: a dynamic programme finds the cheapest segmentation of the value
+into dictionary words, dates, repeats, keyboard walks and brute-force spans.
+Values that cost at least 10**`min_log10` guesses are secrets, whatever their
+characters; `COMMON` words and dates are not, but other long words are.
 """
 
 from __future__ import annotations
@@ -27,9 +28,13 @@ ASSIGN = re.compile(r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]
 ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")
 HEX = re.compile(r"[0-9a-f]{32,}")
 NAMED = re.compile(r"password|passwd|secret|token|api_?key", re.ASCII | re.IGNORECASE)
-CONTEXT_NAMES = ("pwd", "pass", "passphrase", "passcode", "pin", "auth", "credential", "credentials", "login", "private_key", "access_key", "client_key", "bearer")
-CONTEXT = re.compile(r"""(?<![A-Za-z0-9_])(?:%s)["']?\x20*[:=]\x20*["']?([^\s"'<>|,;]{6,})""" % "|".join(sorted(CONTEXT_NAMES, key=len, reverse=True)), re.ASCII | re.IGNORECASE)
-CONTEXT_HINT = re.compile(r"pwd|pass|pin|auth|credential|login|_key|bearer", re.ASCII | re.IGNORECASE)
+CONTEXT_NAMES = ("password", "passwd", "secret", "token", "api_?key", "pwd", "pass", "passphrase", "passcode", "pin", "auth", "credential", "credentials", "login", "private_key", "access_key", "client_key", "bearer")
+#: A name, which may end a longer one (DB_PWD), and what comes before its value.
+CONTEXT = re.compile(r"""(?:%s)["']?\x20*[:=]\x20*(["']?)(?=\S)""" % "|".join(sorted(CONTEXT_NAMES, key=len, reverse=True)), re.ASCII | re.IGNORECASE)
+CONTEXT_HINT = re.compile(r"pwd|pass|pin|auth|credential|login|_key|apikey|bearer|secret|token", re.ASCII | re.IGNORECASE)
+BLANK = re.compile(r"\s|\Z", re.ASCII)
+#: What closes a sentence, list or bracket after a value is not part of it.
+CLOSING = """.,;:)]}>|"'"""
 
 #: Fixed: common parts of guessable passwords, commonest first.
 COMMON = """password qwerty dragon monkey letmein welcome login admin master hello freedom whatever shadow sunshine princess
@@ -96,6 +101,16 @@ def guess_cost(value: str) -> float:
     return best[n]
 
 
+def hard_to_guess(value: str, min_log10: float) -> bool:
+    """Whether guess_cost(value) >= min_log10; pieces after the deciding one aren't costed."""
+    cost = 0.0
+    for i in range(0, len(value), PIECE):
+        cost += guess_cost(value[i : i + PIECE])
+        if cost >= min_log10:
+            return True
+    return False
+
+
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, kind number, end) of the fixed patterns' matches that are long enough."""
     out = []
@@ -108,18 +123,28 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def guessed_spans(text: str, base: list[tuple[int, int, int]], min_log10: float = MIN_LOG10) -> list[tuple[int, int, int]]:
-    """Spans of credential values outside the base spans that are hard to guess."""
+    """Spans of credential values that are hard to guess and reach beyond every base span.
+
+    A value goes on to the next blank, or to the quote that closes the one
+    before it; closing punctuation at a blank isn't part of it.  A value inside
+    one that was found before is left out.
+    """
     if not CONTEXT_HINT.search(text):
         return []
-    out = []
+    out: list[tuple[int, int, int]] = []
+    blank, stop, k, covered = -1, 0, 0, 0
     for m in CONTEXT.finditer(text):
-        a, b = m.span(1)
-        while b > a and text[b - 1] in ".!?)]}:":
-            b -= 1
-        value = text[a:b]
-        if any(s < b and a < e for s, _, e in base) or len(value) < 8:
+        a = m.end()
+        if a > blank:
+            blank = BLANK.search(text, a).start()
+            stop = a + len(text[a:blank].rstrip(CLOSING))
+        b = text.find(m[1], a, blank) if m[1] else -1
+        b = stop if b < 0 else b
+        while k < len(base) and base[k][0] <= a:
+            covered, k = max(covered, base[k][2]), k + 1
+        if a >= b or b <= covered or out and b <= out[-1][2]:
             continue
-        if any(c.isdigit() for c in value) and any(c.isalpha() for c in value) and guess_cost(value) >= min_log10:
+        if hard_to_guess(text[a:b], min_log10):
             out.append((a, 3, b))
     return out
 
@@ -142,7 +167,7 @@ def scan_secrets(docs: DataFrame, min_log10: float = MIN_LOG10, with_text: bool
 
     Returns doc_id, n_assign, n_access, n_hex, n_guess, base_sha256 (of the
     base spans as kind:start:end, joined by commas), spans (all spans, joined
-    likewise) and, with `with_text`, clean_text: each secret replaced by
+    likewise; a guess that reaches beyond a base span overlaps it) and, with `with_text`, clean_text: each secret replaced by
     [SECRET].  Offsets count code points; ends are exclusive.  Columns named in
     `carry` come along, last.
 

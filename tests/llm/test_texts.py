@@ -68,6 +68,22 @@ def test_long_credentials_are_masked_whole(spark):
     assert got[2]["spans"] == "guess:9:12009" and got[2]["clean_text"] == "bearer = [SECRET]"
 
 
+def test_every_credential_context_is_judged(spark):
+    hard = ["k$9!vQ@2#mZx7", "Tr0ub4dor&3xK9qZw", "xKqZvbTmWpLrYn", "4,7;1|9<2>8'55$1", "q7$Zk!"]
+    names = ["password", "PASSWD", "secret", "token", "api_key", "apikey", "pass", "DB_PWD", "smtp_pass", "aws_secret_access_key"]
+    texts = [f"{n}{sep}{q}{v}{q}. and" for n in names for sep in ("=", ": ") for q in ("", '"') for v in hard]
+    texts += ["token = secret: k$9!vQ@2#mZx7, and", '{"user_token":"Tr0ub4dor&3xK9qZw","pass":"k$9!vQ@2#mZx7","x":"and"}', "pin: AKIA" + "A1B2" * 4 + "$zQ9 and"]
+    weak = ["password: password123 and", "login: 1987-06-12, and", 'token="monkey" pass: and']
+    rows = spark.createDataFrame(list(enumerate(texts + weak)), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in secrets.scan_secrets(rows, with_text=True).collect()}
+    for k, text in enumerate(texts):
+        clean = got[k]["clean_text"]
+        assert "[SECRET]" in clean and "and" in clean and not any(v[-4:] in clean or v[:4] in clean for v in [*hard, "$zQ9", "A1B2"]), text
+        base = secrets.base_spans(text)
+        assert got[k]["n_assign"] == sum(s[1] == 0 for s in base) and got[k]["base_sha256"] == hashlib.sha256(secrets.joined(base).encode()).hexdigest()
+    assert [got[len(texts) + k]["clean_text"] for k in range(len(weak))] == ["[SECRET] and", *weak[1:]]
+
+
 def test_guess_costs():
     cost = secrets.guess_cost
     assert cost("") == 0 and cost("password") < 3 and cost("qwertyuiop") < 4 and cost("1987-06-12") < 6 and cost("abcabcabcabc") < 6
