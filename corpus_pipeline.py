@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortveil.llm import decontaminate, near_dedup, pieces, quality_rules, secrets
-from cohortveil.llm.batches import NO_ID
+from cohortveil.llm.batches import NO_ID, stored
 from cohortveil.llm.queries import piece_model
 
 #: The columns that every stage but the last takes and returns.
@@ -30,18 +30,27 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return documents(own.join(kept.hint("shuffle_hash"), "row_key", "left_semi"))
 
 
+def single_rows(own: DataFrame) -> DataFrame:
+    """One row of each id, that with the smallest text, and one of each text without an id."""
+    twice = stored(own.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("times")).where("times > 1").select("doc_id"))
+    once = own.where("doc_id IS NOT NULL").join(twice, "doc_id", "left_anti")
+    again = own.join(twice, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(*COLUMNS[1:])).alias("least")).select("doc_id", "least.*")
+    no_id = own.where("doc_id IS NULL").groupBy("doc_id", "text").agg(F.min(F.struct(*COLUMNS[2:])).alias("least")).select("doc_id", "text", "least.*")
+    return documents(once).unionByName(documents(again)).unionByName(documents(no_id))
+
+
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each near-duplicate group.
 
-    Of rows that repeat an id, which count as one document, the one with the
-    smallest text stays; rows without an id count as one document too.
+    Rows that repeat an id count as one document: the one with the smallest
+    text stands for them before groups are made, so nothing goes for being like
+    the others.  Rows without an id are a document for each distinct text, and
+    smaller than those with an id: they are compared by a negative hash of it.
     """
-    own = documents(docs).withColumn("did", F.coalesce("doc_id", F.lit(NO_ID)))
-    kept = near_dedup.near_groups(docs).where("kept").groupBy(F.coalesce("doc_id", F.lit(NO_ID)).alias("did")).agg(F.count("*").alias("times"))
-    once = own.join(kept.where("times = 1").hint("shuffle_hash"), "did", "left_semi")
-    order = Window.partitionBy("did").orderBy("text", "lang", "source", "n_chars")
-    again = own.join(kept.where("times > 1").hint("shuffle_hash"), "did", "left_semi").withColumn("nth", F.row_number().over(order)).where("nth = 1")
-    return documents(once).unionByName(documents(again))
+    key = F.coalesce("doc_id", F.xxhash64("text").bitwiseOR(F.lit(NO_ID)))
+    own = single_rows(documents(docs)).withColumn("key", key)
+    kept = near_dedup.near_groups(own.select(F.col("key").alias("doc_id"), "text")).where("kept").select(F.col("doc_id").alias("key"))
+    return documents(own.join(kept.hint("shuffle_hash"), "key", "left_semi"))
 
 
 def benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

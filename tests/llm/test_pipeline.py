@@ -87,3 +87,16 @@ def test_no_rows(spark, folder, tmp_path):
     spark.createDataFrame([], SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
     spark.read.parquet(f"{folder}/benchmark.parquet").write.parquet(f"{tmp_path}/benchmark.parquet")
     assert pipeline.run(spark, str(tmp_path)).collect() == []
+
+
+def test_near_copies_judge_rows_without_id_by_their_text(spark):
+    r = random.Random(2)
+    say = lambda: [str(r.randrange(10**6)) for _ in range(60)]
+    a, b, c, d, e, f = (say() for _ in range(6))
+    near = lambda w: " ".join([*w, "more"])
+    a, b, c, d, e, f, *like = (*map(" ".join, (a, b, c, d, e, f)), *map(near, (a, b, d)))
+    low, high = sorted((e, f))
+    rows = [(None, a), (None, b), (None, c), (None, c), (None, None), (1, like[0]), (2, like[1]), (3, d), (4, like[2]), (5, low), (5, high), (6, high + " more")]
+    docs = spark.createDataFrame([(i, t, "en", "s0", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = [(x["doc_id"], x["text"]) for x in pipeline.near_copies(spark, docs, "").collect()]
+    assert sorted(got, key=repr) == sorted([(None, a), (None, b), (None, c), (None, None), (3, d), (5, low), (6, high + " more")], key=repr)
