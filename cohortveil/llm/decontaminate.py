@@ -8,19 +8,22 @@ at least as long as the shortest window need to be streamed at all.
 
 Items are taken in blocks of at most `block_words` words, one automaton a
 block, so the size of what every task holds is bounded whatever the number of
-items; with several blocks each document meets them one after another.
+items.  Several blocks are taken one after another: each is broadcast, its hits
+are written and it is released before the next; the driver holds three at most.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable, Iterator, Sequence
+from functools import reduce
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .batches import as_bytes, map_texts
+from .batches import as_bytes, document_texts, map_batches, map_texts, stored
 
 WINDOW = 13
 BLOCK_WORDS = 250_000
@@ -153,8 +156,8 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def item_blocks(benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> Iterable[list[tuple[str, list[bytes]]]]:
-    """The items' words in blocks; the driver holds one block at a time.
+def item_blocks(benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> Iterator[list[tuple[str, list[bytes]]]]:
+    """The items' words in blocks, made one at a time.
 
     An item longer than a block has a block of its own.
     """
@@ -207,38 +210,93 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
     nothing is contaminated.  A text of any length is one unit of work, whose
     memory is a small multiple of its own.
     """
-    blocks = list(item_blocks(benchmark, block_words))
-    sc = docs.sparkSession.sparkContext
-    shared = [sc.broadcast(b) for b in blocks]  # each at most block_words words, or one item
+    blocks = item_blocks(benchmark, block_words)
+    block, following = next(blocks), next(blocks, None)
     schema = "doc_id long, n_words long, n_hit long, items array<string>, contaminated boolean" + ", clean_text string" * with_text
+    if following is not None:
+        return in_turn(docs, chain([block, following], blocks), window, share, schema, with_text, carry)
+    shared = docs.sparkSession.sparkContext.broadcast(block)  # at most block_words words, or one item
 
     def work():
-        ready = [Automaton(b.value, window) for b in shared]
+        automaton = Automaton(shared.value, window)
+        return judging(lambda batch, k, w: hits(automaton, w), share, with_text)
+
+    return map_texts(docs, carry, work, schema)
+
+
+def hits(automaton: Automaton, w) -> tuple[list[tuple[int, int]], set[str]]:
+    """Spans and item ids of one block in a document's words."""
+    spans, found = automaton.match(w)
+    return spans, {automaton.items[k][0] for k in found}
+
+
+def in_turn(docs: DataFrame, blocks: Iterable[list[tuple[str, list[bytes]]]], window: int, share: int, schema: str, with_text: bool, carry: Sequence[str]) -> DataFrame:
+    """decontaminate by several blocks, one after another.
+
+    Documents are written once, with a number for each row; each block's hits
+    are written by that number, and the block is released.
+    """
+    sc = docs.sparkSession.sparkContext
+    held = stored(document_texts(docs, carry).withColumn("row", F.monotonically_increasing_id()))
+    parts: list[DataFrame] = []
+    for block in blocks:
+        shared = sc.broadcast(block)
+        parts.append(stored(map_batches(held.select("row", "text"), matching(shared, window), "row long, starts array<int>, ends array<int>, names array<string>")))
+        shared.destroy()
+    every = reduce(DataFrame.unionByName, parts).groupBy("row").agg(*(F.flatten(F.collect_list(c)).alias(c) for c in ("starts", "ends", "names")))
+    both = held.join(every, "row", "left").withColumn("found", F.struct("starts", "ends", "names"))
+    names = [f"carried_{k}" for k in range(len(carry))]
+
+    def known(batch: pa.RecordBatch, k: int, w) -> tuple[list[tuple[int, int]], set[str]]:
+        found = batch.column(f"carried_{len(names)}")[k].as_py()
+        return list(zip(found["starts"] or [], found["ends"] or [], strict=True)), set(found["names"] or [])
+
+    out = map_texts(both, [*names, "found"], lambda: judging(known, share, with_text), schema)
+    return out.drop("found").withColumnsRenamed(dict(zip(names, carry, strict=True)))
+
+
+def matching(shared, window: int):
+    """Work that gives the rows hit by a block's items, with spans and item ids."""
+
+    def work():
+        automaton = Automaton(shared.value, window)
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            out: list[list] = [[], [], [], [], []]
-            texts = as_bytes(batch.column("text"))
-            for text in texts:
-                w = words(text)
-                spans, names = [], set()
-                for automaton in ready:
-                    s, found = automaton.match(w)
-                    spans += s
-                    names.update(automaton.items[k][0] for k in found)
-                spans = merged(spans)
-                hit = sum(b - a for a, b in spans)
-                for column, value in zip(out, (len(w), hit, sorted(names), hit > 0 and share * hit >= len(w), cut(text, spans) if with_text and spans else None), strict=True):
-                    column.append(value)
-            columns = [batch.column("doc_id"), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.list_(pa.string())), pa.array(out[3], pa.bool_())]
-            names = ["doc_id", "n_words", "n_hit", "items", "contaminated"]
-            if with_text:
-                columns.append(pa.array([c if c is not None else t.decode("utf-8", "replace") for c, t in zip(out[4], texts, strict=True)], pa.string()))
-                names.append("clean_text")
-            return pa.RecordBatch.from_arrays(columns, names)
+            out: list[list] = [[], [], [], []]
+            for row, text in zip(batch.column("row").to_pylist(), as_bytes(batch.column("text")), strict=True):
+                spans, names = hits(automaton, words(text))
+                if spans:
+                    for column, value in zip(out, (row, [a for a, _ in spans], [b for _, b in spans], sorted(names)), strict=True):
+                        column.append(value)
+            kinds = (pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.string()))
+            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, kinds, strict=True)], ["row", "starts", "ends", "names"])
 
         return step
 
-    return map_texts(docs, carry, work, schema)
+    return work
+
+
+def judging(find, share: int, with_text: bool):
+    """The step that turns each text's hits, from find(batch, k, words), into the contract's columns."""
+
+    def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+        out: list[list] = [[], [], [], [], []]
+        texts = as_bytes(batch.column("text"))
+        for k, text in enumerate(texts):
+            w = words(text)
+            spans, names = find(batch, k, w)
+            spans = merged(spans)
+            hit = sum(b - a for a, b in spans)
+            for column, value in zip(out, (len(w), hit, sorted(names), hit > 0 and share * hit >= len(w), cut(text, spans) if with_text and spans else None), strict=True):
+                column.append(value)
+        columns = [batch.column("doc_id"), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.list_(pa.string())), pa.array(out[3], pa.bool_())]
+        names = ["doc_id", "n_words", "n_hit", "items", "contaminated"]
+        if with_text:
+            columns.append(pa.array([c if c is not None else t.decode("utf-8", "replace") for c, t in zip(out[4], texts, strict=True)], pa.string()))
+            names.append("clean_text")
+        return pa.RecordBatch.from_arrays(columns, names)
+
+    return step
 
 
 def digest(found: DataFrame) -> DataFrame:

@@ -49,6 +49,28 @@ def test_contaminated_words_are_cut():
     assert decontaminate.cut(b"One, two three! four", [(1, 3)]) == "One, ! four"
 
 
+def test_blocks_of_items_are_held_one_at_a_time(spark, monkeypatch):
+    sc, held, most = spark.sparkContext, [], []
+    plain = type(sc).broadcast
+
+    def broadcast(self, value):
+        out = plain(self, value)
+        held.append(out)
+        most.append(len(held))
+        free = out.destroy
+        out.destroy = lambda *a: (held.remove(out), free(*a))
+        return out
+
+    monkeypatch.setattr(type(sc), "broadcast", broadcast)
+    items = [(str(k), " ".join(f"w{k}x{i}" for i in range(20))) for k in range(4)]
+    docs = [(1, items[0][1] + " and " + items[3][1]), (None, items[2][1]), (None, items[2][1]), (4, "none"), (5, None)]
+    rows = spark.createDataFrame([(*x, k) for k, x in enumerate(docs)], "doc_id long, text string, row int")
+    out = decontaminate.decontaminate(rows, spark.createDataFrame(items, "item_id string, text string"), block_words=20, with_text=True, carry=("row",))
+    got = sorted((tuple(r) for r in out.collect()), key=lambda r: r[-1])
+    assert got == [(1, 41, 40, ["0", "3"], True, "and", 0), *((None, 20, 20, ["2"], True, "", k) for k in (1, 2)), (4, 1, 0, [], False, "none", 3), (5, 0, 0, [], False, "", 4)]
+    assert most == [1] * 4
+
+
 def test_secrets(spark):
     key = "AKIA" + "A1B2" * 4
     text = f'é password = "Zx9+qL2/vT"; token: short; {key} and {"0123456789abcdef" * 3}. pwd: Tr0ub4dor&3xK9qZw pass: password123'
