@@ -68,3 +68,10 @@ def test_frames(spark):
     assert grey["w"][0] == 0 and grey["w"][15] == 239 and grey["d"] is None and grey["v"] == 9
     held = spark.createDataFrame([(1, "S1")], "instance_id int, study_id string")
     assert [(r["instance_id"], r["route"]) for r in frames.released(f, box, held).collect()] == [(1, "study")]
+
+
+def test_run_totals_pass_on_the_first_empty_studies_only(spark):
+    rows = [(f"s{k:02}", 0 if k % 2 else 3, 1, 0) for k in range(60)] + [(None, 0, 0, 0)]
+    got = audit.run_totals(spark.createDataFrame(rows, "study_id string, files long, series long, review_files long").repartition(5))
+    assert tuple(got.first()) == (61, 90, 60, 0, 31, ", ".join(f"s{k:02}" for k in range(1, 40, 2)))
+    assert "TakeOrderedAndProject(limit=20" in got._jdf.queryExecution().executedPlan().toString()
