@@ -10,18 +10,22 @@ No bucket is turned into all its pairs.  First every class meets two hubs of
 each of its buckets, the one with the fewest shingles and the one with the least hash
 (mostly the same in all buckets of a group, so a class meets few), and what links becomes one component.  Then only classes outside a bucket's
 commonest component have anything left to meet in it.  They meet its other
-classes in cells of bounded size, whatever the bucket's, and a cell gives out
-only the pairs that sizes and sketches allow.
+classes in cells of bounded size, whatever the bucket's.  A cell of sketches
+gives out the classes that may have links in it, never their pairs; their full
+sets meet in the same cell, which gives out no more than a spanning forest of
+confirmed links.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable, Iterator, Sequence
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .batches import as_bytes, map_batches, stored
+from .batches import NO_ID, as_bytes, map_batches, stored
 from .components import components
 from .repeats import ided, whole
 from .rolling import Roller, byte_values, mix, word_bounds
@@ -31,10 +35,12 @@ SIZE, SHARE = 5, 75
 BANDS, ROWS = 32, 4
 #: MinHash values in a sketch (the first BANDS * ROWS also make the bands), and bits of a sketch.
 SAMPLES, BITS = 256, 2048
-#: A bucket's classes meet in cells of at most about so many outsiders and so many others.
+#: A bucket's classes meet in cells of about so many outsiders and so many others at most.
 CELL = (512, 4096)
-#: Members that one task takes for a hub; hubs with more get several tasks.
-MEMBERS = 400
+#: Shingles that the sets of a cell's one side hold at most, about.
+HELD = 1 << 21
+#: Members that one task takes for a hub; hubs with more get several tasks.  Salts that hubs are counted by.
+MEMBERS, SALTS = 400, 64
 
 
 class Shingler:
@@ -128,78 +134,146 @@ def sketched(pairs: DataFrame, classes: DataFrame, share: int, samples: int, bit
     return sized.where(apart(F.col("sketch_a"), F.col("sketch_b")) <= limit(share, samples, bits)).select("a", "b").distinct()
 
 
-def outsiders_met(inside: DataFrame, classes: DataFrame, share: int, samples: int, bits: int) -> DataFrame:
-    """Pairs (a, b) of a bucket's outsiders with its classes of other components that may be links.
+def grid(inside: DataFrame, most: tuple[int, int], weight: int) -> DataFrame:
+    """Deal buckets into cells: `inside` once a cell that it takes part in, with o, m and role.
 
-    `inside` has band, node, component and main, the bucket's commonest
-    component.  A bucket is dealt into a grid of cells: its outsiders by the
-    one side, all its classes by the other, each side in parts of bounded size.
+    `inside` has band, node, component, main (the bucket's commonest component)
+    and n.  A bucket's outsiders make the one side (role 0), all its classes
+    the other (role 1); each side is cut into parts of about `most` classes and
+    `weight` shingles.
     """
-    most = limit(share, samples, bits)
-    sizes = inside.groupBy("band").agg(F.ceil(F.count_if(F.col("component") != F.col("main")) / CELL[0]).cast("int").alias("os"), F.ceil(F.count("*") / CELL[1]).cast("int").alias("ms"))
-    own = inside.select("band", "node", "component", "main").join(sizes, "band").join(classes.select("node", "n", "sketch"), "node")
+    outside = F.col("component") != F.col("main")
+    parts = lambda count, total, k: F.ceil(F.greatest(count / most[k], total / weight)).cast("int")
+    sizes = inside.groupBy("band").agg(parts(F.count_if(outside), F.sum(F.when(outside, F.col("n")).otherwise(0)), 0).alias("os"), parts(F.count("*"), F.sum("n"), 1).alias("ms"))
+    own = inside.join(sizes, "band")
     place = lambda parts: F.pmod(F.xxhash64("node"), F.col(parts)).cast("int")
     every = lambda parts: F.explode(F.sequence(F.lit(0), F.col(parts) - 1))
-    kept = ["band", "node", "component", "main", "n", "sketch"]
-    rows = own.where("component <> main").select(*kept, place("os").alias("o"), every("ms").alias("m"), F.lit(0).alias("role"))
-    cols = own.select(*kept, every("os").alias("o"), place("ms").alias("m"), F.lit(1).alias("role"))
+    kept = ["band", "node", "component", "n"]
+    rows = own.where(outside).select(*kept, place("os").alias("o"), every("ms").alias("m"), F.lit(0).alias("role"))
+    return rows.unionByName(own.select(*kept, every("os").alias("o"), place("ms").alias("m"), F.lit(1).alias("role")))
 
-    def run(batches):
-        key, held = None, ([], [])
 
-        def cell():
-            a, b = ([np.array([r[k] for r in side], np.int64) for k in range(4)] for side in held)
-            sketch_a, sketch_b = (np.array([r[4] for r in side], np.int64).view(U) for side in held)
-            for k in range(len(a[0])):
-                fits = (b[1] != a[1][k]) & ((b[1] == b[2]) | (a[0][k] < b[0])) & (100 * np.minimum(b[3], a[3][k]) >= share * np.maximum(b[3], a[3][k]))
-                at = np.flatnonzero(fits)
-                near = at[np.bitwise_count(sketch_b[at] ^ sketch_a[k]).sum(axis=1) <= most]
-                yield from ((int(a[0][k]), int(x)) for x in b[0][near])
+def cells(dealt: DataFrame, columns: Sequence[str], solve: Callable, fields: Sequence[tuple[str, pa.DataType]], schema: str) -> DataFrame:
+    """solve(key, outsiders, members) for each cell (band, o, m); it gives tuples of the named fields."""
 
-        def table(found):
-            return pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], ["a", "b"])
+    def table(found: Iterable[tuple]) -> pa.RecordBatch:
+        found = list(found)
+        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], t) for k, (_, t) in enumerate(fields)], [c for c, _ in fields])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = None, ([], [])
         for batch in batches:
-            found = set()
-            for band, o, m, role, *row in zip(*(batch.column(c).to_pylist() for c in ("band", "o", "m", "role", "node", "component", "main", "n", "sketch")), strict=True):
+            found: list[tuple] = []
+            for band, o, m, role, *row in zip(*(batch.column(c).to_pylist() for c in ("band", "o", "m", "role", *columns)), strict=True):
                 if key != (band, o, m):
                     if held[0] and held[1]:
-                        found.update(cell())
+                        found += solve(key, *held)
                     key, held = (band, o, m), ([], [])
                 held[role].append(row)
             yield table(found)
         if held[0] and held[1]:
-            yield table(set(cell()))
+            yield table(solve(key, *held))
 
-    dealt = rows.unionByName(cols).repartition("band", "o", "m").sortWithinPartitions("band", "o", "m", "role")
-    return dealt.select("band", "o", "m", "role", "node", "component", "main", "n", "sketch").mapInArrow(run, "a long, b long").distinct()
+    return dealt.select("band", "o", "m", "role", *columns).repartition("band", "o", "m").sortWithinPartitions("band", "o", "m", "role").mapInArrow(run, schema)
 
 
-def confirmed(pairs: DataFrame, texts: DataFrame, size: int, share: int) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets are similar enough.
+def worth_comparing(inside: DataFrame, classes: DataFrame, share: int, samples: int, bits: int) -> DataFrame:
+    """The classes of each cell that sizes and sketches allow a link in it: band, o, m, node, component and role.
 
-    Sets go to their hubs a; a hub with many members is dealt to several tasks.
+    A pair is looked at in one bucket only, that with the least key of all that
+    it shares.  What a cell gives out are its classes, not their pairs.
     """
-    hubs = pairs.groupBy("a").agg(F.ceil(F.count("*") / MEMBERS).cast("int").alias("parts"))
-    members = pairs.join(hubs, "a").select(F.col("b").alias("did"), F.col("a").alias("hub"), F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"), F.lit(1).alias("role"))
-    own = hubs.select(F.col("a").alias("did"), F.col("a").alias("hub"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("role"))
-    sent = members.unionByName(own).groupBy("did").agg(F.collect_list(F.struct("hub", "part", "role")).alias("sent"))
+    most = limit(share, samples, bits)
+    meets = inside.groupBy("node").agg(F.collect_list("band").alias("meets"))
+    dealt = grid(inside, CELL, HELD).join(meets, "node").join(classes.select("node", "sketch"), "node")
+
+    def solve(key, outsiders, members):
+        a, b = ([np.array([r[k] for r in side], np.int64) for k in range(3)] for side in (outsiders, members))
+        sketch_a, sketch_b = (np.array([r[3] for r in side], np.int64).view(U) for side in (outsiders, members))
+        earlier = sorted((x, k) for k, r in enumerate(members) for x in r[4] if x < key[0])
+        values, owners = (np.array([x[k] for x in earlier], np.int64) for k in range(2))
+        wanted = [np.zeros(len(side), bool) for side in (outsiders, members)]
+        for k, row in enumerate(outsiders):
+            fits = (b[1] != a[1][k]) & (100 * np.minimum(b[2], a[2][k]) >= share * np.maximum(b[2], a[2][k]))
+            own = np.array([x for x in row[4] if x < key[0]], np.int64)
+            for low, high in zip(np.searchsorted(values, own).tolist(), np.searchsorted(values, own, "right").tolist(), strict=True):
+                fits[owners[low:high]] = False
+            at = np.flatnonzero(fits)
+            near = at[np.bitwise_count(sketch_b[at] ^ sketch_a[k]).sum(axis=1) <= most]
+            wanted[0][k] = len(near) > 0
+            wanted[1][near] = True
+        for role, side in enumerate((outsiders, members)):
+            yield from ((*key, side[k][0], side[k][1], role) for k in np.flatnonzero(wanted[role]).tolist())
+
+    fields = [("band", pa.int64()), ("o", pa.int32()), ("m", pa.int32()), ("node", pa.int64()), ("component", pa.int64()), ("role", pa.int32())]
+    return cells(dealt, ("node", "component", "n", "sketch", "meets"), solve, fields, "band long, o int, m int, node long, component long, role int")
+
+
+def forests(wanted: DataFrame, texts: DataFrame, size: int, share: int) -> DataFrame:
+    """Links (a, b) between components, confirmed on full shingle sets: of each cell no more than a spanning forest."""
+    sent = wanted.groupBy(F.col("node").alias("did")).agg(F.collect_list(F.struct("band", "o", "m", "role", "component")).alias("sent"))
+    fields = [("band", pa.int64()), ("o", pa.int32()), ("m", pa.int32()), ("role", pa.int32()), ("component", pa.int64())]
+
+    def solve(key, outsiders, members):
+        sets = [np.frombuffer(r[1], U) for r in members]
+        sizes = np.array([len(x) for x in sets], np.int64)
+        every = np.concatenate(sets)
+        order = np.argsort(every, kind="stable")
+        every, owner = every[order], np.repeat(np.arange(len(sets)), sizes)[order]
+        names, inverse = np.unique([r[0] for r in (*outsiders, *members)], return_inverse=True)
+        group = inverse.copy()  # by row: the first row number of what is joined so far, as a label
+        for k, (component, data) in enumerate(outsiders):
+            own, theirs = np.frombuffer(data, U), group[len(outsiders) :]
+            low, high = np.searchsorted(every, own), np.searchsorted(every, own, "right")
+            counts = high - low
+            at = np.repeat(low - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
+            both = np.bincount(owner[at], minlength=len(sets))
+            for j in np.flatnonzero((theirs != group[k]) & (100 * both >= share * (sizes + len(own) - both))).tolist():
+                if theirs[j] != group[k]:
+                    yield component, members[j][0]
+                    group[group == theirs[j]] = group[k]
+
+    return cells(shipped(texts, sent, size, fields), ("component", "shingles"), solve, [("a", pa.int64()), ("b", pa.int64())], "a long, b long").distinct()
+
+
+def shipped(texts: DataFrame, sent: DataFrame, size: int, fields: Sequence[tuple[str, pa.DataType]]) -> DataFrame:
+    """The shingle sets of texts, once for each place in `sent` (did, sent: structs of the named fields), with did."""
+    names = [c for c, _ in fields]
+    kinds = {pa.int64(): "long", pa.int32(): "int"}
 
     def ship():
         shingler = Shingler(size)
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            out: list[list] = [[], [], [], [], []]
             ids, to = batch.column("did").to_pylist(), batch.column("sent").to_pylist()
+            out: list[list] = [[] for _ in range(len(names) + 2)]
             for did, targets, shingles in zip(ids, to, shingler.sets(as_bytes(batch.column("text"))), strict=True):
                 data = shingles.tobytes()
                 for t in targets:
-                    for column, value in zip(out, (t["hub"], t["part"], t["role"], did, data), strict=True):
+                    for column, value in zip(out, (*(t[c] for c in names), did, data), strict=True):
                         column.append(value)
-            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary()), strict=True)], ["hub", "part", "role", "did", "shingles"])
+            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (*(t for _, t in fields), pa.int64(), pa.binary()), strict=True)], [*names, "did", "shingles"])
 
         return step
 
+    schema = ", ".join([*(f"{c} {kinds[t]}" for c, t in fields), "did long", "shingles binary"])
+    return map_batches(texts.join(sent.hint("shuffle_hash"), "did").select("did", "text", "sent"), ship, schema)
+
+
+def confirmed(pairs: DataFrame, texts: DataFrame, size: int, share: int) -> DataFrame:
+    """The pairs (a, b) whose full shingle sets are similar enough.
+
+    Sets go to their hubs a; a hub with many members is dealt to several tasks.
+    Members are counted and looked up by hub and salt, so no task gets a hub's whole.
+    """
+    salted = pairs.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int"))
+    counted = stored(salted.groupBy("a", "salt").agg(F.count("*").alias("held")))
+    hubs = counted.groupBy("a").agg(F.ceil(F.sum("held") / MEMBERS).cast("int").alias("parts"))
+    part = F.pmod(F.xxhash64("b", F.lit(1)), F.col("parts")).cast("int")
+    members = salted.join(counted.join(hubs, "a").select("a", "salt", "parts"), ["a", "salt"]).select(F.col("b").alias("did"), F.col("a").alias("hub"), part.alias("part"), F.lit(1).alias("role"))
+    own = hubs.select(F.col("a").alias("did"), F.col("a").alias("hub"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("role"))
+    sent = members.unionByName(own).groupBy("did").agg(F.collect_list(F.struct("hub", "part", "role")).alias("sent"))
+
     def judge(batches):
         key, own_sets = None, []
         for batch in batches:
@@ -214,8 +288,8 @@ def confirmed(pairs: DataFrame, texts: DataFrame, size: int, share: int) -> Data
                     found.append((hub, did))
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], ["a", "b"])
 
-    shipped = map_batches(texts.join(sent.hint("shuffle_hash"), "did").select("did", "text", "sent"), ship, "hub long, part int, role int, did long, shingles binary")
-    return shipped.repartition("hub", "part").sortWithinPartitions("hub", "part", "role").mapInArrow(judge, "a long, b long").distinct()
+    sets = shipped(texts, sent, size, [("hub", pa.int64()), ("part", pa.int32()), ("role", pa.int32())])
+    return sets.repartition("hub", "part").sortWithinPartitions("hub", "part", "role").mapInArrow(judge, "a long, b long").distinct()
 
 
 def linked(a: np.ndarray, b: np.ndarray, share: int) -> bool:
@@ -251,8 +325,7 @@ def near_groups(docs: DataFrame, size: int = SIZE, share: int = SHARE, bands: in
     met = placed.join(hub, "band").select("node", F.explode(F.array("small.node", "any.node")).alias("a")).where("a <> node").select("a", F.col("node").alias("b")).distinct()
     repeated = rows_.groupBy("did").agg(F.count("*").alias("times")).where("times > 1").select("did")
     same = full.join(repeated, "did", "left_semi").join(classes.select("key_a", "key_b", "node"), ["key_a", "key_b"]).select(F.col("did").alias("a"), F.col("node").alias("b"))
-    tested = stored(sketched(met, classes, share, samples, bits))
-    links = stored(confirmed(tested, texts, size, share).unionByName(same))
+    links = stored(confirmed(stored(sketched(met, classes, share, samples, bits)), texts, size, share).unionByName(same))
     found = components(links)
 
     owned = placed.join(found, "node", "left").select("band", "node", "n", F.coalesce("component", "node").alias("component"))
@@ -260,14 +333,12 @@ def near_groups(docs: DataFrame, size: int = SIZE, share: int = SHARE, bands: in
     shares = owned.groupBy("band", "component").agg(F.count("*").alias("members"))
     mixed = shares.groupBy("band").agg(F.count("*").alias("kinds"), F.max_by("component", F.struct("members", "component")).alias("main")).where("kinds > 1").select("band", "main")
     inside = stored(owned.join(mixed, "band"))
-    new = outsiders_met(inside, classes, share, samples, bits)
-    new = new.join(tested, ["a", "b"], "left_anti").join(tested.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti")
-    extra = stored(confirmed(stored(new), texts, size, share))
+    wanted = stored(worth_comparing(inside, classes, share, samples, bits))
     # Links between components, then what each component becomes.
-    over = extra.join(found.select(F.col("node").alias("a"), F.col("component").alias("to_a")), "a", "left").join(found.select(F.col("node").alias("b"), F.col("component").alias("to_b")), "b", "left")
-    joined = components(over.select(F.coalesce("to_a", "a").alias("a"), F.coalesce("to_b", "b").alias("b")))
+    joined = components(stored(forests(wanted, texts, size, share)))
     first = classes.join(found, "node", "left").select("key_a", "key_b", F.coalesce("component", "node").alias("label"))
     final = first.join(joined.select(F.col("node").alias("label"), "component"), "label", "left").select("key_a", "key_b", F.coalesce("component", "label").alias("group"))
-    out = rows_.select("doc_id", "did", "n", "key_a", "key_b").join(final, ["key_a", "key_b"], "left")
-    group = F.when((F.col("n") > 0) & F.col("group").isNotNull(), F.col("group")).otherwise(F.col("did"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(group != F.lit(-(2**63)), group).alias("component_id"), (group == F.col("did")).alias("kept"))
+    some = full.select("doc_id", "did", "n", "key_a", "key_b").join(final, ["key_a", "key_b"])
+    none = rows_.where("n = 0").select("doc_id", "did", "n", F.col("did").alias("group"))
+    every = some.select("doc_id", "did", "n", "group").unionByName(none)
+    return every.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("group") != F.lit(NO_ID), F.col("group")).alias("component_id"), (F.col("group") == F.col("did")).alias("kept"))
