@@ -7,8 +7,7 @@ from pyspark.sql import functions as F
 
 from .policy import DUMMY_DATE, DUMMY_DATETIME, GATED
 
-LIMB = 2**32
-GROUP = 10**9
+TEN = 10**10
 
 
 def let(value: Column, body) -> Column:
@@ -18,28 +17,18 @@ def let(value: Column, body) -> Column:
 def hashed_uid(value: Column, salt: Column) -> Column:
     """2.25. and the first 128 bits of SHA-256 of salt|value, in decimal.
 
-    39 digits don't fit a decimal column, so the four 32-bit limbs are divided
-    by 10**9 four times; the remainders are the digits, nine at a time.
+    39 digits don't fit a decimal column, so the number is worked out as its
+    last ten digits and the rest: with 2**64 = P * 10**10 + S, high * 2**64 +
+    low is high * P * 10**10 + (high * S + low).
     """
     digest = F.sha2(F.concat(salt, F.lit("|"), value), 256)
-    limbs = lambda d: F.array(*(F.conv(F.substring(d, 8 * k + 1, 8), 16, 10).cast("long") for k in range(4)))
-    none = F.array().cast("array<bigint>")
-
-    def divide(numbers: Column) -> Column:
-        start = F.struct(none.alias("q"), F.lit(0).cast("long").alias("r"))
-        whole = lambda a, x: a["r"] * LIMB + x
-        step = lambda a, x: F.struct(F.concat(a["q"], F.array(_div(whole(a, x)))).alias("q"), (whole(a, x) % GROUP).alias("r"))
-        return F.aggregate(numbers, start, step)
-
-    def digits(d: Column) -> Column:
-        rounds = lambda a, depth: let(divide(a), lambda x: F.concat(rounds(x["q"], depth - 1), F.lpad(x["r"].cast("string"), 9, "0")) if depth else F.concat(x["q"][3].cast("string"), F.lpad(x["r"].cast("string"), 9, "0")))
-        return rounds(limbs(d), 3)
-
-    return F.concat(F.lit("2.25."), F.regexp_replace(let(digest, digits), "^0+(?=.)", ""))
-
-
-def _div(value: Column) -> Column:
-    return F.call_function("div", value, F.lit(GROUP).cast("long"))
+    half = lambda k: F.conv(F.substring(digest, 16 * k + 1, 16), 16, 10).cast("decimal(20,0)")
+    p, s = divmod(2**64, TEN)
+    number = lambda n: F.lit(n).cast("decimal(11,0)")
+    lower = half(0) * number(s) + half(1)
+    upper = half(0) * number(p) + F.call_function("div", lower, number(TEN))
+    last = (lower % number(TEN)).cast("long").cast("string")
+    return F.concat(F.lit("2.25."), F.when(upper == 0, last).otherwise(F.concat(upper.cast("string"), F.lpad(last, 10, "0"))))
 
 
 def safe_name(text: Column) -> Column:

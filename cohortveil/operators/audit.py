@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import nice, nice_date
-from ..functions.policy import DUMMY_DATE
+from ..functions.policy import DUMMY_DATE, TOOL, VERSION, Profile
 
 
 def joined_set(column: Column, separator: str = ";") -> Column:
@@ -14,11 +14,16 @@ def joined_set(column: Column, separator: str = ";") -> Column:
 
 
 def linkage(images: DataFrame) -> DataFrame:
-    """The only table with original identifiers: per study, its sorted distinct originals and counts."""
-    described = F.concat(F.col("series_number").cast("string"), F.lit(": "), F.coalesce("description", F.lit("")))
+    """The only table with original identifiers: per study, its sorted distinct originals and counts.
+
+    Errors are none: a task that fails is done again, and a run that fails as a whole logs nothing.
+    """
+    own = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    originals = {"source_key": "patient", "original_patient_id": "patient_id", "original_name": "patient_name", "original_study_date": "study_date", "original_sex": "sex", "original_dob": "birth_date", "original_manufacturer": "scanner"}
+    described = F.concat(own("series_number"), F.lit(": "), own("description"))
     return images.groupBy("study_id").agg(
-        joined_set(F.col("patient")).alias("source_key"), joined_set(F.col("patient_name")).alias("original_name"), joined_set(F.substring("study_date", 1, 4)).alias("original_years"),
-        joined_set(described, " | ").alias("original_series_descriptions"), F.count("*").alias("files"), F.countDistinct("series_number").alias("series"), F.count_if(F.col("review").isNotNull()).alias("review_files"),
+        *(joined_set(own(c)).alias(name) for name, c in originals.items()), joined_set(described, " | ").alias("original_series_descriptions"),
+        F.count("*").alias("files"), F.countDistinct("series_number").alias("series"), F.count_if(F.col("review").isNotNull()).alias("review_files"), F.lit(0).cast("long").alias("errors"),
     )
 
 
@@ -154,17 +159,27 @@ def confidential(files: DataFrame) -> DataFrame:
     return files.withColumn("kind", kind)
 
 
-def attestation(facts: DataFrame, profile_name: str, method: str) -> DataFrame:
-    """One row: a passing check's statement as JSON."""
-    output = F.struct(F.col("complete").alias("patients_marked_complete"), F.col("files").alias("files_hashed"))
-    body = F.struct(F.struct(F.lit(profile_name).alias("name"), F.lit(method).alias("method")).alias("profile"), output.alias("output"), F.struct(F.lit("PASS").alias("result"), F.col("needles").alias("needles_used")).alias("verify"), F.struct(F.col("digest").alias("sha256")).alias("checksums"))
+def attestation(facts: DataFrame, profile: Profile, at: str) -> DataFrame:
+    """One row: a passing check's statement as JSON, from one row of facts: complete, checked, files, needles and digest."""
+    kept = F.struct(F.lit(profile.name).alias("name"), F.array(*map(F.lit, profile.kept())).cast("array<string>").alias("retains"), F.lit(profile.method()).alias("method"))
+    output = F.struct(F.col("complete").alias("patients_marked_complete"), F.col("checked").alias("objects_verified"), F.col("files").alias("files_hashed"))
+    check = F.struct(F.lit("PASS").alias("result"), F.col("needles").alias("needles_used"))
+    body = F.struct(F.lit(TOOL).alias("tool"), F.lit(VERSION).alias("version"), F.lit(at).alias("verified_at"), kept.alias("profile"), output.alias("output"), check.alias("verify"), F.struct(F.col("digest").alias("sha256")).alias("checksums"))
     return facts.select(F.to_json(body).alias("attestation"))
 
 
-def files_log(images: DataFrame, names: DataFrame) -> DataFrame:
-    """study_id, source_path, output_path, status (OK or REVIEW) and note of every file of a run."""
+def files_log(images: DataFrame, names: DataFrame, skipped: DataFrame | None = None) -> DataFrame:
+    """study_id, source_path, output_path, status (OK, REVIEW or SKIPPED) and note of every file of a run."""
     placed = images.select("study_id", "path", "review").join(names.select("path", F.concat("folder", F.lit("/"), "name").alias("output_path")), "path")
-    return placed.select("study_id", F.col("path").alias("source_path"), "output_path", F.when(F.col("review").isNull(), "OK").otherwise("REVIEW").alias("status"), F.coalesce("review", F.lit("")).alias("note"))
+    log = placed.select("study_id", F.col("path").alias("source_path"), "output_path", F.when(F.col("review").isNull(), "OK").otherwise("REVIEW").alias("status"), F.coalesce("review", F.lit("")).alias("note"))
+    if skipped is None:
+        return log
+    return log.unionByName(skipped.select("study_id", F.col("path").alias("source_path"), F.lit("").alias("output_path"), F.lit("SKIPPED").alias("status"), F.lit("listed in the skip list").alias("note")))
+
+
+def skip_hits(skipped: DataFrame) -> DataFrame:
+    """How many files of each study a skip list kept out: those studies miss a slice."""
+    return skipped.groupBy("study_id").agg(F.count("*").alias("skipped"))
 
 
 def latest_by(rows: DataFrame, keys: list[str], order: str) -> DataFrame:

@@ -8,6 +8,8 @@ rows that are added come from one row an object.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,7 +24,7 @@ def keyword() -> Column:
 
 def top() -> Column:
     """The name of the top-level attribute that holds it."""
-    return F.regexp_extract("path", r"^([^\[.]+)", 1)
+    return F.substring_index(F.substring_index("path", ".", 1), "[", 1)
 
 
 def nested() -> Column:
@@ -35,9 +37,9 @@ def listed(column: Column, words) -> Column:
 
 
 def each_uid(value: Column, salt: Column) -> Column:
-    """Every identifier of a value replaced, but standard and empty ones."""
+    """Every identifier of a value replaced, but standard and empty ones; a single one, as most are, without a loop."""
     one = lambda v: F.when((v == "") | v.startswith(P.STANDARD_UID_PREFIX), v).otherwise(hashed_uid(v, salt))
-    return F.array_join(F.transform(F.split(value, r"\\"), one), "\\")
+    return F.when(value.contains("\\"), F.array_join(F.transform(F.split(value, r"\\"), one), "\\")).otherwise(one(value))
 
 
 def actions(elements: DataFrame, profile: P.Profile = P.Profile()) -> DataFrame:
@@ -52,7 +54,7 @@ def actions(elements: DataFrame, profile: P.Profile = P.Profile()) -> DataFrame:
     e = elements.withColumn("keyword", keyword()).withColumn("top", top())
     data = F.col("grp") == "data"
     vendor = listed(F.col("top"), P.VENDOR_HINTS) if not profile.keep_technical else F.lit(False)
-    private = F.col("is_private") | F.col("path").rlike(r"\([0-9a-f]{3}[13579bdf],")
+    private = F.col("is_private") | F.col("path").contains("(") & F.col("path").rlike(r"\([0-9a-f]{3}[13579bdf],")
     return e.withColumn(
         "action",
         F.when(private, "private")
@@ -63,11 +65,9 @@ def actions(elements: DataFrame, profile: P.Profile = P.Profile()) -> DataFrame:
     )
 
 
-def rewritten(elements: DataFrame, salt: Column, profile: P.Profile = P.Profile()) -> DataFrame:
-    """The elements that stay, with their new values."""
-    a = actions(elements, profile)
+def changed(acted: DataFrame, salt: Column, profile: P.Profile = P.Profile()) -> DataFrame:
+    """Elements with actions, with `stays` and `after`, the value that they stay with."""
     blank = (F.col("action") == "cleared") & ~nested() & ~F.col("vr").isin(P.UNBLANKABLE)
-    left = a.where(F.col("action").isNull() | blank)
     value, vr, full = F.col("value"), F.col("vr"), F.col("value") != ""
     if profile.shift_dates:
         days = shift_days(salt, F.col("study_id"))
@@ -75,43 +75,87 @@ def rewritten(elements: DataFrame, salt: Column, profile: P.Profile = P.Profile(
         dates["DA"] = F.when(value.contains("\\"), P.DUMMY_DATE).otherwise(dates["DA"])
     else:
         dates = {"DA": F.lit(P.DUMMY_DATE), "DT": F.lit(P.DUMMY_DATETIME), "TM": F.lit(P.DUMMY_TIME)}
-    data, at_top = F.col("grp") == "data", ~nested()
     new = (
         F.when(F.col("action") == "cleared", F.when(vr == "SQ", "0").otherwise(""))
-        .when(data & at_top & (F.col("keyword") == "PatientName"), profile.name_for(F.col("study_id")))
-        .when(data & at_top & (F.col("keyword") == "PatientID"), F.col("study_id"))
         .when(full & (vr == "DA"), dates["DA"])
         .when(full & (vr == "DT"), dates["DT"])
         .when(full & (vr == "TM"), dates["TM"])
         .when(full & (vr == "UI") & ~listed(F.col("keyword"), P.UID_KEEP), each_uid(value, salt))
     )
     if not profile.keep_technical:
-        new = new.when(at_top & (F.col("keyword") == "ImageType"), F.array_join(F.slice(F.split(value, r"\\"), 1, 3), "\\"))
-    return left.withColumn("value", F.coalesce(new, value)).select(*elements.columns)
+        new = new.when(F.col("path") == "ImageType", F.array_join(F.slice(F.split(value, r"\\"), 1, 3), "\\"))
+    return acted.withColumn("stays", F.col("action").isNull() | F.coalesce(blank, F.lit(False))).withColumn("after", F.coalesce(new, value))
+
+
+def rewritten(elements: DataFrame, salt: Column, profile: P.Profile = P.Profile()) -> DataFrame:
+    """The elements that stay, with their new values; those in `written` come from `added`."""
+    stay = changed(actions(elements, profile), salt, profile).where("stays")
+    return stay.select(*(F.col("after").alias("value") if c == "value" else F.col(c) for c in elements.columns))
 
 
-def added(elements: DataFrame, profile: P.Profile = P.Profile()) -> DataFrame:
-    """The attributes that every object gets, one row each: markers, age bucket, description, implementation."""
+def written(profile: P.Profile) -> list[str]:
+    """Paths of the attributes that every object gets, or those that have them, whatever was there before."""
+    out = ["PatientName", "PatientID", "PatientIdentityRemoved", "DeidentificationMethod", "BurnedInAnnotation"] + ["PatientAge"] * profile.keep_age_5y + ["StudyDescription"] * bool(profile.study_description)
+    return out + ["MediaStorageSOPInstanceUID", "MediaStorageSOPClassUID", "ImplementationClassUID", "ImplementationVersionName"]
+
+
+def added(elements: DataFrame, salt: Column, profile: P.Profile = P.Profile(), carry: Sequence[str] = ()) -> DataFrame:
+    """The attributes in `written`, one row each: identity, markers, age bucket, description, file meta.
+
+    An age bucket needs an age or dates, and the file meta's object and class
+    those of the object; a row without a value isn't written.
+    """
     head = lambda k: F.max(F.when((F.col("grp") == "data") & (F.col("path") == k), F.col("value")))
-    ages = {"PatientAge": "age", "PatientBirthDate": "born", "StudyDate": "study", "SeriesDate": "series"}
-    objects = elements.groupBy("instance_id", "study_id").agg(*(head(k).alias(v) for k, v in ages.items()))
-    rows = [("data", "PatientIdentityRemoved", "CS", F.lit("YES")), ("data", "DeidentificationMethod", "LO", F.lit(profile.method())), ("data", "BurnedInAnnotation", "CS", F.lit("NO"))]
-    if profile.keep_age_5y:
-        rows.append(("data", "PatientAge", "AS", age_bucket(age_years(F.col("age"), F.col("born"), F.col("study"), F.col("series")))))
-    if profile.study_description:
-        rows.append(("data", "StudyDescription", "LO", F.lit(profile.study_description[:64])))
-    rows.append(("meta", "ImplementationVersionName", "SH", F.lit(f"VEIL_{P.VERSION.replace('.', '')}")))
-    listed_rows = F.array(*(F.struct(F.lit(g).alias("grp"), F.lit(p).alias("path"), F.lit(vr).alias("vr"), F.lit(False).alias("is_private"), v.alias("value")) for g, p, vr, v in rows))
-    return objects.select("instance_id", "study_id", F.explode(listed_rows).alias("e")).select("instance_id", "study_id", "e.*").where("value IS NOT NULL")
-
-
-def deidentify(elements: DataFrame, salt: Column, profile: P.Profile = P.Profile()) -> DataFrame:
-    """The whole rewrite: what stays, with new values, and what is added in place of what was there."""
-    cols = ["instance_id", "study_id", "grp", "path", "vr", "is_private", "value"]
-    own = elements.select(*cols)
-    replaced = ["PatientIdentityRemoved", "DeidentificationMethod", "BurnedInAnnotation", "ImplementationVersionName"] + ["StudyDescription"] * bool(profile.study_description)
-    stay = rewritten(own, salt, profile).where(~F.col("path").isin(replaced))
-    return stay.select(*cols).unionByName(added(own, profile).select(*cols))
+    read = {"PatientAge": "age", "PatientBirthDate": "born", "StudyDate": "study", "SeriesDate": "series", "SOPInstanceUID": "object", "SOPClassUID": "class"}
+    ids = ["instance_id", "study_id", *carry]
+    objects = elements.groupBy(*ids).agg(*(head(k).alias(v) for k, v in read.items()))
+    values = {
+        "PatientName": ("data", "PN", profile.name_for(F.col("study_id"))), "PatientID": ("data", "LO", F.col("study_id")),
+        "PatientIdentityRemoved": ("data", "CS", F.lit("YES")), "DeidentificationMethod": ("data", "LO", F.lit(profile.method())), "BurnedInAnnotation": ("data", "CS", F.lit("NO")),
+        "PatientAge": ("data", "AS", age_bucket(age_years(F.col("age"), F.col("born"), F.col("study"), F.col("series")))), "StudyDescription": ("data", "LO", F.lit(profile.study_description[:64])),
+        "MediaStorageSOPInstanceUID": ("meta", "UI", each_uid(F.col("object"), salt)), "MediaStorageSOPClassUID": ("meta", "UI", F.col("class")),
+        "ImplementationClassUID": ("meta", "UI", F.lit(P.IMPLEMENTATION_UID)), "ImplementationVersionName": ("meta", "SH", F.lit(f"VEIL_{P.VERSION.replace('.', '')}")),
+    }
+    rows = F.array(*(F.struct(F.lit(values[p][0]).alias("grp"), F.lit(p).alias("path"), F.lit(values[p][1]).alias("vr"), F.lit(False).alias("is_private"), values[p][2].alias("value")) for p in written(profile)))
+    return objects.select(*ids, F.explode(rows).alias("e")).select(*ids, "e.*").where("value IS NOT NULL")
+
+
+COLUMNS = ["instance_id", "study_id", "grp", "path", "vr", "is_private", "value"]
+
+
+def deidentify(elements: DataFrame, salt: Column, profile: P.Profile = P.Profile(), carry: Sequence[str] = ()) -> DataFrame:
+    """The whole rewrite: what stays, with new values, and what is added in place of what was there.
+
+    Columns named in `carry`, which are the same for all of an object's elements, come along.
+    """
+    names = [*COLUMNS, *carry]
+    own = elements.select(*names)
+    stay = rewritten(own, salt, profile).where(~F.col("path").isin(written(profile)))
+    return stay.unionByName(added(own, salt, profile, carry).select(*names))
+
+
+def rewrite_diff(elements: DataFrame, salt: Column, profile: P.Profile = P.Profile()) -> DataFrame:
+    """header_diff of elements and their `deidentify`, without joining the two.
+
+    Each element meets its own new value where it stands; only the attributes
+    in `written`, a dozen an object, are brought together by object.
+    """
+    key = ["instance_id", "grp", "path"]
+    own = elements.select(*COLUMNS)
+    before = display_value(F.col("vr"), F.col("value"))
+    special = F.col("path").isin(written(profile))
+    here = changed(actions(own, profile), salt, profile).where(~special).select(*key, F.col("vr"), "is_private", before.alias("before"), F.when(F.col("stays"), display_value(F.col("vr"), F.col("after"))).alias("after"))
+    there = own.where(special).select(*key, "vr", "is_private", before.alias("before"), F.lit(None).cast("string").alias("after"))
+    new = added(own, salt, profile).select(*key, "vr", F.lit(None).cast("boolean").alias("is_private"), F.lit(None).cast("string").alias("before"), display_value(F.col("vr"), F.col("value")).alias("after"))
+    old = lambda c: F.max_by(c, F.col("before").isNotNull())
+    together = there.unionByName(new).groupBy(*key).agg(old("vr").alias("vr"), F.max("is_private").alias("is_private"), F.max("before").alias("before"), F.max("after").alias("after"))
+    return told(here.unionByName(together))
+
+
+def told(both: DataFrame) -> DataFrame:
+    """A comparison's rows from key, vr, is_private, before and after (null where there is none)."""
+    action = F.when(F.col("after").isNull(), "removed").when(F.col("before").isNull(), "added").when(F.col("before") != F.col("after"), "changed").otherwise("kept")
+    return both.select("instance_id", "grp", "path", keyword().alias("keyword"), "vr", F.coalesce("is_private", F.lit(False)).alias("is_private"), F.coalesce("before", F.lit("")).alias("before"), F.coalesce("after", F.lit("")).alias("after"), action.alias("action"))
 
 
 def counters(elements: DataFrame, profile: P.Profile = P.Profile()) -> DataFrame:
@@ -134,9 +178,8 @@ def header_diff(before: DataFrame, after: DataFrame) -> DataFrame:
     key = ["instance_id", "grp", "path"]
     b = before.select(*key, F.col("vr").alias("vr_b"), "is_private", display_value(F.col("vr"), F.col("value")).alias("before"))
     a = after.select(*key, F.col("vr").alias("vr_a"), display_value(F.col("vr"), F.col("value")).alias("after"))
-    action = F.when(F.col("vr_a").isNull(), "removed").when(F.col("vr_b").isNull(), "added").when(F.col("before") != F.col("after"), "changed").otherwise("kept")
     both = b.join(a, key, "full_outer")
-    return both.select(*key, F.substring_index("path", ".", -1).alias("keyword"), F.coalesce("vr_b", "vr_a").alias("vr"), F.coalesce("is_private", F.lit(False)).alias("is_private"), F.coalesce("before", F.lit("")).alias("before"), F.coalesce("after", F.lit("")).alias("after"), action.alias("action"))
+    return told(both.select(*key, F.coalesce("vr_b", "vr_a").alias("vr"), "is_private", "before", "after"))
 
 
 def diff_summary(diff: DataFrame, *by: str) -> DataFrame:

@@ -53,11 +53,21 @@ def missing_folders(files: DataFrame, manifest: DataFrame) -> DataFrame:
     return manifest.withColumn("folder", F.regexp_replace("source_folder", "/+$", "")).join(have, "folder", "left_anti").drop("folder")
 
 
-def without_skipped(files: DataFrame, skips: DataFrame) -> DataFrame:
-    """Files that a skip list doesn't name; separators may be of either kind."""
+def by_skips(files: DataFrame, skips: DataFrame, how: str) -> DataFrame:
+    """Files joined to a skip list by path; separators may be of either kind."""
     plain = lambda c: F.regexp_replace(F.regexp_replace(c, r"^\\\\\?\\", ""), r"\\", "/")
     listed = skips.select(F.regexp_replace(plain(F.trim("path")), "/+$", "").alias("skip")).where("skip <> '' AND NOT startswith(skip, '#')").distinct()
-    return files.withColumn("skip", plain(F.col("path"))).join(listed, "skip", "left_anti").drop("skip")
+    return files.withColumn("skip", plain(F.col("path"))).join(listed, "skip", how).drop("skip")
+
+
+def without_skipped(files: DataFrame, skips: DataFrame) -> DataFrame:
+    """Files that a skip list doesn't name."""
+    return by_skips(files, skips, "left_anti")
+
+
+def skipped(files: DataFrame, skips: DataFrame) -> DataFrame:
+    """Files that a skip list names."""
+    return by_skips(files, skips, "left_semi")
 
 
 def assign_ids(units: DataFrame, existing: DataFrame, taken: DataFrame, prefix: str = "ANON") -> DataFrame:
@@ -114,8 +124,8 @@ def earlier_copies(assigned: DataFrame, existing: DataFrame, completed: DataFram
     return both.join(completed.select(F.col("study_id").alias("old_name")).distinct(), "old_name", "left_semi").select("match_key", "old_id", "new_id")
 
 
-def output_names(images: DataFrame) -> DataFrame:
-    """study_id, path, folder and name of every output file.
+def output_names(images: DataFrame, flat: bool = False) -> DataFrame:
+    """study_id, path, folder and name of every output file: a folder a series, or with `flat` a study.
 
     Objects in quarantine share one folder a study.  Files without an instance
     number are named by a running number, and a name that is already there
@@ -126,7 +136,7 @@ def output_names(images: DataFrame) -> DataFrame:
     sno = F.coalesce(F.col("series_number").cast("string").try_cast("double").cast("int"), F.lit(0)).cast("string")
     series = F.concat(F.lit("/S"), F.when(F.length(sno) >= 3, sno).otherwise(F.lpad(sno, 3, "0")))
     safe = safe_name(F.col("study_id"))
-    folder = F.when(F.col("review").isNotNull(), F.concat(F.lit("_review/"), safe)).otherwise(F.concat(safe, series))
+    folder = F.when(F.col("review").isNotNull(), F.concat(F.lit("_review/"), safe)).otherwise(safe if flat else F.concat(safe, series))
     named = numbered.withColumn("folder", folder).withColumn("name", file_name(F.col("study_id"), F.col("series_number").cast("string"), F.col("instance_number"), F.col("counter")))
     again = F.row_number().over(Window.partitionBy("folder", "name").orderBy("path")) > 1
     return named.select("study_id", "path", "folder", F.when(again, F.concat(F.regexp_replace("name", r"\.dcm$", "_"), F.col("counter").cast("string"), F.lit(".dcm"))).otherwise(F.col("name")).alias("name"))

@@ -11,15 +11,19 @@ from ..functions.exprs import gated_description, norm_desc, number_text
 HEADER = ("series_number", "description", "modality", "sop_class_uid", "image_type", "slice_mm", "fov_mm", "kernel", "contrast", "phase", "frames", "burned_in")
 
 
+def series_key() -> Column:
+    """The series UID, or nouid-<series number> where it is missing."""
+    return F.when(F.coalesce(F.col("series_uid"), F.lit("")) == "", F.concat(F.lit("nouid-"), F.coalesce(F.col("series_number").cast("string"), F.lit("0")))).otherwise(F.col("series_uid"))
+
+
 def group_series(images: DataFrame, study: str = "study_id") -> DataFrame:
     """One row a series: number of files and the header of the file with the smallest path.
 
     A missing series UID becomes nouid-<series number>.  Partial aggregation
     leaves a shuffle of one row a series and task.
     """
-    uid = F.when(F.coalesce(F.col("series_uid"), F.lit("")) == "", F.concat(F.lit("nouid-"), F.coalesce(F.col("series_number").cast("string"), F.lit("0")))).otherwise(F.col("series_uid"))
     head = F.struct(*(F.col(c) for c in HEADER if c in images.columns))
-    grouped = images.withColumn("series_uid", uid).groupBy(F.col(study).alias("study_id"), "series_uid").agg(F.count("*").alias("n_files"), F.min_by(head, "path").alias("head"), F.min("path").alias("sample"))
+    grouped = images.withColumn("series_uid", series_key()).groupBy(F.col(study).alias("study_id"), "series_uid").agg(F.count("*").alias("n_files"), F.min_by(head, "path").alias("head"), F.min("path").alias("sample"))
     return grouped.select("study_id", "series_uid", "n_files", "sample", "head.*")
 
 
@@ -189,7 +193,8 @@ def survey(series: DataFrame) -> DataFrame:
 
 def images_of(images: DataFrame, decisions: DataFrame) -> DataFrame:
     """The images of kept series."""
-    return images.join(decisions.where("decision = 'keep'").select("study_id", "series_uid"), ["study_id", "series_uid"], "left_semi")
+    kept = decisions.where("decision = 'keep'").select("study_id", F.col("series_uid").alias("kept_uid"))
+    return images.withColumn("kept_uid", series_key()).join(kept, ["study_id", "kept_uid"], "left_semi").select(*images.columns)
 
 
 def thick(series: DataFrame) -> DataFrame:

@@ -53,6 +53,7 @@ def element_findings(elements: DataFrame, profile: P.Profile = P.Profile()) -> D
         (plain & top & listed(k, empty) & full, "attribute should be empty", pair),
         (plain & top & listed(k, HINTS) & full & F.lit(not profile.keep_technical), "vendor hint present", pair),
         (plain & top & listed(k, P.PN_KEYWORDS) & full, "person name present", pair),
+        (~F.col("is_private") & k.startswith("(") & vr.isin("PN", "AE") & full, "person or station in an unnamed attribute", k),
     ]
     if profile.study_description:
         rules.append((plain & top & (k == "StudyDescription") & ~v.isin("", profile.study_description[:64]), "attribute should match profile", pair))
@@ -146,13 +147,22 @@ def recheck(expected: DataFrame, now: DataFrame) -> DataFrame:
     return both.select("path", state.alias("state")).where("state IS NOT NULL")
 
 
-def manifest_digest(checksums: DataFrame) -> DataFrame:
-    """Files and one digest over a manifest: the digest of its sorted lines' digests, by path prefix.
+def manifest(checksums: DataFrame, most: int = 100_000) -> DataFrame:
+    """part, files, text and sha256 of a checksum manifest in parts of about `most` lines at most.
 
-    Lines are digested in 256 groups of paths, and then the groups', so no
-    task holds the lines of more than its groups.
+    A part's text is its lines, "digest  path", in order of paths, as sha256sum
+    reads them; its sha256 is that of the text as a file.  Most outputs have one part.
     """
-    line = F.concat("sha256", F.lit("  "), "path")
-    group = F.substring(F.sha2("path", 256), 1, 2)
-    some = checksums.select(group.alias("g"), line.alias("line")).groupBy("g").agg(F.count("*").alias("n"), F.sha2(F.array_join(F.sort_array(F.collect_list("line")), "\n"), 256).alias("d"))
-    return some.agg(F.sum("n").alias("files"), F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("g", "d"))), lambda x: x["d"]), "\n"), 256).alias("digest"))
+    named = checksums.where("sha256 IS NOT NULL")
+    parts = max(1, -(-named.count() // most))
+    line = F.struct("path", F.concat("sha256", F.lit("  "), "path", F.lit("\n")).alias("line"))
+    dealt = named.groupBy(F.pmod(F.xxhash64("path"), F.lit(parts)).cast("int").alias("part")).agg(F.count("*").alias("files"), F.sort_array(F.collect_list(line)).alias("lines"))
+    text = F.array_join(F.transform("lines", lambda x: x["line"]), "")
+    return dealt.select("part", "files", text.alias("text"), F.sha2(text, 256).alias("sha256"))
+
+
+def manifest_digest(parts: DataFrame) -> DataFrame:
+    """Files and one digest of a manifest: that of its text, or of its parts' digests, a line each, if there are several."""
+    digests = F.transform(F.sort_array(F.collect_list(F.struct("part", "sha256"))), lambda x: x["sha256"])
+    some = parts.agg(F.coalesce(F.sum("files"), F.lit(0)).alias("files"), digests.alias("d"))
+    return some.select("files", F.when(F.size("d") == 1, F.get("d", F.lit(0))).otherwise(F.sha2(F.concat(F.array_join("d", "\n"), F.lit("\n")), 256)).alias("digest"))

@@ -60,15 +60,15 @@ dec AS (SELECT study_id, series_uid, series_number, n_files AS images, CASE WHEN
 """
 
 
-PICKS = """SELECT 'P' || s_suppkey AS study_id, CASE s_suppkey % 3 WHEN 0 THEN '1.3.12.2.1107.5.1.4.' || s_suppkey || '.3' WHEN 1 THEN '' ELSE 'unknown' END AS series_uid,
-  CASE s_suppkey % 3 WHEN 1 THEN ' CTA   coronary 0.75' WHEN 2 THEN 'series 5' ELSE '' END AS series_description FROM supplier"""
-SELECTION = "SELECT 'P' || s_suppkey AS study_id, '1.3.12.2.1107.5.1.4.' || s_suppkey || '.5' AS series_uid FROM supplier WHERE s_acctbal < 0"
+PICKS = """SELECT 'P' || s_suppkey AS study_id, CASE s_suppkey % 3 WHEN 0 THEN '1.2.3.40.' || s_suppkey || '.3' WHEN 1 THEN '' ELSE 'unknown' END AS series_uid,
+  CASE s_suppkey % 3 WHEN 1 THEN ' Coro   ANGIO fine' WHEN 2 THEN 'acquisition 9' ELSE '' END AS series_description FROM supplier"""
+SELECTION = "SELECT 'P' || s_suppkey AS study_id, '1.2.3.40.' || s_suppkey || '.5' AS series_uid FROM supplier WHERE s_acctbal < 0"
 TEXT = "lower(coalesce(description, '') || ' ' || coalesce(kernel, ''))"
 
 ELEMENTS = f"SELECT *, 'CV' || o_custkey AS study_id, regexp_extract(path, '^([^\\[.]+)', 1) AS top, regexp_extract(path, '([^.]+)$', 1) AS keyword, contains(path, '].') AS nested FROM ({stand_in.elements_sql().format(orders='orders', customer='customer')}) x"
 HASHED = f"'2.25.' || CAST(('0x' || substr(sha256('{SALT}|' || {{0}}), 1, 32))::UHUGEINT AS VARCHAR)"
 DAYS = f"CAST(('0x' || substr(sha256('{SALT}|dateshift|' || study_id), 1, 8))::UBIGINT % 3650 + 1 AS INTEGER)"
-PRIVATE = "(is_private OR contains(path, '(07a3,1019)'))"
+PRIVATE = "(is_private OR contains(path, '(0b05,1002)'))"
 
 
 def policy_sql(kept: tuple = (), shift: bool = False, age: bool = False, method: str = f"{P.TOOL} {P.VERSION} full blind") -> str:
@@ -84,12 +84,14 @@ def policy_sql(kept: tuple = (), shift: bool = False, age: bool = False, method:
 act AS (SELECT *, CASE WHEN {PRIVATE} THEN 'private' WHEN grp = 'data' AND top IN ({words(remove)}) THEN 'removed' WHEN grp = 'data' AND top IN ({words(P.VENDOR_HINTS)}) THEN 'vendor'
     WHEN grp = 'data' AND top IN ({words(clear)}) THEN 'cleared' WHEN grp = 'meta' AND keyword IN ({words(P.META_FORBIDDEN)}) THEN 'meta' END AS action FROM e),
 lft AS (SELECT * FROM act WHERE action IS NULL OR (action = 'cleared' AND NOT nested AND vr NOT IN ({words(P.UNBLANKABLE)}))),
-new AS (SELECT *, CASE WHEN action = 'cleared' THEN CASE vr WHEN 'SQ' THEN '0' ELSE '' END WHEN grp = 'data' AND path IN ('PatientName', 'PatientID') THEN study_id
+new AS (SELECT *, CASE WHEN action = 'cleared' THEN CASE vr WHEN 'SQ' THEN '0' ELSE '' END
     WHEN vr = 'DA' AND value <> '' THEN {da} WHEN vr = 'DT' AND value <> '' THEN {dt} WHEN vr = 'TM' AND value <> '' THEN {tm}
     WHEN vr = 'UI' AND keyword NOT IN ({words(P.UID_KEEP)}) AND value <> '' THEN array_to_string(list_transform(string_split(value, '\\'), lambda v: CASE WHEN v = '' OR starts_with(v, '{P.STANDARD_UID_PREFIX}') THEN v ELSE {HASHED.format('v')} END), '\\')
-    WHEN path = 'ImageType' THEN array_to_string(string_split(value, '\\')[1:3], '\\') ELSE value END AS after FROM lft),
+    WHEN path = 'ImageType' THEN array_to_string(string_split(value, '\\')[1:3], '\\') ELSE value END AS after FROM lft WHERE path NOT IN ('PatientName', 'PatientID', 'MediaStorageSOPInstanceUID')),
+obj AS (SELECT instance_id, any_value(study_id) AS study_id, max(value) FILTER (path = 'SOPInstanceUID') AS uid, max(value) FILTER (path = 'SOPClassUID') AS class FROM e GROUP BY instance_id),
 fin AS (SELECT instance_id, grp || ':' || path || '=' || after AS line FROM new
-  UNION ALL SELECT instance_id, line FROM (SELECT DISTINCT instance_id FROM e) i CROSS JOIN (VALUES ('data:PatientIdentityRemoved=YES'), ('data:DeidentificationMethod={method}'), ('data:BurnedInAnnotation=NO'), ('meta:ImplementationVersionName=VEIL_{P.VERSION.replace('.', '')}')) v(line)
+  UNION ALL SELECT instance_id, unnest(['data:PatientName=' || study_id, 'data:PatientID=' || study_id, 'data:PatientIdentityRemoved=YES', 'data:DeidentificationMethod={method}', 'data:BurnedInAnnotation=NO', 'meta:MediaStorageSOPInstanceUID=' || {HASHED.format('uid')},
+    'meta:MediaStorageSOPClassUID=' || class, 'meta:ImplementationClassUID={P.IMPLEMENTATION_UID}', 'meta:ImplementationVersionName=VEIL_{P.VERSION.replace('.', '')}']) FROM obj
   {bucket})"""
 
 
@@ -169,8 +171,9 @@ SQL = {
       UNION ALL SELECT key, 0, 'mapping row but no scans found on disk' FROM ({MAPPED}) m WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = m.c_custkey)""",
     "manifest_files": f"{WITH} SELECT 'CV' || s_suppkey AS study_id, count(path) AS files FROM supplier LEFT JOIN img ON starts_with(path, 'P' || s_suppkey || '/S' || (1 + s_suppkey % 8) || '/') GROUP BY 1",
     "skipped_files": f"""{WITH} SELECT study_id, count(*) AS files FROM img WHERE path NOT IN (SELECT 'P' || l_suppkey || '/S' || (CASE l_returnflag WHEN 'A' THEN 1 WHEN 'N' THEN 3 ELSE 5 END + CASE l_linestatus WHEN 'O' THEN 1 ELSE 0 END) || '/' || l_orderkey || '_' || l_linenumber || '_' || l_partkey FROM lineitem WHERE l_quantity >= 50) GROUP BY study_id""",
-    "linkage": f"""{WITH} SELECT study_id, string_agg(DISTINCT patient, ';' ORDER BY patient) AS source_key, string_agg(DISTINCT patient_name, ';' ORDER BY patient_name) AS original_name, string_agg(DISTINCT substr(study_date, 1, 4), ';' ORDER BY substr(study_date, 1, 4)) AS original_years,
-      string_agg(DISTINCT series_number || ': ' || description, ' | ' ORDER BY series_number || ': ' || description) AS original_series_descriptions, count(*) AS files, count(DISTINCT series_number) AS series, count(review) AS review_files FROM img GROUP BY study_id""",
+    "linkage": f"""{WITH} SELECT study_id, string_agg(DISTINCT patient, ';' ORDER BY patient) AS source_key, string_agg(DISTINCT patient_id, ';' ORDER BY patient_id) AS original_patient_id, string_agg(DISTINCT patient_name, ';' ORDER BY patient_name) AS original_name, string_agg(DISTINCT study_date, ';' ORDER BY study_date) AS original_study_date,
+      string_agg(DISTINCT sex, ';' ORDER BY sex) AS original_sex, string_agg(DISTINCT birth_date, ';' ORDER BY birth_date) AS original_dob, string_agg(DISTINCT scanner, ';' ORDER BY scanner) AS original_manufacturer,
+      string_agg(DISTINCT series_number || ': ' || description, ' | ' ORDER BY series_number || ': ' || description) AS original_series_descriptions, count(*) AS files, count(DISTINCT series_number) AS series, count(review) AS review_files, CAST(0 AS BIGINT) AS errors FROM img GROUP BY study_id""",
     "output_names": f"""{WITH} SELECT study_id, folder, count(*) AS files, count(DISTINCT name) AS names, min(name) AS first, max(name) AS last FROM (SELECT study_id, folder, CASE WHEN row_number() OVER (PARTITION BY folder, name ORDER BY path) > 1 THEN substr(name, 1, length(name) - 4) || '_' || counter || '.dcm' ELSE name END AS name FROM ({NAMED}) n) o GROUP BY study_id, folder""",
     "files_log": f"""{WITH} SELECT study_id, status, note, count(*) AS files, count(DISTINCT o) AS outputs, min(o) AS first FROM (SELECT n.study_id, CASE WHEN review IS NULL THEN 'OK' ELSE 'REVIEW' END AS status, coalesce(review, '') AS note,
       folder || '/' || CASE WHEN row_number() OVER (PARTITION BY folder, name ORDER BY n.path) > 1 THEN substr(name, 1, length(name) - 4) || '_' || counter || '.dcm' ELSE name END AS o FROM ({NAMED}) n JOIN (SELECT path, any_value(review) AS review FROM img GROUP BY path) i ON i.path = n.path) t GROUP BY ALL""",
@@ -183,7 +186,7 @@ SQL = {
     "pattern_sweep": "SELECT c_custkey, c_custkey % 3 = 0 AS postcode, c_custkey % 3 <> 0 AND 1 + c_custkey % 14 <= 12 AS date FROM customer",
     "checksum_recheck": """WITH a AS (SELECT 'f' || o_orderkey AS path, sha256('old' || o_orderkey) AS h FROM orders), b AS (SELECT 'f' || (o_orderkey + CASE WHEN o_totalprice < 2000 THEN 100000000 ELSE 0 END) AS path, sha256(CASE WHEN o_orderstatus = 'P' THEN 'new' ELSE 'old' END || o_orderkey) AS h FROM orders WHERE o_orderpriority <> '1-URGENT')
       SELECT * FROM (SELECT coalesce(a.path, b.path) AS path, CASE WHEN b.path IS NULL THEN 'missing' WHEN a.path IS NULL THEN 'added' WHEN a.h <> b.h THEN 'changed' END AS state FROM a FULL JOIN b ON a.path = b.path) t WHERE state IS NOT NULL""",
-    "attestation": "SELECT CAST(sum(n) AS BIGINT) AS files, sha256(string_agg(d, chr(10) ORDER BY g)) AS digest FROM (SELECT g, count(*) AS n, sha256(string_agg(line, chr(10) ORDER BY line)) AS d FROM (SELECT substr(sha256('f' || o_orderkey), 1, 2) AS g, sha256('old' || o_orderkey) || '  f' || o_orderkey AS line FROM orders) a GROUP BY g) b",
+    "attestation": "SELECT count(*) AS files, sha256(string_agg(sha256('old' || o_orderkey) || '  f' || o_orderkey || chr(10), '' ORDER BY 'f' || o_orderkey)) AS digest FROM orders",
     "decision_history": HISTORY,
     "decision_counts": f"SELECT count(DISTINCT study_id) AS studies, count(*) FILTER (decision = 'keep') AS kept, count(*) FILTER (decision = 'drop') AS dropped, count(*) FILTER (contains(reason, 'CHECK') OR contains(lower(reason), 'fallback')) AS check FROM ({HISTORY}) h".replace("AS check", 'AS "check"'),
     "decision_filter": f"SELECT study_id, series, run FROM ({HISTORY}) h WHERE (contains(reason, 'CHECK') OR contains(lower(reason), 'fallback')) AND contains(lower(study_id), 'u1')",
@@ -216,7 +219,7 @@ SQL = {
     "frame_window": f"""SELECT vec_id AS instance_id, array_to_string(list_transform(q, lambda v: CAST(floor(least(255.0, greatest(0.0, (v - lo) * (255.0 / (hi - lo))))) AS INTEGER)), ',') AS grey FROM (SELECT vec_id, q, CASE WHEN vec_id % 3 = 0 THEN list_min(q) ELSE -20.0 END AS lo, CASE WHEN vec_id % 3 = 0 THEN list_max(q) ELSE 20.0 END AS hi FROM (SELECT vec_id, list_transform(p, lambda v: v * 2 - 10) AS q FROM ({PIX}) a) b) c""",
     "frame_redact": f"""SELECT vec_id AS instance_id, array_to_string(list_transform(p, lambda v, i: CAST(CASE WHEN (i - 1) % 8 >= least(vec_id % 9, 4) AND (i - 1) % 8 < greatest(vec_id % 9, 4) AND (i - 1) // 8 < vec_id % 5 THEN CASE WHEN vec_id % 2 = 0 THEN list_max(p) ELSE 0 END ELSE v END AS BIGINT)), ',') AS pixels FROM ({PIX}) a""",
     "frame_downsample": f"SELECT vec_id AS instance_id, array_to_string(list_transform(range(0, 12), lambda k: CAST(p[CAST(round_even((k // 4) * 7 / 2.0, 0) * 8 + round_even((k % 4) * 7 / 3.0, 0) AS INTEGER) + 1] AS BIGINT)), ',') AS pixels FROM ({PIX}) a",
-    "slice_spacing": "SELECT series_uid, count(*) AS slices, CASE WHEN median(gap) > 0 THEN median(gap) ELSE 1.0 END AS spacing FROM (SELECT 'L' || label AS series_uid, vec_id * 0.5 - lag(vec_id * 0.5) OVER (PARTITION BY label ORDER BY vec_id) AS gap FROM embeddings) t GROUP BY series_uid",
+    "slice_spacing": "SELECT series_uid, count(*) AS slices, CASE WHEN median(gap) > 0 THEN median(gap) ELSE 1.0::DOUBLE END AS spacing FROM (SELECT 'L' || label AS series_uid, vec_id * 0.5::DOUBLE - lag(vec_id * 0.5::DOUBLE) OVER (PARTITION BY label ORDER BY vec_id) AS gap FROM embeddings) t GROUP BY series_uid",
     "reformat": f"""SELECT 'L' || label AS series_uid, sha256(string_agg(array_to_string(list_transform(p[25:32], lambda v: CAST(v AS BIGINT)), ','), ',' ORDER BY vec_id DESC)) AS coronal, sha256(string_agg(array_to_string(list_transform(range(0, 8), lambda r: CAST(p[r * 8 + 8] AS BIGINT)), ','), ',' ORDER BY vec_id DESC)) AS sagittal FROM ({PIX}) a GROUP BY label""",
 }
 SQL["run_totals"] = f"SELECT count(*) AS studies, CAST(sum(files) AS BIGINT) AS files, CAST(sum(series) AS BIGINT) AS series, CAST(sum(review_files) AS BIGINT) AS review_files, count(*) FILTER (files = 0) AS empty, array_to_string(list_sort(list(study_id) FILTER (files = 0))[1:20], ', ') AS first_empty FROM ({SQL['study_summary']}) s"

@@ -24,13 +24,13 @@ def classified(spark: SparkSession, sf: str) -> DataFrame:
 
 def picks(spark: SparkSession, sf: str) -> DataFrame:
     return stand_in.table(spark, sf, "supplier").selectExpr(
-        "'P' || CAST(s_suppkey AS STRING) AS study_id", "CASE s_suppkey % 3 WHEN 0 THEN '1.3.12.2.1107.5.1.4.' || CAST(s_suppkey AS STRING) || '.3' WHEN 1 THEN '' ELSE 'unknown' END AS series_uid",
-        "CASE s_suppkey % 3 WHEN 1 THEN ' CTA   coronary 0.75' WHEN 2 THEN 'series 5' ELSE '' END AS series_description",
+        "'P' || CAST(s_suppkey AS STRING) AS study_id", "CASE s_suppkey % 3 WHEN 0 THEN '1.2.3.40.' || CAST(s_suppkey AS STRING) || '.3' WHEN 1 THEN '' ELSE 'unknown' END AS series_uid",
+        "CASE s_suppkey % 3 WHEN 1 THEN ' Coro   ANGIO fine' WHEN 2 THEN 'acquisition 9' ELSE '' END AS series_description",
     )
 
 
 def selection(spark: SparkSession, sf: str) -> DataFrame:
-    return stand_in.table(spark, sf, "supplier").where("s_acctbal < 0").selectExpr("'P' || CAST(s_suppkey AS STRING) AS study_id", "'1.3.12.2.1107.5.1.4.' || CAST(s_suppkey AS STRING) || '.5' AS series_uid")
+    return stand_in.table(spark, sf, "supplier").where("s_acctbal < 0").selectExpr("'P' || CAST(s_suppkey AS STRING) AS study_id", "'1.2.3.40.' || CAST(s_suppkey AS STRING) || '.5' AS series_uid")
 
 
 def decided(spark: SparkSession, sf: str) -> DataFrame:
@@ -119,8 +119,7 @@ def tag_counters(spark, sf):
 
 
 def diffed(spark, sf):
-    e = with_study(spark, sf)
-    return deidentify.header_diff(e, deidentify.deidentify(e, F.lit(SALT)))
+    return deidentify.rewrite_diff(with_study(spark, sf), F.lit(SALT))
 
 
 def header_diff_summary(spark, sf):
@@ -251,7 +250,7 @@ def checksum_recheck(spark, sf):
 
 
 def attestation(spark, sf):
-    return verify.manifest_digest(checksums(spark, sf))
+    return verify.manifest_digest(verify.manifest(checksums(spark, sf)))
 
 
 def runs(spark, sf):

@@ -13,16 +13,17 @@ from pyspark.sql import functions as F
 
 #: Images, one a line item.  {lineitem} and {supplier} are tables.
 IMAGES = """
-SELECT t.*, '1.3.12.2.1107.5.1.4.' || CAST(pid AS STRING) || '.' || CAST(series_number AS STRING) AS series_uid,
-  'P' || CAST(pid AS STRING) AS patient, s_name AS patient_name,
+SELECT t.*, '1.2.3.40.' || CAST(pid AS STRING) || '.' || CAST(series_number AS STRING) AS series_uid,
+  'P' || CAST(pid AS STRING) AS patient, 'P' || CAST(pid AS STRING) AS patient_id, s_name AS patient_name,
+  CASE pid % 3 WHEN 0 THEN 'F' WHEN 1 THEN 'M' ELSE '' END AS sex, CAST(1940 + pid % 50 AS STRING) || '0' || CAST(1 + pid % 9 AS STRING) || '1' || CAST(pid % 10 AS STRING) AS birth_date, CASE series_number WHEN 1 THEN 'Maker A M1' ELSE 'Maker B M2' END AS scanner,
   'P' || CAST(pid AS STRING) || '/S' || CAST(series_number AS STRING) || '/' || CAST(l_orderkey AS STRING) || '_' || CAST(l_linenumber AS STRING) || '_' || CAST(l_partkey AS STRING) AS path,
   CASE (pid + series_number) % 11 WHEN 0 THEN 'SR' WHEN 1 THEN 'US' WHEN 2 THEN 'DX' ELSE 'CT' END AS modality,
   CASE (pid + series_number) % 11 WHEN 0 THEN '1.2.840.10008.5.1.4.1.1.88.67' WHEN 1 THEN '1.2.840.10008.5.1.4.1.1.6.1' WHEN 2 THEN '1.2.840.10008.5.1.4.1.1.1.1' ELSE '1.2.840.10008.5.1.4.1.1.2' END AS sop_class_uid,
   CASE (pid * 5 + series_number * 7) % 6 WHEN 0 THEN 0.5E0 WHEN 1 THEN 0.6E0 WHEN 2 THEN 0.75E0 WHEN 3 THEN 0.75E0 WHEN 4 THEN 1.0E0 ELSE 3.0E0 END AS slice_mm,
   CASE (pid * 3 + series_number) % 5 WHEN 0 THEN 350.0E0 ELSE 200.0E0 END AS fov_mm,
-  CASE (pid + 2 * series_number) % 4 WHEN 0 THEN 'B26f' WHEN 1 THEN 'Bv40f' WHEN 2 THEN 'B70f' ELSE 'FC03' END AS kernel,
-  CASE (pid + series_number) % 3 WHEN 0 THEN '' ELSE 'OMNIPAQUE 350' END AS contrast,
-  CASE (pid * 2 + series_number * 3) % 7 WHEN 0 THEN 'CorCTA 0.6 Bv40 BestDiast 75 %' WHEN 1 THEN 'CaScore 3.0 Qr36' WHEN 2 THEN 'SNAPSHOT PULSE' WHEN 3 THEN 'Series 5' WHEN 4 THEN 'MPR snapshot' WHEN 5 THEN 'CTA coronary 0.75' ELSE 'Topogram 0.6 T20f' END AS description,
+  CASE (pid + 2 * series_number) % 4 WHEN 0 THEN 'K21' WHEN 1 THEN 'Kv33' WHEN 2 THEN 'B80s' ELSE 'FB12' END AS kernel,
+  CASE (pid + series_number) % 3 WHEN 0 THEN '' ELSE 'Iodine agent' END AS contrast,
+  CASE (pid * 2 + series_number * 3) % 7 WHEN 0 THEN 'Heart CTA thin 70%' WHEN 1 THEN 'Calcium plain' WHEN 2 THEN 'Gated snap shot burst' WHEN 3 THEN 'Acquisition 9' WHEN 4 THEN 'Oblique mpr view' WHEN 5 THEN 'Coro angio fine' ELSE 'Scout lateral' END AS description,
   CASE WHEN (pid + series_number) % 13 = 0 THEN 'DERIVED\\SECONDARY\\AXIAL' WHEN (pid * 2 + series_number * 3) % 7 = 6 THEN 'ORIGINAL\\PRIMARY\\LOCALIZER' ELSE 'ORIGINAL\\PRIMARY\\AXIAL' END AS image_type,
   CASE WHEN (pid * 7 + series_number) % 10 = 0 THEN 'YES' ELSE 'NO' END AS burned_in,
   CASE WHEN (pid + series_number) % 17 = 0 THEN CAST(NULL AS DOUBLE) ELSE 75.0E0 END AS phase, 0 AS frames,
@@ -42,38 +43,38 @@ ATTRIBUTES = [
     ("data", "PatientWeight", "DS", 0, "CAST(50 + o_custkey % 50 AS STRING)"),
     ("data", "StudyDate", "DA", 0, "CAST(year(o_orderdate) * 10000 + month(o_orderdate) * 100 + day(o_orderdate) AS STRING)"),
     ("data", "ContentDate", "DA", 0, "''"),
-    ("data", "StudyTime", "TM", 0, "'154316.5'"),
-    ("data", "AcquisitionDateTime", "DT", 0, "CAST(year(o_orderdate) * 10000 + month(o_orderdate) * 100 + day(o_orderdate) AS STRING) || '154522.120000'"),
+    ("data", "StudyTime", "TM", 0, "'083005.25'"),
+    ("data", "AcquisitionDateTime", "DT", 0, "CAST(year(o_orderdate) * 10000 + month(o_orderdate) * 100 + day(o_orderdate) AS STRING) || '091500.5'"),
     ("data", "AccessionNumber", "SH", 0, "'ACC' || CAST(o_orderkey AS STRING)"),
-    ("data", "Manufacturer", "LO", 0, "CASE o_orderkey % 2 WHEN 0 THEN 'SIEMENS' ELSE 'GE MEDICAL' END"),
+    ("data", "Manufacturer", "LO", 0, "CASE o_orderkey % 2 WHEN 0 THEN 'Maker A' ELSE 'Maker B' END"),
     ("data", "ManufacturerModelName", "LO", 0, "'Model ' || CAST(o_orderkey % 5 AS STRING)"),
     ("data", "InstitutionName", "LO", 0, "'Hospital ' || CAST(c_nationkey AS STRING)"),
-    ("data", "InstitutionAddress", "ST", 0, "'1 High Street'"),
-    ("data", "ReferringPhysicianName", "PN", 0, "'BLOGGS^J'"),
+    ("data", "InstitutionAddress", "ST", 0, "'7 Mill Lane'"),
+    ("data", "ReferringPhysicianName", "PN", 0, "'WREN^T'"),
     ("data", "StudyDescription", "LO", 0, "o_orderpriority"),
     ("data", "SeriesDescription", "LO", 0, "'Order ' || o_orderpriority"),
     ("data", "ImageComments", "LT", 0, "'scan of ' || c_mktsegment || ' seen ' || CAST(year(o_orderdate) AS STRING)"),
     ("data", "BodyPartExamined", "CS", 0, "CASE o_custkey % 5 WHEN 0 THEN c_mktsegment ELSE 'HEART' END"),
-    ("data", "StudyInstanceUID", "UI", 0, "'1.3.12.2.1107.' || CAST(o_custkey AS STRING)"),
-    ("data", "SOPInstanceUID", "UI", 0, "'1.3.12.2.1107.' || CAST(o_custkey AS STRING) || '.' || CAST(o_orderkey AS STRING)"),
+    ("data", "StudyInstanceUID", "UI", 0, "'1.2.3.41.' || CAST(o_custkey AS STRING)"),
+    ("data", "SOPInstanceUID", "UI", 0, "'1.2.3.41.' || CAST(o_custkey AS STRING) || '.' || CAST(o_orderkey AS STRING)"),
     ("data", "SOPClassUID", "UI", 0, "'1.2.840.10008.5.1.4.1.1.2'"),
-    ("data", "FrameOfReferenceUID", "UI", 0, "'1.3.6.1.' || CAST(o_custkey AS STRING) || '\\1.2.840.10008.1.4.1.1'"),
+    ("data", "FrameOfReferenceUID", "UI", 0, "'1.2.3.42.' || CAST(o_custkey AS STRING) || '\\1.2.840.10008.1.4.1.1'"),
     ("data", "SynchronizationFrameOfReferenceUID", "UI", 0, "''"),
-    ("data", "ImageType", "CS", 0, "'ORIGINAL\\PRIMARY\\AXIAL\\CT_SOM5'"),
-    ("data", "ConvolutionKernel", "SH", 0, "'B26f'"),
+    ("data", "ImageType", "CS", 0, "'ORIGINAL\\PRIMARY\\AXIAL\\VARIANT9'"),
+    ("data", "ConvolutionKernel", "SH", 0, "'K21'"),
     ("data", "PregnancyStatus", "US", 0, "'4'"),
     ("data", "PerformedProtocolCodeSequence", "SQ", 0, "'1'"),
-    ("data", "PerformedProtocolCodeSequence[0].CodeValue", "SH", 0, "'CTCOR'"),
+    ("data", "PerformedProtocolCodeSequence[0].CodeValue", "SH", 0, "'HEARTP'"),
     ("data", "RequestAttributesSequence", "SQ", 0, "'1'"),
     ("data", "RequestAttributesSequence[0].ScheduledProcedureStepID", "SH", 0, "'R' || CAST(o_orderkey AS STRING)"),
     ("data", "ReferencedImageSequence", "SQ", 0, "'1'"),
-    ("data", "ReferencedImageSequence[0].ReferencedSOPInstanceUID", "UI", 0, "'1.3.12.' || CAST(o_orderkey AS STRING)"),
+    ("data", "ReferencedImageSequence[0].ReferencedSOPInstanceUID", "UI", 0, "'1.2.3.43.' || CAST(o_orderkey AS STRING)"),
     ("data", "ReferencedImageSequence[0].ReferencedSOPClassUID", "UI", 0, "'1.2.840.10008.5.1.4.1.1.2'"),
-    ("data", "ReferencedImageSequence[0].AcquisitionDate", "DA", 0, "'20190522'"),
-    ("data", "(0029,1010)", "UN", 1, "'16'"),
-    ("data", "ReferencedImageSequence[0].(07a3,1019)", "UN", 1, "'12'"),
-    ("meta", "MediaStorageSOPInstanceUID", "UI", 0, "'1.3.12.2.1107.' || CAST(o_custkey AS STRING) || '.' || CAST(o_orderkey AS STRING)"),
-    ("meta", "SendingApplicationEntityTitle", "AE", 0, "'PACSGW01'"),
+    ("data", "ReferencedImageSequence[0].AcquisitionDate", "DA", 0, "'20170808'"),
+    ("data", "(0051,1001)", "UN", 1, "'16'"),
+    ("data", "ReferencedImageSequence[0].(0b05,1002)", "UN", 1, "'12'"),
+    ("meta", "MediaStorageSOPInstanceUID", "UI", 0, "'1.2.3.41.' || CAST(o_custkey AS STRING) || '.' || CAST(o_orderkey AS STRING)"),
+    ("meta", "SendingApplicationEntityTitle", "AE", 0, "'ARCHIVE7'"),
 ]
 
 #: Objects, one an order, with their patient.
