@@ -20,7 +20,6 @@ bucket and a window, are told apart by 128 bits taken over different extents.
 
 from __future__ import annotations
 
-import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -37,7 +36,7 @@ SLICE = 1 << 22
 #: More different runs than this in one bucket are compared by shuffled windows, not in one task.
 WIDE = 4000
 
-RESOLVED, OPEN, BOTH = 0, 1, 2
+RESOLVED, OPEN, SOURCE = 1, 2, 4  # what a compared row is, as bits
 ALONE, SETTLED, TWICE = 0, 1, 2  # a row's state when it leaves its task
 
 
@@ -51,25 +50,24 @@ class Spec:
     rule: str  # "any" or "smaller"
 
 
-def pack(first: np.ndarray, count: np.ndarray, tag: np.ndarray) -> np.ndarray:
-    """A run as one number: first window, windows (255 at most), 16 bits of its text's checksum."""
-    return (first.astype(np.int64) << 24) | (count.astype(np.int64) << 16) | tag
+def pack(first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """A run as one number: first window, and windows (255 at most)."""
+    return (first.astype(np.int64) << 8) | count.astype(np.int64)
 
 
-def unpack(marks: np.ndarray, tag: int) -> tuple[np.ndarray, np.ndarray]:
-    """First windows and counts of the marks that belong to the text with this tag."""
-    marks = marks[(marks & 0xFFFF) == tag]
-    return marks >> 24, (marks >> 16) & 0xFF
-
-
-def tag_of(text: bytes) -> int:
-    return zlib.crc32(text) & 0xFFFF
+def unpack(marks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First windows and counts of marks."""
+    return marks >> 8, marks & 0xFF
 
 
 def ided(docs: DataFrame) -> DataFrame:
-    """doc_id, text and did: the id to compare by, the smallest of all for a null doc_id."""
+    """doc_id, text, did (the id to compare by, the smallest of all for a null doc_id) and tag, a hash of the text.
+
+    Rows that share an id, as those without one do, are told apart by their
+    tags; those that share both are the same row twice, and get the same marks.
+    """
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return own.withColumn("did", F.coalesce("doc_id", F.lit(NO_ID)))
+    return own.withColumn("did", F.coalesce("doc_id", F.lit(NO_ID))).withColumn("tag", F.xxhash64("text"))
 
 
 class Symbols:
@@ -138,41 +136,43 @@ def whole(lengths: np.ndarray, size: int = 1 << 18):
         yield group
 
 
-def settle_here(rule: str, bucket: np.ndarray, run: np.ndarray, doc: np.ndarray, mark: np.ndarray):
+def settle_here(rule: str, bucket: np.ndarray, run: np.ndarray, doc: np.ndarray, tag: np.ndarray, mark: np.ndarray):
     """Merge one task's equal runs: what still has to be compared elsewhere, and what is settled.
 
-    Returns bucket, run, doc, mark and state.  Under "any", equal runs settle
-    each other and one of them goes on for all.  Under "smaller", the smallest
-    document goes on and the others are settled.  Settled rows get a random
-    bucket, so they are dealt evenly.
+    Returns bucket, home, run, doc, tag, mark and state; home and run name a
+    kind of run for good.  Under "any", equal runs settle each other and one of
+    them goes on for all.  Under "smaller", the smallest document goes on and
+    the others are settled.  Settled rows get a random bucket, so they are
+    dealt evenly.
     """
-    order = np.lexsort((mark, doc, run, bucket))
-    bucket, run, doc, mark = bucket[order], run[order], doc[order], mark[order]
+    order = np.lexsort((mark, tag, doc, run, bucket))
+    bucket, run, doc, tag, mark = bucket[order], run[order], doc[order], tag[order], mark[order]
     new = np.ones(len(bucket), bool)
     new[1:] = (bucket[1:] != bucket[:-1]) | (run[1:] != run[:-1])
     group = np.cumsum(new) - 1
     heads = np.flatnonzero(new)
     state = np.zeros(len(bucket), np.int8)
-    if rule == "any":
-        many = np.diff(np.append(heads, len(bucket))) > 1
-        state[many[group]] = SETTLED
-        state[heads[many]] = TWICE
-    else:
-        state[doc > doc[heads][group]] = SETTLED
+    over = np.diff(np.append(heads, len(bucket)))[group] > 1 if rule == "any" else doc > doc[heads][group]
+    state[over] = SETTLED
+    several = np.zeros(len(heads), bool)
+    several[group[over]] = True
+    state[heads[several]] = TWICE
     over = state == SETTLED
-    bucket[over] = mix(doc[over].astype(U) * U(31) + mark[over].astype(U))
-    run[over] = U(0)
-    return bucket, run, doc, mark, state
+    home = bucket.copy()
+    bucket[over] = mix(doc[over].astype(U) * U(31) + mark[over].astype(U) + tag[over].view(U))
+    return bucket, home, run, doc, tag, mark, state
+
 
+def rows_of(bucket, home, run, doc, tag, mark, state) -> pa.RecordBatch:
+    longs = [pa.array(x.view(np.int64)) for x in (bucket, home, run, doc, tag, mark)]
+    return pa.RecordBatch.from_arrays([*longs, pa.array(state)], ["bucket", "home", "run", "did", "tag", "mark", "state"])
 
-def rows_of(bucket, run, doc, mark, state) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(
-        [pa.array(bucket.view(np.int64)), pa.array(run.view(np.int64)), pa.array(doc), pa.array(mark), pa.array(state)],
-        ["bucket", "run", "did", "mark", "state"],
-    )
 
+def no_rows() -> pa.RecordBatch:
+    return rows_of(*(np.zeros(0, t) for t in (U, U, U, np.int64, np.int64, np.int64, np.int8)))
 
-ROWS = "bucket long, run long, did long, mark long, state byte"
+
+ROWS = "bucket long, home long, run long, did long, tag long, mark long, state byte"
 
 
 def run_rows(docs: DataFrame, spec: Spec) -> DataFrame:
@@ -182,54 +182,67 @@ def run_rows(docs: DataFrame, spec: Spec) -> DataFrame:
         symbols = Symbols(spec)
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            texts, ids = as_bytes(batch.column("text")), np.array(batch.column("did").to_pylist(), np.int64)
-            tags = np.array([tag_of(t) for t in texts], np.int64)
+            texts = as_bytes(batch.column("text"))
+            ids, tags = (np.array(batch.column(c).to_pylist(), np.int64) for c in ("did", "tag"))
             found = [x for x in symbols.runs(texts) if len(x[0])]
             if not found:
-                return rows_of(*(np.zeros(0, t) for t in (U, U, np.int64, np.int64, np.int8)))
+                return no_rows()
             doc, bucket, first, count, run = (np.concatenate(x) for x in zip(*found, strict=True))
-            return rows_of(*settle_here(spec.rule, bucket, run, ids[doc], pack(first, count, tags[doc])))
+            return rows_of(*settle_here(spec.rule, bucket, run, ids[doc], tags[doc], pack(first, count)))
 
         return step
 
-    return map_batches(docs.select("did", "text"), work, ROWS)
+    return map_batches(docs.select("did", "tag", "text"), work, ROWS)
 
 
 def compared(rows: DataFrame, rule: str) -> DataFrame:
-    """Compare rows within buckets: bucket, did, mark, what (RESOLVED, OPEN or BOTH) and wide.
+    """Compare rows within buckets: bucket, home, run, did, tag, mark, what (bits) and wide.
 
     Rows that count nowhere and that nothing else needs are gone.  OPEN rows,
-    one of a kind, have to be compared window by window.  Rows are dealt once,
-    by bucket, and sorted once for all windows.
+    one of a kind, have to be compared window by window.  Under "smaller", a
+    kind's SOURCE is the least row that others are RESOLVED by.  Rows are dealt
+    once, by bucket, and sorted once for all windows.
     """
     rows = rows.repartition("bucket")
     alive = F.col("state") != SETTLED
     in_bucket, same = Window.partitionBy("bucket"), Window.partitionBy("bucket", "run")
+    nth = F.row_number().over(same.orderBy("did", "tag", "mark"))
     if rule == "any":
-        first = F.row_number().over(same.orderBy("did", "mark")) == 1
         seen = (
-            rows.withColumn("head", alive & first)
+            rows.withColumn("head", alive & (nth == 1))
             .withColumn("times", F.sum(F.when(F.col("state") == TWICE, 2).when(alive, 1)).over(same))
             .withColumn("kinds", F.sum(F.when(F.col("head"), 1)).over(in_bucket))
             .withColumn("done", ~alive | (F.col("times") >= 2))
             .withColumn("open", F.col("head") & (F.col("kinds") > 1))
+            .withColumn("source", F.lit(False))
         )
     else:
         seen = (
-            rows.withColumn("least", F.min(F.when(alive, F.col("did"))).over(same))
+            rows.withColumn("nth", nth)
+            .withColumn("least", F.min(F.when(alive, F.col("did"))).over(same))
+            .withColumn("most", F.max(F.when(alive, F.when(F.col("state") == TWICE, 2**63 - 1).otherwise(F.col("did")))).over(same))
             .withColumn("low", F.min("least").over(in_bucket))
             .withColumn("high", F.max("least").over(in_bucket))
             .withColumn("kinds", F.lit(0))
             .withColumn("done", ~alive | (F.col("least") < F.col("did")))
             .withColumn("open", alive & (F.col("least") == F.col("did")) & (F.col("low") < F.col("high")))
+            .withColumn("source", alive & (F.col("nth") == 1) & (F.col("most") > F.col("least")))
         )
-    what = F.when(F.col("done") & F.col("open"), BOTH).when(F.col("done"), RESOLVED).when(F.col("open"), OPEN)
-    return seen.select("bucket", "did", "mark", what.cast("byte").alias("what"), (F.col("kinds") > WIDE).alias("wide")).where("what IS NOT NULL")
+    bit = lambda c, value: F.when(F.col(c), value).otherwise(0)
+    what = bit("done", RESOLVED) + bit("open", OPEN) + bit("source", SOURCE)
+    return seen.select("bucket", "home", "run", "did", "tag", "mark", what.cast("byte").alias("what"), (F.col("kinds") > WIDE).alias("wide")).where("what > 0")
+
+
+def having(rows: DataFrame, bit: int) -> DataFrame:
+    return rows.where(F.col("what").bitwiseAND(F.lit(bit).cast("byte")) != 0)
+
+
+KEY = ["did", "tag"]
 
 
 def with_marks(docs: DataFrame, marks: DataFrame, how: str) -> DataFrame:
-    """Documents with the collected marks of their id; a document's marks are no more than its symbols."""
-    return docs.join(marks.hint("shuffle_hash"), "did", how)
+    """Documents with the collected marks of their row; a document's marks are no more than its symbols."""
+    return docs.join(marks.hint("shuffle_hash"), KEY, how)
 
 
 def window_rows(texts: DataFrame, spec: Spec) -> DataFrame:
@@ -240,27 +253,22 @@ def window_rows(texts: DataFrame, spec: Spec) -> DataFrame:
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             out = []
-            for text, did, marks, buckets in zip(as_bytes(batch.column("text")), batch.column("did").to_pylist(), batch.column("marks"), batch.column("buckets"), strict=True):
-                tag = tag_of(text)
-                every = np.array(marks.values, np.int64)
-                own = (every & 0xFFFF) == tag
-                first, count = unpack(every, tag)
-                if not len(first):
-                    continue
+            for text, did, tag, marks, buckets in zip(as_bytes(batch.column("text")), batch.column("did").to_pylist(), batch.column("tag").to_pylist(), batch.column("marks"), batch.column("buckets"), strict=True):
+                first, count = unpack(np.array(marks.values, np.int64))
                 at = np.repeat(first - np.cumsum(count) + count, count) + np.arange(count.sum())
-                bucket = np.repeat(np.array(buckets.values, np.int64)[own].view(U), count)
+                bucket = np.repeat(np.array(buckets.values, np.int64).view(U), count)
                 # The bucket's gram and the whole window: two fingerprints of different extent.
                 run = symbols.one(text).span(at, at + spec.window)
-                out.append((bucket, run, np.full(len(at), did), pack(at, np.ones(len(at), np.int64), np.full(len(at), tag))))
+                out.append((bucket, run, np.full(len(at), did), np.full(len(at), tag), pack(at, np.ones(len(at), np.int64))))
             if not out:
-                return rows_of(*(np.zeros(0, t) for t in (U, U, np.int64, np.int64, np.int8)))
-            bucket, run, doc, mark = (np.concatenate(x) for x in zip(*out, strict=True))
+                return no_rows()
+            bucket, run, doc, tag, mark = (np.concatenate(x) for x in zip(*out, strict=True))
             # Windows are dealt by bucket and content together, which spreads a wide bucket.
-            return rows_of(*settle_here(spec.rule, mix(bucket ^ mix(run)), run, doc, mark))
+            return rows_of(*settle_here(spec.rule, mix(bucket ^ mix(run)), run, doc, tag, mark))
 
         return step
 
-    return map_batches(texts.select("doc_id", "did", "text", "marks", "buckets"), work, ROWS)
+    return map_batches(texts.select("doc_id", "did", "tag", "text", "marks", "buckets"), work, ROWS)
 
 
 def bucket_pointers(symbols: np.ndarray, ends: np.ndarray, depth: int, q: int = 8) -> np.ndarray:
@@ -291,76 +299,68 @@ def bucket_pointers(symbols: np.ndarray, ends: np.ndarray, depth: int, q: int =
 
 
 def contexts(texts: DataFrame, window: int) -> DataFrame:
-    """The bytes that each open run's windows cover: bucket, did, mark, context."""
+    """The bytes that each open run's windows cover: bucket, did, tag, mark, context."""
 
     def work():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            out: list[list] = [[], [], [], []]
-            for text, did, marks, buckets in zip(as_bytes(batch.column("text")), batch.column("did").to_pylist(), batch.column("marks"), batch.column("buckets"), strict=True):
-                tag = tag_of(text)
+            out: list[list] = [[], [], [], [], []]
+            for text, did, tag, marks, buckets in zip(as_bytes(batch.column("text")), batch.column("did").to_pylist(), batch.column("tag").to_pylist(), batch.column("marks"), batch.column("buckets"), strict=True):
                 for mark, bucket in zip(marks.values.to_pylist(), buckets.values.to_pylist(), strict=True):
-                    if mark & 0xFFFF == tag:
-                        first, count = mark >> 24, (mark >> 16) & 0xFF
-                        for column, value in zip(out, (bucket, did, mark, text[first : first + count - 1 + window]), strict=True):
-                            column.append(value)
-            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["bucket", "did", "mark", "context"])
+                    first, count = mark >> 8, mark & 0xFF
+                    for column, value in zip(out, (bucket, did, tag, mark, text[first : first + count - 1 + window]), strict=True):
+                        column.append(value)
+            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (*[pa.int64()] * 4, pa.binary()), strict=True)], ["bucket", "did", "tag", "mark", "context"])
 
         return step
 
-    return map_batches(texts.select("doc_id", "did", "text", "marks", "buckets"), work, "bucket long, did long, mark long, context binary")
+    return map_batches(texts.select("doc_id", "did", "tag", "text", "marks", "buckets"), work, "bucket long, did long, tag long, mark long, context binary")
 
 
 def sorted_buckets(rows: DataFrame, window: int, size: int = 1 << 18) -> DataFrame:
-    """did and mark of the windows that occur twice in their bucket.
+    """did, tag and mark of the windows that occur twice in their bucket.
 
     Buckets come whole and in order, with at most WIDE contexts each; several
     go through one bucket-pointer refinement until about `size` bytes are there.
     """
 
-    def solve(block: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
-        text = np.frombuffer(b"".join(r[3] for r in block), np.uint8)
-        sizes = np.array([len(r[3]) for r in block], np.int64)
+    def solve(block: list[tuple]) -> pa.RecordBatch:
+        text = np.frombuffer(b"".join(r[4] for r in block), np.uint8)
+        sizes = np.array([len(r[4]) for r in block], np.int64)
         ends = np.cumsum(sizes)
         numbers = bucket_pointers(text, np.repeat(ends, sizes), window)
         at = np.flatnonzero(numbers >= 0)
         twice = at[np.bincount(numbers[at], minlength=1)[numbers[at]] > 1]
         row = np.searchsorted(ends, twice, side="right")
-        did, mark = np.array([r[1] for r in block], np.int64), np.array([r[2] for r in block], np.int64)
-        first = (mark[row] >> 24) + twice - (ends - sizes)[row]
-        return did[row], pack(first, np.ones(len(row), np.int64), mark[row] & 0xFFFF)
+        did, tag, mark = (np.array([r[k] for r in block], np.int64)[row] for k in (1, 2, 3))
+        first = (mark >> 8) + twice - (ends - sizes)[row]
+        return pa.RecordBatch.from_arrays([pa.array(did), pa.array(tag), pa.array(pack(first, np.ones(len(row), np.int64)))], ["did", "tag", "mark"])
 
     def run(batches):
         block, total, last = [], 0, None
-
-        def done():
-            did, mark = solve(block)
-            return pa.RecordBatch.from_arrays([pa.array(did), pa.array(mark)], ["did", "mark"])
-
         for batch in batches:
-            for row in zip(*(batch.column(k).to_pylist() for k in ("bucket", "did", "mark", "context")), strict=True):
+            for row in zip(*(batch.column(k).to_pylist() for k in ("bucket", "did", "tag", "mark", "context")), strict=True):
                 if total >= size and row[0] != last:
-                    yield done()
+                    yield solve(block)
                     block, total = [], 0
                 block.append(row)
-                total += len(row[3])
+                total += len(row[4])
                 last = row[0]
         if block:
-            yield done()
+            yield solve(block)
 
     dealt = rows.repartition("bucket").sortWithinPartitions("bucket")
-    return dealt.mapInArrow(run, "did long, mark long")
+    return dealt.mapInArrow(run, "did long, tag long, mark long")
 
 
 def open_texts(docs: DataFrame, marks: DataFrame) -> DataFrame:
     """Texts with their open runs; all columns of `docs` stay in use, so its exchange serves every join."""
-    gathered = marks.groupBy("did").agg(F.collect_list("mark").alias("marks"), F.collect_list("bucket").alias("buckets"))
+    gathered = marks.groupBy(*KEY).agg(F.collect_list("mark").alias("marks"), F.collect_list("bucket").alias("buckets"))
     return with_marks(docs, gathered, "inner")
 
 
-def covered(text_symbols: int, marks: np.ndarray, window: int, tag: int) -> np.ndarray:
-    """Which symbols lie in a marked window."""
-    first, count = unpack(marks, tag)
+def covered(text_symbols: int, first: np.ndarray, count: np.ndarray, window: int) -> np.ndarray:
+    """Which symbols lie in a window of the runs."""
     edge = np.zeros(text_symbols + 1, np.int32)
     np.add.at(edge, first, 1)
-    np.add.at(edge, np.minimum(first + count - 1 + window, text_symbols), -1)
+    np.add.at(edge, first + count - 1 + window, -1)
     return np.cumsum(edge[:-1]) > 0

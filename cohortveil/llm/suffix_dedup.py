@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from . import repeats
 from .batches import as_bytes, map_batches, stored
-from .repeats import BOTH, OPEN, RESOLVED, Spec
+from .repeats import KEY, OPEN, RESOLVED, Spec
 
 WINDOW, GRAM = 200, 64
 
@@ -41,14 +41,14 @@ def suffix_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, with_t
         raise ValueError("gram must be at most window, and window - gram below 255")
     spec = Spec("bytes", window, gram, "any")
     own = repeats.ided(docs)
-    texts = own.repartition("did")
+    texts = own.repartition(*KEY)
     marks = stored(repeats.compared(repeats.run_rows(own, spec), spec.rule))
-    settled = marks.where(F.col("what").isin(RESOLVED, BOTH)).select("did", "mark")
-    open_runs = marks.where(F.col("what").isin(OPEN, BOTH))
+    settled = repeats.having(marks, RESOLVED).select(*KEY, "mark")
+    open_runs = repeats.having(marks, OPEN)
     narrow = repeats.sorted_buckets(repeats.contexts(repeats.open_texts(texts, open_runs.where("NOT wide")), window), window)
     wide = repeats.compared(repeats.window_rows(repeats.open_texts(texts, open_runs.where("wide")), spec), spec.rule)
-    every = settled.union(narrow).union(wide.where(F.col("what").isin(RESOLVED, BOTH)).select("did", "mark"))
-    gathered = every.groupBy("did").agg(F.collect_list("mark").alias("marks"))
+    every = settled.union(narrow).union(repeats.having(wide, RESOLVED).select(*KEY, "mark"))
+    gathered = every.groupBy(*KEY).agg(F.collect_list("mark").alias("marks"))
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text
 
     def work():
@@ -57,7 +57,7 @@ def suffix_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, with_t
             for text, marks in zip(as_bytes(batch.column("text")), batch.column("marks"), strict=True):
                 kept, removed, spans = text, 0, 0
                 if marks.is_valid:
-                    gone = repeats.covered(len(text), np.array(marks.values, np.int64), window, repeats.tag_of(text))
+                    gone = repeats.covered(len(text), *repeats.unpack(np.array(marks.values, np.int64)), window)
                     removed = int(gone.sum())
                     if removed:
                         spans = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum())

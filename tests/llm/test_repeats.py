@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from cohortveil.llm import debruijn, repeats, suffix_dedup
 
@@ -48,3 +49,55 @@ def test_bucket_pointers_sort_by_whole_depth():
         same.setdefault(bytes(text[i : i + 11]), set()).add(numbers[i])
     assert all(len(v) == 1 for v in same.values()) and len({v for s in same.values() for v in s}) == len(same)
     assert (numbers[len(text) - 10 :] == -1).all()
+
+
+def judged(spark, op, rows, *args):
+    return sorted((tuple(x) for x in op(spark.createDataFrame(rows, "doc_id long, text string"), *args).collect()), key=repr)
+
+
+@pytest.mark.parametrize("ids", [(5, 5, 9), (None, None, 9)])
+def test_rows_that_share_an_id_keep_their_own_marks(spark, ids):
+    """Many texts under one id: each loses what it shares itself, whatever its length."""
+    r = random.Random(1)
+    say = lambda n: " ".join("".join(r.choice("abcdefgh") for _ in range(4)) for _ in range(n))
+    shared, other = say(80), say(80)
+    rows = [(ids[0], "x" + shared), (ids[1], other), (ids[1], other[:107]), (ids[2], shared)]
+    assert judged(spark, suffix_dedup.suffix_dedup, rows) == sorted(brute.suffix_dedup(rows, 200), key=repr)
+    rows = [(1, shared), (ids[0] or 3, "x " + shared), (ids[1] or 3, other), (ids[1] or 3, "short one"), (ids[2], shared)]
+    assert judged(spark, debruijn.passage_dedup, rows) == sorted(brute.passage_dedup(rows, 13), key=repr)
+
+
+def test_two_thousand_rows_without_an_id(spark):
+    r = random.Random(2)
+    say = lambda: " ".join(r.choice(["ab", "cd", "ef", "gh", "ij"]) + str(r.randrange(99)) for _ in range(r.randrange(40)))
+    pool = [" ".join(f"p{r.randrange(999)}" for _ in range(50)) for _ in range(5)]
+    rows = [(None, say() + (" " + r.choice(pool) if k % 5 == 0 else "")) for k in range(2000)] + [(k, r.choice(pool)[9:]) for k in range(9)]
+    assert judged(spark, suffix_dedup.suffix_dedup, rows) == sorted(brute.suffix_dedup(rows, 200), key=repr)
+    assert judged(spark, debruijn.passage_dedup, rows) == sorted(brute.passage_dedup(rows, 13), key=repr)
+
+
+def test_nonbranching_paths_become_one_span(spark):
+    """Three documents share 40 words; a fourth leaves in the middle, so the path ends there."""
+    words = [f"w{k}" for k in range(40)]
+    rows = [(1, " ".join(words)), (2, "a " + " ".join(words) + " b"), (3, "c " + " ".join(words))]
+    spec = repeats.Spec("words", 5, 2, "smaller")
+
+    def found(rows):
+        own = repeats.ided(spark.createDataFrame(rows, "doc_id long, text string"))
+        runs = repeats.compared(repeats.run_rows(own, spec), spec.rule)
+        edges = repeats.compared(repeats.window_rows(repeats.open_texts(own, repeats.having(runs, repeats.OPEN)), spec), spec.rule)
+        both = runs.unionByName(edges)
+        paths = debruijn.compacted(debruijn.segments(own, debruijn.placed(repeats.having(both, repeats.SOURCE)), spec))
+        spans = debruijn.spans(debruijn.placed(repeats.having(both, repeats.RESOLVED)), paths)
+        return sorted((x["did"], x["first"], x["count"], x["s_did"], x["s_first"]) for x in spans.collect())
+
+    assert found(rows) == [(2, 1, 36, 1, 0), (3, 1, 36, 1, 0)]
+    more = found(rows + [(4, " ".join(words[:20]) + " z")])
+    assert all(sum(n for d, _, n, _, _ in more if d == k) == 36 for k in (2, 3)) and (4, 0) == [x[:2] for x in more if x[0] == 4][0]
+
+
+def test_a_span_unlike_its_source_fails(spark, monkeypatch):
+    plain = debruijn.stated
+    monkeypatch.setattr(debruijn, "stated", lambda *a: plain(*a).withColumn("words", F.lit(b"other")))
+    with pytest.raises(Exception, match="not those of its source"):
+        debruijn.passage_dedup(spark.createDataFrame([(1, "a b c d e f"), (2, "a b c d e f")], "doc_id long, text string"), 5, 2).collect()
