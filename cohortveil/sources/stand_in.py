@@ -92,13 +92,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Rows dealt out to all cores: the tables come as one row group each, and what is made of a row here is long work."""
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism, key)
+
+
 def images(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = IMAGES.replace("\\", "\\\\")
-    return spark.sql(text, lineitem=table(spark, sf_dir, "lineitem"), supplier=table(spark, sf_dir, "supplier"))
+    return spark.sql(text, lineitem=spread(table(spark, sf_dir, "lineitem"), "l_orderkey"), supplier=table(spark, sf_dir, "supplier"))
 
 
 def objects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(OBJECTS, orders=table(spark, sf_dir, "orders"), customer=table(spark, sf_dir, "customer"))
+    return spark.sql(OBJECTS, orders=spread(table(spark, sf_dir, "orders"), "o_orderkey"), customer=table(spark, sf_dir, "customer"))
 
 
 def elements(spark: SparkSession, sf_dir: str) -> DataFrame:
