@@ -6,7 +6,8 @@ and more, also at the end of longer names) are judged by how many guesses they
 would cost: a dynamic programme finds the cheapest segmentation of the value
 into dictionary words, dates, repeats, keyboard walks and brute-force spans.
 Values that cost at least 10**`min_log10` guesses are secrets, whatever their
-characters; `COMMON` words and dates are not, but other long words are.
+characters.  The dictionary is `COMMON` and the corpus's own most frequent
+words, ranked by how many documents they are in.
 """
 
 from __future__ import annotations
@@ -18,8 +19,9 @@ from collections.abc import Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from .batches import as_text, map_texts
+from .batches import as_text, document_texts, map_texts
 
 KINDS = ("assign", "access", "hex", "guess")
 MIN_LOG10 = 10.0
@@ -41,15 +43,40 @@ COMMON = """password qwerty dragon monkey letmein welcome login admin master hel
 football baseball superman batman iloveyou trustno secret summer winter spring autumn monday friday january february march april
 june july august september october november december test guest root user default changeme access pass love money the and for you
 with this that from have are not your example none null true false sample value here insert""".split()
-RANK = {w: i + 1 for i, w in enumerate(COMMON)}
-LONGEST_WORD = max(map(len, COMMON))
+#: Words of the corpus that the dictionary takes at most, in how many documents they are at least, and their letters.
+MOST_WORDS, FEWEST, LETTERS = 10_000, 50, (3, 20)
 LEET = str.maketrans("@4301$5!7", "aaeolssit")
 ROWS = ("1234567890-=", "qwertyuiop[]", "asdfghjkl;'", "zxcvbnm,./")
 NEAR = {(a, b) for row in ROWS for x, y in zip(row, row[1:], strict=False) for a, b in ((x, y), (y, x))}
 NEAR |= {(a, b) for up, low in zip(ROWS, ROWS[1:], strict=False) for x, y in zip(up, low, strict=False) for a, b in ((x, y), (y, x))}
-DATE = re.compile(r"(?:19|20)\d\d[-/._]?(?:0[1-9]|1[0-2])[-/._]?(?:0[1-9]|[12]\d|3[01])|(?:0?[1-9]|[12]\d|3[01])[-/._]?(?:0?[1-9]|1[0-2])[-/._]?(?:19|20)\d\d|(?:19|20)\d\d")
-#: Values longer than this are costed in pieces, whose costs add up.
-PIECE = 64
+YEAR, SEPARATOR = r"(?:19|20)\d\d", r"[-/._]?"
+DAYS, MONTHS = (r"(?:0[1-9]|[12]\d|3[01])", r"[1-9]"), (r"(?:0[1-9]|1[0-2])", r"[1-9]")
+#: Dates by their shape; each is looked for at every place, so all that overlap are found.
+DATES = [re.compile(f"(?=({x}))", re.ASCII) for x in (YEAR + SEPARATOR + MONTHS[0] + SEPARATOR + DAYS[0], *(d + SEPARATOR + m + SEPARATOR + YEAR for d in DAYS for m in MONTHS), YEAR)]
+#: Characters that one segment spans at most; values of any length are costed as a whole.
+REACH = 256
+
+
+def ranked(words: Sequence[str] = ()) -> dict[str, int]:
+    """The dictionary: each word's rank, COMMON before the corpus's."""
+    out: dict[str, int] = {}
+    for word in (*COMMON, *words):
+        out.setdefault(word, len(out) + 1)
+    return out
+
+
+def corpus_words(docs: DataFrame, most: int = MOST_WORDS, fewest: int = FEWEST) -> list[str]:
+    """The runs of letters a-z that are in the most documents, at least `fewest`, commonest first, ties in order.
+
+    Counted over all of all texts, with a partial aggregate; the driver gets `most` words.
+    """
+    low, high = LETTERS
+    word = F.explode(F.array_distinct(F.split(F.lower(F.col("text").cast("string")), "[^a-z]+"))).alias("word")
+    held = docs.select(word).where(F.length("word").between(low, high)).groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") >= fewest)
+    return [r["word"] for r in held.orderBy(F.desc("n"), "word").limit(most).collect()]
+
+
+RANKS = ranked()
 
 
 def alphabet(text: str) -> int:
@@ -59,56 +86,60 @@ def alphabet(text: str) -> int:
     return max(size, 10)
 
 
-def guess_cost(value: str) -> float:
-    """log10 of the guesses for `value`: the cheapest way to put it together.
-
-    best[k] is the least cost of the first k characters.  Every pattern that
-    ends at k is tried as the last segment, and so is brute force for one more
-    character.  Each pattern segment costs a factor of two for being one of the
-    several patterns.  '' costs 0; a value in pieces costs their sum.
-    """
-    if len(value) > PIECE:
-        return sum(guess_cost(value[i : i + PIECE]) for i in range(0, len(value), PIECE))
-    n = len(value)
-    low = value.lower()
+def segments(value: str, ranks: dict[str, int], longest: int, brute: float) -> list[list[tuple[int, float]]]:
+    """For each place, where the patterns that start there end, and what they cost; a guessed character costs `brute`."""
+    n, low = len(value), value.lower()
+    if len(low) != n:  # a few letters change their length
+        low = "".join(c.lower() if len(c.lower()) == 1 else c for c in value)
     plain = low.translate(LEET)
-    brute = math.log10(alphabet(value))
-    ending: list[list[tuple[int, float]]] = [[] for _ in range(n + 1)]
+    out: list[list[tuple[int, float]]] = [[] for _ in range(n)]
+    for k, pattern in enumerate(DATES):
+        cost = math.log10(130.0) if k == len(DATES) - 1 else math.log10(365.0 * 130)
+        for m in pattern.finditer(value):
+            out[m.start()].append((m.end(1), cost))
     for i in range(n):
-        for j in range(i + 3, min(n, i + LONGEST_WORD) + 1):
-            rank = RANK.get(low[i:j]) or RANK.get(plain[i:j])
+        for j in range(i + 3, min(n, i + longest) + 1):
+            rank = ranks.get(low[i:j]) or ranks.get(plain[i:j])
             if rank:
-                cased = value[i:j] != low[i:j]
-                swapped = low[i:j] != plain[i:j]
-                ending[j].append((i, math.log10(rank + 1) + 0.3 * (1 + cased + swapped)))
-        j = i + 1
-        while j < n and (low[j - 1], low[j]) in NEAR:
+                out[i].append((j, math.log10(rank + 1) + 0.3 * (1 + (value[i:j] != low[i:j]) + (low[i:j] != plain[i:j]))))
+        j, stop = i + 1, min(n, i + REACH)
+        while j < stop and (low[j - 1], low[j]) in NEAR:
             j += 1
-        if j - i >= 3:
-            for k in range(i + 3, j + 1):
-                ending[k].append((i, math.log10(40.0 * (k - i)) + 0.3))
-        for size in range(1, (n - i) // 2 + 1):
-            unit, times = value[i : i + size], 1
-            while value.startswith(unit, i + size * times):
-                times += 1
-                if times * size >= 3:
-                    ending[i + size * times].append((i, size * brute + math.log10(times) + 0.3))
-    for m in DATE.finditer(value):
-        ending[m.end()].append((m.start(), math.log10(365.0 * 130) if m.end() - m.start() > 4 else math.log10(130.0)))
-    best = [0.0] * (n + 1)
-    for k in range(1, n + 1):
-        best[k] = min([best[k - 1] + brute, *(best[i] + cost for i, cost in ending[k])])
-    return best[n]
-
-
-def hard_to_guess(value: str, min_log10: float) -> bool:
-    """Whether guess_cost(value) >= min_log10; pieces after the deciding one aren't costed."""
-    cost = 0.0
-    for i in range(0, len(value), PIECE):
-        cost += guess_cost(value[i : i + PIECE])
-        if cost >= min_log10:
-            return True
-    return False
+        out[i] += [(k, math.log10(40.0 * (k - i)) + 0.3) for k in range(i + 3, j + 1)]
+        for size in range(1, (stop - i) // 2 + 1):
+            if value[i] != value[i + size]:
+                continue
+            unit, at = value[i : i + size], i + size
+            while at + size <= stop and value.startswith(unit, at):
+                at += size
+                if at - i >= 3:
+                    out[i].append((at, size * brute + math.log10((at - i) // size) + 0.3))
+    return out
+
+
+def guess_cost(value: str, ranks: dict[str, int] | None = None, enough: float = math.inf) -> float:
+    """log10 of the guesses for `value`: the cheapest way to put it together.
+
+    best[k] is the least cost of the first k characters; brute force for one
+    more character, and every pattern that starts at k, lead on.  Each pattern
+    segment costs a factor of two for being one of the several patterns.  Every
+    way through the value stops somewhere in each stretch of REACH characters,
+    so once all of a stretch costs `enough`, that is given back.  '' costs 0.
+    """
+    ranks = RANKS if ranks is None else ranks
+    longest = max(map(len, ranks), default=0)
+    brute, best = math.log10(alphabet(value)), [0.0] + [math.inf] * len(value)
+    for begin in range(0, len(value), REACH):
+        # Patterns that start in this stretch end in it or the next.
+        piece = value[begin : begin + 2 * REACH + longest]
+        for i, leads in enumerate(segments(piece, ranks, longest, brute)[:REACH], begin):
+            best[i + 1] = min(best[i + 1], best[i] + brute)
+            for end, cost in leads:
+                best[begin + end] = min(best[begin + end], best[i] + cost)
+        done = min(len(value), begin + REACH)
+        if done < len(value) and (least := min(best[max(done - max(REACH, longest) + 1, 0) : done + 1])) >= enough:
+            return least
+    return best[len(value)]
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -122,7 +153,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
-def guessed_spans(text: str, base: list[tuple[int, int, int]], min_log10: float = MIN_LOG10) -> list[tuple[int, int, int]]:
+def guessed_spans(text: str, base: list[tuple[int, int, int]], min_log10: float = MIN_LOG10, ranks: dict[str, int] | None = None) -> list[tuple[int, int, int]]:
     """Spans of credential values that are hard to guess and reach beyond every base span.
 
     A value goes on to the next blank, or to the quote that closes the one
@@ -144,7 +175,7 @@ def guessed_spans(text: str, base: list[tuple[int, int, int]], min_log10: float
             covered, k = max(covered, base[k][2]), k + 1
         if a >= b or b <= covered or out and b <= out[-1][2]:
             continue
-        if hard_to_guess(text[a:b], min_log10):
+        if guess_cost(text[a:b], ranks, min_log10) >= min_log10:
             out.append((a, 3, b))
     return out
 
@@ -172,9 +203,11 @@ def scan_secrets(docs: DataFrame, min_log10: float = MIN_LOG10, with_text: bool
     `carry` come along, last.
 
     A null text counts as empty and has no spans: '' and the digest of ''.
-    Rows are judged one by one, so repeated rows, null ids and clashing other
-    columns change nothing.  No rows give no rows.
+    The dictionary comes from all texts; with it, rows are judged one by one,
+    so repeated rows and null ids are judged alike, and clashing other columns
+    change nothing.  No rows give no rows.
     """
+    ranks = ranked(corpus_words(document_texts(docs)))
     schema = "doc_id long, n_assign long, n_access long, n_hex long, n_guess long, base_sha256 string, spans string" + ", clean_text string" * with_text
 
     def work():
@@ -183,7 +216,7 @@ def scan_secrets(docs: DataFrame, min_log10: float = MIN_LOG10, with_text: bool
             hashes, spans, clean = [], [], []
             for text in as_text(batch.column("text")):
                 base = base_spans(text)
-                more = guessed_spans(text, base, min_log10)
+                more = guessed_spans(text, base, min_log10, ranks)
                 every = sorted(base + more) if more else base
                 for k, column in enumerate(counts):
                     column.append(sum(s[1] == k for s in every))

@@ -1,6 +1,7 @@
 """Operators that judge texts one by one: against plain versions and held-out labels."""
 
 import hashlib
+import math
 import random
 import re
 
@@ -106,6 +107,73 @@ def test_every_credential_context_is_judged(spark):
     assert [got[len(texts) + k]["clean_text"] for k in range(len(weak))] == ["[SECRET] and", *weak[1:]]
 
 
+def plain_cost(value, ranks):
+    """The least cost over all ways to cut the value up."""
+    brute = math.log10(secrets.alphabet(value))
+    date = r"(?:19|20)\d\d[-/._]?(?:0[1-9]|1[0-2])[-/._]?(?:0[1-9]|[12]\d|3[01])|(?:0?[1-9]|[12]\d|3[01])[-/._]?(?:0?[1-9]|1[0-2])[-/._]?(?:19|20)\d\d"
+
+    def one(part):
+        low, costs = part.lower(), [len(part) * brute]
+        leet = low.translate(secrets.LEET)
+        rank = ranks.get(low) or ranks.get(leet)
+        if len(part) >= 3 and rank:
+            costs.append(math.log10(rank + 1) + 0.3 * (1 + (part != low) + (low != leet)))
+        if len(part) >= 3 and all(pair in secrets.NEAR for pair in zip(low, low[1:])):
+            costs.append(math.log10(40 * len(part)) + 0.3)
+        if len(part) >= 3:
+            costs += [size * brute + math.log10(len(part) // size) + 0.3 for size in range(1, len(part) // 2 + 1) if part == part[:size] * (len(part) // size)]
+        if re.fullmatch(date, part):
+            costs.append(math.log10(365 * 130))
+        if re.fullmatch(r"(?:19|20)\d\d", part):
+            costs.append(math.log10(130))
+        return min(costs)
+
+    if not value:
+        return 0.0
+    return min(one(value[:k]) + plain_cost_rest(value[k:], one) for k in range(1, len(value) + 1))
+
+
+def plain_cost_rest(rest, one):
+    return min((one(rest[:k]) + plain_cost_rest(rest[k:], one) for k in range(1, len(rest) + 1)), default=0.0)
+
+
+def test_guess_cost_is_the_least_of_all_cuts():
+    r = random.Random(11)
+    ranks = secrets.ranked(["sunflower", "era"])
+    pool = ["19", "99", "1231", "2001", "qwe", "pass", "P@ss", "aa", "ab", "era", "12", "-", "x", "7"]
+    values = ["".join(r.choice(pool) for _ in range(r.randrange(6)))[:11] for _ in range(120)] + ["1219991231", "abababab", "qwqwqwer"]
+    for v in values:
+        assert secrets.guess_cost(v, ranks) == pytest.approx(plain_cost(v, ranks)), v
+    assert secrets.guess_cost("1219991231") < 6.7 and secrets.guess_cost("sunflower", ranks) < 3 < 10 < secrets.guess_cost("sunflower")
+
+
+def test_long_values_cost_what_they_are_made_of():
+    r = random.Random(12)
+    odd = "".join(r.choice("bcdfghjkmnpqrstvwxz") for _ in range(2000))
+    assert secrets.guess_cost(odd, enough=10.0) >= 10 and secrets.guess_cost(odd) > 2000
+    assert secrets.guess_cost("ab" * 100) < 6 and secrets.guess_cost("x" * 5000, enough=10.0) >= 10
+    assert secrets.guess_cost(odd[:300]) >= secrets.guess_cost(odd[:200]) and secrets.guess_cost("\u0130stanbul") > 0
+
+
+def test_the_corpus_is_the_dictionary(spark):
+    rows = [(k, "the wonderful sunflowerfield " + "pass: sunflowerfield end" * (k == 0)) for k in range(60)] + [(None, None), (70, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert secrets.corpus_words(docs) == ["sunflowerfield", "the", "wonderful"] and secrets.corpus_words(docs, 1) == ["sunflowerfield"]
+    assert {r["n_guess"] for r in secrets.scan_secrets(docs).collect()} == {0}
+    assert [r["n_guess"] for r in secrets.scan_secrets(docs.where("doc_id = 0")).collect()] == [1]
+
+
+def test_base_spans_follow_the_contract():
+    r = random.Random(13)
+    pool = ["password", "Token", "api_key", "APIKEY", "secret", "passwd", '"', "'", " ", ":", "=", "AKIA", "A1B2C3D4", "0123456789abcdef", "ffff0000", "x", "\n", "é", "-/+", "."]
+    kinds = (r"""(?i:(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?)([A-Za-z0-9+/_.=-]+)""", "AKIA[A-Z0-9]+", "[0-9a-f]+")
+    least = (8, 16, 32)
+    for _ in range(3000):
+        text = "".join(r.choice(pool) for _ in range(r.randrange(14)))
+        want = sorted((m.start(), k, m.end()) for k, p in enumerate(kinds) for m in re.finditer(p, text) if len(m[2] if k == 0 else m[0]) >= least[k])
+        assert secrets.base_spans(text) == want, text
+
+
 def test_guess_costs():
     cost = secrets.guess_cost
     assert cost("") == 0 and cost("password") < 3 and cost("qwertyuiop") < 4 and cost("1987-06-12") < 6 and cost("abcabcabcabc") < 6
