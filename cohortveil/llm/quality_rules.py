@@ -6,10 +6,14 @@ determinant estimate gives a centre and a scatter that up to a quarter of
 rejectable texts can't shift, and texts far from the centre by Mahalanobis
 distance are rejected.  Only DataFrame functions are used.
 
-The estimate starts from medians and median deviations and takes
-concentration steps: the three quarters nearest to the last estimate give the
-next one.  A step is two aggregates with partial sums, so a source that holds
-a third of all rows is no more than many partial rows.
+The estimate has several robust starts, as published for deterministic
+estimates, and takes concentration steps from each: the three quarters nearest
+to the last estimate give the next one, until no determinant falls any more.
+The start that ends with the least determinant counts.  The scatter always has
+the granted deviations added, a regularised determinant, since clean texts have
+statistics that don't scatter at all.  A step is two aggregates with partial
+sums, and estimates are joined by group and salt, so a source that holds a
+third of all rows is no more than many partial rows.
 """
 
 from __future__ import annotations
@@ -25,11 +29,15 @@ WS = " \t\n\x0b\f\r"
 SPACES = r"[\x20\x09-\x0D]+"
 #: Window numbers take this many of a packed number's bits; longer texts take another path.
 INDEX_BITS = 24
-CORE, STEPS, FEWEST = 0.75, 3, 40
+CORE, FEWEST = 0.75, 40
+#: Steps end when no determinant falls by more than this share, and after MOST_STEPS in any case.
+FALL, MOST_STEPS = 1e-3, 40
+#: A group's rows are dealt to this many tasks where they meet its estimate.
+SALTS = 32
 #: Squared distance that four normal statistics exceed once in 100,000.
 LIMIT = 28.5
 #: Standard deviation that each statistic is granted in any case, in order of `vector`.
-GRANTED = (0.12, 0.25, 0.15, 0.15)
+GRANTED = (0.12, 0.25, 0.1, 0.08)
 P = len(GRANTED)
 
 
@@ -109,16 +117,25 @@ def squared_distance() -> Column:
 
 
 def measured(rows: DataFrame, estimate: DataFrame) -> DataFrame:
-    """rows with d2, their squared distance in their group's estimate."""
-    names = rows.columns
-    out = rows.join(estimate, "group")
+    """rows, once for each estimate of their group, with d2, their squared distance in it.
+
+    rows have a salt, by which they and copies of the small estimates are dealt.
+    """
+    extra = [c for c in ("start", "det") if c in estimate.columns]
+    names = [*rows.columns, *extra]
+    copies = estimate.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    out = rows.join(copies, ["group", "salt"])
     for i, z in enumerate(squared_distance()):
         out = out.withColumn(f"z{i}", z)
     return out.select(*names, sum(F.col(f"z{i}") * F.col(f"z{i}") for i in range(P)).alias("d2"))
 
 
+def salted(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("salt", F.pmod(F.xxhash64(*(f"x{i}" for i in range(P)), F.monotonically_increasing_id()), F.lit(SALTS)).cast("int"))
+
+
 def factored(moments: DataFrame) -> DataFrame:
-    """group, m0.. and the Cholesky factor of the scatter s00.., with the granted deviations added."""
+    """group, start, m0.., the Cholesky factor l00.. of the scatter s00.. with the granted deviations added, and det, its determinant."""
     out = moments
     for i in range(P):
         for j in range(i + 1):
@@ -126,7 +143,15 @@ def factored(moments: DataFrame) -> DataFrame:
             for k in range(j):
                 value = value - F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
             out = out.withColumn(f"l{i}{j}", F.sqrt(F.greatest(value, F.lit(1e-6))) if i == j else value / F.col(f"l{j}{j}"))
-    return out.select("group", *(f"m{i}" for i in range(P)), *(f"l{i}{j}" for i in range(P) for j in range(i + 1)))
+    det = F.lit(1.0)
+    for i in range(P):
+        det = det * F.col(f"l{i}{i}") * F.col(f"l{i}{i}")
+    return out.select("group", "start", *(f"m{i}" for i in range(P)), *(f"l{i}{j}" for i in range(P) for j in range(i + 1)), det.alias("det"))
+
+
+def moments(values: list[Column]) -> list[Column]:
+    """Aggregates: the means m0.. and covariances s00.. of columns."""
+    return [*(F.avg(v).alias(f"m{i}") for i, v in enumerate(values)), *(F.covar_pop(values[i], values[j]).alias(f"s{i}{j}") for i in range(P) for j in range(i + 1))]
 
 
 def consistency(core: float) -> float:
@@ -139,19 +164,47 @@ def consistency(core: float) -> float:
     return core / (1 - math.exp(-low / 2) * (1 + low / 2 + low * low / 8))
 
 
-def estimates(rows: DataFrame, core: float = CORE, steps: int = STEPS) -> DataFrame:
-    """Centre and factored scatter of each group, by concentration steps from a robust start."""
-    middle = rows.groupBy("group").agg(*(F.percentile_approx(f"x{i}", 0.5, 2000).alias(f"m{i}") for i in range(P)))
-    spread = rows.join(middle, "group").groupBy("group").agg(*(F.first(f"m{i}").alias(f"m{i}") for i in range(P)), *((1.4826 * F.percentile_approx(F.abs(F.col(f"x{i}") - F.col(f"m{i}")), 0.5, 2000)).alias(f"d{i}") for i in range(P)))
-    start = spread.select("group", *(f"m{i}" for i in range(P)), *((F.col(f"d{i}") ** 2 if i == j else F.lit(0.0)).alias(f"s{i}{j}") for i in range(P) for j in range(i + 1)))
-    estimate, scale = stored(factored(start)), consistency(core)
-    for _ in range(steps):
-        near = measured(rows, estimate)
-        cut = near.groupBy("group").agg(F.percentile_approx("d2", core, 2000).alias("cut"))
-        kept = near.join(cut, "group").where(F.col("d2") <= F.col("cut"))
-        sums = kept.groupBy("group").agg(*(F.avg(f"x{i}").alias(f"m{i}") for i in range(P)), *(F.covar_pop(f"x{i}", f"x{j}").alias(f"c{i}{j}") for i in range(P) for j in range(i + 1)))
-        estimate = stored(factored(sums.select("group", *(f"m{i}" for i in range(P)), *((scale * F.col(f"c{i}{j}")).alias(f"s{i}{j}") for i in range(P) for j in range(i + 1)))))
-    return estimate
+def starts(rows: DataFrame) -> DataFrame:
+    """Three first estimates of each group: medians and median deviations, mean and covariance, and those of values drawn in.
+
+    Drawn in are values beyond two robust deviations from the median, to there.
+    """
+    xs = [F.col(f"x{i}") for i in range(P)]
+    middle = rows.groupBy("group").agg(*(F.percentile_approx(x, 0.5, 2000).alias(f"c{i}") for i, x in enumerate(xs)))
+    copies = lambda table: table.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    off = [F.abs(x - F.col(f"c{i}")) for i, x in enumerate(xs)]
+    spread = rows.join(copies(middle), ["group", "salt"]).groupBy("group").agg(*(F.first(f"c{i}").alias(f"c{i}") for i in range(P)), *((1.4826 * F.percentile_approx(v, 0.5, 2000)).alias(f"d{i}") for i, v in enumerate(off)))
+    spread = stored(spread)
+    plain = spread.select("group", F.lit(0).alias("start"), *(F.col(f"c{i}").alias(f"m{i}") for i in range(P)), *((F.col(f"d{i}") ** 2 if i == j else F.lit(0.0)).alias(f"s{i}{j}") for i in range(P) for j in range(i + 1)))
+    whole = rows.groupBy("group").agg(*moments(xs)).withColumn("start", F.lit(1))
+    reach = [2 * F.sqrt(F.col(f"d{i}") ** 2 + GRANTED[i] ** 2) for i in range(P)]
+    inside = [F.greatest(F.col(f"c{i}") - reach[i], F.least(F.col(f"c{i}") + reach[i], x)) for i, x in enumerate(xs)]
+    drawn = rows.join(copies(spread), ["group", "salt"]).groupBy("group").agg(*moments(inside)).withColumn("start", F.lit(2))
+    return factored(plain.unionByName(whole).unionByName(drawn))
+
+
+def estimates(rows: DataFrame, core: float = CORE) -> DataFrame:
+    """Centre and factored scatter of each group: the least determinant that concentration steps reach from several starts.
+
+    Every step is a job; the driver sees whether any determinant fell.
+    """
+    key = ["group", "start"]
+    scale = consistency(core)
+    estimate = best = stored(starts(rows))
+    for _ in range(MOST_STEPS):
+        near = measured(rows, estimate.drop("det"))
+        cut = near.groupBy(*key).agg(F.percentile_approx("d2", core, 2000).alias("cut")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        kept = near.join(cut, [*key, "salt"]).where(F.col("d2") <= F.col("cut"))
+        sums = kept.groupBy(*key).agg(*moments([F.col(f"x{i}") for i in range(P)]))
+        estimate = stored(factored(sums.select(*key, *(f"m{i}" for i in range(P)), *((scale * F.col(f"s{i}{j}")).alias(f"s{i}{j}") for i in range(P) for j in range(i + 1)))))
+        before = best
+        rest = [c for c in best.columns if c not in key]
+        best = stored(best.unionByName(estimate).groupBy(*key).agg(F.min_by(F.struct(*rest), "det").alias("least")).select(*key, "least.*"))
+        fell = best.join(before.select(*key, F.col("det").alias("was")), key).where(F.col("det") < (1 - FALL) * F.col("was"))
+        if fell.isEmpty():
+            break
+    rest = [c for c in best.columns if c not in (*key, "det")]
+    return best.groupBy("group").agg(F.min_by(F.struct(*rest), F.struct("det", "start")).alias("least")).select("group", "least.*")
 
 
 def judge(docs: DataFrame, limit: float = LIMIT) -> DataFrame:
@@ -164,13 +217,14 @@ def judge(docs: DataFrame, limit: float = LIMIT) -> DataFrame:
 
     A null text has no words and fails.  Null languages and sources count as
     ''.  Groups of fewer than 40 passing documents are pooled by language, and
-    languages with fewer with each other, so no estimate rests on a handful.
+    languages with fewer with each other; only where fewer than 40 pass in all
+    does an estimate rest on less.
     Repeated rows are judged each; null ids change nothing; no rows give none.
     """
     rows = stored(statistics(docs).withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))))
     passed = pooled(rows.where("NOT base_failed"))
     named = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
-    vectors = passed.select(*named, "group", *(x.alias(f"x{i}") for i, x in enumerate(vector())))
-    distances = measured(vectors, estimates(vectors.select("group", *(f"x{i}" for i in range(P)))))
+    vectors = stored(salted(passed.select(*named, "group", *(x.alias(f"x{i}") for i, x in enumerate(vector())))))
+    distances = measured(vectors, estimates(vectors.select("group", "salt", *(f"x{i}" for i in range(P)))))
     failed = rows.where("base_failed").select(*named, F.lit(False).alias("kept"), F.lit(None).cast("double").alias("distance"))
     return distances.select(*named, (F.col("d2") <= limit).alias("kept"), F.col("d2").alias("distance")).unionByName(failed)
