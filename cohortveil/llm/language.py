@@ -19,6 +19,8 @@ from .batches import as_text, map_batches
 DIMENSIONS, GRAM, UNKNOWN = 1024, 3, "und"
 #: n-gram vectors that a task keeps; further ones are bound again each time.
 KEPT = 12_000
+#: n-grams whose vectors are summed up at a time.
+CHUNK = 1000
 
 
 class Profiles:
@@ -73,7 +75,11 @@ class Profiles:
         return self.vectors[rows]
 
     def bundle(self, codes: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        return counts.astype(np.float32) @ self.matrix(codes.tolist())
+        """The sum of the n-grams' vectors, times their counts; CHUNK of them are held at a time, however long the text."""
+        total = np.zeros(self.dimensions)
+        for k in range(0, len(codes), CHUNK):
+            total += counts[k : k + CHUNK].astype(np.float32) @ self.matrix(codes[k : k + CHUNK].tolist())
+        return total
 
 
 def prototypes(labelled: DataFrame, dimensions: int = DIMENSIONS, gram: int = GRAM) -> dict[str, np.ndarray]:
@@ -95,10 +101,7 @@ def prototypes(labelled: DataFrame, dimensions: int = DIMENSIONS, gram: int = GR
                     own[c] = own.get(c, 0) + n
             langs, values = [], []
             for lang, own in sums.items():
-                total, codes = np.zeros(dimensions), np.array(list(own), np.int64)
-                counts = np.array(list(own.values()), np.int64)
-                for k in range(0, len(codes), 1000):
-                    total += profiles.bundle(codes[k : k + 1000], counts[k : k + 1000])
+                total = profiles.bundle(np.array(list(own), np.int64), np.array(list(own.values()), np.int64))
                 langs.append(lang)
                 values.append(total.tolist())
             return pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(values, pa.list_(pa.float64()))], ["lang", "sums"])
@@ -142,7 +145,7 @@ def identify(docs: DataFrame, dimensions: int = DIMENSIONS, gram: int = GRAM) ->
             found, scores = [], []
             for text in as_text(batch.column("text")):
                 codes, counts = profiles.grams(text)
-                vector = profiles.bundle(codes, counts) if len(codes) else np.zeros(1)
+                vector = profiles.bundle(codes, counts) if len(codes) else np.zeros(dimensions)
                 norm = float(np.linalg.norm(vector))
                 if not norm or not names:
                     found.append(UNKNOWN), scores.append(0.0)

@@ -227,21 +227,61 @@ def test_quality_counts_and_outliers(spark, monkeypatch, bits):
     assert quality_rules.judge(spark.createDataFrame([], EMPTY)).collect() == []
 
 
+def plain_estimate(x, granted, core=0.75):
+    """Concentration steps from three starts to the least determinant."""
+    middle = np.median(x, 0)
+    mad = 1.4826 * np.median(abs(x - middle), 0)
+    reach = 2 * np.sqrt(mad**2 + np.diag(granted))
+    drawn = np.clip(x, middle - reach, middle + reach)
+    found = []
+    for centre, scatter in ((middle, np.diag(mad**2)), (x.mean(0), np.cov(x.T, bias=True)), (drawn.mean(0), np.cov(drawn.T, bias=True))):
+        scatter = scatter + granted
+        det = np.linalg.det(scatter)
+        while True:
+            d = np.einsum("ij,jk,ik->i", x - centre, np.linalg.inv(scatter), x - centre)
+            near = x[d <= np.sort(d)[int(np.ceil(core * len(d))) - 1]]
+            new = near.mean(0), quality_rules.consistency(core) * np.cov(near.T, bias=True) + granted
+            found.append((np.linalg.det(scatter), centre, scatter))
+            if np.linalg.det(new[1]) >= det * (1 - quality_rules.FALL):
+                found.append((np.linalg.det(new[1]), *new))
+                break
+            (centre, scatter), det = new, np.linalg.det(new[1])
+    return min(found, key=lambda f: f[0])
+
+
 def test_robust_estimate_matches_numpy(spark):
     r = np.random.default_rng(2)
-    x = np.concatenate((r.normal(size=(300, 4)) @ np.diag([1, 2, 0.5, 1]), r.normal(30, 1, (60, 4))))
-    rows = spark.createDataFrame([(*map(float, v), 1) for v in x], "x0 double, x1 double, x2 double, x3 double, g int").selectExpr("struct(g) AS group", "x0", "x1", "x2", "x3")
-    start = np.median(x, 0)
-    spread = np.diag((1.4826 * np.median(abs(x - start), 0)) ** 2)
+    far = np.concatenate((r.normal(size=(300, 4)) @ np.diag([1, 2, 0.5, 1]), r.normal(30, 1, (60, 4))))
+    turned = np.concatenate((r.normal(size=(200, 4)) @ r.normal(size=(4, 4)), r.normal(size=(60, 4)) + np.array([4, -4, 4, 0])))
+    groups = {1: far, 2: turned, 3: np.repeat(r.normal(size=(1, 4)), 50, 0)}
+    rows = spark.createDataFrame([(*map(float, v), g) for g, x in groups.items() for v in x], "x0 double, x1 double, x2 double, x3 double, g int").selectExpr("struct(g) AS group", "x0", "x1", "x2", "x3")
     granted = np.diag(np.array(quality_rules.GRANTED) ** 2)
-    centre, scatter = start, spread + granted
-    for _ in range(quality_rules.STEPS):
+    rows = spark.createDataFrame(quality_rules.salted(rows).collect(), quality_rules.salted(rows).schema)
+    found = quality_rules.measured(rows, quality_rules.estimates(rows)).collect()
+    for g, x in groups.items():
+        _, centre, scatter = plain_estimate(x, granted)
         d = np.einsum("ij,jk,ik->i", x - centre, np.linalg.inv(scatter), x - centre)
-        near = x[d <= np.sort(d)[int(np.ceil(0.75 * len(d))) - 1]]
-        centre, scatter = near.mean(0), quality_rules.consistency(0.75) * np.cov(near.T, bias=True) + granted
-    d = np.einsum("ij,jk,ik->i", x - centre, np.linalg.inv(scatter), x - centre)
-    got = [y["d2"] for y in quality_rules.measured(rows, quality_rules.estimates(rows)).orderBy("x0").collect()]
-    assert np.allclose(sorted(got), sorted(d), rtol=0.05)
+        assert np.allclose(sorted(y["d2"] for y in found if y["group"]["g"] == g), sorted(d), rtol=0.05, atol=1e-6)
+    assert min(y["d2"] for y in found if y["group"]["g"] == 1 and y["x0"] > 20) > quality_rules.LIMIT
+
+
+def test_bundles_match_plain_vectors():
+    profiles = language.Profiles(64, 3)
+    text = "Ab, ab! déjà vu " * 40 + "".join(chr(0x4E00 + k) for k in range(3000)) + "\U00020000x"
+    codes, counts = profiles.grams(text)
+    plain = np.zeros(64)
+    letters = [0] + [ord(c) if c.isalpha() else 0 for c in text.lower()] + [0]
+    letters = [c for k, c in enumerate(letters) if k == 0 or c or letters[k - 1]]
+    for k in range(len(letters) - 2):
+        plain += profiles.letter(letters[k + 2]) * np.roll(profiles.letter(letters[k + 1]), 1) * np.roll(profiles.letter(letters[k]), 2)
+    assert counts.sum() == len(letters) - 2 and len(codes) > 2 * language.CHUNK and np.allclose(profiles.bundle(codes, counts), plain)
+
+
+def test_language_ties_repeats_and_clashes(spark):
+    rows = [(1, "same words here", "b", 0.5), (2, "same words here", "a", 0.5), (2, "same words here", "a", 0.5), (None, "same words here", None, 0.1), (7, "", "b", 0.0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, score double")
+    got = language.identify(docs).collect()
+    assert len(got) == 5 and {x["lang_pred"] for x in got} == {"a", "und"}
 
 
 def test_language_held_out(spark):
