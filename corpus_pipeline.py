@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortveil.llm import decontaminate, near_dedup, pieces, quality_rules, secrets
-from cohortveil.llm.batches import NO_ID, stored
+from cohortveil.llm.batches import stored
 from cohortveil.llm.queries import piece_model
 
 #: The columns that every stage but the last takes and returns.
@@ -31,26 +31,23 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def single_rows(own: DataFrame) -> DataFrame:
-    """One row of each id, that with the smallest text, and one of each text without an id."""
-    twice = stored(own.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("times")).where("times > 1").select("doc_id"))
-    once = own.where("doc_id IS NOT NULL").join(twice, "doc_id", "left_anti")
-    again = own.join(twice, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(*COLUMNS[1:])).alias("least")).select("doc_id", "least.*")
-    no_id = own.where("doc_id IS NULL").groupBy("doc_id", "text").agg(F.min(F.struct(*COLUMNS[2:])).alias("least")).select("doc_id", "text", "least.*")
-    return documents(once).unionByName(documents(again)).unionByName(documents(no_id))
+    """One row of each id and text: `own` has row_key, and the texts of keys that repeat alone are brought together."""
+    twice = stored(own.groupBy("row_key").agg(F.count("*").alias("times")).where("times > 1").select("row_key"))
+    again = own.join(twice, "row_key", "left_semi").groupBy("row_key").agg(F.min(F.struct(*COLUMNS)).alias("least")).select("least.*", "row_key")
+    return own.join(twice, "row_key", "left_anti").select(*COLUMNS, "row_key").unionByName(again)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each near-duplicate group.
+    """One document of each near-duplicate group: that with the smallest id.
 
-    Rows that repeat an id count as one document: the one with the smallest
-    text stands for them before groups are made, so nothing goes for being like
-    the others.  Rows without an id are a document for each distinct text, and
-    smaller than those with an id: they are compared by a negative hash of it.
+    A document is an id with its text: rows that repeat an id with another
+    text, or have none, are documents of their own.  A missing id is smaller
+    than the others; of equal ids, the text's hash decides.
     """
-    key = F.coalesce("doc_id", F.xxhash64("text").bitwiseOR(F.lit(NO_ID)))
-    own = single_rows(documents(docs)).withColumn("key", key)
-    kept = near_dedup.near_groups(own.select(F.col("key").alias("doc_id"), "text")).where("kept").select(F.col("doc_id").alias("key"))
-    return documents(own.join(kept.hint("shuffle_hash"), "key", "left_semi"))
+    own = single_rows(documents(docs).withColumn("row_key", row_key()))
+    groups = near_dedup.near_groups(own.select(F.col("row_key").alias("doc_id"), "text")).select(F.col("doc_id").alias("row_key"), "component_id")
+    least = own.select("row_key", "doc_id").join(groups, "row_key").groupBy("component_id").agg(F.min(F.struct("doc_id", "row_key")).alias("least")).select("least.row_key")
+    return documents(own.join(least.hint("shuffle_hash"), "row_key", "left_semi"))
 
 
 def benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
