@@ -63,8 +63,9 @@ def segments(texts: DataFrame, sources: DataFrame, spec: Spec) -> DataFrame:
 
         return step
 
+    # All columns of the texts stay in use, here and in other visits, so one exchange of them serves a job.
     held = repeats.with_marks(texts, gathered(sources, *columns), "inner")
-    return map_batches(held.select(*KEY, "text", *columns), work, ", ".join(f"{c} long" for c in ("home", "run", *PLACE, "start", "end")))
+    return map_batches(held.select("doc_id", *KEY, "text", *columns), work, ", ".join(f"{c} long" for c in ("home", "run", *PLACE, "start", "end")))
 
 
 def compacted(found: DataFrame) -> DataFrame:
@@ -119,7 +120,7 @@ def stated(texts: DataFrame, found: DataFrame, window: int) -> DataFrame:
         return step
 
     held = repeats.with_marks(texts, gathered(places, "first", "count"), "inner")
-    told = map_batches(held.select(*KEY, "text", "first", "count"), work, "s_did long, s_tag long, s_first long, count long, words binary")
+    told = map_batches(held.select("doc_id", *KEY, "text", "first", "count"), work, "s_did long, s_tag long, s_first long, count long, words binary")
     return found.join(told.distinct(), ["s_did", "s_tag", "s_first", "count"])
 
 
@@ -140,7 +141,7 @@ def passage_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, with_
     if not gram <= window < gram + 255:
         raise ValueError("gram must be at most window, and window - gram below 255")
     spec = Spec("words", window, gram, "smaller")
-    own = repeats.ided(docs)
+    own = repeats.told_apart(docs)
     texts = own.repartition(*KEY)
     runs = stored(repeats.compared(repeats.run_rows(own, spec), spec.rule))
     edges = stored(repeats.compared(repeats.window_rows(repeats.open_texts(texts, repeats.having(runs, OPEN)), spec), spec.rule))

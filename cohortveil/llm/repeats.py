@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .batches import NO_ID, as_bytes, map_batches
+from .batches import NO_ID, as_bytes, map_batches, stored
 from .rolling import Roller, byte_values, minimizer_runs, mix, pieces, word_bounds
 
 U = np.uint64
@@ -61,13 +61,20 @@ def unpack(marks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def ided(docs: DataFrame) -> DataFrame:
-    """doc_id, text, did (the id to compare by, the smallest of all for a null doc_id) and tag, a hash of the text.
+    """doc_id, text and did: the id to compare by, the smallest of all for a null doc_id."""
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return own.withColumn("did", F.coalesce("doc_id", F.lit(NO_ID)))
+
 
-    Rows that share an id, as those without one do, are told apart by their
-    tags; those that share both are the same row twice, and get the same marks.
+def told_apart(docs: DataFrame) -> DataFrame:
+    """`ided` with tag: a hash of the text for rows that share an id, as those without one do, and 0 for the others.
+
+    Rows that share id and tag are the same row twice, and get the same marks.
     """
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return own.withColumn("did", F.coalesce("doc_id", F.lit(NO_ID))).withColumn("tag", F.xxhash64("text"))
+    own = ided(docs)
+    again = stored(own.where("doc_id IS NOT NULL").groupBy("did").agg(F.count("*").alias("times")).where("times > 1").select("did", F.lit(True).alias("again")))
+    shared = F.col("doc_id").isNull() | F.coalesce("again", F.lit(False))
+    return own.join(again, "did", "left").select("doc_id", "text", "did", F.when(shared, F.xxhash64("text")).otherwise(F.lit(0).cast("long")).alias("tag"))
 
 
 class Symbols:
@@ -196,7 +203,7 @@ def run_rows(docs: DataFrame, spec: Spec) -> DataFrame:
 
 
 def compared(rows: DataFrame, rule: str) -> DataFrame:
-    """Compare rows within buckets: bucket, home, run, did, tag, mark, what (bits) and wide.
+    """Compare rows within buckets: home, run, did, tag, mark, what (bits) and wide.
 
     Rows that count nowhere and that nothing else needs are gone.  OPEN rows,
     one of a kind, have to be compared window by window.  Under "smaller", a
@@ -230,7 +237,7 @@ def compared(rows: DataFrame, rule: str) -> DataFrame:
         )
     bit = lambda c, value: F.when(F.col(c), value).otherwise(0)
     what = bit("done", RESOLVED) + bit("open", OPEN) + bit("source", SOURCE)
-    return seen.select("bucket", "home", "run", "did", "tag", "mark", what.cast("byte").alias("what"), (F.col("kinds") > WIDE).alias("wide")).where("what > 0")
+    return seen.select("home", "run", "did", "tag", "mark", what.cast("byte").alias("what"), (F.col("kinds") > WIDE).alias("wide")).where("what > 0")
 
 
 def having(rows: DataFrame, bit: int) -> DataFrame:
@@ -354,7 +361,7 @@ def sorted_buckets(rows: DataFrame, window: int, size: int = 1 << 18) -> DataFra
 
 def open_texts(docs: DataFrame, marks: DataFrame) -> DataFrame:
     """Texts with their open runs; all columns of `docs` stay in use, so its exchange serves every join."""
-    gathered = marks.groupBy(*KEY).agg(F.collect_list("mark").alias("marks"), F.collect_list("bucket").alias("buckets"))
+    gathered = marks.groupBy(*KEY).agg(F.collect_list("mark").alias("marks"), F.collect_list("home").alias("buckets"))
     return with_marks(docs, gathered, "inner")
 
 

@@ -40,7 +40,7 @@ def suffix_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, with_t
     if not gram <= window < gram + 255:
         raise ValueError("gram must be at most window, and window - gram below 255")
     spec = Spec("bytes", window, gram, "any")
-    own = repeats.ided(docs)
+    own = repeats.told_apart(docs)
     texts = own.repartition(*KEY)
     marks = stored(repeats.compared(repeats.run_rows(own, spec), spec.rule))
     settled = repeats.having(marks, RESOLVED).select(*KEY, "mark")

@@ -83,7 +83,7 @@ def test_nonbranching_paths_become_one_span(spark):
     spec = repeats.Spec("words", 5, 2, "smaller")
 
     def found(rows):
-        own = repeats.ided(spark.createDataFrame(rows, "doc_id long, text string"))
+        own = repeats.told_apart(spark.createDataFrame(rows, "doc_id long, text string"))
         runs = repeats.compared(repeats.run_rows(own, spec), spec.rule)
         edges = repeats.compared(repeats.window_rows(repeats.open_texts(own, repeats.having(runs, repeats.OPEN)), spec), spec.rule)
         both = runs.unionByName(edges)
