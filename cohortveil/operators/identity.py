@@ -70,21 +70,27 @@ def skipped(files: DataFrame, skips: DataFrame) -> DataFrame:
     return by_skips(files, skips, "left_semi")
 
 
+def beginning(keyed: DataFrame, lengths: range = range(4, 68, 4)) -> int:
+    """The shortest length at which the beginnings of `key` are at least the square root of the rows in number."""
+    counts = keyed.agg(F.count("*").alias("rows"), *(F.approx_count_distinct(F.substring("key", 1, n)).alias(f"n{n}") for n in lengths)).first()
+    return next((n for n in lengths if counts[f"n{n}"] ** 2 >= counts["rows"]), lengths[-1])
+
+
 def assign_ids(units: DataFrame, existing: DataFrame, taken: DataFrame, prefix: str = "ANON") -> DataFrame:
     """match_key and new_id of every unit (match_key, sort_key).
 
     IDs given before stay.  New ones are PREFIX-NNN, numbered in natural order
-    after the highest number in use, so no number can be taken.  Units are
-    studies, a few bytes each: numbering ranges of them by sort key needs each
-    range's size alone.
+    after the highest number in use, so no number can be taken.  Ranges are
+    units whose keys begin alike; the shortest beginning that gives about as
+    many ranges as a range has units is taken, so neither the one task that
+    numbers the ranges nor any that numbers a range's units gets many rows.
     """
     known = units.join(existing.select("match_key", F.col("new_id").alias("old_id")), "match_key", "left")
     used = existing.select("new_id").unionByName(taken.select("new_id"))
     number = F.regexp_extract(F.upper("new_id"), f"^{prefix.upper()}-([0-9]+)$", 1)
     highest = used.select(F.coalesce(F.max(number.try_cast("long")), F.lit(0)).alias("highest"), F.lit(1).alias("one"))
     fresh = known.where("old_id IS NULL").withColumn("key", natural_key(F.col("sort_key")))
-    bucket = F.substring("key", 1, 12)
-    fresh = fresh.withColumn("range", bucket)
+    fresh = fresh.withColumn("range", F.substring("key", 1, beginning(fresh)))
     sizes = fresh.groupBy("range").agg(F.count("*").alias("n"))
     before = sizes.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("range", "before")
     placed = fresh.join(before, "range").withColumn("nth", F.row_number().over(Window.partitionBy("range").orderBy("key", "match_key")) + F.col("before"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,7 +34,12 @@ def text_patterns(text: Column, dates: bool = True) -> dict[str, Column]:
 
 
 def element_findings(elements: DataFrame, profile: P.Profile = P.Profile()) -> DataFrame:
-    """instance_id, kind and detail of what single elements give away; one pass over them."""
+    """instance_id, kind and detail of what single elements give away; one pass over them.
+
+    Few elements of an output give anything away, so they are filtered by all
+    rules together before findings are made of the rest; texts without a digit
+    never meet a pattern.
+    """
     k, v, vr = F.col("keyword"), F.col("value"), F.col("vr")
     data, top, full = F.col("grp") == "data", ~F.col("path").contains("]."), F.col("value") != ""
     pair = F.concat(k, F.lit("="), v)
@@ -40,7 +47,8 @@ def element_findings(elements: DataFrame, profile: P.Profile = P.Profile()) -> D
     empty = EMPTY + ["InstitutionName"] * (not profile.keep_institution) + ["Manufacturer", "ManufacturerModelName"] * (not profile.keep_manufacturer) + ["StudyDescription"] * (not profile.study_description)
     real = F.lit(not profile.shift_dates)
     plain = data & ~F.col("is_private")
-    foreign = F.exists(F.split(v, r"\\"), lambda x: ~(x.startswith("2.25.") | x.startswith(P.STANDARD_UID_PREFIX) | (x == "")))
+    own = lambda x: x.startswith("2.25.") | x.startswith(P.STANDARD_UID_PREFIX) | (x == "")
+    foreign = F.when(v.contains("\\"), F.exists(F.split(v, r"\\"), lambda x: ~own(x))).otherwise(~own(v))
     rules: list[tuple[Column, str, Column]] = [
         (data & F.col("is_private"), "private tag present", F.col("path")),
         (plain & (vr == "DA") & full & (v != P.DUMMY_DATE) & real, "real date", pair),
@@ -59,10 +67,11 @@ def element_findings(elements: DataFrame, profile: P.Profile = P.Profile()) -> D
         rules.append((plain & top & (k == "StudyDescription") & ~v.isin("", profile.study_description[:64]), "attribute should match profile", pair))
     if profile.keep_age_5y:
         rules.append((plain & top & (k == "PatientAge") & ~v.rlike("^[0-9]{3}Y$"), "age not bucketed", pair))
-    text = plain & vr.isin(P.TEXT_VRS) & full
+    text = plain & vr.isin(P.TEXT_VRS) & full & v.rlike("[0-9]")
     rules += [(text & holds & ((k != "DeidentificationMethod") | F.lit(kind != "date-shaped text")), kind, k) for kind, holds in text_patterns(v, not profile.shift_dates).items()]
     found = F.array_compact(F.array(*(F.when(holds, F.struct(F.lit(kind).alias("kind"), detail.alias("detail"))) for holds, kind, detail in rules)))
-    return elements.withColumn("keyword", keyword()).select("instance_id", F.explode(found).alias("f")).select("instance_id", "f.kind", "f.detail")
+    suspect = elements.withColumn("keyword", keyword()).where(reduce(Column.__or__, (holds for holds, _, _ in rules)))
+    return suspect.select("instance_id", F.explode(found).alias("f")).select("instance_id", "f.kind", "f.detail")
 
 
 def object_findings(elements: DataFrame, profile: P.Profile = P.Profile()) -> DataFrame:
@@ -103,14 +112,15 @@ def needle_hits(swept: DataFrame, needles: DataFrame, gram: int = 4) -> DataFram
 
     PatientName and PatientID may equal one.  A needle can only occur where its
     first `gram` characters do, so texts meet needles by an equi-join on
-    these, and a needle list of any length needs no nested loop.
+    these, and a needle list of any length needs no nested loop.  Each distinct
+    text is searched once, since a cohort repeats its texts in every object.
     """
-    own = swept.withColumn("row", F.xxhash64("instance_id", "keyword", "text"))
-    pieces = own.select("instance_id", "keyword", "text", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length("text") - gram + 1, F.lit(1))), lambda i: F.substr(F.col("text"), i, F.lit(gram))))).alias("head"))
+    pieces = swept.select("text").distinct().select("text", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length("text") - gram + 1, F.lit(1))), lambda i: F.substr(F.col("text"), i, F.lit(gram))))).alias("head"))
     keyed = needles.where(F.length("needle") >= gram).withColumn("head", F.substring("needle", 1, gram))
     inside = F.contains("text", F.col("needle"))
     identity = F.col("keyword").isin("PatientName", "PatientID")
-    return pieces.join(keyed, "head").where(inside & (~identity | (F.col("text") != F.col("needle")))).select("instance_id", "keyword", "needle").distinct()
+    found = pieces.join(keyed, "head").where(inside).select("text", "needle").distinct()
+    return swept.join(found, "text").where(~identity | (F.col("text") != F.col("needle"))).select("instance_id", "keyword", "needle").distinct()
 
 
 def name_part_hits(swept: DataFrame, parts: DataFrame) -> DataFrame:

@@ -103,7 +103,7 @@ def json_elements(spark, sf):
 
 
 def json_headers(spark, sf):
-    return dicom_json.wide(dicom_json.dicom_only(dicom_json.elements(objects_json(spark, sf)))).select("instance_id", "patient_name", "instance_number", "slice_mm", "phase")
+    return dicom_json.wide(dicom_json.elements(objects_json(spark, sf))).where("sop_class_uid IS NOT NULL").select("instance_id", "patient_name", "instance_number", "slice_mm", "phase")
 
 
 def default_windows(spark, sf):

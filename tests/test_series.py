@@ -3,7 +3,10 @@ import pytest
 from cohortveil.operators import intake, series
 
 SCHEMA = "study_id string, series_uid string, n_files long, sample string, series_number int, description string, modality string, sop_class_uid string, image_type string, slice_mm double, fov_mm double, kernel string, contrast string, phase double, frames int, burned_in string"
-BASE = {"study_id": "P1", "series_uid": "u1", "n_files": 300, "sample": "f", "series_number": 5, "description": "CorCTA 75%", "modality": "CT", "sop_class_uid": "1.2.840.10008.5.1.4.1.1.2", "image_type": "ORIGINAL\\PRIMARY\\AXIAL", "slice_mm": 0.75, "fov_mm": 200.0, "kernel": "B26f", "contrast": "Y", "phase": None, "frames": 0, "burned_in": None}
+BASE = {
+    "study_id": "P1", "series_uid": "u1", "n_files": 240, "sample": "f", "series_number": 8, "description": "Heart angio thin", "modality": "CT", "sop_class_uid": "1.2.840.10008.5.1.4.1.1.2", "image_type": "ORIGINAL\\PRIMARY\\AXIAL",
+    "slice_mm": 0.6, "fov_mm": 180.0, "kernel": "K21", "contrast": "iodine", "phase": None, "frames": 0, "burned_in": None,
+}
 
 
 def table(spark, *rows):
@@ -11,19 +14,25 @@ def table(spark, *rows):
     return spark.createDataFrame([tuple(r[c.split()[0]] for c in SCHEMA.split(", ")) for r in full], SCHEMA)
 
 
+FINE = "coronary recon: 0.6 mm, FOV 180, K21"
+
+
 @pytest.mark.parametrize(
     ("change", "verdict", "reason"),
     [
-        ({}, "keep", "coronary recon: 0.75 mm, FOV 200, B26f"),
-        ({"slice_mm": 1.0}, "drop", "1 mm slices"),
-        ({"fov_mm": 350.0, "kernel": "B70f"}, "drop", "FOV 350 mm (chest recon); kernel B70f"),
-        ({"n_files": 40}, "drop", "only 40 images"),
-        ({"n_files": 1, "frames": 120}, "keep", "coronary recon: 0.75 mm, FOV 200, B26f"),
-        ({"description": "SNAPSHOT PULSE"}, "keep", "coronary recon: 0.75 mm, FOV 200, B26f"),
-        ({"description": "MPR snapshot"}, "drop", "description 'mpr'"),
-        ({"contrast": "", "description": "Series 5"}, "maybe", "coronary recon: 0.75 mm, FOV 200, B26f - no contrast agent / cardiac phase in header"),
-        ({"slice_mm": None, "fov_mm": None, "kernel": None}, "keep", "coronary recon: unknown mm"),
-        ({"modality": "SR", "sop_class_uid": "1.2.840.10008.5.1.4.1.1.88.67", "image_type": None}, "drop", "not a CT image (SR)"),
+        ({"slice_mm": 0.8, "fov_mm": 260.0, "n_files": 100}, "keep", "coronary recon: 0.8 mm, FOV 260, K21"),
+        ({"n_files": 99, "frames": 99, "slice_mm": 2.25}, "drop", "2.25 mm slices; only 99 images"),
+        ({"n_files": 2, "frames": 100}, "keep", FINE),
+        ({"fov_mm": 261.0}, "drop", "FOV 261 mm (chest recon)"),
+        ({"fov_mm": 0.0, "kernel": ""}, "keep", "coronary recon: 0.6 mm"),
+        ({"slice_mm": None}, "keep", "coronary recon: unknown mm, FOV 180, K21"),
+        ({"kernel": "xLUNGy", "description": "Late phase, sagittal"}, "drop", "kernel xLUNGy; description 'late phase'"),
+        ({"description": "snap  shot burst heart cta"}, "keep", FINE),
+        ({"contrast": None, "description": "thin 4"}, "maybe", FINE + " - no contrast agent / cardiac phase in header"),
+        ({"contrast": None, "description": "thin 4", "phase": 40.0}, "keep", FINE),
+        ({"image_type": "derived\\primary"}, "drop", "localiser/derived"),
+        ({"modality": None, "sop_class_uid": None}, "drop", "not a CT image (?)"),
+        ({"modality": "CT", "sop_class_uid": "1.2.840.10008.5.1.4.1.1.88.99"}, "drop", "not a CT image (CT)"),
     ],
 )
 def test_rule(spark, change, verdict, reason):
