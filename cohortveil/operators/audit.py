@@ -46,6 +46,23 @@ def run_totals(summary: DataFrame) -> DataFrame:
     return counted.crossJoin(first.agg(F.array_join(F.sort_array(F.collect_list("study_id")), ", ").alias("first_empty")))
 
 
+def shown_first(names: DataFrame, column: str, most: int = 20) -> DataFrame:
+    """One row: the first `most` distinct names in order, comma-joined, and how many more there are, in words.
+
+    Each task passes on its first `most`; the rest is a count.
+    """
+    own = names.select(F.col(column).alias("name")).where("name IS NOT NULL").distinct()
+    first = own.orderBy("name").limit(most).agg(F.array_join(F.sort_array(F.collect_list("name")), ", ").alias("shown"))
+    left = F.col("names") - most
+    return own.agg(F.count("*").alias("names")).join(first).select("names", F.concat("shown", F.when(left > 0, F.concat(F.lit(" and "), left.cast("string"), F.lit(" more"))).otherwise("")).alias("shown"))
+
+
+def tick_counts(selection: DataFrame) -> DataFrame:
+    """How many series are ticked for each study, and as a study of null for all, with how many studies."""
+    ticked = selection.select("study_id", "series_uid").distinct().groupBy("study_id").agg(F.count("*").alias("ticked"))
+    return ticked.withColumn("studies", F.lit(1).cast("long")).unionByName(ticked.agg(F.lit(None).cast("string").alias("study_id"), F.coalesce(F.sum("ticked"), F.lit(0)).alias("ticked"), F.count("*").alias("studies")))
+
+
 def newest(rows: DataFrame, keys: list[str], run: str = "run") -> DataFrame:
     """The row of the newest run of each key; a partial aggregate, no sort."""
     rest = [c for c in rows.columns if c not in keys]

@@ -70,6 +70,12 @@ def skipped(files: DataFrame, skips: DataFrame) -> DataFrame:
     return by_skips(files, skips, "left_semi")
 
 
+def reusable(existing: DataFrame, outputs: DataFrame) -> DataFrame:
+    """IDs given before whose study is in the output, complete or not; others pin nothing."""
+    there = outputs.select(safe_name(F.col("study_id")).alias("folder")).distinct()
+    return existing.withColumn("folder", safe_name(F.col("new_id"))).join(there, "folder", "left_semi").select(*existing.columns)
+
+
 def beginning(keyed: DataFrame, lengths: range = range(4, 68, 4)) -> int:
     """The shortest length at which the beginnings of `key` are at least the square root of the rows in number."""
     counts = keyed.agg(F.count("*").alias("rows"), *(F.approx_count_distinct(F.substring("key", 1, n)).alias(f"n{n}") for n in lengths)).first()

@@ -52,6 +52,17 @@ def is_mixed(found: DataFrame) -> DataFrame:
     return found.join(inner, "folder").where("patient <> other").agg((F.count("*") > 0).alias("mixed"))
 
 
+def headline(found: DataFrame) -> DataFrame:
+    """One row on the units of a scan: patients, units, series, images, what a unit is called, and a sentence."""
+    totals = found.agg(F.countDistinct(F.coalesce("patient", "folder")).alias("patients"), F.count("*").alias("units"), F.coalesce(F.sum("series"), F.lit(0)).alias("series"), F.coalesce(F.sum("files"), F.lit(0)).alias("images"))
+    said = lambda n, one, many: F.concat(F.col(n).cast("string"), F.when(F.col(n) == 1, f" {one}").otherwise(f" {many}"))
+    alone = F.col("patients") == F.col("units")
+    who = F.when(alone, said("patients", "patient", "patients")).otherwise(F.concat(said("units", "study", "studies"), F.lit(" from "), F.col("patients").cast("string"), F.lit(" patients")))
+    told = F.concat(F.lit("Found "), who, F.lit(": "), F.col("series").cast("string"), F.lit(" series, "), F.format_number("images", 0), F.lit(" images."))
+    noun = F.when(alone, F.when(F.col("units") == 1, "patient").otherwise("patients")).otherwise(F.when(F.col("units") == 1, "study").otherwise("studies"))
+    return totals.select("*", noun.alias("noun"), F.when(F.col("units") == 0, "No DICOM scans were found in this folder.").otherwise(told).alias("headline"))
+
+
 def kinds(series: DataFrame) -> DataFrame:
     """The same sort of series across studies: modality, description and thickness, with counts and a note."""
     key = [F.col("modality"), norm_desc(F.col("description")).alias("kind"), F.round("slice_mm", 2).alias("slice_mm")]

@@ -252,6 +252,25 @@ def skip_hits(spark, sf):
     return audit.skip_hits(identity.skipped(own, own.where("l_linenumber = 2").select("path")))
 
 
+def scan_headline(spark, sf):
+    return intake.headline(Q.study_units(spark, sf))
+
+
+def reused_ids(spark, sf):
+    """New IDs where an earlier one holds only if its study is in the output."""
+    outputs = table(spark, sf, "supplier").where("s_suppkey % 2 = 0").selectExpr("'ANON-' || lpad(CAST(s_suppkey AS STRING), 3, '0') AS study_id")
+    kept = identity.reusable(Q.given(spark, sf), outputs)
+    return identity.assign_ids(Q.unit_rows(spark, sf).select("match_key", "sort_key"), kept, outputs.select(F.col("study_id").alias("new_id")))
+
+
+def first_names(spark, sf):
+    return audit.shown_first(table(spark, sf, "customer").where("c_acctbal < 0"), "c_name", 4)
+
+
+def tick_counts(spark, sf):
+    return audit.tick_counts(Q.selection(spark, sf))
+
+
 def run_output(spark, sf):
     """A whole run over the stand-in's objects: what it wrote, by object."""
     e = Q.with_study(spark, sf).drop("study_id", "o_custkey")
@@ -264,6 +283,6 @@ def run_output(spark, sf):
 
 NAMES = """remap_paths redact_paths split_needles profile_slugs time_left unit_labels policy_use tag_policy_texts verify_texts json_elements json_headers default_windows
 quarantine_release redaction_log wanted_files earlier_outputs mapping_file pair_files skip_file checksum_file linkage_words report_status confidential_files attestation_text
-not_this_run survey_copies case_mismatch coronary_summary output_series ticked_kinds selection_table pick_override middle_files started_studies skip_hits run_output""".split()
+not_this_run survey_copies case_mismatch coronary_summary output_series ticked_kinds selection_table pick_override middle_files started_studies skip_hits scan_headline reused_ids first_names tick_counts run_output""".split()
 
 QUERIES = {name: globals()[name] for name in NAMES}
