@@ -29,15 +29,17 @@ from pyspark.sql import functions as F
 
 from . import repeats
 from .batches import as_bytes, map_batches, stored
-from .repeats import KEY, OPEN, RESOLVED, SOURCE, Spec, Symbols
+from .repeats import ENDS, KEY, OPEN, RESOLVED, SOURCE, Spec, Symbols
 
 WINDOW, GRAM = 13, 4
 PLACE = ["did", "tag", "first", "count"]
+#: Marks a run that is a source and has its ends.
+ENDED = 8
 
 
-def placed(rows: DataFrame) -> DataFrame:
-    """home and run, a kind's name, and where the row lies: did, tag, first and count."""
-    return rows.select("home", "run", *KEY, F.shiftright("mark", 8).alias("first"), F.col("mark").bitwiseAND(F.lit(0xFF)).alias("count"))
+def placed(rows: DataFrame, *more: str) -> DataFrame:
+    """home and run, a kind's name, where the row lies (did, tag, first and count), and further columns."""
+    return rows.select("home", "run", *KEY, F.shiftright("mark", 8).alias("first"), F.col("mark").bitwiseAND(F.lit(0xFF)).alias("count"), *more)
 
 
 def gathered(rows: DataFrame, *columns: str) -> DataFrame:
@@ -144,10 +146,12 @@ def passage_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, with_
     own = repeats.told_apart(docs)
     texts = own.repartition(*KEY)
     runs = stored(repeats.compared(repeats.run_rows(own, spec), spec.rule))
-    edges = stored(repeats.compared(repeats.window_rows(repeats.open_texts(texts, repeats.having(runs, OPEN)), spec), spec.rule))
-    both = runs.unionByName(edges)
-    paths = compacted(segments(texts, placed(repeats.having(both, SOURCE)), spec))
-    found = stored(spans(placed(repeats.having(both, RESOLVED)), paths))
+    # One job visits the texts for both, so one exchange of them serves it: edges of open runs, and ends of runs that are sources.
+    edges = repeats.compared(repeats.window_rows(repeats.open_texts(texts, repeats.having(runs, OPEN)), spec, *ENDS), spec.rule).select("home", "run", *KEY, "mark", *ENDS, "what")
+    ends = segments(texts, placed(repeats.having(runs, SOURCE)), spec).select("home", "run", *KEY, F.shiftleft("first", 8).bitwiseOR(F.col("count")).alias("mark"), *ENDS, F.lit(ENDED).cast("byte").alias("what"))
+    cut = stored(edges.unionByName(ends))
+    paths = compacted(placed(repeats.having(cut, SOURCE | ENDED), *ENDS))
+    found = stored(spans(placed(repeats.having(runs, RESOLVED)).unionByName(placed(repeats.having(cut, RESOLVED))), paths))
     marks = gathered(stated(texts, found, window), "first", "count", "words")
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text
 

@@ -146,8 +146,8 @@ def whole(lengths: np.ndarray, size: int = 1 << 18):
 def settle_here(rule: str, bucket: np.ndarray, run: np.ndarray, doc: np.ndarray, tag: np.ndarray, mark: np.ndarray):
     """Merge one task's equal runs: what still has to be compared elsewhere, and what is settled.
 
-    Returns bucket, home, run, doc, tag, mark and state; home and run name a
-    kind of run for good.  Under "any", equal runs settle each other and one of
+    Returns bucket, home, run, doc, tag, mark, state and the order that they
+    were brought into; home and run name a kind of run for good.  Under "any", equal runs settle each other and one of
     them goes on for all.  Under "smaller", the smallest document goes on and
     the others are settled.  Settled rows get a random bucket, so they are
     dealt evenly.
@@ -167,19 +167,21 @@ def settle_here(rule: str, bucket: np.ndarray, run: np.ndarray, doc: np.ndarray,
     over = state == SETTLED
     home = bucket.copy()
     bucket[over] = mix(doc[over].astype(U) * U(31) + mark[over].astype(U) + tag[over].view(U))
-    return bucket, home, run, doc, tag, mark, state
+    return bucket, home, run, doc, tag, mark, state, order
 
 
-def rows_of(bucket, home, run, doc, tag, mark, state) -> pa.RecordBatch:
+def rows_of(bucket, home, run, doc, tag, mark, state, order, **more) -> pa.RecordBatch:
     longs = [pa.array(x.view(np.int64)) for x in (bucket, home, run, doc, tag, mark)]
-    return pa.RecordBatch.from_arrays([*longs, pa.array(state)], ["bucket", "home", "run", "did", "tag", "mark", "state"])
+    return pa.RecordBatch.from_arrays([*longs, pa.array(state), *(pa.array(x[order].view(np.int64)) for x in more.values())], ["bucket", "home", "run", "did", "tag", "mark", "state", *more])
 
 
-def no_rows() -> pa.RecordBatch:
-    return rows_of(*(np.zeros(0, t) for t in (U, U, U, np.int64, np.int64, np.int64, np.int8)))
+def no_rows(*more: str) -> pa.RecordBatch:
+    return rows_of(*(np.zeros(0, t) for t in (U, U, U, np.int64, np.int64, np.int64, np.int8, np.int64)), **{c: np.zeros(0, np.int64) for c in more})
 
 
 ROWS = "bucket long, home long, run long, did long, tag long, mark long, state byte"
+#: The nodes of a window: its symbols but the last, and its symbols but the first.
+ENDS = ("start", "end")
 
 
 def run_rows(docs: DataFrame, spec: Spec) -> DataFrame:
@@ -236,8 +238,9 @@ def compared(rows: DataFrame, rule: str) -> DataFrame:
             .withColumn("source", alive & (F.col("nth") == 1) & (F.col("most") > F.col("least")))
         )
     bit = lambda c, value: F.when(F.col(c), value).otherwise(0)
+    ends = [c for c in ENDS if c in rows.columns]
     what = bit("done", RESOLVED) + bit("open", OPEN) + bit("source", SOURCE)
-    return seen.select("home", "run", "did", "tag", "mark", what.cast("byte").alias("what"), (F.col("kinds") > WIDE).alias("wide")).where("what > 0")
+    return seen.select("home", "run", "did", "tag", "mark", *ends, what.cast("byte").alias("what"), (F.col("kinds") > WIDE).alias("wide")).where("what > 0")
 
 
 def having(rows: DataFrame, bit: int) -> DataFrame:
@@ -252,8 +255,8 @@ def with_marks(docs: DataFrame, marks: DataFrame, how: str) -> DataFrame:
     return docs.join(marks.hint("shuffle_hash"), KEY, how)
 
 
-def window_rows(texts: DataFrame, spec: Spec) -> DataFrame:
-    """Each window of the open runs as a row of its own; texts have lists `marks` and `buckets`."""
+def window_rows(texts: DataFrame, spec: Spec, *ends: str) -> DataFrame:
+    """Each window of the open runs as a row of its own, with ENDS if wanted; texts have lists `marks` and `buckets`."""
 
     def work():
         symbols = Symbols(spec)
@@ -265,17 +268,18 @@ def window_rows(texts: DataFrame, spec: Spec) -> DataFrame:
                 at = np.repeat(first - np.cumsum(count) + count, count) + np.arange(count.sum())
                 bucket = np.repeat(np.array(buckets.values, np.int64).view(U), count)
                 # The bucket's gram and the whole window: two fingerprints of different extent.
-                run = symbols.one(text).span(at, at + spec.window)
-                out.append((bucket, run, np.full(len(at), did), np.full(len(at), tag), pack(at, np.ones(len(at), np.int64))))
+                own = symbols.one(text)
+                nodes = [own.span(at + k, at + k + spec.window - 1) for k in range(len(ends))]
+                out.append((bucket, own.span(at, at + spec.window), np.full(len(at), did), np.full(len(at), tag), pack(at, np.ones(len(at), np.int64)), *nodes))
             if not out:
-                return no_rows()
-            bucket, run, doc, tag, mark = (np.concatenate(x) for x in zip(*out, strict=True))
+                return no_rows(*ends)
+            bucket, run, doc, tag, mark, *nodes = (np.concatenate(x) for x in zip(*out, strict=True))
             # Windows are dealt by bucket and content together, which spreads a wide bucket.
-            return rows_of(*settle_here(spec.rule, mix(bucket ^ mix(run)), run, doc, tag, mark))
+            return rows_of(*settle_here(spec.rule, mix(bucket ^ mix(run)), run, doc, tag, mark), **dict(zip(ends, nodes, strict=True)))
 
         return step
 
-    return map_batches(texts.select("doc_id", "did", "tag", "text", "marks", "buckets"), work, ROWS)
+    return map_batches(texts.select("doc_id", "did", "tag", "text", "marks", "buckets"), work, ROWS + "".join(f", {c} long" for c in ends))
 
 
 def bucket_pointers(symbols: np.ndarray, ends: np.ndarray, depth: int, q: int = 8) -> np.ndarray:

@@ -85,9 +85,10 @@ def test_nonbranching_paths_become_one_span(spark):
     def found(rows):
         own = repeats.told_apart(spark.createDataFrame(rows, "doc_id long, text string"))
         runs = repeats.compared(repeats.run_rows(own, spec), spec.rule)
-        edges = repeats.compared(repeats.window_rows(repeats.open_texts(own, repeats.having(runs, repeats.OPEN)), spec), spec.rule)
-        both = runs.unionByName(edges)
-        paths = debruijn.compacted(debruijn.segments(own, debruijn.placed(repeats.having(both, repeats.SOURCE)), spec))
+        edges = repeats.compared(repeats.window_rows(repeats.open_texts(own, repeats.having(runs, repeats.OPEN)), spec, *repeats.ENDS), spec.rule)
+        whole = debruijn.segments(own, debruijn.placed(repeats.having(runs, repeats.SOURCE)), spec)
+        paths = debruijn.compacted(whole.unionByName(debruijn.placed(repeats.having(edges, repeats.SOURCE), *repeats.ENDS)))
+        both = runs.select("home", "run", "did", "tag", "mark", "what").unionByName(edges.select("home", "run", "did", "tag", "mark", "what"))
         spans = debruijn.spans(debruijn.placed(repeats.having(both, repeats.RESOLVED)), paths)
         return sorted((x["did"], x["first"], x["count"], x["s_did"], x["s_first"]) for x in spans.collect())
 
