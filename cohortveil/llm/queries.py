@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import backoff, debruijn, decontaminate, language, near_dedup, pieces, quality_model, quality_rules, secrets, suffix_dedup
+from . import backoff, conversations, debruijn, decontaminate, language, near_dedup, pieces, quality_model, quality_rules, secrets, suffix_dedup
 from .sql import SQL
 
 
@@ -62,6 +62,10 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_groups(table(spark, sf_dir, "documents"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repair(*conversations.damaged(table(spark, sf_dir, "conversations")))
+
+
 QUERIES = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_language": op2_language,
@@ -73,6 +77,7 @@ QUERIES = {
     "op8_quality_rules": op8_quality_rules,
     "op9_decontaminate": op9_decontaminate,
     "op10_near_dedup": op10_near_dedup,
+    "op11_conversation_repair": op11_conversation_repair,
 }
 
 __all__ = ["QUERIES", "SQL"]

@@ -64,3 +64,46 @@ def near_groups(rows, size=5, share=75):
     for i, (d, _) in enumerate(rows):
         least[root(i)] = min(least.get(root(i), d), d)
     return [(d, len(s), least[root(i)], d == least[root(i)]) for i, ((d, _), s) in enumerate(zip(rows, sets))]
+
+
+def repair(rows):
+    """Conversation id to the contract's values, for rows (conv, turn, role, text) after damage, in order."""
+    import re
+
+    goes = {0: {"s": 1, "u": 2}, 1: {"u": 2}, 2: {"a": 3}, 3: {"u": 2}}
+    fill = {0: ("user", 2), 1: ("user", 2), 2: ("assistant", 3), 3: ("user", 2)}
+    by = defaultdict(list)
+    for conv, turn, role, text in rows:
+        by[conv].append((turn, role, text))
+    out = {}
+    for conv, own in by.items():
+        seen, faults = set(), []
+        for _, role, text in own:
+            end = re.sub(r"[\x20\x09-\x0D]", "", text)
+            faults.append("blank" if not end else "duplicate" if (role, text) in seen else "truncated" if end[-1] not in ".!?" else "")
+            seen.add((role, text))
+        best = {0: (0, "", []), 3: (0, "", [])}
+        for k in reversed(range(-1, len(own))):
+            for _ in range(3):
+                for s, (role, t) in fill.items():
+                    if t in best:
+                        best[s] = min(best.get(s, (10**9,)), (best[t][0] + 3, "I" + best[t][1], [f"{role}:", *best[t][2]]))
+            if k < 0:
+                break
+            _, role, text = own[k]
+            more, now = 3 * (faults[k] == "truncated"), {}
+            for s in range(4):
+                ways = [(best[s][0] + 4, "D" + best[s][1], best[s][2])]
+                if faults[k] not in ("blank", "duplicate"):
+                    name, t = fill[s]
+                    ways.append((best[t][0] + 3 + more, "R" + best[t][1], [f"{name}:{text}", *best[t][2]]))
+                    if role[:1] in goes[s]:
+                        t = goes[s][role[:1]]
+                        ways.append((best[t][0] + more, "K" + best[t][1], [f"{role}:{text}", *best[t][2]]))
+                now[s] = min(ways)
+            best = now
+        turns = {t for t, _, _ in own if t is not None}
+        initials = [r[:1] for _, r, _ in own]
+        cost, audit, lines = best[0]
+        out[conv] = (max(turns) - min(turns) + 1 - len(turns) if turns else 0, *(faults.count(f) for f in ("blank", "duplicate", "truncated")), sum(a + b not in ("su", "ua", "au") for a, b in zip(initials, initials[1:])), cost, audit, sha256("\n".join(lines).encode()).hexdigest())
+    return out
