@@ -54,4 +54,13 @@ SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, least(d.doc_id, coalesce(m, d.d
 FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN (SELECT a, min(b) AS m FROM r GROUP BY a) c ON c.a = d.doc_id
 """
 
-SQL = {"op3_substring_dedup": OP3, "op5_backoff_scores": OP5, "op9_decontaminate": OP9, "op10_near_dedup": OP10}
+OP13 = """
+WITH v AS (SELECT vec_id, list_transform(embedding, x -> floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0)
+SELECT query_id, rank, vec_id, CAST(score AS BIGINT) AS score FROM (
+  SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM (
+    SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.v, c.v) AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0) x) y
+WHERE rank <= 5
+"""
+
+SQL = {"op3_substring_dedup": OP3, "op5_backoff_scores": OP5, "op9_decontaminate": OP9, "op10_near_dedup": OP10, "op13_top_k": OP13}
