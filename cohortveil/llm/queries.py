@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import backoff, conversations, debruijn, decontaminate, language, near_dedup, pieces, quality_model, quality_rules, secrets, suffix_dedup, top_k
+from . import backoff, conversations, debruijn, decontaminate, language, near_dedup, pieces, quality_model, quality_rules, secrets, spelling, suffix_dedup, top_k
 from .sql import SQL
 
 
@@ -66,6 +66,10 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.repair(*conversations.damaged(table(spark, sf_dir, "conversations")))
 
 
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))
+
+
 def op13_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
@@ -82,6 +86,7 @@ QUERIES = {
     "op9_decontaminate": op9_decontaminate,
     "op10_near_dedup": op10_near_dedup,
     "op11_conversation_repair": op11_conversation_repair,
+    "op12_spelling_variants": op12_spelling_variants,
     "op13_top_k": op13_top_k,
 }
 
