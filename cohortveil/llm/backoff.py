@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .batches import as_bytes, document_texts, map_batches
-from .rolling import Roller, byte_values, word_bounds
+from .rolling import Roller, word_bounds, word_values
 
 U = np.uint64
 ORDER, ALPHA = 3, 0.4
@@ -61,11 +61,10 @@ class Block:
     """One block's words, and what is known of its n-grams so far."""
 
     def __init__(self, texts: list[bytes]):
-        values, letters, words = byte_values(), Roller(), Roller()
-        hashes = []
+        words, hashes = Roller(), []
         for text in texts:
             a = np.frombuffer(text.lower(), np.uint8)
-            hashes.append(letters.load(values[a]).span(*word_bounds(a)) if len(a) else np.zeros(0, U))
+            hashes.append(word_values(a, *word_bounds(a)))
         self.sizes = np.array([len(h) for h in hashes], np.int64)
         self.words = words.load(np.concatenate([*hashes, np.zeros(0, U)]))
         n = int(self.sizes.sum())

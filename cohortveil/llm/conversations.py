@@ -176,9 +176,10 @@ def prepared(df: DataFrame, copies: Column | None = None) -> DataFrame:
     one = F.lit(1) if copies is None else copies
     role, text = (F.when(one > 0, F.coalesce(F.col(c).cast("string"), F.lit(" "))) for c in ("role", "text"))
     rows = df.select(F.col("conv_id").alias("conv"), F.when(one > 0, F.col("turn").cast("long")).alias("turn"), role.alias("role"), text.alias("text"), one.cast("long").alias("copies"))
-    counted = rows.groupBy("conv", "turn", "role", "text").agg(F.sum("copies").alias("copies")).withColumn("same", F.md5(F.concat(F.length("role").cast("string"), F.lit(":"), "role", "text")))
+    same = F.md5(F.concat(F.length("role").cast("string"), F.lit(":"), "role", "text")).alias("same")
     when = F.struct(F.col("turn").isNotNull().alias("known"), F.coalesce("turn", F.lit(0)).alias("turn"))
-    first = counted.where("copies > 0").groupBy("conv", "same").agg(F.min(when).alias("first")).select(F.col("conv").alias("c"), F.col("same").alias("s"), "first.known", F.col("first.turn").alias("t"))
+    first = rows.where("copies > 0").select("conv", same, when.alias("when")).groupBy("conv", "same").agg(F.min("when").alias("first")).select(F.col("conv").alias("c"), F.col("same").alias("s"), "first.known", F.col("first.turn").alias("t"))
+    counted = rows.groupBy("conv", "turn", "role", "text").agg(F.sum("copies").alias("copies")).withColumn("same", same)
     own = counted.withColumns({"has_turn": F.col("turn").isNotNull(), "turn_or_0": F.coalesce("turn", F.lit(0))})
     met = own.join(first, F.col("conv").eqNullSafe(F.col("c")) & (F.col("same") == F.col("s")) & (F.col("has_turn") == F.col("known")) & (F.col("turn_or_0") == F.col("t")), "left")
     order = [F.col("conv").asc_nulls_first(), F.col("turn").asc_nulls_first(), F.substring("role", 1, 64), F.substring("text", 1, 64), F.col("same")]

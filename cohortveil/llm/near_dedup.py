@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from .batches import NO_ID, as_bytes, map_batches, stored
 from .components import components
 from .repeats import ided, whole
-from .rolling import Roller, byte_values, mix, word_bounds
+from .rolling import Roller, mix, word_bounds, word_values
 
 U = np.uint64
 SIZE, SHARE = 5, 75
@@ -47,8 +47,7 @@ class Shingler:
     """Sorted distinct shingle fingerprints of texts."""
 
     def __init__(self, size: int):
-        self.size, self.values = size, byte_values()
-        self.bytes, self.words = Roller(), Roller()
+        self.size, self.words = size, Roller()
 
     def sets(self, texts: list[bytes]):
         """For each text its shingle set; words are lower-cased (A-Z)."""
@@ -56,7 +55,7 @@ class Shingler:
             a = np.frombuffer(b"".join(texts[d].lower() + b" " for d, _, _ in group), np.uint8)
             cuts = np.cumsum([e + 1 for _, _, e in group])
             starts, stops = word_bounds(a)
-            self.words.load(self.bytes.load(self.values[a]).span(starts, stops))
+            self.words.load(word_values(a, starts, stops))
             at = np.concatenate(([0], np.searchsorted(starts, cuts)))
             for lo, hi in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
                 if lo == hi:

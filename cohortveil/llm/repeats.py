@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .batches import NO_ID, as_bytes, map_batches, stored
-from .rolling import Roller, byte_values, minimizer_runs, mix, pieces, word_bounds
+from .rolling import ByteRoller, Roller, minimizer_runs, mix, pieces, word_bounds, word_values
 
 U = np.uint64
 #: Symbols that one call of minimizer_runs takes at most.
@@ -81,16 +81,15 @@ class Symbols:
     """The fingerprint arrays of texts, piece by piece."""
 
     def __init__(self, spec: Spec):
-        self.spec, self.values = spec, byte_values()
-        self.bytes, self.words = Roller(), Roller()
+        self.spec = spec
+        self.bytes, self.words = ByteRoller(min(8, spec.gram)), Roller()
 
     def one(self, text: bytes) -> Roller:
         """Prefix sums over the symbols of one text."""
         a = np.frombuffer(text, np.uint8)
-        self.bytes.load(self.values[a])
         if self.spec.symbols == "bytes":
-            return self.bytes
-        return self.words.load(self.bytes.span(*word_bounds(a)))
+            return self.bytes.load(a)
+        return self.words.load(word_values(a, *word_bounds(a)))
 
     def runs(self, texts: list[bytes]):
         """For each piece: document numbers, bucket, first window, windows, and run fingerprint of its runs."""
@@ -101,12 +100,11 @@ class Symbols:
             doc = np.array([g[0] for g in group])
             a = np.frombuffer(b"".join(texts[d][s:e] if by_bytes else texts[d] + b" " for d, s, e in group), np.uint8)
             ends = np.cumsum([e - s + (not by_bytes) for _, s, e in group])
-            self.bytes.load(self.values[a])
             if by_bytes:
-                roller, begins = self.bytes, np.concatenate(([0], ends[:-1])) - np.array([g[1] for g in group])
+                roller, begins = self.bytes.load(a), np.concatenate(([0], ends[:-1])) - np.array([g[1] for g in group])
             else:
                 starts, stops = word_bounds(a)
-                roller = self.words.load(self.bytes.span(starts, stops))
+                roller = self.words.load(word_values(a, starts, stops))
                 ends = np.searchsorted(starts, ends)
                 begins = np.concatenate(([0], ends[:-1]))
             sizes = np.diff(np.concatenate(([0], ends)))

@@ -1,9 +1,12 @@
 """Rolling 64-bit fingerprints and minimizer runs over byte or word sequences.
 
 A fingerprint of a span is a difference of prefix sums, so the fingerprint of
-every span of a text costs two look-ups.  Arithmetic is modulo 2**64; spans
-stay far below the length at which such fingerprints have forced collisions,
-and callers always compare two fingerprints of different extent together.
+every span of a text costs two look-ups.  Arithmetic is modulo 2**64, where
+sums of plain symbols have forced collisions (of a Thue-Morse word of 1,024
+letters and its complement, for one).  So no plain symbols are summed: a
+byte's value is a hash of the eight bytes from it on, and a word's one that
+mixes its eight-byte pieces.  Callers compare two fingerprints of different
+extent together.
 """
 
 from __future__ import annotations
@@ -29,11 +32,6 @@ def powers(base: int, n: int) -> np.ndarray:
     return out
 
 
-def byte_values() -> np.ndarray:
-    """A fixed random odd value for each byte."""
-    return np.random.default_rng(20240229).integers(1, 2**63, 256, dtype=U) * U(2) + U(1)
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """Spread a fingerprint's entropy over all bits."""
     with np.errstate(over="ignore"):
@@ -42,6 +40,28 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(32))
 
 
+def eights(a: np.ndarray) -> np.ndarray:
+    """The eight bytes from each byte on as a number, as a view; zeros follow the last."""
+    padded = np.concatenate((a, np.zeros(8, np.uint8)))
+    return np.ndarray(len(a), "<u8", padded, strides=(1,))
+
+
+def word_values(a: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+    """A hash of each span of bytes: its eight-byte pieces, each mixed with its place, then summed and mixed with the length."""
+    if not len(starts):
+        return np.zeros(0, U)
+    sizes = stops - starts
+    pieces_ = (sizes + 7) // 8
+    heads = np.cumsum(pieces_) - pieces_
+    nth = np.arange(int(pieces_.sum())) - np.repeat(heads, pieces_)
+    at = np.repeat(starts, pieces_) + 8 * nth
+    left = np.minimum(np.repeat(stops, pieces_) - at, 8).astype(U)
+    with np.errstate(over="ignore"):
+        held = eights(a)[at] & (~U(0) >> (U(64) - U(8) * left))
+        mixed = mix(mix(held + U(BASE)) ^ mix((nth + 1).astype(U) * U(BASE)))
+        return mix(np.add.reduceat(mixed, heads) + sizes.astype(U) * U(BASE))
+
+
 class Roller:
     """Prefix sums of symbol values; `span` gives fingerprints of spans."""
 
@@ -61,6 +81,22 @@ class Roller:
         return mix((self.sums[end] - self.sums[start]) * self.down[start] + (end - start).astype(U))
 
 
+class ByteRoller(Roller):
+    """A Roller over hashes of the `width` bytes from each byte on; spans are of `width` bytes at least."""
+
+    def __init__(self, width: int = 8) -> None:
+        super().__init__()
+        self.width = width
+
+    def load(self, a: np.ndarray) -> "ByteRoller":
+        held = eights(a)[: max(len(a) - self.width + 1, 0)] & (~U(0) >> U(64 - 8 * self.width))
+        super().load(mix(held + U(BASE)))
+        return self
+
+    def span(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        return super().span(start, end - (self.width - 1))
+
+
 def sliding_min(v: np.ndarray, width: int) -> np.ndarray:
     """Minimum of each run of `width` values, in a constant number of passes."""
     n = len(v) - width + 1

@@ -102,3 +102,24 @@ def test_a_span_unlike_its_source_fails(spark, monkeypatch):
     monkeypatch.setattr(debruijn, "stated", lambda *a: plain(*a).withColumn("words", F.lit(b"other")))
     with pytest.raises(Exception, match="not those of its source"):
         debruijn.passage_dedup(spark.createDataFrame([(1, "a b c d e f"), (2, "a b c d e f")], "doc_id long, text string"), 5, 2).collect()
+
+
+def thue_morse(letters="ab", n=2048):
+    """A word and its complement, whose plain polynomial fingerprints modulo 2**64 are equal whatever the base."""
+    word = "".join(letters[bin(k).count("1") % 2] for k in range(n))
+    return word, word.translate(str.maketrans(letters, letters[::-1]))
+
+
+def test_long_words_that_plain_polynomials_confuse(spark):
+    from cohortveil.llm import backoff, near_dedup
+
+    one, other = thue_morse()
+    common = [f"w{k}" for k in range(20)]
+    rows = [(1, " ".join([*common[:10], one, *common[10:]])), (2, " ".join([*common[:10], other, *common[10:]])), (3, " ".join([one] * 6)), (4, " ".join([other] * 6)), (5, one), (6, other)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(tuple(r) for r in debruijn.passage_dedup(df).collect()) == sorted(brute.passage_dedup(rows, 13))
+    assert sorted(tuple(r) for r in near_dedup.near_groups(df).collect()) == sorted(brute.near_groups(rows))
+    alone = spark.createDataFrame([(1, one), (2, other)], "doc_id long, text string")
+    assert [r["n_by_order"][-1] for r in backoff.score(alone).collect()] == [1, 1]
+    longer = [(k, x * 3) for k, x in enumerate((one, other, thue_morse("xy")[0], one))]
+    assert sorted(tuple(r) for r in suffix_dedup.suffix_dedup(spark.createDataFrame(longer, "doc_id long, text string")).collect()) == sorted(brute.suffix_dedup(longer, 200))
