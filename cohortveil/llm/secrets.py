@@ -15,7 +15,8 @@ from __future__ import annotations
 import hashlib
 import math
 import re
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -53,8 +54,6 @@ YEAR, SEPARATOR = r"(?:19|20)\d\d", r"[-/._]?"
 DAYS, MONTHS = (r"(?:0[1-9]|[12]\d|3[01])", r"[1-9]"), (r"(?:0[1-9]|1[0-2])", r"[1-9]")
 #: Dates by their shape; each is looked for at every place, so all that overlap are found.
 DATES = [re.compile(f"(?=({x}))", re.ASCII) for x in (YEAR + SEPARATOR + MONTHS[0] + SEPARATOR + DAYS[0], *(d + SEPARATOR + m + SEPARATOR + YEAR for d in DAYS for m in MONTHS), YEAR)]
-#: Characters that one segment spans at most; values of any length are costed as a whole.
-REACH = 256
 
 
 def ranked(words: Sequence[str] = ()) -> dict[str, int]:
@@ -86,35 +85,48 @@ def alphabet(text: str) -> int:
     return max(size, 10)
 
 
-def segments(value: str, ranks: dict[str, int], longest: int, brute: float) -> list[list[tuple[int, float]]]:
-    """For each place, where the patterns that start there end, and what they cost; a guessed character costs `brute`."""
-    n, low = len(value), value.lower()
-    if len(low) != n:  # a few letters change their length
-        low = "".join(c.lower() if len(c.lower()) == 1 else c for c in value)
-    plain = low.translate(LEET)
-    out: list[list[tuple[int, float]]] = [[] for _ in range(n)]
-    for k, pattern in enumerate(DATES):
-        cost = math.log10(130.0) if k == len(DATES) - 1 else math.log10(365.0 * 130)
-        for m in pattern.finditer(value):
-            out[m.start()].append((m.end(1), cost))
-    for i in range(n):
-        for j in range(i + 3, min(n, i + longest) + 1):
-            rank = ranks.get(low[i:j]) or ranks.get(plain[i:j])
-            if rank:
-                out[i].append((j, math.log10(rank + 1) + 0.3 * (1 + (value[i:j] != low[i:j]) + (low[i:j] != plain[i:j]))))
-        j, stop = i + 1, min(n, i + REACH)
-        while j < stop and (low[j - 1], low[j]) in NEAR:
-            j += 1
-        out[i] += [(k, math.log10(40.0 * (k - i)) + 0.3) for k in range(i + 3, j + 1)]
-        for size in range(1, (stop - i) // 2 + 1):
-            if value[i] != value[i + size]:
+class Stretches:
+    """Repeats and keyboard walks from each place of a value, taken in order, at their full lengths.
+
+    A repeat's unit has at most `most` characters.  Of the starts in one
+    maximal stretch, only those lead on that an earlier start (of the same
+    phase) doesn't beat at every end: a longer repeat or walk costs a logarithm
+    more, so that is settled at the shortest end.
+    """
+
+    def __init__(self, value: str, low: str, most: int, brute: float):
+        self.value, self.low, self.most, self.brute = value, low, most, brute
+        self.differs = [-1] * (most + 1)  # by unit size: the first place from here on that differs from the one a unit later
+        self.starts: list[dict[int, list[tuple[int, float]]]] = [{} for _ in range(most + 1)]
+        self.walk_end, self.walks = 0, []
+
+    def leads(self, i: int, cost: float) -> Iterator[tuple[int, float]]:
+        """Ends and costs of what starts at i, which costs `cost` so far."""
+        n, value = len(self.value), self.value
+        if self.walk_end <= i:
+            j = i + 1
+            while j < n and (self.low[j - 1], self.low[j]) in NEAR:
+                j += 1
+            self.walk_end, self.walks = j, []
+        if self.walk_end - i >= 3 and all(cost < before + math.log10((3 + i - s) / 3) for s, before in self.walks):
+            self.walks.append((i, cost))
+            for k in range(i + 3, self.walk_end + 1):
+                yield k, cost + math.log10(40.0 * (k - i)) + 0.3
+        for size in range(1, min(self.most, (n - i) // 2) + 1):
+            if self.differs[size] < i:
+                j = i
+                while j + size < n and value[j] == value[j + size]:
+                    j += 1
+                self.differs[size], self.starts[size] = j, {}
+            units = (self.differs[size] - i) // size + 1
+            # A unit that repeats a smaller one costs more than that does.
+            if units < 2 or any(size % d == 0 and self.differs[d] - i >= size - d for d in range(1, size // 2 + 1)):
                 continue
-            unit, at = value[i : i + size], i + size
-            while at + size <= stop and value.startswith(unit, at):
-                at += size
-                if at - i >= 3:
-                    out[i].append((at, size * brute + math.log10((at - i) // size) + 0.3))
-    return out
+            held = self.starts[size].setdefault(i % size, [])
+            if all(cost < before + math.log10(1 + (i - s) // size / 2) for s, before in held):
+                held.append((i, cost))
+                for k in range(max(2, -(-3 // size)), units + 1):
+                    yield i + k * size, cost + size * self.brute + math.log10(k) + 0.3
 
 
 def guess_cost(value: str, ranks: dict[str, int] | None = None, enough: float = math.inf) -> float:
@@ -122,24 +134,41 @@ def guess_cost(value: str, ranks: dict[str, int] | None = None, enough: float =
 
     best[k] is the least cost of the first k characters; brute force for one
     more character, and every pattern that starts at k, lead on.  Each pattern
-    segment costs a factor of two for being one of the several patterns.  Every
-    way through the value stops somewhere in each stretch of REACH characters,
-    so once all of a stretch costs `enough`, that is given back.  '' costs 0.
+    segment costs a factor of two for being one of the several patterns.
+    Repeats and walks count at their full length, whatever it is.  A repeat
+    costs its unit by brute force at least, so units that cost `enough` on their
+    own are left out; and once every way through costs `enough`, that is given
+    back, so most of a long value that is hard to guess isn't read.  Without
+    `enough` units have any length, which takes the square of the value's.  ''
+    costs 0.
     """
-    ranks = RANKS if ranks is None else ranks
-    longest = max(map(len, ranks), default=0)
-    brute, best = math.log10(alphabet(value)), [0.0] + [math.inf] * len(value)
-    for begin in range(0, len(value), REACH):
-        # Patterns that start in this stretch end in it or the next.
-        piece = value[begin : begin + 2 * REACH + longest]
-        for i, leads in enumerate(segments(piece, ranks, longest, brute)[:REACH], begin):
-            best[i + 1] = min(best[i + 1], best[i] + brute)
-            for end, cost in leads:
-                best[begin + end] = min(best[begin + end], best[i] + cost)
-        done = min(len(value), begin + REACH)
-        if done < len(value) and (least := min(best[max(done - max(REACH, longest) + 1, 0) : done + 1])) >= enough:
-            return least
-    return best[len(value)]
+    ranks, n = RANKS if ranks is None else ranks, len(value)
+    longest, brute, best = max(map(len, ranks), default=0), math.log10(alphabet(value)), [0.0] + [math.inf] * n
+    low = value.lower()
+    if len(low) != n:  # a few letters change their length
+        low = "".join(c.lower() if len(c.lower()) == 1 else c for c in value)
+    plain = low.translate(LEET)
+    stretches = Stretches(value, low, n // 2 if enough == math.inf else min(n // 2, int(enough / brute) + 1), brute)
+    furthest = 0  # the last place so far that costs less than enough
+    for i in range(n):
+        if i > furthest:
+            return enough
+        if best[i] >= enough:
+            continue
+        ways = [(i + 1, best[i] + brute)]
+        if "0" <= value[i] <= "9":
+            for k, pattern in enumerate(DATES):
+                if m := pattern.match(value, i):
+                    ways.append((m.end(1), best[i] + math.log10(130.0 if k == len(DATES) - 1 else 365.0 * 130)))
+        for j in range(i + 3, min(n, i + longest) + 1):
+            if rank := ranks.get(low[i:j]) or ranks.get(plain[i:j]):
+                ways.append((j, best[i] + math.log10(rank + 1) + 0.3 * (1 + (value[i:j] != low[i:j]) + (low[i:j] != plain[i:j]))))
+        for end, cost in chain(ways, stretches.leads(i, best[i])):
+            if cost < best[end]:
+                best[end] = cost
+                if cost < enough and end > furthest:
+                    furthest = end
+    return best[n]
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:

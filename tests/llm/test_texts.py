@@ -151,7 +151,12 @@ def test_long_values_cost_what_they_are_made_of():
     r = random.Random(12)
     odd = "".join(r.choice("bcdfghjkmnpqrstvwxz") for _ in range(2000))
     assert secrets.guess_cost(odd, enough=10.0) >= 10 and secrets.guess_cost(odd) > 2000
-    assert secrets.guess_cost("ab" * 100) < 6 and secrets.guess_cost("x" * 5000, enough=10.0) >= 10
+    assert secrets.guess_cost("ab" * 100) < 6 and secrets.guess_cost("x" * 5000, enough=10.0) < 6
+    for size in (256, 512, 800, 900, 5000, 200_000):
+        assert secrets.guess_cost("-" * size, enough=10.0) == pytest.approx(math.log10(33) + math.log10(size) + 0.3)
+    assert secrets.guess_cost("sdfdsasd" * 4000, enough=10.0) < 6.5 and secrets.guess_cost("qwe" * 900 + "monkey", enough=10.0) < 10
+    text = f"password: {'*' * 900} password: {'*' * 200}"
+    assert secrets.guessed_spans(text, secrets.base_spans(text)) == []
     assert secrets.guess_cost(odd[:300]) >= secrets.guess_cost(odd[:200]) and secrets.guess_cost("\u0130stanbul") > 0
 
 
@@ -309,3 +314,15 @@ def test_quality_model_held_out(spark):
     assert len(held) > 80 and np.mean([got[k]["predicted"] == (k % 3 > 0) for k in held]) > 0.97
     assert 0 <= got[990]["score"] <= 1 and got[990]["score"] == got[991]["score"]
     assert {x["score"] for x in quality_model.classify(docs, marks.limit(0)).collect()} == {0.5}
+
+
+def test_stretches_lose_no_cheapest_way():
+    """Values of few letters, with repeats inside repeats and walks, against all cuts; a limit never changes what is below it."""
+    r, ranks = random.Random(21), secrets.ranked(["aab", "sas"])
+    for _ in range(120):
+        v = "".join(r.choice(r.choice(["ab", "asd", "a1"])) for _ in range(r.randrange(1, 12)))
+        want = plain_cost(v, ranks)
+        assert secrets.guess_cost(v, ranks) == pytest.approx(want), v
+        for enough in (3.0, 5.0, 10.0):
+            got = secrets.guess_cost(v, ranks, enough)
+            assert got == pytest.approx(want) if want < enough else got >= enough, v
