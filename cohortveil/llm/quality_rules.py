@@ -22,6 +22,7 @@ import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .batches import stored
 
@@ -73,7 +74,8 @@ def repeated_words(words: Column) -> Column:
 def statistics(docs: DataFrame) -> DataFrame:
     """doc_id, lang, source, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and n_lines (with a word)."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"), text.alias("text"))
+    named = isinstance(docs.schema["doc_id"].dataType, (T.StringType, T.BinaryType))
+    own = docs.select((F.col("doc_id") if named else F.col("doc_id").cast("long")).alias("doc_id"), F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"), text.alias("text"))
     trimmed = F.btrim("text", F.lit(WS))
     split = own.select(
         "doc_id", "lang", "source", F.length(F.regexp_replace("text", r"[^#*$%&|<>]+", "")).cast("long").alias("n_symbols"),
@@ -210,7 +212,8 @@ def estimates(rows: DataFrame, core: float = CORE) -> DataFrame:
 def judge(docs: DataFrame, limit: float = LIMIT) -> DataFrame:
     """Which documents the quality rules keep.
 
-    `docs` needs doc_id, text, lang and source; other columns are passed over.
+    `docs` needs doc_id (a number, text or bytes), text, lang and source; other
+    columns are passed over.
     Returns doc_id, n_words, word_chars, n_symbols, n_dup_lines,
     n_repeat_words, base_failed (fewer than 50 words, or more than half of them
     in repeated windows), kept and distance (squared; null if base_failed).
@@ -218,7 +221,8 @@ def judge(docs: DataFrame, limit: float = LIMIT) -> DataFrame:
     A null text has no words and fails.  Null languages and sources count as
     ''.  Groups of fewer than 40 passing documents are pooled by language, and
     languages with fewer with each other; only where fewer than 40 pass in all
-    does an estimate rest on less.
+    does an estimate rest on less.  An estimate follows the bulk of its group,
+    so a source whose texts are nearly all alike in their junk is kept.
     Repeated rows are judged each; null ids change nothing; no rows give none.
     """
     rows = stored(statistics(docs).withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))))
