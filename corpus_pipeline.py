@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cohortveil.llm import decontaminate, near_dedup, pieces, quality_rules, secrets
@@ -17,23 +17,33 @@ def documents(docs: DataFrame) -> DataFrame:
     return docs.select(*COLUMNS)
 
 
+def digest(*names: str) -> Column:
+    """128 bits of columns' values, nulls apart from all others."""
+    return F.unhex(F.md5(F.concat_ws("|", *(F.coalesce(F.md5(F.col(c).cast("string")), F.lit("")) for c in names))))
+
+
 def row_key() -> Column:
-    """Tells rows apart by id and text, so rows that repeat an id are judged by their own text."""
+    """A number for an id with its text; two documents may share it by chance."""
     return F.xxhash64("doc_id", "text")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep; a null text goes, since it has too few words."""
-    own = documents(docs).withColumn("row_key", row_key())
+    """Documents that the quality rules keep; a null text goes, since it has too few words.
+
+    A row is judged by all that its verdict depends on: its text, language and source.
+    """
+    own = documents(docs).withColumn("row_key", digest("doc_id", "text", "lang", "source"))
     judged = quality_rules.judge(own.select(F.col("row_key").alias("doc_id"), "text", "lang", "source"))
     kept = judged.where("kept").select(F.col("doc_id").alias("row_key"))
-    return documents(own.join(kept.hint("shuffle_hash"), "row_key", "left_semi"))
+    return documents(own.join(kept, "row_key", "left_semi"))
 
 
 def single_rows(own: DataFrame) -> DataFrame:
-    """One row of each id and text: `own` has row_key, and the texts of keys that repeat alone are brought together."""
+    """One row of each id and text, with row_key, which no other document has: of those that share one, all but the first get another."""
     twice = stored(own.groupBy("row_key").agg(F.count("*").alias("times")).where("times > 1").select("row_key"))
-    again = own.join(twice, "row_key", "left_semi").groupBy("row_key").agg(F.min(F.struct(*COLUMNS)).alias("least")).select("least.*", "row_key")
+    again = own.join(twice, "row_key", "left_semi").groupBy("row_key", digest("doc_id", "text").alias("other")).agg(F.min(F.struct(*COLUMNS)).alias("least"))
+    nth = F.row_number().over(Window.partitionBy("row_key").orderBy("other"))
+    again = again.withColumn("nth", nth).select("least.*", F.when(F.col("nth") == 1, F.col("row_key")).otherwise(F.xxhash64("row_key", "nth")).alias("row_key"))
     return own.join(twice, "row_key", "left_anti").select(*COLUMNS, "row_key").unionByName(again)
 
 
@@ -47,7 +57,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     own = single_rows(documents(docs).withColumn("row_key", row_key()))
     groups = near_dedup.near_groups(own.select(F.col("row_key").alias("doc_id"), "text")).select(F.col("doc_id").alias("row_key"), "component_id")
     least = own.select("row_key", "doc_id").join(groups, "row_key").groupBy("component_id").agg(F.min(F.struct("doc_id", "row_key")).alias("least")).select("least.row_key")
-    return documents(own.join(least.hint("shuffle_hash"), "row_key", "left_semi"))
+    return documents(own.join(least, "row_key", "left_semi"))
 
 
 def benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
