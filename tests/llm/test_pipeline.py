@@ -102,3 +102,35 @@ def test_near_copies_judge_rows_by_id_and_text(spark):
     docs = spark.createDataFrame([(i, t, "en", "s0", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
     got = [(x["doc_id"], x["text"]) for x in pipeline.near_copies(spark, docs, "").collect()]
     assert sorted(got, key=repr) == sorted([(None, a), (None, b), (None, c), (None, None), (3, d), (5, low), (5, high)], key=repr)
+
+
+def test_quality_judges_rows_by_language_and_source(spark):
+    """One id and text in two sources, of which one makes it an outlier: only the other row stays."""
+    r = random.Random(5)
+    say = lambda n, size: " ".join("".join(r.choice("abcdefghij") for _ in range(size)) for _ in range(n))
+    both = say(80, 5)
+    rows = [(k, say(80, 5), "en", "s", 1) for k in range(80)] + [(100 + k, say(80, 12), "en", "t", 1) for k in range(80)] + [(7000, both, "en", x, 1) for x in "st"]
+    docs = spark.createDataFrame(rows, SCHEMA.rsplit(",", 1)[0])
+    kept = [(x["doc_id"], x["source"]) for x in pipeline.quality(spark, docs, "").collect()]
+    assert (7000, "s") in kept and (7000, "t") not in kept and len(kept) > 150
+
+
+def test_documents_that_share_a_key_by_chance(spark, monkeypatch):
+    monkeypatch.setattr(pipeline, "row_key", lambda: pipeline.F.lit(5).cast("long"))
+    r = random.Random(3)
+    rows = [(k, " ".join(str(r.randrange(10**6)) for _ in range(60)), "en", "s", 1) for k in range(6)]
+    docs = spark.createDataFrame([*rows, rows[2], (9, rows[4][1], "en", "s", 1)], SCHEMA.rsplit(",", 1)[0])
+    assert sorted(tuple(x) for x in pipeline.near_copies(spark, docs, "").collect()) == rows
+
+
+def test_very_long_texts_and_clashing_names(spark, folder, tmp_path):
+    r = random.Random(4)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(r.randrange(3, 8)))
+    long = " ".join(word() for _ in range(40_000))
+    rows = [(k, " ".join(word() for _ in range(70)), "en", "s", 1) for k in range(50)] + [(60, long, "en", "s", 1), (61, long + " end", "en", "s", 1)]
+    names = "row_key, other, nth, least, times, component_id, kept, group, spans, words".split(", ")
+    wide = spark.createDataFrame([(*x, *[k] * len(names)) for k, x in enumerate(rows)], SCHEMA.rsplit(",", 1)[0] + "".join(f", {c} int" for c in names))
+    wide.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.read.parquet(f"{folder}/benchmark.parquet").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = {x["doc_id"]: x["exact"] for x in pipeline.run(spark, str(tmp_path)).collect()}
+    assert got == dict.fromkeys([*range(50), 60], True)
