@@ -41,8 +41,24 @@ def norm_desc(text: Column) -> Column:
 
 
 def number_text(value: Column) -> Column:
-    """A number without trailing zeros, as %g shows it for four decimals at most."""
-    return F.regexp_replace(value.cast("decimal(12,4)").cast("string"), r"\.?0+$", "")
+    """A number in six significant digits without trailing zeros; with an exponent below 0.0001 and from a million on."""
+    number = value.cast("double")
+    shown = F.format_string("%.5e", F.abs(number))
+    digits = F.concat(F.substring(shown, 1, 1), F.substring(shown, 3, 5))
+    power = F.substring_index(shown, "e", -1).try_cast("int")
+    trimmed = lambda text: F.regexp_replace(text, r"\.?0+$", "")
+    small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -power - 1), digits)
+    large = F.concat(F.substr(digits, F.lit(1), power + 1), F.lit("."), F.substr(digits, power + 2, F.lit(6)), F.lit("0"))
+    spelt = F.concat(trimmed(F.substring(shown, 1, 7)), F.lit("e"), F.when(power < 0, "-").otherwise("+"), F.lpad(F.abs(power).cast("string"), F.greatest(F.lit(2), F.length(F.abs(power).cast("string"))), F.lit("0")))
+    plain = F.when((power < -4) | (power >= 6), spelt).when(power < 0, trimmed(small)).otherwise(trimmed(large))
+    odd = F.when(F.isnan(number), "nan").when(F.abs(number) == float("inf"), F.when(number > 0, "inf").otherwise("-inf")).when(number == 0, "0")
+    return F.when(number.isNotNull(), F.coalesce(odd, F.concat(F.when(number < 0, "-").otherwise(""), plain)))
+
+
+def whole_text(text: Column) -> Column:
+    """The whole part of a number in a text, of up to 38 digits, as text; null if there is none."""
+    number = text.try_cast("double")
+    return (number - number % 1).try_cast("decimal(38,0)").cast("string")
 
 
 def shift_days(salt: Column, study_id: Column) -> Column:
@@ -88,9 +104,10 @@ def nhs_valid(digits: Column) -> Column:
 
 
 def natural_key(text: Column) -> Column:
-    """A key under which numbers inside names sort by value."""
+    """A key under which numbers inside names sort by value, whatever their length: a number is the count of its digits and then these."""
     runs = F.regexp_extract_all(F.lower(text), F.lit("([0-9]+|[^0-9]+)"), F.lit(1))
-    return F.array_join(F.transform(runs, lambda x: F.when(x.rlike("^[0-9]"), F.lpad(x, 20, "0")).otherwise(x)), "")
+    bare = lambda x: F.regexp_replace(x, "^0+(?=.)", "")
+    return F.array_join(F.transform(runs, lambda x: F.when(x.rlike("^[0-9]"), F.concat(F.lpad(F.length(bare(x)).cast("string"), 10, "0"), bare(x))).otherwise(x)), "")
 
 
 def gated_description(text: Column) -> Column:
@@ -108,14 +125,16 @@ def remap_path(path: Column, old: str, new: str) -> Column:
 
 def file_name(study_id: Column, series: Column, instance: Column, counter: Column) -> Column:
     """ID_S001_I00001.dcm, or with a running number where there is no instance number."""
-    sno, ino = F.coalesce(series.try_cast("double").cast("int"), F.lit(0)), instance.try_cast("double").cast("int")
+    sno, ino = F.coalesce(whole_text(series), F.lit("0")), whole_text(instance)
     safe = safe_name(study_id)
-    return F.when(ino.isNotNull(), F.concat(safe, F.lit("_S"), _padded(sno, 3), F.lit("_I"), _padded(ino, 5), F.lit(".dcm"))).otherwise(F.concat(safe, F.lit("_"), _padded(counter, 6), F.lit(".dcm")))
+    return F.when(ino.isNotNull(), F.concat(safe, F.lit("_S"), padded(sno, 3), F.lit("_I"), padded(ino, 5), F.lit(".dcm"))).otherwise(F.concat(safe, F.lit("_"), padded(counter.cast("string"), 6), F.lit(".dcm")))
 
 
-def _padded(number: Column, width: int) -> Column:
-    text = number.cast("string")
-    return F.when(F.length(text) >= width, text).otherwise(F.lpad(text, width, "0"))
+def padded(text: Column, width: int) -> Column:
+    """A whole number's text with zeros to a width, after its sign."""
+    digits = F.ltrim(text, F.lit("-"))
+    room = F.greatest(F.length(digits), F.lit(width) - F.length(text) + F.length(digits))
+    return F.concat(F.when(text.startswith("-"), "-").otherwise(""), F.lpad(digits, room, F.lit("0")))
 
 
 def nice_date(text: Column) -> Column:

@@ -161,7 +161,7 @@ def log_lines(lines: DataFrame) -> DataFrame:
     ok = s.startswith("PASS") | s.startswith("Done in") | s.startswith("DRY RUN")
     part = lambda k: F.nullif(F.regexp_extract(s, r"^\[([0-9]+)/([0-9]+)\]\s+(\S+)", k), F.lit(""))
     start = F.col("line").rlike(r"^\[[0-9]+/[0-9]+\]\s+\S+: starting")
-    number = lambda k: F.when(~start, part(k).cast("long"))
+    number = lambda k: F.when(~start, part(k).try_cast("long"))
     return lines.select(
         *lines.columns, F.when(s == "", "plain").when(error, "error").when(warn, "warn").when(ok, "ok").otherwise("plain").alias("class"),
         number(1).alias("done"), number(2).alias("total"), F.when(~start, part(3)).alias("study"), F.floor(number(1) * 100 / F.greatest(number(2), F.lit(1))).cast("long").alias("percent"),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.exprs import file_name, natural_key, safe_name
+from ..functions.exprs import file_name, natural_key, padded, safe_name, whole_text
 
 
 def key_of(column: Column) -> Column:
@@ -145,8 +145,7 @@ def output_names(images: DataFrame, flat: bool = False) -> DataFrame:
     """
     study = Window.partitionBy("study_id")
     numbered = images.withColumn("counter", F.row_number().over(study.orderBy("path")))
-    sno = F.coalesce(F.col("series_number").cast("string").try_cast("double").cast("int"), F.lit(0)).cast("string")
-    series = F.concat(F.lit("/S"), F.when(F.length(sno) >= 3, sno).otherwise(F.lpad(sno, 3, "0")))
+    series = F.concat(F.lit("/S"), padded(F.coalesce(whole_text(F.col("series_number").cast("string")), F.lit("0")), 3))
     safe = safe_name(F.col("study_id"))
     folder = F.when(F.col("review").isNotNull(), F.concat(F.lit("_review/"), safe)).otherwise(safe if flat else F.concat(safe, series))
     named = numbered.withColumn("folder", folder).withColumn("name", file_name(F.col("study_id"), F.col("series_number").cast("string"), F.col("instance_number"), F.col("counter")))

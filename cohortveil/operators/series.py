@@ -52,7 +52,7 @@ def classify(series: DataFrame) -> DataFrame:
     series = series.withColumn("gated", gated_description(desc))
     word = F.get(F.filter(F.array(*map(F.lit, P.DROP_WORDS)), lambda w: F.contains(F.col("gated"), w)), F.lit(0))
     fov = F.when(F.col("fov_mm") != 0, F.col("fov_mm"))
-    whole = F.rint(fov).cast("long").cast("string")
+    whole = F.rint(fov).try_cast("decimal(38,0)").cast("string")
     reasons = F.concat_ws(
         "; ",
         F.when(not_ct(F.col("modality"), sop), F.concat(F.lit("not a CT image ("), F.coalesce("modality", F.lit("?")), F.lit(")"))),

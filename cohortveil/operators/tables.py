@@ -107,7 +107,7 @@ def started(lines: DataFrame) -> DataFrame:
     """Lines that start a study or count its files: study, and expected or done files."""
     start, beat = r"^\[[0-9]+/[0-9]+\]\s+(\S+): starting(?:, ([0-9]+) files to write)?", r"^\s+(\S+): ([0-9]+) files\.\.\."
     pick = lambda pattern, k: F.nullif(F.regexp_extract("line", pattern, k), F.lit(""))
-    return lines.select("line", F.coalesce(pick(start, 1), pick(beat, 1)).alias("study"), pick(start, 2).cast("long").alias("expected"), pick(beat, 2).cast("long").alias("written")).where("study IS NOT NULL")
+    return lines.select("line", F.coalesce(pick(start, 1), pick(beat, 1)).alias("study"), pick(start, 2).try_cast("long").alias("expected"), pick(beat, 2).try_cast("long").alias("written")).where("study IS NOT NULL")
 
 
 def same_pick(series: DataFrame, description: str) -> DataFrame:

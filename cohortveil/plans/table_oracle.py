@@ -43,6 +43,8 @@ SQL = {
     "verify_texts": f"WITH e AS ({O.ELEMENTS}) SELECT 'attribute should match profile' AS kind, instance_id, 'StudyDescription=' || value AS detail FROM e WHERE path = 'StudyDescription' AND value NOT IN ('', 'Trial CT') UNION ALL SELECT 'PatientName not as profile dictates', instance_id, value || ' / expected TRIAL^CASE' FROM e WHERE path = 'PatientName'",
     "json_elements": digest(f"SELECT * FROM ({JSON_LINES}) j WHERE line IS NOT NULL"),
     "json_headers": "SELECT o_orderkey AS instance_id, c_mktsegment || '^A' AS patient_name, CAST(o_orderkey AS VARCHAR) AS instance_number, CASE WHEN o_orderkey % 2 = 0 THEN 0.75::DOUBLE ELSE o_custkey % 7 + 0.5::DOUBLE END AS slice_mm, CASE WHEN o_orderkey % 3 = 0 THEN 75.0::DOUBLE END AS phase FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderkey % 5 <> 0",
+    "rejected_objects": f"""SELECT o_orderkey AS instance_id, CASE WHEN o_orderkey % 11 = 0 THEN 'not JSON' WHEN o_orderkey % 13 = 0 THEN 'not an object' WHEN o_orderkey % 17 = 0 THEN 'sequences nested more than 12 deep' ELSE '' END AS fault,
+      CASE WHEN o_orderkey % 11 = 0 OR o_orderkey % 13 = 0 OR o_orderkey % 17 = 0 THEN 0 ELSE (SELECT count(*) FROM ({JSON_LINES}) j WHERE j.instance_id = o_orderkey AND line IS NOT NULL) END AS elements FROM orders JOIN customer ON o_custkey = c_custkey""",
     "default_windows": f"SELECT vec_id AS instance_id, CASE WHEN p[3] > 0 THEN p[1] END AS centre, CASE WHEN p[3] > 0 THEN p[3] END AS width, p[CAST((vec_id % 5) * 8 + vec_id % 8 AS INTEGER) + 1] AS value FROM ({O.PIX}) a",
     "quarantine_release": f"""SELECT vec_id AS instance_id, 'CV1' AS study_id, 'study' AS route, CASE WHEN vec_id % 15 = 0 THEN '' ELSE array_to_string(list_transform(p, lambda v, i: CAST(CASE WHEN (vec_id % 5 = 0 OR vec_id % 4 = 0) AND (i - 1) % 8 IN (1, 2) AND (i - 1) // 8 = 1 THEN CASE WHEN vec_id % 2 = 0 THEN list_max(p) ELSE 0 END ELSE v END AS BIGINT)), ',') END AS pixels
       FROM ({O.PIX}) a WHERE vec_id % 3 = 0 AND vec_id % 15 <> 0""",

@@ -103,7 +103,23 @@ def json_elements(spark, sf):
 
 
 def json_headers(spark, sf):
-    return dicom_json.wide(dicom_json.elements(objects_json(spark, sf))).where("sop_class_uid IS NOT NULL").select("instance_id", "patient_name", "instance_number", "slice_mm", "phase")
+    return dicom_json.wide(dicom_json.elements(objects_json(spark, sf), only=dicom_json.wide_tags())).where("sop_class_uid IS NOT NULL").select("instance_id", "patient_name", "instance_number", "slice_mm", "phase")
+
+
+def damaged_json(spark, sf):
+    """The objects with some texts cut off, in a list, or nested too deeply."""
+    deep = F.concat(F.repeat(F.lit('{"0040A730":{"vr":"SQ","Value":['), 14), F.lit("{}"), F.repeat(F.lit("]}}"), 14))
+    key = F.col("instance_id")
+    text = F.when(key % 11 == 0, F.substring("json", 1, 60)).when(key % 13 == 0, F.concat(F.lit("["), "json", F.lit("]"))).when(key % 17 == 0, deep).otherwise(F.col("json"))
+    return objects_json(spark, sf).withColumn("json", text)
+
+
+def rejected_objects(spark, sf):
+    """Objects that can't be read and why; the others have all their elements."""
+    objects = dicom_json.parsed(damaged_json(spark, sf))
+    bad = dicom_json.rejected(objects).select("instance_id", "fault", F.lit(0).cast("long").alias("elements"))
+    good = dicom_json.elements_of(objects).groupBy("instance_id").agg(F.count("*").alias("elements"))
+    return bad.unionByName(good.select("instance_id", F.lit("").alias("fault"), "elements"))
 
 
 def default_windows(spark, sf):
@@ -281,7 +297,7 @@ def run_output(spark, sf):
     return Q.digest_of(spark.read.parquet(f"{folder}/out/elements"))
 
 
-NAMES = """remap_paths redact_paths split_needles profile_slugs time_left unit_labels policy_use tag_policy_texts verify_texts json_elements json_headers default_windows
+NAMES = """remap_paths redact_paths split_needles profile_slugs time_left unit_labels policy_use tag_policy_texts verify_texts json_elements json_headers rejected_objects default_windows
 quarantine_release redaction_log wanted_files earlier_outputs mapping_file pair_files skip_file checksum_file linkage_words report_status confidential_files attestation_text
 not_this_run survey_copies case_mismatch coronary_summary output_series ticked_kinds selection_table pick_override middle_files started_studies skip_hits scan_headline reused_ids first_names tick_counts run_output""".split()
 

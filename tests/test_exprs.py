@@ -74,3 +74,18 @@ def test_profiles(spark, tmp_path):
     table = {(r["keyword"], r["action"]) for r in P.policy(spark, P.Profile(keep_sex=True)).collect()}
     assert ("PatientSex", "remove") not in table and ("PatientAge", "remove") in table and ("StationName", "clear") in table
     assert len(P.REMOVE) == 78 and len(P.CLEAR) == 19 and len(P.VENDOR_HINTS) == 9 and len(P.UID_KEEP) == 8
+
+
+def test_numbers_of_any_size(spark):
+    values = [0.00005, 123456.7, 2e9, 0.75, 100.0, 0.0, -1.5, 999999.5, 1e100, 0.1234567, 1234567.0, 0.0001, -2.5e-7]
+    got = spark.createDataFrame([(v,) for v in values], "v double").select("v", X.number_text(F.col("v")).alias("t")).collect()
+    assert [r["t"] for r in got] == [f"{r['v']:g}" for r in got]
+    texts = ["7", "12.9", "-5", "9999999999", "1e30", "x", "", "1e300", "Infinity"]
+    names = spark.createDataFrame([(t,) for t in texts], "t string").select(X.file_name(F.lit("A"), F.col("t"), F.col("t"), F.lit(3)).alias("n")).collect()
+    assert [r["n"] for r in names] == ["A_S007_I00007.dcm", "A_S012_I00012.dcm", "A_S-05_I-0005.dcm", "A_S9999999999_I9999999999.dcm", f"A_S1{'0' * 30}_I1{'0' * 30}.dcm", *["A_000003.dcm"] * 4]
+
+
+def test_natural_order_of_long_numbers(spark):
+    names = ["1.2.9", "1.2.10", "1.2.123456789012345678901", "1.2.123456789012345678902", "1.2.99999999999999999999", "1.2.007", "a2b", "a10b"]
+    rows = spark.createDataFrame([(n,) for n in names], "n string").orderBy(X.natural_key(F.col("n"))).collect()
+    assert [r["n"] for r in rows] == ["1.2.007", "1.2.9", "1.2.10", "1.2.99999999999999999999", "1.2.123456789012345678901", "1.2.123456789012345678902", "a2b", "a10b"]
