@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import file_name, natural_key, padded, safe_name, whole_text
+from ..sources.scratch import stored
 
 
 def key_of(column: Column) -> Column:
@@ -76,30 +77,33 @@ def reusable(existing: DataFrame, outputs: DataFrame) -> DataFrame:
     return existing.withColumn("folder", safe_name(F.col("new_id"))).join(there, "folder", "left_semi").select(*existing.columns)
 
 
-def beginning(keyed: DataFrame, lengths: range = range(4, 68, 4)) -> int:
-    """The shortest length at which the beginnings of `key` are at least the square root of the rows in number."""
-    counts = keyed.agg(F.count("*").alias("rows"), *(F.approx_count_distinct(F.substring("key", 1, n)).alias(f"n{n}") for n in lengths)).first()
-    return next((n for n in lengths if counts[f"n{n}"] ** 2 >= counts["rows"]), lengths[-1])
+def numbered(rows: DataFrame, *order: str) -> DataFrame:
+    """rows with nth, their place in order, from 1.
+
+    Ranges are split at sampled quantiles of the whole order, so keys that
+    begin alike, or are alike, are spread like others.  A row's range and place
+    in it are written once; before them come the sizes of the ranges below, a
+    row a range.
+    """
+    dealt = stored(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("place", F.monotonically_increasing_id()))
+    placed = dealt.withColumns({"range": F.shiftright("place", 33), "place": F.col("place").bitwiseAND(F.lit((1 << 33) - 1))})
+    below = F.sum("held").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1))
+    sizes = placed.groupBy("range").agg(F.count("*").alias("held")).select("range", F.coalesce(below, F.lit(0)).alias("below"))
+    return placed.join(sizes, "range").withColumn("nth", F.col("below") + F.col("place") + 1).drop("range", "place", "below")
 
 
 def assign_ids(units: DataFrame, existing: DataFrame, taken: DataFrame, prefix: str = "ANON") -> DataFrame:
     """match_key and new_id of every unit (match_key, sort_key).
 
     IDs given before stay.  New ones are PREFIX-NNN, numbered in natural order
-    after the highest number in use, so no number can be taken.  Ranges are
-    units whose keys begin alike; the shortest beginning that gives about as
-    many ranges as a range has units is taken, so neither the one task that
-    numbers the ranges nor any that numbers a range's units gets many rows.
+    after the highest number in use, so no number can be taken.
     """
     known = units.join(existing.select("match_key", F.col("new_id").alias("old_id")), "match_key", "left")
     used = existing.select("new_id").unionByName(taken.select("new_id"))
     number = F.regexp_extract(F.upper("new_id"), f"^{prefix.upper()}-([0-9]+)$", 1)
     highest = used.select(F.coalesce(F.max(number.try_cast("long")), F.lit(0)).alias("highest"), F.lit(1).alias("one"))
     fresh = known.where("old_id IS NULL").withColumn("key", natural_key(F.col("sort_key")))
-    fresh = fresh.withColumn("range", F.substring("key", 1, beginning(fresh)))
-    sizes = fresh.groupBy("range").agg(F.count("*").alias("n"))
-    before = sizes.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("range", "before")
-    placed = fresh.join(before, "range").withColumn("nth", F.row_number().over(Window.partitionBy("range").orderBy("key", "match_key")) + F.col("before"))
+    placed = numbered(fresh, "key", "match_key")
     total = units.agg(F.count("*").alias("units"))
     n = F.col("highest") + F.col("nth")
     width = F.greatest(F.lit(3), F.length((F.col("highest") + F.col("units")).cast("string")))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import norm_desc, number_text
+from .identity import parents
 
 
 def common_folder(folders: Column) -> Column:
@@ -43,13 +44,14 @@ def units(images: DataFrame) -> DataFrame:
 def is_mixed(found: DataFrame) -> DataFrame:
     """One row, `mixed`: whether folders of several patients lie in each other.
 
-    Folders are compared with those below them by an equi-join on every folder
-    above, so no global order is needed.
+    Each folder above or at one that holds scans gets the least and the
+    greatest patient of its whole subtree, by a partial aggregate: rows are as
+    many as steps in the distinct folders, however many patients share them,
+    and no folder's rows meet in one task before they are summed up.
     """
-    steps = F.split("folder", "/")
-    above = F.transform(F.sequence(F.lit(1), F.size(steps)), lambda n: F.array_join(F.slice(steps, F.lit(1), n), "/"))
-    inner = found.select(F.col("patient").alias("other"), F.explode(above).alias("folder"))
-    return found.join(inner, "folder").where("patient <> other").agg((F.count("*") > 0).alias("mixed"))
+    own = found.groupBy("folder").agg(F.min("patient").alias("low"), F.max("patient").alias("high"))
+    under = own.select("low", "high", F.explode(parents(F.col("folder"))).alias("folder")).groupBy("folder").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    return under.join(own.select("folder"), "folder", "left_semi").agg(F.coalesce(F.bool_or(F.col("low") < F.col("high")), F.lit(False)).alias("mixed"))
 
 
 def headline(found: DataFrame) -> DataFrame:

@@ -107,19 +107,29 @@ def texts(elements: DataFrame) -> DataFrame:
     return elements.where((F.col("grp") == "data") & ~F.col("is_private") & F.col("vr").isin(P.TEXT_VRS) & (F.col("value") != "")).select("instance_id", keyword().alias("keyword"), F.upper("value").alias("text"))
 
 
+def grams(text: Column, size: int) -> Column:
+    """The distinct runs of `size` characters in a text of at least so many."""
+    starts = F.sequence(F.lit(1), F.length(text) - size + 1)
+    return F.array_distinct(F.transform(starts, lambda i: F.substr(text, i, F.lit(size))))
+
+
 def needle_hits(swept: DataFrame, needles: DataFrame, gram: int = 4) -> DataFrame:
     """Texts that contain a needle: instance_id, keyword, needle.
 
-    PatientName and PatientID may equal one.  A needle can only occur where its
-    first `gram` characters do, so texts meet needles by an equi-join on
-    these, and a needle list of any length needs no nested loop.  Each distinct
-    text is searched once, since a cohort repeats its texts in every object.
+    PatientName and PatientID may equal one.  A needle can only occur where all
+    its grams do, so each is filed under that of its grams which the fewest
+    texts have, and meets these texts alone: needles that begin alike, as dates
+    do, don't meet each other's texts.  Needles with a gram that no text has
+    are done with.  Each distinct text is searched once, since a cohort repeats
+    its texts in every object.
     """
-    pieces = swept.select("text").distinct().select("text", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length("text") - gram + 1, F.lit(1))), lambda i: F.substr(F.col("text"), i, F.lit(gram))))).alias("head"))
-    keyed = needles.where(F.length("needle") >= gram).withColumn("head", F.substring("needle", 1, gram))
-    inside = F.contains("text", F.col("needle"))
+    keyed = needles.where(F.length("needle") >= gram).select("needle", F.explode(grams(F.col("needle"), gram)).alias("gram"))
+    long = swept.select("text").where(F.length("text") >= gram).distinct()
+    pieces = long.select("text", F.explode(grams(F.col("text"), gram)).alias("gram")).join(keyed.select("gram").distinct(), "gram", "left_semi")
+    held = pieces.groupBy("gram").agg(F.count("*").alias("texts"))
+    rarest = keyed.join(held, "gram", "left").groupBy("needle").agg(F.min(F.struct("texts", "gram")).alias("r"), F.count_if(F.col("texts").isNull()).alias("absent"))
+    found = pieces.join(rarest.where("absent = 0").select("needle", "r.gram"), "gram").where(F.contains("text", F.col("needle"))).select("text", "needle")
     identity = F.col("keyword").isin("PatientName", "PatientID")
-    found = pieces.join(keyed, "head").where(inside).select("text", "needle").distinct()
     return swept.join(found, "text").where(~identity | (F.col("text") != F.col("needle"))).select("instance_id", "keyword", "needle").distinct()
 
 

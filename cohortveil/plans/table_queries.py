@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -11,6 +9,7 @@ from ..functions import exprs as X
 from ..functions import policy as P
 from ..operators import audit, deidentify, frames, identity, intake, series, tables, verify
 from ..sources import dicom_json, files, stand_in
+from ..sources.scratch import scratch
 from . import cohort_run
 from . import queries as Q
 
@@ -18,12 +17,6 @@ from . import queries as Q
 TRIAL = P.Profile(name="Trial", keep_sex=True, patient_name="custom", patient_name_text="TRIAL^CASE", study_description="Trial CT", method_text="by protocol 7")
 
 
-def scratch(spark: SparkSession) -> str:
-    """A new path in the folder that the cluster shares, or in the warehouse where none is set, as in tests."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/scratch"
-    return f"{shared.rstrip('/')}/{uuid.uuid4().hex}"
-
-
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return stand_in.table(spark, sf, name)
 
@@ -177,13 +170,12 @@ def skip_file(spark, sf):
 
 
 def checksum_file(spark, sf):
-    """The newest manifest of a folder, as sha256sum reads it."""
+    """The newest manifest of a folder, as sha256sum reads it: two are written, and the later one is read."""
     path = scratch(spark)
     made = verify.manifest(Q.checksums(spark, sf)).select(F.expr("left(text, length(text) - 1)").alias("value"))
-    made.write.text(f"{path}/checksums_20240102.sha256")
-    table(spark, sf, "nation").selectExpr("'00  ' || n_name AS value").write.text(f"{path}/checksums_20240101.sha256")
-    lines = spark.read.text(f"{path}/checksums_20240102.sha256").select(F.split("value", "  ", 2).alias("p"))
-    return lines.select(F.col("p")[1].alias("path"), F.col("p")[0].alias("sha256"))
+    made.coalesce(1).write.text(f"{path}/checksums_20240102.sha256")
+    table(spark, sf, "nation").selectExpr("'00  ' || n_name AS value").coalesce(1).write.text(f"{path}/checksums_20240101.sha256")
+    return files.read_checksums(spark, path)
 
 
 def linkage_words(spark, sf):

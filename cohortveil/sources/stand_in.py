@@ -93,8 +93,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
-    """Rows dealt out to all cores: the tables come as one row group each, and what is made of a row here is long work."""
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism, key)
+    """Rows dealt out to all cores, and to as many partitions as shuffles have: the tables come as one row group each, and what is made of a row here is long work."""
+    spark = df.sparkSession
+    return df.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), key)
 
 
 def images(spark: SparkSession, sf_dir: str) -> DataFrame:
