@@ -13,29 +13,56 @@ def joined_set(column: Column, separator: str = ";") -> Column:
     return F.array_join(F.sort_array(F.collect_set(column)), separator)
 
 
-def linkage(images: DataFrame) -> DataFrame:
-    """The only table with original identifiers: per study, its sorted distinct originals and counts.
+def errors_by_study(rejects: DataFrame) -> DataFrame:
+    """study_id and errors, of objects that couldn't be read and whose study is known."""
+    return rejects.where("study_id IS NOT NULL").groupBy("study_id").agg(F.count("*").alias("errors"))
 
-    Errors are none: a task that fails is done again, and a run that fails as a whole logs nothing.
-    """
+
+def with_errors(rows: DataFrame, errors: DataFrame | None) -> DataFrame:
+    """rows by study with their number of errors; without a table of these there are none."""
+    if errors is None:
+        return rows.withColumn("errors", F.lit(0).cast("long"))
+    return rows.join(errors, "study_id", "left").withColumn("errors", F.coalesce("errors", F.lit(0).cast("long")))
+
+
+def linkage(images: DataFrame, errors: DataFrame | None = None) -> DataFrame:
+    """The only table with original identifiers: per study, its sorted distinct originals and counts; `errors` has study_id and errors."""
     own = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     originals = {"source_key": "patient", "original_patient_id": "patient_id", "original_name": "patient_name", "original_study_date": "study_date", "original_sex": "sex", "original_dob": "birth_date", "original_manufacturer": "scanner"}
     described = F.concat(own("series_number"), F.lit(": "), own("description"))
-    return images.groupBy("study_id").agg(
+    found = images.groupBy("study_id").agg(
         *(joined_set(own(c)).alias(name) for name, c in originals.items()), joined_set(described, " | ").alias("original_series_descriptions"),
-        F.count("*").alias("files"), F.countDistinct("series_number").alias("series"), F.count_if(F.col("review").isNotNull()).alias("review_files"), F.lit(0).cast("long").alias("errors"),
+        F.count("*").alias("files"), F.countDistinct("series_number").alias("series"), F.count_if(F.col("review").isNotNull()).alias("review_files"),
     )
+    return with_errors(found, errors)
 
 
-def study_summary(images: DataFrame, decisions: DataFrame, missing: DataFrame) -> DataFrame:
-    """study_id, files, series, review_files and status of every study, and of the folders that weren't found."""
-    kept = images.join(decisions.where("decision = 'keep'").select("study_id", "series_uid"), ["study_id", "series_uid"], "left_semi")
-    counts = kept.groupBy("study_id").agg(F.count("*").alias("files"), F.countDistinct("series_number").alias("series"), F.count_if(F.col("review").isNotNull()).alias("review_files"))
-    every = decisions.groupBy("study_id").agg(F.max(F.col("decision") == "keep").alias("any"))
+def study_counts(images: DataFrame, decisions: DataFrame, errors: DataFrame | None = None) -> DataFrame:
+    """study_id, files, series and review_files that are kept, files of dropped series (`dropped`), and errors, of every study.
+
+    `images` are those of kept series, `decisions` all series with their number
+    of images, so what is dropped is known without another pass over images.
+    """
+    kept = images.groupBy("study_id").agg(F.count("*").alias("files"), F.countDistinct("series_number").alias("series"), F.count_if(F.col("review").isNotNull()).alias("review_files"))
+    every = decisions.groupBy("study_id").agg(F.sum(F.when(F.col("decision") == "keep", 0).otherwise(F.col("images"))).cast("long").alias("dropped"), F.max(F.col("decision") == "keep").alias("any"))
+    if errors is not None:  # a study may have nothing but objects that can't be read
+        every = every.join(errors.select("study_id"), "study_id", "full_outer")
     zero = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
-    status = F.when(~F.col("any"), "NO CTCA SERIES").when(F.coalesce("files", F.lit(0)) == 0, "EMPTY").otherwise("OK")
-    found = every.join(counts, "study_id", "left").select("study_id", zero("files"), zero("series"), zero("review_files"), status.alias("status"))
-    gone = missing.select("study_id", *(F.lit(0).cast("long").alias(c) for c in ("files", "series", "review_files")), F.lit("FOLDER NOT FOUND").alias("status"))
+    counted = every.join(kept, "study_id", "left").select("study_id", zero("files"), zero("series"), zero("review_files"), zero("dropped"), "any")
+    return with_errors(counted, errors)
+
+
+def study_summary(images: DataFrame, decisions: DataFrame, missing: DataFrame, errors: DataFrame | None = None) -> DataFrame:
+    """study_id, files, series, review_files, errors and status of every study, and of the folders that weren't found."""
+    kept = images.join(decisions.where("decision = 'keep'").select("study_id", "series_uid"), ["study_id", "series_uid"], "left_semi")
+    return summary_of(study_counts(kept, decisions, errors), missing)
+
+
+def summary_of(counts: DataFrame, missing: DataFrame) -> DataFrame:
+    """`study_counts` with a status, and a row for each study_id in `missing`, whose folder wasn't found."""
+    status = F.when(~F.coalesce("any", F.lit(True)), "NO CTCA SERIES").when(F.col("files") == 0, "EMPTY").when(F.col("errors") > 0, "ERRORS").otherwise("OK")
+    found = counts.select("study_id", "files", "series", "review_files", "errors", status.alias("status"))
+    gone = missing.select("study_id", *(F.lit(0).cast("long").alias(c) for c in ("files", "series", "review_files", "errors")), F.lit("FOLDER NOT FOUND").alias("status"))
     return found.unionByName(gone)
 
 
@@ -185,13 +212,17 @@ def attestation(facts: DataFrame, profile: Profile, at: str) -> DataFrame:
     return facts.select(F.to_json(body).alias("attestation"))
 
 
-def files_log(images: DataFrame, names: DataFrame, skipped: DataFrame | None = None) -> DataFrame:
-    """study_id, source_path, output_path, status (OK, REVIEW or SKIPPED) and note of every file of a run."""
+def files_log(images: DataFrame, names: DataFrame, skipped: DataFrame | None = None, rejects: DataFrame | None = None) -> DataFrame:
+    """study_id, source_path, output_path, status (OK, REVIEW, SKIPPED or ERROR) and note of every file of a run.
+
+    `rejects` has study_id (null where nothing tells it), path and fault.
+    """
     placed = images.select("study_id", "path", "review").join(names.select("path", F.concat("folder", F.lit("/"), "name").alias("output_path")), "path")
     log = placed.select("study_id", F.col("path").alias("source_path"), "output_path", F.when(F.col("review").isNull(), "OK").otherwise("REVIEW").alias("status"), F.coalesce("review", F.lit("")).alias("note"))
-    if skipped is None:
-        return log
-    return log.unionByName(skipped.select("study_id", F.col("path").alias("source_path"), F.lit("").alias("output_path"), F.lit("SKIPPED").alias("status"), F.lit("listed in the skip list").alias("note")))
+    left_out = lambda df, status, note: df.select("study_id", F.col("path").alias("source_path"), F.lit("").alias("output_path"), F.lit(status).alias("status"), note.alias("note"))
+    if skipped is not None:
+        log = log.unionByName(left_out(skipped, "SKIPPED", F.lit("listed in the skip list")))
+    return log if rejects is None else log.unionByName(left_out(rejects, "ERROR", F.col("fault")))
 
 
 def skip_hits(skipped: DataFrame) -> DataFrame:

@@ -38,14 +38,20 @@ def parents(path: Column) -> Column:
     return F.transform(F.sequence(F.lit(1), F.size(steps)), lambda n: F.array_join(F.slice(steps, F.lit(1), n), "/"))
 
 
-def under_folders(files: DataFrame, manifest: DataFrame) -> DataFrame:
-    """Files with the study_id of each manifest folder that holds them.
+def under_folders(files: DataFrame, manifest: DataFrame, *more: str) -> DataFrame:
+    """Files with the study_id of each manifest folder that holds them, and `more` of the manifest's columns.
 
     A prefix join without a range: a file offers every folder above it, and
     folders match by equality.
     """
     offered = files.withColumn("folder", F.explode(parents(F.col("path"))))
-    return offered.join(manifest.select(F.regexp_replace("source_folder", "/+$", "").alias("folder"), "study_id"), "folder").drop("folder")
+    return offered.join(manifest.select(F.regexp_replace("source_folder", "/+$", "").alias("folder"), "study_id", *more), "folder").drop("folder")
+
+
+def top_folder(path: Column, root: str = "") -> Column:
+    """The first step of a relative path, by which files are matched to a mapping; a file at the top belongs to `root`."""
+    steps = F.split(path, "/")
+    return F.when(F.size(steps) > 1, steps[0]).otherwise(F.lit(root))
 
 
 def missing_folders(files: DataFrame, manifest: DataFrame) -> DataFrame:

@@ -167,22 +167,65 @@ def recheck(expected: DataFrame, now: DataFrame) -> DataFrame:
     return both.select("path", state.alias("state")).where("state IS NOT NULL")
 
 
-def manifest(checksums: DataFrame, most: int = 100_000) -> DataFrame:
-    """part, files, text and sha256 of a checksum manifest in parts of about `most` lines at most.
+def depth_for(files: int, most: int) -> int:
+    """Levels below the root of a manifest's tree, so that its parts have about `most` files at most."""
+    depth = 0
+    while files > most * 16**depth:
+        depth += 1
+    return depth
 
-    A part's text is its lines, "digest  path", in order of paths, as sha256sum
-    reads them; its sha256 is that of the text as a file.  Most outputs have one part.
+
+def in_parts(checksums: DataFrame, depth: int) -> DataFrame:
+    """path and sha256 with the part of a manifest that they belong to: r and the first digits of the path's own digest."""
+    return checksums.select(F.concat(F.lit("r"), F.substr(F.sha2("path", 256), F.lit(1), F.lit(depth))).alias("part"), "path", "sha256")
+
+
+def manifest(checksums: DataFrame, most: int = 100_000, depth: int | None = None) -> DataFrame:
+    """A checksum manifest as a tree of digests: level, part, files, sha256, and the text of its lowest parts.
+
+    A lowest part's text is its lines, "digest  path", in order of paths, as
+    sha256sum reads them, and its sha256 that of the text as a file.  Every
+    other part's is that of its children's digests, a line each, in order.  A
+    file's part is told by its path alone, so what is added or lost elsewhere
+    doesn't move it.  Up to `most` files make one part, which is the root too.
     """
-    named = checksums.where("sha256 IS NOT NULL")
-    parts = max(1, -(-named.count() // most))
+    if depth is None:
+        depth = depth_for(checksums.count(), most)
     line = F.struct("path", F.concat("sha256", F.lit("  "), "path", F.lit("\n")).alias("line"))
-    dealt = named.groupBy(F.pmod(F.xxhash64("path"), F.lit(parts)).cast("int").alias("part")).agg(F.count("*").alias("files"), F.sort_array(F.collect_list(line)).alias("lines"))
+    dealt = in_parts(checksums, depth).groupBy("part").agg(F.count("*").alias("files"), F.sort_array(F.collect_list(line)).alias("lines"))
     text = F.array_join(F.transform("lines", lambda x: x["line"]), "")
-    return dealt.select("part", "files", text.alias("text"), F.sha2(text, 256).alias("sha256"))
+    below = dealt.select(F.lit(depth).alias("level"), "part", "files", F.sha2(text, 256).alias("sha256"), text.alias("text"))
+    out = below
+    for level in reversed(range(depth)):
+        digests = F.transform(F.sort_array(F.collect_list(F.struct("part", "sha256"))), lambda x: F.concat(x["sha256"], F.lit("\n")))
+        grouped = below.groupBy(F.substr("part", F.lit(1), F.lit(level + 1)).alias("part")).agg(F.sum("files").alias("files"), F.sha2(F.array_join(digests, ""), 256).alias("sha256"))
+        below = grouped.select(F.lit(level).alias("level"), "part", "files", "sha256", F.lit(None).cast("string").alias("text"))
+        out = out.unionByName(below)
+    return out
+
 
+def manifest_digest(tree: DataFrame) -> DataFrame:
+    """Files and the one digest of a manifest: its root's; that of an empty file if there are no files."""
+    return tree.where("level = 0").agg(F.coalesce(F.max("files"), F.lit(0).cast("long")).alias("files"), F.coalesce(F.max("sha256"), F.sha2(F.lit("").cast("binary"), 256)).alias("digest"))
 
-def manifest_digest(parts: DataFrame) -> DataFrame:
-    """Files and one digest of a manifest: that of its text, or of its parts' digests, a line each, if there are several."""
-    digests = F.transform(F.sort_array(F.collect_list(F.struct("part", "sha256"))), lambda x: x["sha256"])
-    some = parts.agg(F.coalesce(F.sum("files"), F.lit(0)).alias("files"), digests.alias("d"))
-    return some.select("files", F.when(F.size("d") == 1, F.get("d", F.lit(0))).otherwise(F.sha2(F.concat(F.array_join("d", "\n"), F.lit("\n")), 256)).alias("digest"))
+
+def differing_parts(then: DataFrame, now: DataFrame, depth: int) -> DataFrame:
+    """The lowest parts whose digests differ, found from the root down: only below parts that differ is anything compared."""
+    side = lambda tree, level, name: tree.where(F.col("level") == level).select("part", F.col("sha256").alias(name))
+    open_ = None
+    for level in range(depth + 1):
+        sides = [side(then, level, "then"), side(now, level, "now")]
+        if open_ is not None:
+            sides = [x.withColumn("above", F.substr("part", F.lit(1), F.lit(level))).join(open_.withColumnRenamed("part", "above"), "above", "left_semi").drop("above") for x in sides]
+        open_ = sides[0].join(sides[1], "part", "full_outer").where(~F.col("then").eqNullSafe(F.col("now"))).select("part")
+    return open_
+
+
+def recheck_tree(then: DataFrame, lines: DataFrame, now: DataFrame, depth: int) -> DataFrame:
+    """`recheck` by trees: `then` is the manifest's tree and `lines` its files (part, path, sha256), `now` today's checksums.
+
+    Files are compared in the parts that differ alone, and of the old lines only those parts are read.
+    """
+    today = in_parts(now, depth)
+    parts = differing_parts(then, manifest(now, depth=depth), depth)
+    return recheck(lines.join(parts, "part", "left_semi"), today.join(parts, "part", "left_semi"))

@@ -208,8 +208,8 @@ SQL = {
     "resume_pending": "SELECT 'CV' || c_custkey AS study_id FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'F' AND o_totalprice > 100000)",
     "study_state": STATE,
     "study_summary": f"""{decisions()}, kp AS (SELECT img.* FROM img JOIN dec ON img.study_id = dec.study_id AND img.series_uid = dec.series_uid WHERE decision = 'keep')
-      SELECT d.study_id, count(kp.path) AS files, count(DISTINCT kp.series_number) AS series, count(kp.review) AS review_files, CASE WHEN count(kp.path) = 0 THEN 'NO CTCA SERIES' ELSE 'OK' END AS status FROM (SELECT DISTINCT study_id FROM dec) d LEFT JOIN kp ON kp.study_id = d.study_id GROUP BY d.study_id
-      UNION ALL SELECT 'X' || n_nationkey, 0, 0, 0, 'FOLDER NOT FOUND' FROM nation""",
+      SELECT d.study_id, count(kp.path) AS files, count(DISTINCT kp.series_number) AS series, count(kp.review) AS review_files, CAST(0 AS BIGINT) AS errors, CASE WHEN count(kp.path) = 0 THEN 'NO CTCA SERIES' ELSE 'OK' END AS status FROM (SELECT DISTINCT study_id FROM dec) d LEFT JOIN kp ON kp.study_id = d.study_id GROUP BY d.study_id
+      UNION ALL SELECT 'X' || n_nationkey, 0, 0, 0, 0, 'FOLDER NOT FOUND' FROM nation""",
     "share_readiness": f"""{FACTS} SELECT level, title FROM (SELECT unnest([{{'level': CASE WHEN verified_at < last_run_at THEN 'warn' ELSE 'ok' END, 'title': CASE WHEN verified_at < last_run_at THEN 'Check passed, but files have changed since (a run or a redaction)' ELSE 'Verify passed' END}},
       {{'level': CASE WHEN complete = 0 THEN 'block' ELSE 'ok' END, 'title': CASE WHEN complete = 0 THEN 'No completed studies' ELSE complete || ' completed studies' END}}, CASE WHEN partial > 0 THEN {{'level': 'warn', 'title': partial || ' half-finished studies'}} END, CASE WHEN review_files > 0 THEN {{'level': 'warn', 'title': review_files || ' quarantined files in _review'}} END,
       {{'level': 'ok', 'title': 'No linkage file in the output tree'}}, {{'level': 'ok', 'title': 'Attestation and checksum manifest written'}}, {{'level': 'warn', 'title': '2 other confidential log file(s)'}}]) AS c FROM facts) t, (SELECT 1) WHERE c IS NOT NULL""".replace("SELECT level, title FROM (", "SELECT c.level AS level, c.title AS title FROM (").replace(") t, (SELECT 1) WHERE", ") t WHERE"),

@@ -83,6 +83,21 @@ SQL = {
       SELECT match_key, new_id FROM k UNION ALL SELECT match_key, 'ANON-' || lpad(CAST(num AS VARCHAR), CAST(greatest(3, length(CAST(most AS VARCHAR))) AS INTEGER), '0') FROM f""",
     "first_names": "SELECT count(*) AS names, array_to_string(list_sort(list(c_name))[1:4], ', ') || CASE WHEN count(*) > 4 THEN ' and ' || (count(*) - 4) || ' more' ELSE '' END AS shown FROM (SELECT DISTINCT c_name FROM customer WHERE c_acctbal < 0) c",
     "tick_counts": f"WITH t AS (SELECT study_id, count(DISTINCT series_uid) AS ticked FROM ({O.SELECTION}) s GROUP BY study_id) SELECT study_id, ticked, CAST(1 AS BIGINT) AS studies FROM t UNION ALL SELECT NULL, CAST(coalesce(sum(ticked), 0) AS BIGINT), count(*) FROM t",
+    "manifest_tree": """WITH f AS (SELECT 'f' || o_orderkey AS path, sha256('old' || o_orderkey) AS h FROM orders), p AS (SELECT 'r' || substr(sha256(path), 1, 2) AS part, count(*) AS files, sha256(string_agg(h || '  ' || path || chr(10), '' ORDER BY path)) AS d FROM f GROUP BY 1),
+      q AS (SELECT substr(part, 1, 2) AS part, CAST(sum(files) AS BIGINT) AS files, sha256(string_agg(d || chr(10), '' ORDER BY part)) AS d FROM p GROUP BY 1), z AS (SELECT 'r' AS part, CAST(sum(files) AS BIGINT) AS files, sha256(string_agg(d || chr(10), '' ORDER BY part)) AS d FROM q)
+      SELECT 2 AS level, part, files, d AS sha256 FROM p UNION ALL SELECT 1, * FROM q UNION ALL SELECT 0, * FROM z""",
+    "tree_recheck": O.SQL["checksum_recheck"],
+    "study_counts": f"""{O.decisions()}, kp AS (SELECT img.* FROM img JOIN dec ON img.study_id = dec.study_id AND img.series_uid = dec.series_uid WHERE decision = 'keep'),
+      er AS (SELECT study_id, count(*) AS errors FROM (SELECT CASE WHEN l_linenumber = 2 THEN 'Q' || l_suppkey ELSE 'P' || l_suppkey END AS study_id FROM lineitem WHERE l_partkey % 50 = 0 AND l_linenumber <> 1) b GROUP BY 1),
+      d AS (SELECT study_id, CAST(sum(CASE WHEN decision = 'keep' THEN 0 ELSE images END) AS BIGINT) AS dropped FROM dec GROUP BY 1), k AS (SELECT study_id, count(*) AS files, count(DISTINCT series_number) AS series, count(review) AS review_files FROM kp GROUP BY 1)
+      SELECT coalesce(d.study_id, er.study_id) AS study_id, coalesce(files, 0) AS files, coalesce(series, 0) AS series, coalesce(review_files, 0) AS review_files, coalesce(dropped, 0) AS dropped, coalesce(errors, 0) AS errors FROM d FULL JOIN er ON er.study_id = d.study_id LEFT JOIN k ON k.study_id = d.study_id""",
+    "versioned_list": "SELECT c_custkey AS match_key, CASE WHEN c_custkey % 3 = 0 THEN 'B' ELSE 'A' END || c_custkey AS new_id FROM customer WHERE c_custkey % 2 = 0 OR c_custkey % 3 = 0",
+    "written_profile": f"WITH {TRIAL_FIN} {O.DIGEST}",
+    "decisions_file": f"{O.decisions()} SELECT CASE WHEN decision = 'keep' THEN '1' ELSE '2' END AS run, decision, count(*) AS series, count(DISTINCT study_id) AS studies FROM dec GROUP BY ALL",
+    "run_files": """WITH o AS (SELECT 'CV' || o_custkey AS study_id, o_orderkey % 10 = 0 AS bad FROM orders WHERE o_custkey % 4 <> 0), d AS (SELECT study_id AS s, bool_or(NOT bad) AS has_files, NOT bool_or(bad) AS complete FROM o GROUP BY 1)
+      SELECT study_id, CASE WHEN bad THEN 'ERROR' ELSE 'OK' END AS status, count(*) AS files, CASE WHEN any_value(has_files) THEN any_value(complete) END AS complete FROM o JOIN d ON s = study_id GROUP BY study_id, bad
+      UNION ALL SELECT NULL, 'ERROR', count(*), NULL FROM orders WHERE o_custkey % 4 = 0 AND o_orderkey % 10 = 0 HAVING count(*) > 0""",
+    "dry_run": "SELECT 'CV' || o_custkey AS study_id, 'H' || (1000000 + o_custkey) AS source_keys, count(*) AS files, CAST(0 AS BIGINT) AS series, CAST(0 AS BIGINT) AS review_files, CAST(0 AS BIGINT) AS dropped, CAST(0 AS BIGINT) AS errors, 'OK' AS status FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_acctbal > 0 GROUP BY o_custkey",
     "run_output": f"WITH {O.policy_sql()} SELECT instance_id, count(*) AS attributes, sha256(string_agg(line, ';' ORDER BY line)) AS digest FROM fin WHERE instance_id IN (SELECT o_orderkey FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_acctbal > 0) GROUP BY instance_id",
 }
 

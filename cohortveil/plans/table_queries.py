@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import exprs as X
 from ..functions import policy as P
 from ..operators import audit, deidentify, frames, identity, intake, series, tables, verify
-from ..sources import dicom_json, files, stand_in
+from ..sources import dicom_json, files, stand_in, versions
 from ..sources.scratch import scratch
 from . import cohort_run
 from . import queries as Q
@@ -172,7 +172,7 @@ def skip_file(spark, sf):
 def checksum_file(spark, sf):
     """The newest manifest of a folder, as sha256sum reads it: two are written, and the later one is read."""
     path = scratch(spark)
-    made = verify.manifest(Q.checksums(spark, sf)).select(F.expr("left(text, length(text) - 1)").alias("value"))
+    made = verify.manifest(Q.checksums(spark, sf), depth=0).select(F.expr("left(text, length(text) - 1)").alias("value"))
     made.coalesce(1).write.text(f"{path}/checksums_20240102.sha256")
     table(spark, sf, "nation").selectExpr("'00  ' || n_name AS value").coalesce(1).write.text(f"{path}/checksums_20240101.sha256")
     return files.read_checksums(spark, path)
@@ -286,11 +286,76 @@ def run_output(spark, sf):
     mapping = identity.clean_mapping(table(spark, sf, "customer").where("c_acctbal > 0").selectExpr("'h' || CAST(1000000 + c_custkey AS STRING) AS key", "'CV' || CAST(c_custkey AS STRING) AS study_id", "c_custkey AS row"))
     folder = scratch(spark)
     cohort_run.run(spark, e.drop("patient_id"), headers, mapping, f"{folder}/out", f"{folder}/confidential", "1", salt_text=Q.SALT, coronary_only=False)
-    return Q.digest_of(spark.read.parquet(f"{folder}/out/elements"))
+    return Q.digest_of(cohort_run.committed(spark, f"{folder}/out"))
+
+
+def manifest_tree(spark, sf):
+    """All digests of a manifest's tree of three levels."""
+    return verify.manifest(Q.checksums(spark, sf), depth=2).drop("text")
+
+
+def tree_recheck(spark, sf):
+    """What changed since a manifest, by its tree: a tenth of the parts is touched, and only these are compared."""
+    then, now = Q.checksums(spark, sf), Q.checksums(spark, sf, True)
+    return verify.recheck_tree(verify.manifest(then, depth=2), verify.in_parts(then, 2), now, 2)
+
+
+def study_counts(spark, sf):
+    """Counts by study with what was dropped, and with errors of objects that couldn't be read, of studies that have nothing else too."""
+    bad = table(spark, sf, "lineitem").where("l_partkey % 50 = 0").selectExpr("CASE WHEN l_linenumber = 1 THEN NULL WHEN l_linenumber = 2 THEN 'Q' || CAST(l_suppkey AS STRING) ELSE 'P' || CAST(l_suppkey AS STRING) END AS study_id")
+    decided = Q.decided(spark, sf)
+    return audit.study_counts(series.images_of(Q.images(spark, sf), decided), decided, audit.errors_by_study(bad)).drop("any")
+
+
+def versioned_list(spark, sf):
+    """An assignment list that two runs add to and change, one after the other, read back from its newest version."""
+    root = scratch(spark)
+    c = table(spark, sf, "customer")
+    versions.upsert(c.where("c_custkey % 2 = 0").selectExpr("c_custkey AS match_key", "'A' || CAST(c_custkey AS STRING) AS new_id"), root, ["match_key"])
+    versions.upsert(c.where("c_custkey % 3 = 0").selectExpr("c_custkey AS match_key", "'B' || CAST(c_custkey AS STRING) AS new_id"), root, ["match_key"])
+    return versions.read(spark, root)
+
+
+def written_profile(spark, sf):
+    """A profile written beside an output and read back, as it applies to headers."""
+    folder = scratch(spark)
+    cohort_run.write_profile(spark, TRIAL, folder)
+    return Q.digest_of(deidentify.deidentify(Q.with_study(spark, sf), F.lit(Q.SALT), P.read_profile(spark, f"{folder}/_profile")))
+
+
+def decisions_file(spark, sf):
+    """Series decisions of two runs, each a file, read back with the run that the file's name tells."""
+    folder = scratch(spark)
+    own = Q.decided(spark, sf).select("study_id", F.coalesce("series_number", F.lit(0)).cast("string").alias("series_number"), "decision")
+    for run, rows in (("1", own.where("decision = 'keep'")), ("2", own.where("decision <> 'keep'"))):
+        rows.coalesce(1).write.option("header", True).csv(f"{folder}/series_{run}.csv")
+    return files.read_decisions(spark, folder).groupBy("run", "decision").agg(F.count("*").alias("series"), F.countDistinct("study_id").alias("studies"))
+
+
+def run_files(spark, sf):
+    """A run by folders with a manifest and unreadable objects: its log of files, and which of its studies are complete."""
+    e = Q.with_study(spark, sf).drop("study_id", "o_custkey", "patient_id")
+    named = dicom_json.wide(e).withColumn("path", F.concat(F.lit("ward/"), "patient_id", F.lit("/"), F.col("instance_id").cast("string")))
+    manifest = table(spark, sf, "customer").where("c_custkey % 4 <> 0").selectExpr("'ward/H' || CAST(1000000 + c_custkey AS STRING) || '/' AS source_folder", "'CV' || CAST(c_custkey AS STRING) AS study_id")
+    bad = named.where("instance_id % 10 = 0").select("instance_id", "path", F.lit("not JSON").alias("fault"))
+    folder = scratch(spark)
+    cohort_run.run(spark, e, named.where("instance_id % 10 <> 0"), None, f"{folder}/out", f"{folder}/confidential", "1", salt_text=Q.SALT, coronary_only=False, manifest=manifest, rejects=bad)
+    log = spark.read.option("header", True).csv(f"{folder}/confidential/files")
+    done = cohort_run.commits(spark, f"{folder}/out").select("study_id", "complete")
+    return log.groupBy("study_id", "status").agg(F.count("*").alias("files")).join(done, "study_id", "left")
+
+
+def dry_run(spark, sf):
+    """What a run would write, by study; nothing is written."""
+    e = Q.with_study(spark, sf).drop("study_id", "o_custkey")
+    mapping = identity.clean_mapping(table(spark, sf, "customer").where("c_acctbal > 0").selectExpr("'h' || CAST(1000000 + c_custkey AS STRING) AS key", "'CV' || CAST(c_custkey AS STRING) AS study_id", "c_custkey AS row"))
+    folder = scratch(spark)
+    return cohort_run.run(spark, e.drop("patient_id"), dicom_json.wide(e), mapping, f"{folder}/out", f"{folder}/confidential", "1", coronary_only=False, dry_run=True)
 
 
 NAMES = """remap_paths redact_paths split_needles profile_slugs time_left unit_labels policy_use tag_policy_texts verify_texts json_elements json_headers rejected_objects default_windows
 quarantine_release redaction_log wanted_files earlier_outputs mapping_file pair_files skip_file checksum_file linkage_words report_status confidential_files attestation_text
-not_this_run survey_copies case_mismatch coronary_summary output_series ticked_kinds selection_table pick_override middle_files started_studies skip_hits scan_headline reused_ids first_names tick_counts run_output""".split()
+not_this_run survey_copies case_mismatch coronary_summary output_series ticked_kinds selection_table pick_override middle_files started_studies skip_hits scan_headline reused_ids first_names tick_counts run_output
+manifest_tree tree_recheck study_counts versioned_list written_profile decisions_file run_files dry_run""".split()
 
 QUERIES = {name: globals()[name] for name in NAMES}
