@@ -83,6 +83,14 @@ SQL = {
       SELECT match_key, new_id FROM k UNION ALL SELECT match_key, 'ANON-' || lpad(CAST(num AS VARCHAR), CAST(greatest(3, length(CAST(most AS VARCHAR))) AS INTEGER), '0') FROM f""",
     "first_names": "SELECT count(*) AS names, array_to_string(list_sort(list(c_name))[1:4], ', ') || CASE WHEN count(*) > 4 THEN ' and ' || (count(*) - 4) || ' more' ELSE '' END AS shown FROM (SELECT DISTINCT c_name FROM customer WHERE c_acctbal < 0) c",
     "tick_counts": f"WITH t AS (SELECT study_id, count(DISTINCT series_uid) AS ticked FROM ({O.SELECTION}) s GROUP BY study_id) SELECT study_id, ticked, CAST(1 AS BIGINT) AS studies FROM t UNION ALL SELECT NULL, CAST(coalesce(sum(ticked), 0) AS BIGINT), count(*) FROM t",
+    "tiled_redact": f"""WITH a AS ({O.PIX}), t AS (SELECT *, unnest(range(0, 16)) AS k FROM a), u AS (SELECT vec_id, p, k // 4 AS frame, (k % 4) // 2 * 3 AS row0, k % 2 * 3 AS col0 FROM t)
+      SELECT vec_id AS instance_id, CAST(frame AS INTEGER) AS frame, CAST(row0 AS INTEGER) AS row0, CAST(col0 AS INTEGER) AS col0, (SELECT string_agg(CAST(CASE WHEN c >= least(vec_id % 5, 2) AND c < least(greatest(vec_id % 5, 2), 4) AND r < least(vec_id % 6, 4) THEN CASE WHEN vec_id % 2 = 0 THEN list_max(p) ELSE 0 END ELSE p[CAST(frame * 16 + r * 4 + c + 1 AS INTEGER)] END AS BIGINT), ',' ORDER BY r, c)
+        FROM range(0, 4) x(r), range(0, 4) y(c) WHERE r // 3 * 3 = row0 AND c // 3 * 3 = col0) AS pixels FROM u""",
+    "tiled_reformat": f"""WITH a AS (SELECT 'L' || label AS series_uid, p, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS nth, count(*) OVER (PARTITION BY label) AS n FROM ({O.PIX}) x),
+      v AS (SELECT series_uid, p, nth, n, unnest(range(0, 64)) AS k FROM a), w AS (SELECT series_uid, nth, n, k // 8 AS y, k % 8 AS x, CAST(p[CAST(k + 1 AS INTEGER)] AS BIGINT) AS q FROM v),
+      o AS (SELECT 'Axial' AS orientation, series_uid, y // 3 * 3 AS row0, x // 3 * 3 AS col0, y AS r, x AS c, q FROM w WHERE nth = least(7, n - 1) UNION ALL
+        SELECT 'Coronal', series_uid, (n - 1 - nth) // 5 * 5, x // 3 * 3, n - 1 - nth, x, q FROM w WHERE y = 3 UNION ALL SELECT 'Sagittal', series_uid, (n - 1 - nth) // 5 * 5, y // 3 * 3, n - 1 - nth, y, q FROM w WHERE x = 7)
+      SELECT orientation, series_uid, CAST(row0 AS INTEGER) AS row0, CAST(col0 AS INTEGER) AS col0, string_agg(q, ',' ORDER BY r, c) AS pixels FROM o GROUP BY orientation, series_uid, row0, col0""",
     "manifest_tree": """WITH f AS (SELECT 'f' || o_orderkey AS path, sha256('old' || o_orderkey) AS h FROM orders), p AS (SELECT 'r' || substr(sha256(path), 1, 2) AS part, count(*) AS files, sha256(string_agg(h || '  ' || path || chr(10), '' ORDER BY path)) AS d FROM f GROUP BY 1),
       q AS (SELECT substr(part, 1, 2) AS part, CAST(sum(files) AS BIGINT) AS files, sha256(string_agg(d || chr(10), '' ORDER BY part)) AS d FROM p GROUP BY 1), z AS (SELECT 'r' AS part, CAST(sum(files) AS BIGINT) AS files, sha256(string_agg(d || chr(10), '' ORDER BY part)) AS d FROM q)
       SELECT 2 AS level, part, files, d AS sha256 FROM p UNION ALL SELECT 1, * FROM q UNION ALL SELECT 0, * FROM z""",

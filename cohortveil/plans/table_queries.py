@@ -128,6 +128,23 @@ def quarantine_release(spark, sf):
     return frames.released(p, boxes, held).select("instance_id", "study_id", "route", F.array_join(F.transform("pixels", lambda v: v.cast("long")), ",").alias("pixels"))
 
 
+def tiled_redact(spark, sf):
+    """Embeddings as objects of four 4 by 4 frames, in tiles of 3: boxes are painted in every frame."""
+    p = Q.pixels(spark, sf).withColumns({"rows": F.lit(4), "cols": F.lit(4)})
+    boxes = p.select("instance_id", (F.col("instance_id") % 5).cast("int").alias("x0"), F.lit(-3).alias("y0"), F.lit(2).alias("x1"), (F.col("instance_id") % 6).cast("int").alias("y1"))
+    painted = frames.redacted_tiles(frames.tiles(p, 3), boxes)
+    return painted.select("instance_id", "frame", "row0", "col0", F.array_join(F.transform("pixels", lambda v: v.cast("long")), ",").alias("pixels"))
+
+
+def tiled_reformat(spark, sf):
+    """One image of each orientation out of every series' tiles, as tiles of its own."""
+    cut, out = frames.tiles(Q.pixels(spark, sf), 3), None
+    for orientation, index in (("Axial", 7), ("Coronal", 3), ("Sagittal", 99)):
+        one = frames.reformatted_tiles(cut, orientation, index, 5).select(F.lit(orientation).alias("orientation"), "series_uid", "row0", "col0", F.array_join(F.transform("pixels", lambda v: v.cast("long")), ",").alias("pixels"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def redaction_log(spark, sf):
     boxes = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("instance_id"))
     return tables.redaction_log(boxes, "reader", "20240101")
@@ -356,6 +373,6 @@ def dry_run(spark, sf):
 NAMES = """remap_paths redact_paths split_needles profile_slugs time_left unit_labels policy_use tag_policy_texts verify_texts json_elements json_headers rejected_objects default_windows
 quarantine_release redaction_log wanted_files earlier_outputs mapping_file pair_files skip_file checksum_file linkage_words report_status confidential_files attestation_text
 not_this_run survey_copies case_mismatch coronary_summary output_series ticked_kinds selection_table pick_override middle_files started_studies skip_hits scan_headline reused_ids first_names tick_counts run_output
-manifest_tree tree_recheck study_counts versioned_list written_profile decisions_file run_files dry_run""".split()
+tiled_redact tiled_reformat manifest_tree tree_recheck study_counts versioned_list written_profile decisions_file run_files dry_run""".split()
 
 QUERIES = {name: globals()[name] for name in NAMES}

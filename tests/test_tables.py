@@ -75,3 +75,27 @@ def test_run_totals_pass_on_the_first_empty_studies_only(spark):
     got = audit.run_totals(spark.createDataFrame(rows, "study_id string, files long, series long, review_files long").repartition(5))
     assert tuple(got.first()) == (61, 90, 60, 0, 31, ", ".join(f"s{k:02}" for k in range(1, 40, 2)))
     assert "TakeOrderedAndProject(limit=20" in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_tiles_of_multi_frame_objects(spark):
+    """Two objects of three 5 by 7 frames: tiles are painted in every frame, and planes through them are those of the volume."""
+    import numpy as np
+
+    v = np.arange(210, dtype=float).reshape(2, 3, 5, 7)
+    f = spark.createDataFrame([(k, "s", float(-k), 5, 7, "MONOCHROME1" if k else "MONOCHROME2", v[k].ravel().tolist()) for k in range(2)] + [(9, "s", 9.0, 5, 7, "", [1.0] * 36)], "instance_id int, series_uid string, z double, rows int, cols int, photometric string, pixels array<double>")
+    box = spark.createDataFrame([(k, 5, 4, 1, 2) for k in (0, 1, 9)], "instance_id int, x0 int, y0 int, x1 int, y1 int")
+    want = v.copy()
+    want[0, :, 2:4, 1:5], want[1, :, 2:4, 1:5] = 0, v[1].max()
+    for edge in (2, 3, 100):
+        got = np.full(v.shape, -1.0)
+        for t in frames.redacted_tiles(frames.tiles(f, edge), box).collect():
+            got[t.instance_id, t.frame, t.row0 : t.row0 + t.height, t.col0 : t.col0 + t.width] = np.reshape(t.pixels, (t.height, t.width))
+            assert t.height <= edge and t.width <= edge
+        assert (got == want).all()
+        volume = np.concatenate((v[1], v[0]))
+        for orientation, index, plane in (("Axial", 4, volume[4]), ("Axial", 99, volume[5]), ("Coronal", 2, volume[::-1, 2, :]), ("Sagittal", 6, volume[::-1, :, 6])):
+            image = np.full(plane.shape, -1.0)
+            for t in frames.reformatted_tiles(frames.tiles(f, edge), orientation, index, edge).collect():
+                image[t.row0 : t.row0 + t.height, t.col0 : t.col0 + t.width] = np.reshape(t.pixels, (t.height, t.width))
+            assert (image == plane).all()
+    assert {r.instance_id: r.pixels for r in frames.redacted(f, box).collect()} == {k: want[k].ravel().tolist() for k in range(2)}
