@@ -121,8 +121,8 @@ def study_state(outputs: DataFrame, completed: DataFrame) -> DataFrame:
     return outputs.select("study_id").distinct().join(done, "study_id", "left").select("study_id", F.when(F.col("done"), "complete").otherwise("partial").alias("state"))
 
 
-def readiness(facts: DataFrame) -> DataFrame:
-    """What stands in the way of sharing, from one row of facts: level (block, warn, ok) and title.
+def readiness(facts: DataFrame, *by: str) -> DataFrame:
+    """What stands in the way of sharing, for each row of facts (named by `by`): level (block, warn, ok) and title.
 
     Facts: status (PASS, FAIL or null), verified_at, last_run_at, complete,
     partial, review_files, linkage_files, other_logs and attested.
@@ -139,18 +139,18 @@ def readiness(facts: DataFrame) -> DataFrame:
         rule(F.col("linkage_files") > 0, "block", F.concat(n("linkage_files"), F.lit(" linkage file(s) still in the output tree"))), rule(F.col("linkage_files") == 0, "ok", F.lit("No linkage file in the output tree")),
         rule(passed & F.col("attested"), "ok", F.lit("Attestation and checksum manifest written")), rule(F.col("other_logs") > 0, "warn", F.concat(n("other_logs"), F.lit(" other confidential log file(s)"))),
     ]
-    return facts.select(F.explode(F.array_compact(F.array(*rules))).alias("c")).select("c.level", "c.title")
+    return facts.select(*by, F.explode(F.array_compact(F.array(*rules))).alias("c")).select(*by, "c.level", "c.title")
 
 
-def done_headline(facts: DataFrame) -> DataFrame:
-    """level and headline for an output's present state."""
+def done_headline(facts: DataFrame, *by: str) -> DataFrame:
+    """level and headline for an output's present state, for each row of facts (named by `by`)."""
     who = F.concat(F.col("complete").cast("string"), F.when(F.col("complete") == 1, " patient").otherwise(" patients"))
     none = (F.col("complete") == 0) & (F.col("partial") == 0)
     failed, passed = F.coalesce(F.col("status") == "FAIL", F.lit(False)), F.coalesce(F.col("status") == "PASS", F.lit(False))
     stale = F.coalesce(F.col("verified_at") < F.col("last_run_at"), F.lit(False))
     level = F.when(none, "none").when(failed, "error").when(~passed | stale, "warn").otherwise("ok")
     head = F.when(none, "Nothing has been anonymised yet").when(failed, "Check failed: do not share").when(~passed, F.concat(who, F.lit(" anonymised, not yet checked"))).when(stale, F.concat(who, F.lit(" anonymised, but changed since the last check"))).otherwise(F.concat(who, F.lit(" anonymised and verified")))
-    return facts.select(level.alias("level"), head.alias("headline"))
+    return facts.select(*by, level.alias("level"), head.alias("headline"))
 
 
 #: The plain-language fields, the attributes that they show and how.

@@ -122,8 +122,8 @@ k AS (SELECT *, CASE WHEN coronary > 0 AND coronary = n_units THEN 'coronary CT'
   WHEN per > 1 THEN format('{{:,}}', per) || ' images each' ELSE 'a single image' END AS note FROM k1)"""
 GIVEN = "SELECT 'P' || s_suppkey AS match_key, 'ANON-' || CASE WHEN s_suppkey > 999 THEN substr(CAST(s_suppkey AS VARCHAR), 1, 3) ELSE lpad(CAST(s_suppkey AS VARCHAR), 3, '0') END AS new_id, s_suppkey, s_nationkey FROM supplier WHERE s_acctbal > 5000"
 STATE = "SELECT 'CV' || c_custkey AS study_id, CASE WHEN EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'F') THEN 'complete' ELSE 'partial' END AS state FROM customer"
-FACTS = f"""{WITH}, facts AS (SELECT (SELECT count(*) FROM ({STATE}) s WHERE state = 'complete') AS complete, (SELECT count(*) FROM ({STATE}) s WHERE state = 'partial') AS partial, (SELECT count(*) FROM img WHERE review IS NOT NULL) AS review_files,
-  (SELECT max(event_id) FROM events) AS last_run_at, (SELECT coalesce(max(event_id), 0) FROM events WHERE event_type = 'click') AS verified_at)"""
+FACTS = """WITH facts AS (SELECT s_suppkey AS k, CASE WHEN s_suppkey % 5 = 0 THEN 0 ELSE s_suppkey % 3 + 1 END AS complete, CASE WHEN s_suppkey % 2 = 0 THEN 0 ELSE s_suppkey % 4 + 1 END AS partial, CASE WHEN s_suppkey % 4 = 0 THEN 0 ELSE s_suppkey % 9 + 1 END AS review_files, s_suppkey % 10 AS last_run_at,
+  s_suppkey % 7 AS verified_at, CASE s_suppkey % 3 WHEN 0 THEN 'PASS' WHEN 1 THEN 'FAIL' END AS status, s_suppkey % 6 % 2 AS linkage_files, s_suppkey % 8 % 3 AS other_logs, s_suppkey % 11 > 0 AS attested FROM supplier)"""
 UNITS = f"""{WITH}, own AS (SELECT patient, study, series_uid, CASE WHEN pid % 2 = 0 THEN patient || '/' || study || '/' || path ELSE path END AS path FROM (SELECT *, substr(study_date, 1, 4) AS study FROM img) i),
 fo AS (SELECT *, regexp_replace(path, '/[^/]*$', '') AS folder FROM own),
 cf AS (SELECT patient, study, count(*) AS files, count(DISTINCT series_uid) AS series, min(string_split(folder, '/')) AS lo, max(string_split(folder, '/')) AS hi FROM fo GROUP BY patient, study),
@@ -210,10 +210,14 @@ SQL = {
     "study_summary": f"""{decisions()}, kp AS (SELECT img.* FROM img JOIN dec ON img.study_id = dec.study_id AND img.series_uid = dec.series_uid WHERE decision = 'keep')
       SELECT d.study_id, count(kp.path) AS files, count(DISTINCT kp.series_number) AS series, count(kp.review) AS review_files, CAST(0 AS BIGINT) AS errors, CASE WHEN count(kp.path) = 0 THEN 'NO CTCA SERIES' ELSE 'OK' END AS status FROM (SELECT DISTINCT study_id FROM dec) d LEFT JOIN kp ON kp.study_id = d.study_id GROUP BY d.study_id
       UNION ALL SELECT 'X' || n_nationkey, 0, 0, 0, 0, 'FOLDER NOT FOUND' FROM nation""",
-    "share_readiness": f"""{FACTS} SELECT level, title FROM (SELECT unnest([{{'level': CASE WHEN verified_at < last_run_at THEN 'warn' ELSE 'ok' END, 'title': CASE WHEN verified_at < last_run_at THEN 'Check passed, but files have changed since (a run or a redaction)' ELSE 'Verify passed' END}},
-      {{'level': CASE WHEN complete = 0 THEN 'block' ELSE 'ok' END, 'title': CASE WHEN complete = 0 THEN 'No completed studies' ELSE complete || ' completed studies' END}}, CASE WHEN partial > 0 THEN {{'level': 'warn', 'title': partial || ' half-finished studies'}} END, CASE WHEN review_files > 0 THEN {{'level': 'warn', 'title': review_files || ' quarantined files in _review'}} END,
-      {{'level': 'ok', 'title': 'No linkage file in the output tree'}}, {{'level': 'ok', 'title': 'Attestation and checksum manifest written'}}, {{'level': 'warn', 'title': '2 other confidential log file(s)'}}]) AS c FROM facts) t, (SELECT 1) WHERE c IS NOT NULL""".replace("SELECT level, title FROM (", "SELECT c.level AS level, c.title AS title FROM (").replace(") t, (SELECT 1) WHERE", ") t WHERE"),
-    "done_headline": f"{FACTS} SELECT CASE WHEN verified_at < last_run_at THEN 'warn' ELSE 'ok' END AS level, complete || CASE WHEN complete = 1 THEN ' patient' ELSE ' patients' END || CASE WHEN verified_at < last_run_at THEN ' anonymised, but changed since the last check' ELSE ' anonymised and verified' END AS headline FROM facts",
+    "share_readiness": f"""{FACTS}, c AS (SELECT k, 'PASS' = coalesce(status, '') AND verified_at < last_run_at AS stale, 'PASS' = coalesce(status, '') AS passed, * EXCLUDE (k) FROM facts)
+      SELECT k AS s_suppkey, level, title FROM (
+        SELECT k, 'warn' AS level, 'Check passed, but files have changed since (a run or a redaction)' AS title FROM c WHERE stale UNION ALL SELECT k, 'ok', 'Verify passed' FROM c WHERE passed AND NOT stale UNION ALL SELECT k, 'block', 'Verify FAILED' FROM c WHERE status = 'FAIL' UNION ALL SELECT k, 'block', 'Not verified' FROM c WHERE status IS NULL
+        UNION ALL SELECT k, CASE WHEN complete = 0 THEN 'block' ELSE 'ok' END, CASE WHEN complete = 0 THEN 'No completed studies' ELSE complete || ' completed studies' END FROM c UNION ALL SELECT k, 'warn', partial || ' half-finished studies' FROM c WHERE partial > 0 UNION ALL SELECT k, 'warn', review_files || ' quarantined files in _review' FROM c WHERE review_files > 0
+        UNION ALL SELECT k, CASE WHEN linkage_files > 0 THEN 'block' ELSE 'ok' END, CASE WHEN linkage_files > 0 THEN linkage_files || ' linkage file(s) still in the output tree' ELSE 'No linkage file in the output tree' END FROM c UNION ALL SELECT k, 'ok', 'Attestation and checksum manifest written' FROM c WHERE passed AND attested
+        UNION ALL SELECT k, 'warn', other_logs || ' other confidential log file(s)' FROM c WHERE other_logs > 0) t""",
+    "done_headline": f"""{FACTS} SELECT k AS s_suppkey, CASE WHEN complete = 0 AND partial = 0 THEN 'none' WHEN status = 'FAIL' THEN 'error' WHEN status IS NULL OR verified_at < last_run_at THEN 'warn' ELSE 'ok' END AS level,
+      CASE WHEN complete = 0 AND partial = 0 THEN 'Nothing has been anonymised yet' WHEN status = 'FAIL' THEN 'Check failed: do not share' ELSE complete || CASE WHEN complete = 1 THEN ' patient' ELSE ' patients' END || CASE WHEN status IS NULL THEN ' anonymised, not yet checked' WHEN verified_at < last_run_at THEN ' anonymised, but changed since the last check' ELSE ' anonymised and verified' END END AS headline FROM facts""",
     "log_progress": """SELECT event_id, CASE event_id % 5 WHEN 2 THEN 'error' WHEN 4 THEN 'warn' ELSE 'plain' END AS "class", CASE WHEN event_id % 5 = 0 THEN event_id % 520 END AS done, CASE WHEN event_id % 5 = 0 THEN CAST(520 AS BIGINT) END AS total, CASE WHEN event_id % 5 = 0 THEN 'U' || user_id END AS study,
       CASE WHEN event_id % 5 = 0 THEN (event_id % 520) * 100 // 520 END AS percent, CASE WHEN event_id % 5 = 0 THEN CAST(310 AS BIGINT) END AS minutes_left, false AS skipped FROM events""",
     "frame_window": f"""SELECT vec_id AS instance_id, array_to_string(list_transform(q, lambda v: CAST(floor(least(255.0, greatest(0.0, (v - lo) * (255.0 / (hi - lo))))) AS INTEGER)), ',') AS grey FROM (SELECT vec_id, q, CASE WHEN vec_id % 3 = 0 THEN list_min(q) ELSE -20.0 END AS lo, CASE WHEN vec_id % 3 = 0 THEN list_max(q) ELSE 20.0 END AS hi FROM (SELECT vec_id, list_transform(p, lambda v: v * 2 - 10) AS q FROM ({PIX}) a) b) c""",

@@ -354,18 +354,19 @@ def study_state(spark, sf):
 
 
 def facts(spark, sf):
-    state = study_state(spark, sf).agg(F.count_if(F.col("state") == "complete").alias("complete"), F.count_if(F.col("state") == "partial").alias("partial")).withColumn("one", F.lit(1))
-    held = images(spark, sf).agg(F.count_if(F.col("review").isNotNull()).alias("review_files")).withColumn("one", F.lit(1))
-    run = stand_in.table(spark, sf, "events").agg(F.max("event_id").alias("last_run_at"), F.max(F.when(F.col("event_type") == F.lit("click"), F.col("event_id"))).alias("verified_at")).withColumn("one", F.lit(1))
-    return state.join(held, "one").join(run, "one").select("complete", "partial", "review_files", "last_run_at", F.coalesce("verified_at", F.lit(0)).alias("verified_at"), F.lit("PASS").alias("status"), F.lit(0).alias("linkage_files"), F.lit(2).alias("other_logs"), F.lit(True).alias("attested"))
+    """What is known of one output for each supplier: checked or not, passed or not, changed since, with and without studies and logs."""
+    n = F.col("s_suppkey")
+    status = F.when(n % 3 == 0, "PASS").when(n % 3 == 1, "FAIL")
+    some = lambda every, size: F.when(n % every == 0, 0).otherwise(n % size + 1).cast("long")
+    return stand_in.table(spark, sf, "supplier").select("s_suppkey", some(5, 3).alias("complete"), some(2, 4).alias("partial"), some(4, 9).alias("review_files"), (n % 10).alias("last_run_at"), F.when(status.isNotNull(), n % 7).alias("verified_at"), status.alias("status"), (n % 6 % 2).alias("linkage_files"), (n % 8 % 3).alias("other_logs"), (n % 11 > 0).alias("attested"))
 
 
 def share_readiness(spark, sf):
-    return audit.readiness(facts(spark, sf))
+    return audit.readiness(facts(spark, sf), "s_suppkey")
 
 
 def done_headline(spark, sf):
-    return audit.done_headline(facts(spark, sf))
+    return audit.done_headline(facts(spark, sf), "s_suppkey")
 
 
 def log_progress(spark, sf):

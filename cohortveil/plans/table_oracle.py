@@ -100,6 +100,8 @@ SQL = {
       d AS (SELECT study_id, CAST(sum(CASE WHEN decision = 'keep' THEN 0 ELSE images END) AS BIGINT) AS dropped FROM dec GROUP BY 1), k AS (SELECT study_id, count(*) AS files, count(DISTINCT series_number) AS series, count(review) AS review_files FROM kp GROUP BY 1)
       SELECT coalesce(d.study_id, er.study_id) AS study_id, coalesce(files, 0) AS files, coalesce(series, 0) AS series, coalesce(review_files, 0) AS review_files, coalesce(dropped, 0) AS dropped, coalesce(errors, 0) AS errors FROM d FULL JOIN er ON er.study_id = d.study_id LEFT JOIN k ON k.study_id = d.study_id""",
     "versioned_list": "SELECT c_custkey AS match_key, CASE WHEN c_custkey % 3 = 0 THEN 'B' ELSE 'A' END || c_custkey AS new_id FROM customer WHERE c_custkey % 2 = 0 OR c_custkey % 3 = 0",
+    "saved_selection": f"""{O.decisions()}, t AS (SELECT study_id, series_uid FROM cls), s AS (SELECT 'P' || s_suppkey AS study_id, s_suppkey AS k FROM supplier),
+      u AS (SELECT * FROM t WHERE study_id NOT IN (SELECT study_id FROM s WHERE k % 3 = 0) UNION ALL SELECT study_id, 'new' FROM s WHERE k % 3 = 0 AND k % 2 = 1) SELECT * FROM u WHERE study_id NOT IN (SELECT study_id FROM s WHERE k % 7 = 0)""",
     "written_profile": f"WITH {TRIAL_FIN} {O.DIGEST}",
     "decisions_file": f"{O.decisions()} SELECT CASE WHEN decision = 'keep' THEN '1' ELSE '2' END AS run, decision, count(*) AS series, count(DISTINCT study_id) AS studies FROM dec GROUP BY ALL",
     "run_files": """WITH o AS (SELECT 'CV' || o_custkey AS study_id, o_orderkey % 10 = 0 AS bad FROM orders WHERE o_custkey % 4 <> 0), d AS (SELECT study_id AS s, bool_or(NOT bad) AS has_files, NOT bool_or(bad) AS complete FROM o GROUP BY 1)

@@ -10,7 +10,7 @@ from ..functions import policy as P
 from ..operators import audit, deidentify, frames, identity, intake, series, tables, verify
 from ..sources import dicom_json, files, stand_in, versions
 from ..sources.scratch import scratch
-from . import cohort_run
+from . import cohort_run, saved_tables
 from . import queries as Q
 
 #: A profile that replaces texts.
@@ -328,9 +328,19 @@ def versioned_list(spark, sf):
     """An assignment list that two runs add to and change, one after the other, read back from its newest version."""
     root = scratch(spark)
     c = table(spark, sf, "customer")
-    versions.upsert(c.where("c_custkey % 2 = 0").selectExpr("c_custkey AS match_key", "'A' || CAST(c_custkey AS STRING) AS new_id"), root, ["match_key"])
-    versions.upsert(c.where("c_custkey % 3 = 0").selectExpr("c_custkey AS match_key", "'B' || CAST(c_custkey AS STRING) AS new_id"), root, ["match_key"])
-    return versions.read(spark, root)
+    saved_tables.save_assignments(c.where("c_custkey % 2 = 0").selectExpr("c_custkey AS match_key", "'A' || CAST(c_custkey AS STRING) AS new_id"), root)
+    saved_tables.save_assignments(c.where("c_custkey % 3 = 0").selectExpr("c_custkey AS match_key", "'B' || CAST(c_custkey AS STRING) AS new_id"), root)
+    return saved_tables.read(spark, root)
+
+
+def saved_selection(spark, sf):
+    """A selection that is saved, changed, cleared for some studies and read back, each time from what was saved before."""
+    root = scratch(spark)
+    s = table(spark, sf, "supplier")
+    saved_tables.save_selection(Q.classified(spark, sf).select("study_id", "series_uid"), root)
+    saved_tables.save_selection(s.where("s_suppkey % 3 = 0").selectExpr("'P' || CAST(s_suppkey AS STRING) AS study_id", "CASE WHEN s_suppkey % 2 = 0 THEN '' ELSE 'new' END AS series_uid"), root)
+    saved_tables.clear_selection(s.where("s_suppkey % 7 = 0").selectExpr("'P' || CAST(s_suppkey AS STRING) AS study_id"), root)
+    return saved_tables.read(spark, root)
 
 
 def written_profile(spark, sf):
@@ -373,6 +383,6 @@ def dry_run(spark, sf):
 NAMES = """remap_paths redact_paths split_needles profile_slugs time_left unit_labels policy_use tag_policy_texts verify_texts json_elements json_headers rejected_objects default_windows
 quarantine_release redaction_log wanted_files earlier_outputs mapping_file pair_files skip_file checksum_file linkage_words report_status confidential_files attestation_text
 not_this_run survey_copies case_mismatch coronary_summary output_series ticked_kinds selection_table pick_override middle_files started_studies skip_hits scan_headline reused_ids first_names tick_counts run_output
-tiled_redact tiled_reformat manifest_tree tree_recheck study_counts versioned_list written_profile decisions_file run_files dry_run""".split()
+tiled_redact tiled_reformat manifest_tree tree_recheck study_counts versioned_list saved_selection written_profile decisions_file run_files dry_run""".split()
 
 QUERIES = {name: globals()[name] for name in NAMES}

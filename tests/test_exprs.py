@@ -89,3 +89,11 @@ def test_natural_order_of_long_numbers(spark):
     names = ["1.2.9", "1.2.10", "1.2.123456789012345678901", "1.2.123456789012345678902", "1.2.99999999999999999999", "1.2.007", "a2b", "a10b"]
     rows = spark.createDataFrame([(n,) for n in names], "n string").orderBy(X.natural_key(F.col("n"))).collect()
     assert [r["n"] for r in rows] == ["1.2.007", "1.2.9", "1.2.10", "1.2.99999999999999999999", "1.2.123456789012345678901", "1.2.123456789012345678902", "a2b", "a10b"]
+
+
+def test_faults_of_profiles():
+    good = P.Profile(name="Trial", patient_name="custom", patient_name_text="CASE")
+    assert good.checks() == P.Profile().checks() == []
+    assert P.Profile(name=" ", patient_name="custom").checks() == [("name", "empty"), ("patient_name_text", "empty")]
+    assert P.Profile(patient_name="nobody", study_description="a\n", method_text="x\\" + "y" * 64).checks() == [("patient_name", "unknown"), ("study_description", "forbidden"), ("method_text", "forbidden"), ("method_text", "long")]
+    assert all(w.split()[0] in {"name", "patient_name", "patient_name_text", "study_description", "method_text"} for w in P.Profile(name="", patient_name="x").problems())
