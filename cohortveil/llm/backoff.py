@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .batches import as_bytes, document_texts, map_batches
+from .repeats import whole
 from .rolling import Roller, word_bounds, word_values
 
 U = np.uint64
@@ -61,11 +62,13 @@ class Block:
     """One block's words, and what is known of its n-grams so far."""
 
     def __init__(self, texts: list[bytes]):
-        words, hashes = Roller(), []
-        for text in texts:
-            a = np.frombuffer(text.lower(), np.uint8)
-            hashes.append(word_values(a, *word_bounds(a)))
-        self.sizes = np.array([len(h) for h in hashes], np.int64)
+        words, hashes, sizes = Roller(), [], []
+        for group in whole(np.array([len(t) for t in texts], np.int64)):
+            a = np.frombuffer(b"".join(texts[d].lower() + b" " for d, _, _ in group), np.uint8)
+            starts, stops = word_bounds(a)
+            hashes.append(word_values(a, starts, stops))
+            sizes.append(np.diff(np.searchsorted(starts, np.cumsum([0] + [n + 1 for _, _, n in group]))))
+        self.sizes = np.concatenate([*sizes, np.zeros(0, np.int64)])
         self.words = words.load(np.concatenate([*hashes, np.zeros(0, U)]))
         n = int(self.sizes.sum())
         self.doc = np.repeat(np.arange(len(texts)), self.sizes)

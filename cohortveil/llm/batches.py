@@ -62,12 +62,16 @@ def map_texts(docs: DataFrame, carry: Sequence[str], work: Callable[[], Callable
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """A new path in the folder that the cluster shares.
+    """A new path in the folder that the cluster shares, `spark.checkpoint.dir`.
 
-    spark.checkpoint.dir is used where it is set.  Elsewhere, as in tests on
-    one machine, the warehouse takes its place.
+    Where that isn't set, the warehouse takes its place on a single machine, as
+    in tests; on a cluster it might be a folder that only the driver sees.
     """
-    shared = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/scratch"
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        shared = f"{spark.conf.get('spark.sql.warehouse.dir')}/scratch"
     return f"{shared.rstrip('/')}/{uuid.uuid4().hex}"
 
 
