@@ -104,7 +104,9 @@ def pooled(rows: DataFrame) -> DataFrame:
         .when(F.col("of_rest") >= FEWEST, F.struct(F.lit(1).alias("pool"), F.col("lang").alias("a"), F.lit("").alias("b")))
         .otherwise(F.struct(F.lit(2).alias("pool"), F.lit("").alias("a"), F.lit("").alias("b"))).alias("group"),
     )
-    return rows.join(groups, ["lang", "source"])
+    # Groups are few and go to every salt, so that a source with a third of all rows is dealt out like others.
+    dealt = rows.withColumn("deal", (F.monotonically_increasing_id() % SALTS).cast("int"))
+    return dealt.join(groups.withColumn("deal", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["lang", "source", "deal"]).drop("deal")
 
 
 def squared_distance() -> Column:
