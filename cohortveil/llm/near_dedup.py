@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .batches import NO_ID, as_bytes, map_batches, stored
 from .components import components
-from .repeats import ided, whole
+from .repeats import whole
 from .rolling import Roller, mix, word_bounds, word_values
 
 U = np.uint64
@@ -43,6 +43,17 @@ HELD = 1 << 21
 MEMBERS, SALTS = 400, 64
 
 
+#: Ids from NO_ID on, so many, stand for rows without one, told apart by their texts.
+NAMELESS = 1 << 60
+
+
+def ided(docs: DataFrame) -> DataFrame:
+    """doc_id, text and did: the id to compare by, smaller than all others and a text's own for a null doc_id."""
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    nameless = F.pmod(F.xxhash64("text"), F.lit(NAMELESS)) + F.lit(NO_ID)
+    return own.withColumn("did", F.coalesce("doc_id", nameless))
+
+
 class Shingler:
     """Sorted distinct shingle fingerprints of texts."""
 
@@ -307,9 +318,9 @@ def near_groups(docs: DataFrame, size: int = SIZE, share: int = SHARE, bands: in
 
     Null texts and texts without words have no shingles and are linked with
     nothing.  Rows that repeat a doc_id are one document, so what is linked
-    with one is linked with all.  A null doc_id is smaller than the others and
-    comes back as a null component_id.  Clashing other columns change nothing;
-    no rows give no rows.  The bands miss a pair at the threshold with
+    with one is linked with all.  Rows without a doc_id are documents by their
+    text; a null doc_id is smaller than the others and comes back as a null
+    component_id.  Clashing other columns change nothing; no rows give no rows.  The bands miss a pair at the threshold with
     probability (1 - share**rows)**bands, 5e-6 by default, and more similar
     ones with less.
     """
@@ -340,4 +351,4 @@ def near_groups(docs: DataFrame, size: int = SIZE, share: int = SHARE, bands: in
     some = full.select("doc_id", "did", "n", "key_a", "key_b").join(final, ["key_a", "key_b"])
     none = rows_.where("n = 0").select("doc_id", "did", "n", F.col("did").alias("group"))
     every = some.select("doc_id", "did", "n", "group").unionByName(none)
-    return every.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("group") != F.lit(NO_ID), F.col("group")).alias("component_id"), (F.col("group") == F.col("did")).alias("kept"))
+    return every.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("group") >= F.lit(NO_ID + NAMELESS), F.col("group")).alias("component_id"), (F.col("group") == F.col("did")).alias("kept"))

@@ -46,3 +46,11 @@ def test_null_and_repeated_ids(spark):
 
 def test_no_rows(spark):
     assert near_dedup.near_groups(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_rows_without_an_id_are_told_apart_by_their_texts(spark):
+    one, two, three = "a b c d e f g h", "m n o p q r s t", "w x y z v u t s"
+    df = spark.createDataFrame([(None, one), (None, one), (None, two), (None, three), (4, two), (6, three), (None, None), (None, "")], "doc_id long, text string")
+    got = sorted((tuple(r) for r in near_dedup.near_groups(df).collect()), key=repr)
+    want = [(None, 4, None, True), (None, 4, None, True), (None, 4, None, True), (None, 4, None, True), (4, 4, None, False), (6, 4, None, False), (None, 0, None, True), (None, 0, None, True)]
+    assert got == sorted(want, key=repr)
