@@ -96,6 +96,12 @@ def needle_set(values: DataFrame) -> DataFrame:
     return values.select(v.alias("needle")).where((F.length("needle") >= 4) & ~F.col("needle").isin(P.DUMMY_DATE, "00010101")).distinct()
 
 
+def all_needles(*sources: DataFrame | None) -> DataFrame:
+    """One set of search words out of several: tables with a column `value`, and sets that are made already (`needle`)."""
+    made = [s if "needle" in s.columns else needle_set(s) for s in sources if s is not None]
+    return reduce(DataFrame.unionByName, [m.select("needle") for m in made]).distinct()
+
+
 def name_parts(names: DataFrame) -> DataFrame:
     """Distinct parts of at least three characters of the names in a column `value`."""
     part = F.explode(F.split(F.upper(F.trim("value")), r"[\^\s,]+"))

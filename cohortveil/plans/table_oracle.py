@@ -91,6 +91,10 @@ SQL = {
       o AS (SELECT 'Axial' AS orientation, series_uid, y // 3 * 3 AS row0, x // 3 * 3 AS col0, y AS r, x AS c, q FROM w WHERE nth = least(7, n - 1) UNION ALL
         SELECT 'Coronal', series_uid, (n - 1 - nth) // 5 * 5, x // 3 * 3, n - 1 - nth, x, q FROM w WHERE y = 3 UNION ALL SELECT 'Sagittal', series_uid, (n - 1 - nth) // 5 * 5, y // 3 * 3, n - 1 - nth, y, q FROM w WHERE x = 7)
       SELECT orientation, series_uid, CAST(row0 AS INTEGER) AS row0, CAST(col0 AS INTEGER) AS col0, string_agg(q, ',' ORDER BY r, c) AS pixels FROM o GROUP BY orientation, series_uid, row0, col0""",
+    "input_files": """WITH o AS (SELECT 'out' || s_nationkey AS folder FROM supplier GROUP BY s_nationkey HAVING bool_or(s_suppkey % 2 = 0) AND bool_or(s_suppkey % 3 = 0)),
+      l AS (SELECT CASE l_suppkey % 3 WHEN 0 THEN 'out' || l_suppkey % 25 || '/S/' WHEN 1 THEN 'in/out' || l_suppkey % 25 || '/' ELSE '' END AS folder FROM lineitem) SELECT folder, count(*) AS files FROM l WHERE NOT (starts_with(folder, 'out') AND split_part(folder, '/', 1) IN (SELECT folder FROM o)) GROUP BY folder""",
+    "needle_words": f"""{IMG}, w AS (SELECT unnest([patient_id, patient_name, study_date, birth_date]) AS v FROM img UNION ALL SELECT c_name FROM customer WHERE c_custkey % 5 = 0 UNION ALL SELECT unnest([c_mktsegment, c_name, 'x1']) FROM customer WHERE c_custkey % 7 = 0)
+      SELECT DISTINCT upper(trim(v)) AS needle FROM w WHERE length(trim(v)) >= 4 AND trim(v) NOT IN ('19000101', '00010101')""",
     "manifest_tree": """WITH f AS (SELECT 'f' || o_orderkey AS path, sha256('old' || o_orderkey) AS h FROM orders), p AS (SELECT 'r' || substr(sha256(path), 1, 2) AS part, count(*) AS files, sha256(string_agg(h || '  ' || path || chr(10), '' ORDER BY path)) AS d FROM f GROUP BY 1),
       q AS (SELECT substr(part, 1, 2) AS part, CAST(sum(files) AS BIGINT) AS files, sha256(string_agg(d || chr(10), '' ORDER BY part)) AS d FROM p GROUP BY 1), z AS (SELECT 'r' AS part, CAST(sum(files) AS BIGINT) AS files, sha256(string_agg(d || chr(10), '' ORDER BY part)) AS d FROM q)
       SELECT 2 AS level, part, files, d AS sha256 FROM p UNION ALL SELECT 1, * FROM q UNION ALL SELECT 0, * FROM z""",

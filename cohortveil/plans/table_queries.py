@@ -165,6 +165,20 @@ def earlier_outputs(spark, sf):
     return files.looks_like_output(rel)
 
 
+def input_files(spark, sf):
+    """Scans of all suppliers but those that lie in a folder that an earlier run wrote."""
+    scans = table(spark, sf, "lineitem").selectExpr("CASE l_suppkey % 3 WHEN 0 THEN 'out' || CAST(l_suppkey % 25 AS STRING) || '/S/' WHEN 1 THEN 'in/out' || CAST(l_suppkey % 25 AS STRING) || '/' ELSE '' END || CAST(l_orderkey AS STRING) || '_' || CAST(l_linenumber AS STRING) AS rel")
+    left = files.without_outputs(scans, earlier_outputs(spark, sf))
+    return left.groupBy(F.regexp_extract("rel", "^(.*/)?", 0).alias("folder")).agg(F.count("*").alias("files"))
+
+
+def needle_words(spark, sf):
+    """Search words out of a mapping, of what somebody typed, and of a linkage table, as one set."""
+    c = table(spark, sf, "customer")
+    typed = c.where("c_custkey % 7 = 0").select(F.explode(X.split_needles(F.expr("c_mktsegment || '; ' || c_name || ', x1'"))).alias("value"))
+    return verify.all_needles(c.where("c_custkey % 5 = 0").selectExpr("lower(c_name) AS value"), typed, tables.linkage_needles(audit.linkage(Q.images(spark, sf))), None)
+
+
 def mapping_file(spark, sf):
     """An ID mapping, written as CSV and read back with its columns guessed."""
     rows = table(spark, sf, "customer").selectExpr("' ' || lower(c_name) AS `Hospital number`", "CASE WHEN c_custkey % 9 = 0 THEN ' ' ELSE 'CV' || CAST(c_custkey AS STRING) END AS `Study ID`", "c_acctbal AS balance")
@@ -383,6 +397,6 @@ def dry_run(spark, sf):
 NAMES = """remap_paths redact_paths split_needles profile_slugs time_left unit_labels policy_use tag_policy_texts verify_texts json_elements json_headers rejected_objects default_windows
 quarantine_release redaction_log wanted_files earlier_outputs mapping_file pair_files skip_file checksum_file linkage_words report_status confidential_files attestation_text
 not_this_run survey_copies case_mismatch coronary_summary output_series ticked_kinds selection_table pick_override middle_files started_studies skip_hits scan_headline reused_ids first_names tick_counts run_output
-tiled_redact tiled_reformat manifest_tree tree_recheck study_counts versioned_list saved_selection written_profile decisions_file run_files dry_run""".split()
+tiled_redact tiled_reformat input_files needle_words manifest_tree tree_recheck study_counts versioned_list saved_selection written_profile decisions_file run_files dry_run""".split()
 
 QUERIES = {name: globals()[name] for name in NAMES}
