@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 
-from cohortveil.llm import decontaminate, language, near_dedup, pieces, quality_model, quality_rules, secrets, suffix_dedup
+from cohortveil.llm import backoff, debruijn, decontaminate, language, near_dedup, pieces, quality_model, quality_rules, secrets, spelling, suffix_dedup
 from cohortveil.llm.queries import piece_model
 
 PLAIN = "doc_id long, text string, lang string, source string"
@@ -30,6 +30,9 @@ OPERATORS = {
     "rules": lambda spark, docs: quality_rules.judge(docs),
     "benchmark": lambda spark, docs: decontaminate.digest(decontaminate.decontaminate(docs, items(spark))),
     "near": lambda spark, docs: near_dedup.near_groups(docs),
+    "passages": lambda spark, docs: debruijn.passage_dedup(docs),
+    "scores": lambda spark, docs: backoff.score(docs),
+    "spelling": lambda spark, docs: spelling.spelling_variants(docs),
 }
 
 
@@ -52,7 +55,10 @@ def test_odd_rows_clashes_and_repeats(spark, name):
     plain = OPERATORS[name](spark, spark.createDataFrame(rows, PLAIN))
     wide = spark.createDataFrame([(*x, *[k] * len(CLASHES)) for k, x in enumerate(rows)], PLAIN + "".join(f", {c} int" for c in CLASHES)).repartition(3)
     got = results(plain)
-    assert len(got) == len(rows) and results(OPERATORS[name](spark, wide)) == got
+    assert results(OPERATORS[name](spark, wide)) == got
+    if name == "spelling":  # a row a word, not a document
+        return
+    assert len(got) == len(rows)
     by_id = [x for x in plain.collect() if x["doc_id"] == 3]
     assert len(by_id) == 3 and len({repr(tuple(x)) for x in by_id}) == 1
 
