@@ -12,7 +12,8 @@ it occurs elsewhere: anywhere (rule "any") or in a document with a smaller id
 2.  In a bucket, equal runs settle each other at once, all their windows
     together.  A bucket that has a single run, or equal runs only, is done.
 3.  What is left is where texts begin to differ.  One run of each kind in such
-    buckets goes back to its text, and is compared window by window there.
+    buckets goes back to its text, and is compared window by window there: by
+    op1 in bucket-pointer rounds, within a task or over the cluster.
 
 Only fingerprints are shuffled in steps 1 and 2.  A bucket and a run, or a
 bucket and a window, are told apart by 128 bits taken over different extents.
@@ -28,12 +29,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .batches import NO_ID, as_bytes, map_batches, stored
-from .rolling import ByteRoller, Roller, minimizer_runs, mix, pieces, word_bounds, word_values
+from .rolling import BASE, ByteRoller, Roller, eights, minimizer_runs, mix, pieces, word_bounds, word_values
 
 U = np.uint64
 #: Symbols that one call of minimizer_runs takes at most.
 SLICE = 1 << 22
-#: More different runs than this in one bucket are compared by shuffled windows, not in one task.
+#: Buckets of more different runs than this aren't refined in one task but spread over the cluster, in the same rounds.
 WIDE = 4000
 
 RESOLVED, OPEN, SOURCE = 1, 2, 4  # what a compared row is, as bits
@@ -266,9 +267,12 @@ def window_rows(texts: DataFrame, spec: Spec, *ends: str) -> DataFrame:
                 at = np.repeat(first - np.cumsum(count) + count, count) + np.arange(count.sum())
                 bucket = np.repeat(np.array(buckets.values, np.int64).view(U), count)
                 # The bucket's gram and the whole window: two fingerprints of different extent.
-                own = symbols.one(text)
-                nodes = [own.span(at + k, at + k + spec.window - 1) for k in range(len(ends))]
-                out.append((bucket, own.span(at, at + spec.window), np.full(len(at), did), np.full(len(at), tag), pack(at, np.ones(len(at), np.int64)), *nodes))
+                if spec.symbols == "bytes":
+                    nodes, run = [], bucket_hashes(np.frombuffer(text, np.uint8), spec.window)[at]
+                else:
+                    own = symbols.one(text)
+                    nodes, run = [own.span(at + k, at + k + spec.window - 1) for k in range(len(ends))], own.span(at, at + spec.window)
+                out.append((bucket, run, np.full(len(at), did), np.full(len(at), tag), pack(at, np.ones(len(at), np.int64)), *nodes))
             if not out:
                 return no_rows(*ends)
             bucket, run, doc, tag, mark, *nodes = (np.concatenate(x) for x in zip(*out, strict=True))
@@ -307,6 +311,24 @@ def bucket_pointers(symbols: np.ndarray, ends: np.ndarray, depth: int, q: int =
     return numbers
 
 
+def bucket_hashes(symbols: np.ndarray, depth: int, q: int = 8) -> np.ndarray:
+    """What `bucket_pointers` numbers, for buckets that are spread over the cluster: an identifier of the first `depth` bytes from each place on.
+
+    The rounds are the same: identifiers of q-grams, then of twice the length
+    from a place's own and that of the place so many bytes later.  A number
+    among all suffixes would need them in one task; so an identifier is a hash
+    of the two that it is made of, and equal contents have equal ones anywhere.
+    """
+    have = min(q, depth)
+    ids = mix((eights(symbols) & (~U(0) >> U(64 - 8 * have))) + U(BASE))[: max(len(symbols) - have + 1, 0)]
+    with np.errstate(over="ignore"):
+        while have < depth:
+            step = min(have, depth - have)
+            ids = mix(ids[: max(len(ids) - step, 0)] * U(BASE) ^ mix(ids[step:] + U(have)))
+            have += step
+    return ids
+
+
 def contexts(texts: DataFrame, window: int) -> DataFrame:
     """The bytes that each open run's windows cover: bucket, did, tag, mark, context."""
 

@@ -123,3 +123,15 @@ def test_long_words_that_plain_polynomials_confuse(spark):
     assert [r["n_by_order"][-1] for r in backoff.score(alone).collect()] == [1, 1]
     longer = [(k, x * 3) for k, x in enumerate((one, other, thue_morse("xy")[0], one))]
     assert sorted(tuple(r) for r in suffix_dedup.suffix_dedup(spark.createDataFrame(longer, "doc_id long, text string")).collect()) == sorted(brute.suffix_dedup(longer, 200))
+
+
+def test_pointer_rounds_agree_within_a_task_and_over_the_cluster():
+    """Numbers of one task's suffixes and hashed identifiers tell the same places apart."""
+    r = random.Random(11)
+    for depth in (3, 8, 20, 33, 200):
+        text = np.frombuffer("".join(r.choice(["abab", "b", "aab" * 30]) for _ in range(60)).encode(), np.uint8)
+        numbers = repeats.bucket_pointers(text, np.full(len(text), len(text)), depth, min(8, depth))
+        hashes = repeats.bucket_hashes(text, depth)
+        assert len(hashes) == max(len(text) - depth + 1, 0) and (numbers[: len(hashes)] >= 0).all()
+        pairs = set(zip(numbers[: len(hashes)].tolist(), hashes.tolist()))
+        assert len(pairs) == len(set(numbers[: len(hashes)].tolist())) == len(set(hashes.tolist()))
