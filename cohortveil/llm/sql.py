@@ -5,6 +5,17 @@ LOW = f"translate(coalesce(text, ''), '{UPPER}', '{LOWER}')"
 WORD = r"'[^\x20\x09-\x0D]+'"
 ALNUM = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
 
+OP1 = """
+WITH d AS (SELECT row_number() OVER () AS k, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT k, i, substr(h, CAST(2 * i + 1 AS INTEGER), 400) AS g FROM (SELECT k, h, unnest(range(0, length(h) // 2 - 199)) AS i FROM d) x),
+m AS (SELECT k, i FROM (SELECT k, i, count(*) OVER (PARTITION BY g) AS c FROM w) x WHERE c > 1),
+n AS (SELECT k, i, CASE WHEN i > lag(i) OVER (PARTITION BY k ORDER BY i) + 200 OR lag(i) OVER (PARTITION BY k ORDER BY i) IS NULL THEN 1 ELSE 0 END AS new FROM m),
+s AS (SELECT k, min(i) AS a, max(i) + 200 AS z FROM (SELECT k, i, sum(new) OVER (PARTITION BY k ORDER BY i) AS span FROM n) x GROUP BY k, span),
+e AS (SELECT k, a, lag(z, 1, 0) OVER (PARTITION BY k ORDER BY a) AS before, z, row_number() OVER (PARTITION BY k ORDER BY a DESC) AS last FROM s),
+p AS (SELECT e.k, string_agg(substr(h, CAST(2 * before + 1 AS INTEGER), CAST(2 * (a - before) AS INTEGER)), '' ORDER BY a) || max(CASE WHEN last = 1 THEN substr(h, CAST(2 * z + 1 AS INTEGER)) ELSE '' END) AS kept, sum(z - a) AS gone, count(*) AS spans FROM e JOIN d ON d.k = e.k GROUP BY e.k)
+SELECT doc_id, length(h) // 2 AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, coalesce(spans, 0) AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256 FROM d LEFT JOIN p ON p.k = d.k
+"""
+
 OP3 = f"""
 WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), {WORD}) AS w FROM documents),
 g AS (SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d) x),
@@ -115,4 +126,4 @@ walk AS (SELECT word, word AS here, form AS onward FROM f UNION ALL SELECT walk.
 SELECT f.word, form, here AS root, n, n_near, form_n FROM f JOIN walk ON walk.word = f.word AND walk.onward IS NULL
 """
 
-SQL = {"op3_substring_dedup": OP3, "op5_backoff_scores": OP5, "op9_decontaminate": OP9, "op10_near_dedup": OP10, "op11_conversation_repair": OP11, "op12_spelling_variants": OP12, "op13_top_k": OP13}
+SQL = {"op1_suffix_dedup": OP1, "op3_substring_dedup": OP3, "op5_backoff_scores": OP5, "op9_decontaminate": OP9, "op10_near_dedup": OP10, "op11_conversation_repair": OP11, "op12_spelling_variants": OP12, "op13_top_k": OP13}
