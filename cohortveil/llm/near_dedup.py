@@ -43,7 +43,7 @@ HELD = 1 << 21
 MEMBERS, SALTS = 400, 64
 
 
-#: Ids from NO_ID on, so many, stand for rows without one, told apart by their texts.
+#: Numbers from NO_ID on, so many, stand for rows without an id, told apart by their texts.
 NAMELESS = 1 << 60
 
 
@@ -319,8 +319,8 @@ def near_groups(docs: DataFrame, size: int = SIZE, share: int = SHARE, bands: in
     Null texts and texts without words have no shingles and are linked with
     nothing.  Rows that repeat a doc_id are one document, so what is linked
     with one is linked with all.  Rows without a doc_id are documents by their
-    text; a null doc_id is smaller than the others and comes back as a null
-    component_id.  Clashing other columns change nothing; no rows give no rows.  The bands miss a pair at the threshold with
+    text; a null doc_id is smaller than the others (but for ids in the lowest
+    sixteenth of all longs) and comes back as a null component_id.  Clashing other columns change nothing; no rows give no rows.  The bands miss a pair at the threshold with
     probability (1 - share**rows)**bands, 5e-6 by default, and more similar
     ones with less.
     """
@@ -351,4 +351,8 @@ def near_groups(docs: DataFrame, size: int = SIZE, share: int = SHARE, bands: in
     some = full.select("doc_id", "did", "n", "key_a", "key_b").join(final, ["key_a", "key_b"])
     none = rows_.where("n = 0").select("doc_id", "did", "n", F.col("did").alias("group"))
     every = some.select("doc_id", "did", "n", "group").unionByName(none)
-    return every.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("group") >= F.lit(NO_ID + NAMELESS), F.col("group")).alias("component_id"), (F.col("group") == F.col("did")).alias("kept"))
+    component = F.col("group")
+    nameless = rows_.where("doc_id IS NULL").select(F.col("did").alias("group"), F.lit(True).alias("nameless")).distinct()
+    if not nameless.isEmpty():
+        every, component = every.join(nameless, "group", "left"), F.when(F.col("nameless").isNull(), F.col("group"))
+    return every.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), (F.col("group") == F.col("did")).alias("kept"))

@@ -54,3 +54,12 @@ def test_rows_without_an_id_are_told_apart_by_their_texts(spark):
     got = sorted((tuple(r) for r in near_dedup.near_groups(df).collect()), key=repr)
     want = [(None, 4, None, True), (None, 4, None, True), (None, 4, None, True), (None, 4, None, True), (4, 4, None, False), (6, 4, None, False), (None, 0, None, True), (None, 0, None, True)]
     assert got == sorted(want, key=repr)
+
+
+def test_ids_may_be_any_longs(spark):
+    """Ids as hashes are: spread over all longs, the lowest too."""
+    r = random.Random(6)
+    rows = [(r.randrange(-(2**63), 2**63), t) for _ in range(60) for t in [" ".join(str(r.randrange(10**6)) for _ in range(9))]]
+    rows += [(-(2**63) + k, rows[k][1]) for k in range(5)]
+    got = [tuple(x) for x in near_dedup.near_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert sorted(got) == sorted(brute.near_groups(rows))
