@@ -78,7 +78,7 @@ SQL = {
     "skip_hits": f"{IMG} SELECT study_id, count(*) AS skipped FROM img WHERE path IN (SELECT path FROM img WHERE l_linenumber = 2) GROUP BY study_id",
     "scan_headline": f"""{O.UNITS}, t AS (SELECT count(DISTINCT coalesce(patient, folder)) AS patients, count(*) AS units, CAST(sum(series) AS BIGINT) AS series, CAST(sum(files) AS BIGINT) AS images FROM un)
       SELECT *, CASE WHEN patients = units THEN CASE WHEN units = 1 THEN 'patient' ELSE 'patients' END ELSE 'studies' END AS noun, 'Found ' || CASE WHEN patients = units THEN patients || CASE WHEN patients = 1 THEN ' patient' ELSE ' patients' END ELSE units || ' studies from ' || patients || ' patients' END || ': ' || series || ' series, ' || format('{{:,}}', images) || ' images.' AS headline FROM t""",
-    "reused_ids": f"""WITH k AS (SELECT match_key, new_id FROM ({O.GIVEN}) g WHERE s_suppkey % 2 = 0), top AS (SELECT coalesce(max(CASE WHEN s_suppkey > 999 THEN CAST(substr(CAST(s_suppkey AS VARCHAR), 1, 3) AS BIGINT) ELSE s_suppkey END), 0) AS n FROM supplier WHERE s_suppkey % 2 = 0),
+    "reused_ids": f"""WITH k AS (SELECT match_key, new_id FROM ({O.GIVEN}) g WHERE new_id IN (SELECT 'ANON-' || CASE WHEN s_suppkey > 999 THEN substr(CAST(s_suppkey AS VARCHAR), 1, 3) ELSE lpad(CAST(s_suppkey AS VARCHAR), 3, '0') END FROM supplier WHERE s_suppkey % 2 = 0)), top AS (SELECT coalesce(max(CASE WHEN s_suppkey > 999 THEN CAST(substr(CAST(s_suppkey AS VARCHAR), 1, 3) AS BIGINT) ELSE s_suppkey END), 0) AS n FROM supplier WHERE s_suppkey % 2 = 0),
       f AS (SELECT 'P' || s_suppkey AS match_key, n + row_number() OVER (ORDER BY s_suppkey) AS num, n + (SELECT count(*) FROM supplier) AS most FROM supplier, top WHERE 'P' || s_suppkey NOT IN (SELECT match_key FROM k))
       SELECT match_key, new_id FROM k UNION ALL SELECT match_key, 'ANON-' || lpad(CAST(num AS VARCHAR), CAST(greatest(3, length(CAST(most AS VARCHAR))) AS INTEGER), '0') FROM f""",
     "first_names": "SELECT count(*) AS names, array_to_string(list_sort(list(c_name))[1:4], ', ') || CASE WHEN count(*) > 4 THEN ' and ' || (count(*) - 4) || ' more' ELSE '' END AS shown FROM (SELECT DISTINCT c_name FROM customer WHERE c_acctbal < 0) c",
