@@ -201,10 +201,10 @@ def skip_file(spark, sf):
 
 
 def checksum_file(spark, sf):
-    """The newest manifest of a folder, as sha256sum reads it: two are written, and the later one is read."""
+    """The newest manifest of a folder, as sha256sum reads it: two are written, and the later one, a folder of its parts, is read."""
     path = scratch(spark)
-    made = verify.manifest(Q.checksums(spark, sf), depth=0).select(F.expr("left(text, length(text) - 1)").alias("value"))
-    made.coalesce(1).write.text(f"{path}/checksums_20240102.sha256")
+    made = verify.manifest(Q.checksums(spark, sf)).where("text IS NOT NULL").select(F.expr("left(text, length(text) - 1)").alias("value"))
+    made.write.text(f"{path}/checksums_20240102.sha256")
     table(spark, sf, "nation").selectExpr("'00  ' || n_name AS value").coalesce(1).write.text(f"{path}/checksums_20240101.sha256")
     return files.read_checksums(spark, path)
 
