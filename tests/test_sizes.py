@@ -5,7 +5,9 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from cohortveil.operators import verify
+from cohortveil.functions import exprs
+from cohortveil.operators import deidentify, verify
+from cohortveil.sources import dicom_json, stand_in
 
 
 def rows(spark, folder, name):
@@ -45,3 +47,26 @@ def test_manifest_of_many_files_is_written_in_parts(spark, larger, monkeypatch):
     got, want = rows(spark, larger, "checksum_file")
     assert got == want
     assert made[0].where("text IS NOT NULL").agg(F.max("files")).first()[0] < 100_000
+
+
+def test_objects_are_parsed_once(spark):
+    lines = spark.createDataFrame([(1, '{"00080016":{"vr":"UI","Value":["1.2"]}}'), (2, "[]"), (3, "no"), (4, "{}")], "instance_id long, json string")
+    objects = dicom_json.parsed(lines)
+    assert sorted(map(tuple, dicom_json.outcomes(objects).collect())) == [(1, "", 1), (2, "not an object", 0), (3, "not JSON", 0), (4, "", 0)]
+    assert sorted(map(tuple, dicom_json.rejected(objects).collect())) == [(2, "not an object"), (3, "not JSON")]
+    # A filter below the levels would hold the parse once more, and the levels in one piece.
+    for made in (dicom_json.rejected(objects), dicom_json.outcomes(objects), dicom_json.elements_of(objects)):
+        assert made._jdf.queryExecution().optimizedPlan().toString().count("parseJson(") == 1
+
+
+def test_tasks_do_not_grow_with_the_table(spark):
+    assert stand_in.spread(spark.range(1000), "id", most=100).rdd.getNumPartitions() >= 10
+
+
+def test_rules_are_worked_out_once(spark):
+    e = spark.createDataFrame([(1, "S", "data", "StudyInstanceUID", "UI", False, "1.2.3"), (1, "S", "data", "ImageComments", "LT", False, "x"), (1, "S", "data", "ContentDate", "DA", False, None)], "instance_id long, study_id string, grp string, path string, vr string, is_private boolean, value string")
+    made = deidentify.rewritten(e, F.lit("s"))
+    assert {r["path"]: r["value"] for r in made.collect()} == {"StudyInstanceUID": made.sparkSession.range(1).select(exprs.hashed_uid(F.lit("1.2.3"), F.lit("s"))).first()[0], "ContentDate": None}
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan(made).count("ClinicalTrialSponsorName") == 1
+    assert plan(verify.element_findings(e)).count("vendor hint present") == 1
