@@ -1,12 +1,14 @@
 """Tables larger than the smallest ones: where keys get longer, manifests get levels and components lie close to a whole number."""
 
+import os
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from cohortveil.functions import exprs
-from cohortveil.operators import deidentify, verify
+from cohortveil.operators import audit, deidentify, verify
 from cohortveil.sources import dicom_json, stand_in
 
 
@@ -70,3 +72,15 @@ def test_rules_are_worked_out_once(spark):
     plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
     assert plan(made).count("ClinicalTrialSponsorName") == 1
     assert plan(verify.element_findings(e)).count("vendor hint present") == 1
+
+
+SF = "/root/testdata/sf0.001"
+
+
+def optimized(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
+def test_dry_run_works_headers_out_once(spark):
+    assert "o_orderkey#" not in optimized(entry.queries()["dry_run"](spark, SF))
