@@ -125,7 +125,7 @@ def grams(text: Column, size: int) -> Column:
     return F.array_distinct(F.transform(starts, lambda i: F.substr(text, i, F.lit(size))))
 
 
-def needle_hits(swept: DataFrame, needles: DataFrame, gram: int = 4) -> DataFrame:
+def needle_hits(swept: DataFrame, needles: DataFrame, gram: int = 4, many: int = 50_000) -> DataFrame:
     """Texts that contain a needle: instance_id, keyword, needle.
 
     PatientName and PatientID may equal one.  A needle can only occur where all
@@ -133,16 +133,23 @@ def needle_hits(swept: DataFrame, needles: DataFrame, gram: int = 4) -> DataFram
     texts have, and meets these texts alone: needles that begin alike, as dates
     do, don't meet each other's texts.  Needles with a gram that no text has
     are done with.  Each distinct text is searched once, since a cohort repeats
-    its texts in every object.
+    its texts in every object.  Rows of a text that `many` rows or more have
+    stay where they are and meet its needles, if any, in a table of these
+    texts, of which there is one for `many` rows at most; only other rows are
+    dealt out by text, so no task gets more than that of one text.
     """
     keyed = needles.where(F.length("needle") >= gram).select("needle", F.explode(grams(F.col("needle"), gram)).alias("gram"))
-    long = swept.select("text").where(F.length("text") >= gram).distinct()
+    swept = swept.where(F.length("text") >= gram)
+    long = swept.groupBy("text").agg(F.count("*").alias("rows"))
     pieces = long.select("text", F.explode(grams(F.col("text"), gram)).alias("gram")).join(keyed.select("gram").distinct(), "gram", "left_semi")
     held = pieces.groupBy("gram").agg(F.count("*").alias("texts"))
     rarest = keyed.join(held, "gram", "left").groupBy("needle").agg(F.min(F.struct("texts", "gram")).alias("r"), F.count_if(F.col("texts").isNull()).alias("absent"))
     found = pieces.join(rarest.where("absent = 0").select("needle", "r.gram"), "gram").where(F.contains("text", F.col("needle"))).select("text", "needle")
     identity = F.col("keyword").isin("PatientName", "PatientID")
-    return swept.join(found, "text").where(~identity | (F.col("text") != F.col("needle"))).select("instance_id", "keyword", "needle").distinct()
+    often = F.broadcast(long.where(F.col("rows") >= many).join(found.groupBy("text").agg(F.collect_set("needle").alias("needles")), "text", "left").select("text", "needles"))
+    hot = swept.join(often.where("needles IS NOT NULL"), "text").withColumn("needle", F.explode("needles")).drop("needles")
+    rest = swept.join(often.select("text"), "text", "left_anti").join(found, "text")
+    return hot.unionByName(rest).where(~identity | (F.col("text") != F.col("needle"))).select("instance_id", "keyword", "needle").distinct()
 
 
 def name_part_hits(swept: DataFrame, parts: DataFrame) -> DataFrame:

@@ -84,3 +84,12 @@ def optimized(df):
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
 def test_dry_run_works_headers_out_once(spark):
     assert "o_orderkey#" not in optimized(entry.queries()["dry_run"](spark, SF))
+
+
+def test_frequent_texts_are_not_dealt_out_by_text(spark):
+    texts = ["7 MILL LANE"] * 30 + ["SCAN OF OTTER"] * 20 + ["OTTER^ADA", "OTTER", "OTT", "WREN AND OTTER"]
+    swept = spark.createDataFrame([(n, "PatientName" if t == "OTTER" else "ImageComments", t) for n, t in enumerate(texts)], "instance_id long, keyword string, text string")
+    needles = spark.createDataFrame([("OTTER",), ("WREN",), ("LYNX",)], "needle string")
+    want = {(n, "ImageComments", "OTTER") for n, t in enumerate(texts) if "OTTER" in t and t != "OTTER"} | {(53, "ImageComments", "WREN")}
+    for many in (1, 10, 20, 1000):
+        assert sorted(map(tuple, verify.needle_hits(swept, needles, many=many).collect())) == sorted(want)
