@@ -93,3 +93,8 @@ def test_frequent_texts_are_not_dealt_out_by_text(spark):
     want = {(n, "ImageComments", "OTTER") for n, t in enumerate(texts) if "OTTER" in t and t != "OTTER"} | {(53, "ImageComments", "WREN")}
     for many in (1, 10, 20, 1000):
         assert sorted(map(tuple, verify.needle_hits(swept, needles, many=many).collect())) == sorted(want)
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
+def test_files_log_reads_images_once(spark):
+    assert optimized(entry.queries()["files_log"](spark, SF)).count("Relation [l_orderkey#") == 1
