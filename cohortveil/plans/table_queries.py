@@ -9,7 +9,7 @@ from ..functions import exprs as X
 from ..functions import policy as P
 from ..operators import audit, deidentify, frames, identity, intake, series, tables, verify
 from ..sources import dicom_json, files, stand_in, versions
-from ..sources.scratch import scratch
+from ..sources.scratch import scratch, stored
 from . import cohort_run, saved_tables
 from . import queries as Q
 
@@ -331,7 +331,7 @@ def tree_recheck(spark, sf):
 def study_counts(spark, sf):
     """Counts by study with what was dropped, and with errors of objects that couldn't be read, of studies that have nothing else too."""
     bad = table(spark, sf, "lineitem").where("l_partkey % 50 = 0").selectExpr("CASE WHEN l_linenumber = 1 THEN NULL WHEN l_linenumber = 2 THEN 'Q' || CAST(l_suppkey AS STRING) ELSE 'P' || CAST(l_suppkey AS STRING) END AS study_id")
-    decided = Q.decided(spark, sf)
+    decided = stored(Q.decided(spark, sf))
     return audit.study_counts(series.images_of(Q.images(spark, sf), decided), decided, audit.errors_by_study(bad)).drop("any")
 
 

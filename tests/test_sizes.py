@@ -98,3 +98,11 @@ def test_frequent_texts_are_not_dealt_out_by_text(spark):
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
 def test_files_log_reads_images_once(spark):
     assert optimized(entry.queries()["files_log"](spark, SF)).count("Relation [l_orderkey#") == 1
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
+def test_study_counts_decide_once(spark):
+    # Images once, and the objects that can't be read twice.
+    assert optimized(entry.queries()["study_counts"](spark, SF)).count("Relation [l_orderkey#") <= 3
+    parts = stand_in.images(spark, SF).select("patient", F.spark_partition_id().alias("p")).groupBy("patient").agg(F.countDistinct("p").alias("n"))
+    assert parts.agg(F.max("n")).first()[0] <= 16
