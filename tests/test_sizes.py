@@ -106,3 +106,9 @@ def test_study_counts_decide_once(spark):
     assert optimized(entry.queries()["study_counts"](spark, SF)).count("Relation [l_orderkey#") <= 3
     parts = stand_in.images(spark, SF).select("patient", F.spark_partition_id().alias("p")).groupBy("patient").agg(F.countDistinct("p").alias("n"))
     assert parts.agg(F.max("n")).first()[0] <= 16
+
+
+def test_run_totals_work_the_summary_out_once(spark):
+    summary = spark.range(5).select(F.concat(F.lit("S"), F.col("id").cast("string")).alias("study_id"), F.col("id").alias("files"), F.lit(1).alias("series"), F.lit(0).alias("review_files"))
+    made = audit.run_totals(summary)
+    assert "Range" not in optimized(made) and made.first()["first_empty"] == "S0"
