@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from cohortveil.functions import exprs
+from cohortveil.functions import policy as P
 from cohortveil.operators import audit, deidentify, verify
 from cohortveil.sources import dicom_json, stand_in
 
@@ -112,3 +113,29 @@ def test_run_totals_work_the_summary_out_once(spark):
     summary = spark.range(5).select(F.concat(F.lit("S"), F.col("id").cast("string")).alias("study_id"), F.col("id").alias("files"), F.lit(1).alias("series"), F.lit(0).alias("review_files"))
     made = audit.run_totals(summary)
     assert "Range" not in optimized(made) and made.first()["first_empty"] == "S0"
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
+def test_verify_output_rewrites_for_all_profiles_at_once(spark):
+    # Once for the elements, once for the added attributes and once for what objects say of themselves.
+    assert optimized(entry.queries()["verify_output"](spark, SF)).count("Relation [o_orderkey#") <= 3
+
+
+def test_findings_of_all_profiles_are_those_of_each(spark):
+    rows = [
+        ("data", "PatientName", "PN", False, "OTTER^ADA"), ("data", "PatientID", "LO", False, "H1"), ("data", "PatientBirthDate", "DA", False, "19500203"), ("data", "PatientAge", "AS", False, "058Y"),
+        ("data", "StudyDate", "DA", False, "20190304"), ("data", "ContentDate", "DA", False, None), ("data", "SeriesDate", "DA", False, "20190304\\20190305"), ("data", "AcquisitionDateTime", "DT", False, "20190304091500.5"), ("data", "StudyTime", "TM", False, "083005"),
+        ("data", "BodyPartExamined", "CS", False, "no 943 476 5919"), ("data", "LaterName", "LO", False, "at AB1 2CD on 20190304"), ("data", "(0008,9999)", "AE", False, "ARCHIVE7"), ("data", "(0051,1001)", "UN", True, "16"),
+        ("data", "StudyInstanceUID", "UI", False, "1.2.3"), ("data", "SOPInstanceUID", "UI", False, "1.2.3.4"), ("data", "SOPClassUID", "UI", False, "1.2.840.10008.5.1.4.1.1.2"), ("data", "FrameOfReferenceUID", "UI", False, "1.2.9\\1.2.840.10008.1.4.1.1\\"),
+        ("data", "ReferencedImageSequence[0].(0b05,1002)", "UN", True, "12"), ("data", "ReferencedImageSequence[0].ReferencedSOPInstanceUID", "UI", False, "1.2.5"), ("data", "ConvolutionKernel", "SH", False, "K21"), ("data", "Manufacturer", "LO", False, "Maker 19991231"),
+        ("data", "StationName", "SH", False, "CT1"), ("data", "ImageType", "CS", False, "A\\B\\C\\D9"), ("data", "PatientWeight", "DS", False, "70"), ("data", "PregnancyStatus", "US", False, "4"), ("meta", "SendingApplicationEntityTitle", "AE", False, "ARCHIVE7"), ("meta", "MediaStorageSOPInstanceUID", "UI", False, "1.2.3.4"),
+    ]
+    e = spark.createDataFrame([(n, f"S{n}" if n else None, *r) for n in range(3) for r in rows[n:]], "instance_id long, study_id string, grp string, path string, vr string, is_private boolean, value string")
+    profiles = P.PROFILES | {"described": P.Profile(keep_age_5y=True, patient_name="custom", patient_name_text="X^Y", study_description="a trial", keep_institution=True)}
+    each = {name: verify.verify(deidentify.deidentify(e, F.lit("s"), p), p).collect() for name, p in profiles.items()}
+    want = sorted((name, *r) for name, rows in each.items() for r in rows)
+    assert all(each.values()) and sorted(map(tuple, verify.verify_rewritten(e, F.lit("s"), profiles).collect())) == want
+    outputs = sorted(((name, *r) for name, p in profiles.items() for r in deidentify.deidentify(e, F.lit("s"), p).collect()), key=repr)
+    columns = ["profile", *deidentify.COLUMNS]
+    got = deidentify.rewritten_each(e, F.lit("s"), profiles).select(*columns).unionByName(deidentify.added_each(e, F.lit("s"), profiles).select(*columns))
+    assert sorted(map(tuple, got.collect()), key=repr) == outputs
