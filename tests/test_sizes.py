@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from cohortveil.functions import exprs
 from cohortveil.functions import policy as P
-from cohortveil.operators import audit, deidentify, verify
+from cohortveil.operators import audit, deidentify, identity, verify
 from cohortveil.sources import dicom_json, stand_in
 
 
@@ -139,3 +139,17 @@ def test_findings_of_all_profiles_are_those_of_each(spark):
     columns = ["profile", *deidentify.COLUMNS]
     got = deidentify.rewritten_each(e, F.lit("s"), profiles).select(*columns).unionByName(deidentify.added_each(e, F.lit("s"), profiles).select(*columns))
     assert sorted(map(tuple, got.collect()), key=repr) == outputs
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
+def test_output_names_are_numbered_in_one_shuffle(spark):
+    plan = entry.queries()["files_log"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(safe#") == 1 and "Exchange hashpartitioning(folder#" not in plan
+    assert plan.count("merge_min(output_path#") <= 1
+
+
+def test_studies_of_one_safe_name_share_their_folder(spark):
+    rows = [("a b", "p1", None, 1, "7"), ("a_b", "p0", None, 1, "7"), ("a_b", "p2", None, 1, ""), ("a b", "p3", None, 1, ""), ("a b", "p4", "x", 1, "7")]
+    made = identity.with_output_names(spark.createDataFrame(rows, "study_id string, path string, review string, series_number int, instance_number string"))
+    got = {r["path"]: f"{r['folder']}/{r['name']}" for r in made.collect()}
+    assert got == {"p0": "a_b/S001/a_b_S001_I00007.dcm", "p1": "a_b/S001/a_b_S001_I00007_1.dcm", "p2": "a_b/S001/a_b_000002.dcm", "p3": "a_b/S001/a_b_000002_2.dcm", "p4": "_review/a_b/a_b_S001_I00007.dcm"}
