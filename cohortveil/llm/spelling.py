@@ -114,16 +114,21 @@ def one_edit(a: Column, b: Column) -> Column:
 
 
 def near_words(known: DataFrame) -> DataFrame:
-    """word, near and near_n for all ordered pairs of words one edit apart; `known` is a stored vocabulary."""
+    """word, near and near_n for all ordered pairs of words one edit apart; `known` is a stored vocabulary.
+
+    All joins sort and merge: Spark takes neighbourhoods, of some 140 rows a
+    word, and texts that the vocabulary's file holds compressed for as small as
+    that file, and would broadcast them.
+    """
     x = known.select("word", F.col("word").alias("own"), "n")
     y = known.select("word", F.col("word").alias("near"), F.col("n").alias("near_n"))
     short, met = F.length("word") <= LONG + 1, F.col("a.fp") == F.col("b.fp")
-    brief = filed(x.where(short), False).alias("a").join(filed(y.where(short), True).alias("b"), met & (F.col("own") != F.col("near")) & one_edit(F.col("own"), F.col("near")))
+    brief = filed(x.where(short), False).hint("merge").alias("a").join(filed(y.where(short), True).alias("b"), met & (F.col("own") != F.col("near")) & one_edit(F.col("own"), F.col("near")))
     # Of two words one edit apart, the longer one has over LONG + 1 letters, or else the pair is above.
     long = F.length("word") > LONG
     digest = F.unhex(F.md5("word"))
-    far = filed(known.where(long).select("word", digest.alias("own")), False).alias("a").join(filed(known.where(long).select("word", digest.alias("near")), True).alias("b"), met & (F.col("own") != F.col("near"))).select("own", "near").distinct()
-    text = known.where(long).select(digest.alias("digest"), "word", "n")
+    far = filed(known.where(long).select("word", digest.alias("own")), False).hint("merge").alias("a").join(filed(known.where(long).select("word", digest.alias("near")), True).alias("b"), met & (F.col("own") != F.col("near"))).select("own", "near").distinct()
+    text = known.where(long).select(digest.alias("digest"), "word", "n").hint("merge")
     full = far.join(text.select(F.col("digest").alias("own"), F.col("word").alias("x")), "own").join(text.select(F.col("digest").alias("near"), F.col("word").alias("y"), F.col("n").alias("near_n")), "near")
     full = full.where((F.greatest(F.length("x"), F.length("y")) > LONG + 1) & one_edit(F.col("x"), F.col("y")))
     return brief.select(F.col("own").alias("word"), "near", "near_n").unionByName(full.select(F.col("x").alias("word"), F.col("y").alias("near"), "near_n"))

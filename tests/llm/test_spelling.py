@@ -89,6 +89,14 @@ def test_no_words(spark):
     assert s.spelling_variants(spark.createDataFrame([(1, "few"), (2, None)], SCHEMA)).collect() == []
 
 
+def test_neighbourhoods_are_never_broadcast(spark):
+    """They are some hundred times the vocabulary, for whose size Spark takes them."""
+    known = s.stored(spark.createDataFrame([("letter", 9), ("letters", 50), ("longlonglong" * 8, 5), ("longlonglong" * 8 + "s", 30)], "word string, n long"))
+    pairs = s.near_words(known)
+    assert "Broadcast" not in pairs._jdf.queryExecution().executedPlan().toString()
+    assert got(pairs) == got(spark.createDataFrame([("letter", "letters", 50), ("letters", "letter", 9), ("longlonglong" * 8, "longlonglong" * 8 + "s", 30), ("longlonglong" * 8 + "s", "longlonglong" * 8, 5)], pairs.schema))
+
+
 def test_neighbourhoods_are_whole(monkeypatch):
     """The fingerprints of a neighbourhood are those of its strings, built one by one."""
     monkeypatch.setattr(s, "SYMBOLS", 4)
