@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import policy as P
-from ..functions.exprs import age_bucket, age_years, display_value, hashed_uid, let, shift_da, shift_days, shift_dt, with_hashed_uid
+from ..functions.exprs import display_value, hashed_uid, let, shift_da, shift_days, shift_dt, with_age_bucket, with_hashed_uid
 
 
 def keyword() -> Column:
@@ -156,8 +156,8 @@ def heads(elements: DataFrame, salt: Column, carry: Sequence[str] = ()) -> DataF
     head = lambda k: F.max(F.when((F.col("grp") == "data") & (F.col("path") == k), F.col("value")))
     read = {"PatientAge": "age", "PatientBirthDate": "born", "StudyDate": "study", "SeriesDate": "series", "SOPInstanceUID": "object", "SOPClassUID": "class"}
     objects = elements.groupBy("instance_id", "study_id", *carry).agg(*(head(k).alias(v) for k, v in read.items()))
-    bucket = age_bucket(age_years(F.col("age"), F.col("born"), F.col("study"), F.col("series")))
-    return objects.select("instance_id", "study_id", *carry, "class", each_uid(F.col("object"), salt).alias("object"), bucket.alias("bucket"))
+    aged = with_age_bucket(objects, F.col("age"), F.col("born"), F.col("study"), F.col("series"))
+    return aged.select("instance_id", "study_id", *carry, "class", each_uid(F.col("object"), salt).alias("object"), "bucket")
 
 
 def new_rows(profile: P.Profile, *more: Column, only: Sequence[str] | None = None) -> list[Column]:

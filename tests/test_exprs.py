@@ -97,3 +97,27 @@ def test_faults_of_profiles():
     assert P.Profile(name=" ", patient_name="custom").checks() == [("name", "empty"), ("patient_name_text", "empty")]
     assert P.Profile(patient_name="nobody", study_description="a\n", method_text="x\\" + "y" * 64).checks() == [("patient_name", "unknown"), ("study_description", "forbidden"), ("method_text", "forbidden"), ("method_text", "long")]
     assert all(w.split()[0] in {"name", "patient_name", "patient_name_text", "study_description", "method_text"} for w in P.Profile(name="", patient_name="x").problems())
+
+
+def test_uid_steps_in_words_and_places(spark):
+    """Places of nine digits carry, leading zeros go, and nothing gives nothing."""
+    numbers = [0, 7, 10**9 - 1, 10**9, 10**18, 10**27 - 1, 10**27, 2**32, 2**64, 2**96 - 1, 2**128 - 1]
+    df, last = spark.createDataFrame([(str(n), f"{n:032x}") for n in numbers] + [(None, None)], "n string, digest string"), ["digest"]
+    for columns in X.uid_steps():
+        df, last = df.select("n", *(made({c: F.col(c) for c in last}).alias(name) for name, made in columns.items())), list(columns)
+    assert [tuple(r) for r in df.collect()] == [(str(n), f"2.25.{n}") for n in numbers] + [(None, None)]
+    hashed = X.with_hashed_uid(spark.createDataFrame([("b",), (None,), ("c",)], "v string"), F.col("v"), F.lit("a"), F.col("v") != "c")
+    assert [r["uid"] for r in hashed.collect()] == ["2.25.19499874484544496864165855615606221487", None, None]
+
+
+def test_dates_of_early_years_and_no_dates(spark):
+    rows = ["00000229", "00010101", "15821010", "20190229", "20191301", " 20200229x", "2020022", "99991231", None]
+    got = spark.createDataFrame([(x,) for x in rows], "v string").select(X.parsed_date(F.col("v")).cast("string").alias("d"), X.shift_da(F.col("v"), F.lit(1)).alias("s")).collect()
+    assert [r["d"] for r in got] == ["0000-02-29", "0001-01-01", "1582-10-10", None, None, "2020-02-29", None, "9999-12-31", None]
+    assert [r["s"] for r in got] == ["00000228", "00001231", "15821009", P.DUMMY_DATE, P.DUMMY_DATE, "20200228", P.DUMMY_DATE, "99991230", P.DUMMY_DATE]
+
+
+def test_age_buckets_by_steps(spark):
+    rows = [("058Y", "", "", ""), ("", "19610314", "20190313", ""), (None, "19610314", "", "20190314"), ("030M", "19610314", "20190314", ""), ("03xY", "19610314", "20190314", ""), ("", "20200101", "20190101", ""), ("", None, "20190101", "")]
+    made = X.with_age_bucket(spark.createDataFrame(rows, "a string, b string, s string, e string"), *map(F.col, "abse"))
+    assert made.columns == ["a", "b", "s", "e", "bucket"] and [r["bucket"] for r in made.collect()] == ["055Y", "055Y", "055Y", "000Y", "055Y", None, None]

@@ -153,3 +153,19 @@ def test_studies_of_one_safe_name_share_their_folder(spark):
     made = identity.with_output_names(spark.createDataFrame(rows, "study_id string, path string, review string, series_number int, instance_number string"))
     got = {r["path"]: f"{r['folder']}/{r['name']}" for r in made.collect()}
     assert got == {"p0": "a_b/S001/a_b_S001_I00007.dcm", "p1": "a_b/S001/a_b_S001_I00007_1.dcm", "p2": "a_b/S001/a_b_000002.dcm", "p3": "a_b/S001/a_b_000002_2.dcm", "p4": "_review/a_b/a_b_S001_I00007.dcm"}
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
+@pytest.mark.parametrize("name", ["tag_policy_profile"])
+def test_elements_stay_together_where_patients_are_too_many_to_broadcast(spark, name):
+    """Tables join by shuffles, and objects are dealt out after that; what is made of their elements is shuffled no more."""
+    limit = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(limit)
+    spark.conf.set(limit, "-1")
+    try:
+        made = entry.queries()[name](spark, SF)
+        assert "Exchange hashpartitioning(instance_id#" not in made._jdf.queryExecution().executedPlan().toString()
+        apart = {tuple(r) for r in made.where("instance_id < 40").collect()}
+    finally:
+        spark.conf.set(limit, before)
+    assert apart == {tuple(r) for r in entry.queries()[name](spark, SF).where("instance_id < 40").collect()}
