@@ -156,7 +156,7 @@ def test_studies_of_one_safe_name_share_their_folder(spark):
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
-@pytest.mark.parametrize("name", ["tag_policy_profile"])
+@pytest.mark.parametrize("name", ["tag_policy_profile", "plain_changes"])
 def test_elements_stay_together_where_patients_are_too_many_to_broadcast(spark, name):
     """Tables join by shuffles, and objects are dealt out after that; what is made of their elements is shuffled no more."""
     limit = "spark.sql.autoBroadcastJoinThreshold"
