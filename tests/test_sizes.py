@@ -10,6 +10,7 @@ import __spark_entry__ as entry
 from cohortveil.functions import exprs
 from cohortveil.functions import policy as P
 from cohortveil.operators import audit, deidentify, identity, verify
+from cohortveil.plans import queries
 from cohortveil.sources import dicom_json, stand_in
 
 
@@ -169,3 +170,19 @@ def test_elements_stay_together_where_patients_are_too_many_to_broadcast(spark,
     finally:
         spark.conf.set(limit, before)
     assert apart == {tuple(r) for r in entry.queries()[name](spark, SF).where("instance_id < 40").collect()}
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
+def test_the_rewrite_for_several_profiles_is_compiled(spark):
+    """The JVM only interprets methods of over 8,000 bytes; names, private steps and actions were in one of 11,448 with all that makes an element."""
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        e = queries.with_study(spark, SF).select(*deidentify.COLUMNS)
+        parts = deidentify.rewritten_each(e, F.lit("s"), P.PROFILES)._jdf.queryExecution().debug().codegenToSeq()
+        assert max(parts.apply(k)._3().maxMethodCodeSize() for k in range(parts.size())) <= 8000
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
